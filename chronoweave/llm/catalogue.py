@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import table
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, secret, simhash, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,40 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def span_list(spans: str) -> F.Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def span_digest(spans: str, kinds: tuple[str, ...]) -> list[F.Column]:
+    """n_<kind> for each base kind, base_sha256 and spans."""
+    count = [F.size(F.filter(spans, _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
+    base = F.filter(spans, lambda x: x["kind"].isin(*kinds))
+    joined = F.array_join(F.transform(base, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return [*count, F.sha2(joined, 256).alias("base_sha256"), span_list(spans).alias("spans")]
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_and_text(spark, sf_dir)
+    found = secret.find_secrets(docs, secret.fit(docs), keep=["doc_id"])
+    return found.select("row.doc_id", *span_digest("spans", secret.KINDS))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_and_text(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    doc_id = F.col("row.doc_id")
+    return scored.select(
+        doc_id,
+        (F.coalesce(toxicity.bucket(doc_id, toxicity.FOLDS), F.lit(1)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
