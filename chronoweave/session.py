@@ -33,17 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that spark.checkpoint.dir names, which every executor shares.
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which every executor shares.
 
     A folder of our own is taken only where that setting is empty, as in tests on one machine.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below the shared one."""
+    import uuid
+
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
