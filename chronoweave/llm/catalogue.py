@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import table
 
-from . import bpe, decontaminate, secret, simhash, toxicity
+from . import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,64 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(id_and_text(spark, sf_dir))
+    return cut.select(
+        "row.doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"),
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op7_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, i, line, len(parts) AS n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+),
+units AS (
+  SELECT *, trim(regexp_replace({SQL_LOWER.replace('text', 'line')}, '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS unit FROM lines
+),
+ranked AS (
+  SELECT *, length(unit) > 0 AND len(string_split(unit, ' ')) >= 8 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) > 1 AS gone
+  FROM units
+)
+SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+  coalesce(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + length(line) + CASE WHEN i < n THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE gone), '') AS removed,
+  sha256(coalesce(string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
+@query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store(id_and_text(spark, sf_dir), keep=["doc_id"]).select("row.doc_id", *[f.name for f in media.FIELDS])
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(id_and_text(spark, sf_dir))
+    word = F.transform("base_places", lambda p: p["word"].cast("long"))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(word).alias("first_word"),
+        F.array_max(word).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_and_text(spark, sf_dir)
+    found = pii.find_personal(docs, pii.fit(docs), keep=["doc_id"])
+    base = found.withColumn("base", F.filter("spans", lambda x: x["base"] == 1))
+    count = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return base.select("row.doc_id", *count, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))

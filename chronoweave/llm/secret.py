@@ -22,7 +22,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import annotate, long, name, string, structs
+from .rows import annotate, long, string, structs
 
 KINDS = ("assign", "access", "hex")
 EXAMPLES = 400
