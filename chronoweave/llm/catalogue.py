@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import table
 
-from . import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, toxicity
+from . import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, suffix, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(id_and_text(spark, sf_dir), keep=["doc_id"], with_kept=False)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select(
+        "row.doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.round_trip(id_and_text(spark, sf_dir), keep=["doc_id"])

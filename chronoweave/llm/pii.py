@@ -202,7 +202,7 @@ class Labels:
 class Classifier:
     """A logistic model over span shapes, trained on soft labels."""
 
-    def __init__(self, rows: list[tuple[str, float, float]], ridge: float = 1.0, rounds: int = 300):
+    def __init__(self, rows: list[tuple[str, float, float]], ridge: float = 1.0, rounds: int = 50):
         """rows: (shape, likelihood of a true span, count)."""
         self.place: dict[str, int] = {}
         for s, _, _ in rows:
@@ -218,14 +218,13 @@ class Classifier:
                 x[i, self.place[f]] = 1
         y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         n = n / n.sum() * min(n.sum(), 1e4)
-        step = 1 / (0.25 * (n @ (x**2).sum(axis=1)) + ridge)
-        speed = momentum = np.zeros_like(self.weights)
-        for i in range(rounds):  # accelerated gradient descent
-            p = 1 / (1 + np.exp(-x @ momentum))
-            new = momentum - 20 * step * (x.T @ (n * (p - y)) + ridge * momentum) if i < 5 else momentum - step * (x.T @ (n * (p - y)) + ridge * momentum)
-            momentum = new + i / (i + 3) * (new - speed)
-            speed = new
-        self.weights = speed
+        for _ in range(rounds):  # Newton's method
+            p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+            slope = x.T @ (n * (p - y)) + ridge * self.weights
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), slope)
+            self.weights = self.weights - np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
 
     def true(self, shape: str) -> float:
         z = self.weights[-1] + sum(self.weights[i] for f in shape.split("\t") if (i := self.place.get(f)) is not None)
