@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from chronoweave.plans import choices, records, timelines
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES = {}
 ORACLES: dict[str, str] = {}
+for part in (timelines, records, choices):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
