@@ -24,7 +24,6 @@ other whole; overlapping repeats count, and strings are judged on the input. Ext
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 import uuid
 from functools import partial
@@ -45,6 +44,8 @@ GRAM, SYMBOL = 32, 8
 #: Bytes of units in a group, and different units of a family, beyond which windows are counted one by one.
 GROUP_BYTES = 400_000
 LARGEST = 1000
+#: Bytes of a file of the growing table that stay in memory.
+SPOOL = 8 << 20
 #: Texts are cut to pieces of so many starts, each with all bytes of its windows, so that places fit 23 bits.
 PIECE = 1 << 22
 
@@ -64,11 +65,14 @@ def grams(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def unit_runs(text: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """(minimizer, first start, end of starts, place of the minimizer) of every unit of a text."""
+def unit_runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, first start, end of starts and place of the minimizer of every unit of a text."""
     out = []
-    for base in range(0, max(0, len(text) - length + 1), PIECE):
-        h = grams(np.frombuffer(text[base : base + PIECE + length - 1], np.uint8))
+    for base in range(0, max(1, len(text) - length + 1), PIECE):
+        part = np.frombuffer(text[base : base + PIECE + length - 1], np.uint8)
+        if len(part) < length:
+            continue
+        h = grams(part)
         least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         width, n = length - GRAM + 1, 1
         while 2 * n <= width:
@@ -78,32 +82,48 @@ def unit_runs(text: bytes, length: int = LENGTH) -> list[tuple[int, int, int, in
             least = np.minimum(least[: n - width], least[width - n :])
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         place = (least[first] & _PLACE).astype(np.int64)
-        for v, a, b, p in zip(h[place].view(np.int64).tolist(), first.tolist(), [*first[1:].tolist(), len(least)], place.tolist(), strict=True):
-            out.append((v, base + a, base + b, base + p))
-    return out
+        out.append((h[place].view(np.int64), base + first, base + np.append(first[1:], len(least)), base + place))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (none, none, none, none)
 
 
 class Files:
-    """Columns of the growing table, each a file that is read and written from front to end."""
+    """Columns of the growing table, each a file that is read and written from front to end.
+
+    A file stays in memory up to SPOOL bytes and is on the task's disk beyond.
+    """
 
-    def __init__(self, folder: str, **columns: np.ndarray):
-        self.folder, self.kinds = folder, {}
+    def __init__(self, **columns: np.ndarray):
+        self.kinds = {key: values.dtype for key, values in columns.items()}
+        self.files: dict[str, tempfile.SpooledTemporaryFile] = {}
         for key, values in columns.items():
-            self.kinds[key] = values.dtype
-            values.tofile(os.path.join(folder, key))
+            self.write(key, values)
 
     def read(self, key: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, key), self.kinds[key])
+        self.files[key].seek(0)
+        return np.frombuffer(self.files[key].read(), self.kinds[key])
+
+    def write(self, key: str, values: np.ndarray) -> None:
+        """values as the next file, in place of the last one."""
+        new = tempfile.SpooledTemporaryFile(max_size=SPOOL)
+        new.write(values.data)
+        if key in self.files:
+            self.files[key].close()
+        self.files[key] = new
 
     def insert(self, key: str, old: np.ndarray, at: np.ndarray, values: np.ndarray, stays: np.ndarray) -> None:
         """old at the places where `stays`, values at the rows `at`, written as the next file."""
         new = np.empty(len(stays), self.kinds[key])
         new[stays] = old
         new[at] = values
-        new.tofile(os.path.join(self.folder, key))
+        self.write(key, new)
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
 
 
-def column_sort(symbols: list[np.ndarray], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def column_sort(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, place and common prefix (in symbols, with the row before) of every suffix, in sorted order.
 
     symbols: codes of each string. Strings end in marks of their own, smaller than all symbols, which match nothing.
@@ -117,7 +137,7 @@ def column_sort(symbols: list[np.ndarray], folder: str) -> tuple[np.ndarray, np.
     before = np.full(count, none, kind)
     some = size > 0
     before[some] = flat[start[some] + size[some] - 1]
-    files = Files(folder, bwt=before, prefix=np.zeros(count, np.int16), who=np.arange(count, dtype=np.int32), place=size.astype(np.int32))
+    files = Files(bwt=before, prefix=np.zeros(count, np.int16), who=np.arange(count, dtype=np.int32), place=size.astype(np.int32))
     strings = np.flatnonzero(some)
     row = strings.copy()  # of each active string's newest suffix
     left = size[strings]
@@ -150,11 +170,13 @@ def column_sort(symbols: list[np.ndarray], folder: str) -> tuple[np.ndarray, np.
         merged = np.empty(len(stays), np.int16)
         merged[stays] = prefix
         merged[count + seen] = shared[seen]
-        merged.tofile(os.path.join(folder, "prefix"))
+        files.write("prefix", merged)
         files.insert("who", files.read("who"), at, strings, stays)
         files.insert("place", files.read("place"), at, left, stays)
         strings, left, row = strings[more], left[more], at[more]
-    return files.read("who"), files.read("place"), files.read("prefix")
+    out = files.read("who"), files.read("place"), files.read("prefix")
+    files.close()
+    return out
 
 
 def repeated_starts(units: list[tuple[int, bytes]], weights: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -168,19 +190,20 @@ def repeated_starts(units: list[tuple[int, bytes]], weights: list[int], length:
         sizes.append(n)
     values, codes = np.unique(np.concatenate(words), return_inverse=True)
     codes = codes.astype(np.uint16 if len(values) < 65534 else np.uint32)
-    with tempfile.TemporaryDirectory() as folder:
-        who, place, prefix = column_sort(np.split(codes, np.cumsum(sizes)[:-1]), folder)
+    who, place, prefix = column_sort(np.split(codes, np.cumsum(sizes)[:-1]))
     kind = np.cumsum(prefix < core)  # rows of one kind share a core
     weight = np.array(weights, np.int64)
     total = np.bincount(kind, weight[who])
     size = np.array([len(d) for _, d in units], np.int64)
     at = phases[who] + SYMBOL * place
-    use = (total[kind] >= 2) & (at + core * SYMBOL <= size[who])
+    # a unit of several occurrences is repeated as it is; it still makes windows of others repeats
+    single = np.zeros(len(total), bool)
+    single[kind[weight[who] == 1]] = True
+    use = (total[kind] >= 2) & single[kind] & (at + core * SYMBOL <= size[who])
     who, at, kind = who[use], at[use].astype(np.int64), kind[use]
     data = np.frombuffer(b"".join([d for _, d in units]), np.uint8)
     first = np.cumsum(size) - size
-    marks = [np.zeros(n - length + 1, bool) for n in size.tolist()]
-    flags = np.zeros(int((size - length + 1).sum()), bool)
+    flags = np.repeat(weight >= 2, size - length + 1)
     flag_at = np.cumsum(size - length + 1) - (size - length + 1)
     for d in range(SYMBOL):
         s = at - d
@@ -195,9 +218,7 @@ def repeated_starts(units: list[tuple[int, bytes]], weights: list[int], length:
         group = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (around[1:] != around[:-1])]))
         again = np.bincount(group, weight[w])[group] >= 2
         flags[flag_at[w[again]] + s[again]] = True
-    for i, mark in enumerate(marks):
-        marks[i] = flags[flag_at[i] : flag_at[i] + len(mark)]
-    return marks
+    return np.split(flags, flag_at[1:])
 
 
 def runs_of(mark: np.ndarray) -> list[dict]:
@@ -231,16 +252,32 @@ def _sort_group(length: int, table: pa.Table) -> pa.Table:
     return pa.table(out, schema=kinds)
 
 
+def _lists(sizes: list[int], columns: dict[str, np.ndarray] | np.ndarray) -> pa.Array:
+    """Concatenated values, or columns of structs, as one list for each size."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    if isinstance(columns, dict):
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
+    return pa.ListArray.from_arrays(offsets, pa.array(columns))
+
+
+def _minimizers(length):
+    def find(texts):
+        found = [unit_runs(t or b"", length)[0] for t in texts]
+        return (_lists([len(v) for v in found], np.concatenate([np.zeros(0, np.int64), *found])),)
+
+    return find
+
+
 def _units(length):
     def find(texts):
-        out = []
+        h, digests, found = xxhash.xxh3_64_intdigest, [], []
         for t in texts:
-            h = xxhash.xxh3_64_intdigest
-            out.append([
-                {"minimizer": v, "unit": h(t[a : b + length - 1]) - (1 << 63), "start": a, "end": b, "place": p - a}
-                for v, a, b, p in unit_runs(t, length)
-            ] if t and len(t) >= length else [])
-        return (out,)
+            found.append(runs := unit_runs(t or b"", length))
+            digests += [h(t[a:b]) for a, b in zip(runs[1].tolist(), (runs[2] + length - 1).tolist(), strict=True)]
+        sizes = [len(f[0]) for f in found]
+        v, a, b, p = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in range(4))
+        unit = np.array(digests, np.uint64).view(np.int64)
+        return (_lists(sizes, {"minimizer": v, "unit": unit, "start": a, "end": b, "place": p - a}),)
 
     return find
 
@@ -282,8 +319,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, largest: int = LARGES
     """h1, h2 and spans (runs of repeated starts as start and end, by start) of each text that has any."""
     found = annotate(texts, "text", partial(_units, length), [structs("units", *[long(c) for c in ("minimizer", "unit", "start", "end", "place")])], keep=["h1", "h2", "n"])
     occurrences = found.select("row.h1", "row.h2", "row.n", F.explode("units").alias("u")).select("h1", "h2", "n", "u.*")
+    values = annotate(texts, "text", partial(_minimizers, length), [T.StructField("minimizers", T.ArrayType(T.LongType()))], keep=["n"])
     families = (
-        found.select("row.n", F.explode("units.minimizer").alias("minimizer"))
+        values.select("row.n", F.explode("minimizers").alias("minimizer"))
         .groupBy("minimizer").agg(F.sum("n").alias("total")).where("total > 1").select("minimizer")
     )
     kept = written(occurrences.join(families, "minimizer", "left_semi"))
