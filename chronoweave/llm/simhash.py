@@ -178,8 +178,11 @@ def _roots(prints: DataFrame, radius: int, tile: int) -> DataFrame:
     linked = cut_lineage(roots.join(distinct, roots["node"] == distinct["fingerprint"]).select("node", "root", "least"))
     first = linked.groupBy("root").agg(F.min("least").alias("first"))
     known = linked.join(first, "root").select(F.col("node").alias("fingerprint"), "first")
-    return distinct.join(known, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("first", "least").alias("component_id")
+    # written, so that the join with all documents is between two plain shuffles, whose hot parts Spark can split
+    return cut_lineage(
+        distinct.join(known, "fingerprint", "left").select(
+            "fingerprint", F.coalesce("first", "least").alias("component_id")
+        )
     )
 
 
