@@ -202,24 +202,21 @@ def clean_except_length(reasons: Column) -> Column:
     return F.forall(reasons, lambda r: r.endswith(" s long"))
 
 
-def cross_correlation(left: Column, right: Column, lags: range) -> Column:
-    """(r, lag) of the best lag of z-normed arrays over their common part, the first on a tie."""
-
-    def z(x: Column) -> Column:
-        n = F.size(x)
-        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        dev = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-        return F.transform(x, lambda v: (v - mean) / F.greatest(dev, F.lit(1e-9)))
-
-    def at(lag: int) -> Column:
-        a = z(F.slice(left, F.lit(1 + max(0, lag)), F.size(left)))
-        b = z(F.slice(right, F.lit(1 + max(0, -lag)), F.size(right)))
-        n = F.least(F.size(a), F.size(b))
-        products = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda p, q: p * q)
-        return F.struct((F.aggregate(products, F.lit(0.0), lambda s, v: s + v) / n).alias("r"), F.lit(-lag).alias("back"))
-
-    best = F.array_max(F.array(*[at(k) for k in lags]))
-    return F.struct(best["r"].alias("r"), (-best["back"]).alias("lag"))
+def correlate(df: DataFrame, keys: Sequence[str], left: str, right: str, lags: Sequence[int]) -> DataFrame:
+    """r of two arrays at each lag, over their common part: left shifted by `lag` against right.
+
+    A product for each place and lag is summed within tasks, so a long array costs rows but no memory. r is null where
+    a side does not vary.
+    """
+    lag = F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")
+    shifted = df.select(*keys, left, right, lag).select(
+        *keys, "lag",
+        F.slice(left, 1 + F.greatest(F.lit(0), F.col("lag")), F.size(left)).alias("_a"),
+        F.slice(right, 1 + F.greatest(F.lit(0), -F.col("lag")), F.size(right)).alias("_b"),
+    )
+    n = F.least(F.size("_a"), F.size("_b"))
+    pairs = shifted.select(*keys, "lag", F.explode(F.arrays_zip(F.slice("_a", F.lit(1), n).alias("a"), F.slice("_b", F.lit(1), n).alias("b"))).alias("p"))
+    return pairs.groupBy(*keys, "lag").agg(F.corr("p.a", "p.b").alias("r"))
 
 
 def best_match(scores: DataFrame, clip: Sequence[str], r: str, lag: str, guard: int) -> DataFrame:

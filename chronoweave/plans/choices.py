@@ -1 +1,120 @@
-QUERIES={};ORACLES={}
+"""Queries on ranking, choice, decisions and reconciliation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronoweave.operators import choose, reconcile, textops
+from chronoweave.session import table
+
+from .common import SQL_EVENTS, collector, events
+
+QUERIES, ORACLES, query = collector()
+
+
+@query("""SELECT lang, doc_id, n_chars, CAST(r AS INT) AS rank FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 12""")
+def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    return choose.top(d, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 12)
+
+
+@query("""SELECT doc_id, CASE WHEN lang NOT IN ('en', 'fr', 'de') OR n_chars IS NULL THEN 'invalid' WHEN n_chars < lo OR n_chars > hi THEN 'excluded' ELSE 'ok' END AS status
+FROM (SELECT *, CASE lang WHEN 'en' THEN 300 WHEN 'fr' THEN 600 ELSE 300 END AS lo, CASE lang WHEN 'en' THEN 1200 WHEN 'fr' THEN 3000 ELSE 1500 END AS hi FROM documents)""")
+def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    bounds = spark.createDataFrame([("en", 300, 1200), ("fr", 600, 3000), ("de", 300, 1500)], "lang string, lo int, hi int")
+    joined = d.join(F.broadcast(bounds), "lang", "left")
+    inside = F.col("n_chars").between(F.col("lo"), F.col("hi"))
+    return joined.select("doc_id", F.when(F.col("lo").isNull() | F.col("n_chars").isNull(), "invalid").when(inside, "ok").otherwise("excluded").alias("status"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_partkey AS part, l_suppkey AS supp, count(*) AS n, sum(CAST(round(l_quantity) AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
+SELECT part, supp, CAST(q - 5 * greatest(0, n - 1) AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY part ORDER BY q - 5 * greatest(0, n - 1) DESC, supp) = 1""".replace("RECURSIVE ", ""))
+def choose_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    s = l.groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).agg(F.count("*").alias("n"), F.sum(F.round("l_quantity").cast("long")).alias("q"))
+    scored = s.withColumn("score", F.col("q") - 5 * F.greatest(F.lit(0), F.col("n") - 1))
+    return choose.best(scored, ["part"], F.struct("score", -F.col("supp")), ["supp", "score"])
+
+
+@query(f"""WITH RECURSIVE {SQL_EVENTS},
+i AS (SELECT event_id, event_type, user_id, us AS t0, until AS t1, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM e WHERE until > us),
+f AS (
+  SELECT user_id, r, [struct_pack(a := t0, b := t1)] AS kept, event_id, true AS taken FROM i WHERE r = 1
+  UNION ALL
+  SELECT i.user_id, i.r, CASE WHEN len(list_filter(f.kept, lambda k: k.a < i.t1 AND i.t0 < k.b)) = 0 THEN list_append(f.kept, struct_pack(a := i.t0, b := i.t1)) ELSE f.kept END,
+    i.event_id, len(list_filter(f.kept, lambda k: k.a < i.t1 AND i.t0 < k.b)) = 0 FROM f JOIN i ON i.user_id = f.user_id AND i.r = f.r + 1
+)
+SELECT user_id, event_id FROM f WHERE taken""")
+def greedy_overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("user_id", "event_id", "value", F.col("us").alias("t0"), F.col("until").alias("t1")).where("t1 > t0")
+    return choose.suppress_overlaps(e, ["user_id"], ["-value", "event_id"]).select("user_id", "event_id")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS topic, o_orderdate AS decided, CASE WHEN o_orderstatus = 'P' THEN 'superseded' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey - 7 END AS old FROM orders),
+o AS (SELECT r.*, b.id AS by_ FROM r LEFT JOIN r b ON b.old = r.id),
+w AS (SELECT topic, max_by(id, (decided, id)) AS winner FROM o WHERE by_ IS NULL AND status IS NULL GROUP BY topic)
+SELECT id, CASE WHEN by_ IS NOT NULL THEN 'superseded by ' || by_ WHEN status IS NOT NULL THEN 'marked superseded' WHEN winner <> id THEN 'later decision ' || winner END AS why FROM o LEFT JOIN w USING (topic)""")
+def rule_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    rules = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_custkey").cast("string").alias("topic"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("decided"),
+        F.when(F.col("o_orderstatus") == "P", "superseded").alias("status"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.array(F.col("o_orderkey") - 7)).otherwise(F.array().cast("array<bigint>")).alias("supersedes"),
+    )
+    return choose.resolve_rules(rules).select("id", "why")
+
+
+SQL_PLAN = """p AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) // 1000000 AS s, CAST(round(value) AS BIGINT) AS dur FROM events),
+f AS (SELECT id + 1000000000 AS fid, user_id, event_type, s + id % 3 - 1 AS s, CASE WHEN id % 17 = 0 THEN dur + 9 ELSE dur END AS dur FROM p WHERE id % 13 <> 0)"""
+
+
+@query(f"""WITH {SQL_PLAN}, m AS (SELECT p.id, f.fid, p.dur AS a, f.dur AS b FROM p LEFT JOIN f ON f.fid = p.id + 1000000000)
+SELECT CAST(id AS VARCHAR) AS plan_id, CAST(fid AS VARCHAR) AS found_id, CASE WHEN fid IS NULL THEN 'missing' WHEN abs(a - b) > 2 THEN 'mismatch' ELSE 'ok' END AS status,
+  CASE WHEN abs(a - b) > 2 THEN 'dur ' || a || ' / ' || b ELSE '' END AS diffs FROM m""")
+def conform_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    plan = e.select(F.col("event_id").alias("plan_id"), "user_id", "event_type", F.floor(F.col("us") / 1_000_000).alias("s"), F.round("value").cast("long").alias("dur"))
+    i = F.col("plan_id")
+    found = plan.where(i % 13 != 0).select(
+        (i + 1_000_000_000).alias("found_id"), "user_id", "event_type", (F.col("s") + i % 3 - 1).alias("s"), F.when(i % 17 == 0, F.col("dur") + 9).otherwise(F.col("dur")).alias("dur")
+    )
+    out = reconcile.conform(plan, found, ["user_id", "event_type"], "s", 2, ["s", "plan_id"], [("dur", 2)])
+    return out.withColumn("diffs", F.array_join("diffs", "; "))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber AS k, l_quantity AS d, sum(l_quantity) OVER w - l_quantity + CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END AS a, sum(l_quantity) OVER w AS b FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY l_orderkey ORDER BY b), 0) AS before FROM r)
+SELECT l_orderkey AS beat, fault, count(*) AS n FROM (
+  SELECT l_orderkey, 'does not follow' AS fault FROM s WHERE abs(a - before) > 0.05
+  UNION ALL SELECT l_orderkey, 'is not as long as it says' FROM s WHERE abs(b - a - d) > 0.05) GROUP BY ALL""")
+def placement_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("l_quantity").over(w)
+    rows = l.select(
+        F.lit(1).alias("cut"), F.col("l_orderkey").alias("beat"), F.count(F.lit(1)).over(w).cast("int").alias("k"), F.col("l_quantity").alias("duration_s"),
+        (end - F.col("l_quantity") + F.when(F.col("l_partkey") % 97 == 0, 1).otherwise(0)).alias("dest_in_s"), end.alias("dest_out_s"),
+    )
+    picks = l.select(F.lit(1).alias("cut"), F.col("l_orderkey").alias("beat"), F.col("l_quantity").alias("duration_s"))
+    faults = reconcile.placement_faults(rows, picks, ["cut"])
+    return faults.groupBy("beat", F.regexp_replace("fault", r"^row \d+ ", "").alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query()
+def token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn against the one before it: what was kept, dropped and put in."""
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = c.select("conv_id", "turn", F.lag("text").over(w).alias("expected"), F.col("text").alias("heard")).where("expected is not null")
+    e = textops.token_edits(pairs, "expected", "heard")
+    return e.select("conv_id", "turn", "edits.coverage", "edits.matched", "edits.expected", "edits.flag", F.size("edits.risks").alias("risks"), F.array_join(textops.edit_reasons(F.col("edits")), "; ").alias("reasons"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) SELECT conv_id, count(*) AS jumps FROM t WHERE role = after GROUP BY conv_id""")
+def jump_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.withColumn("after", after).where("role = after").groupBy("conv_id").agg(F.count("*").alias("jumps"))
