@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.session import cut_lineage
+
 from .rows import annotate, double, long, name, plain_words, structs
 
 EXAMPLES = 1500
@@ -59,7 +61,9 @@ def bucket(doc_id: F.Column, folds: int) -> F.Column:
 class Index:
     """Block-max inverted index over TF-IDF vectors of labelled examples, and the calibrated vote."""
 
-    def __init__(self, rows: list[tuple[int, int, Counter]], totals: dict[int, int], vocabulary: int = VOCABULARY, least: float = LEAST, k: int = NEIGHBOURS):
+    def __init__(self, rows: list[tuple[int, int, Counter]], totals: dict[int, int], vocabulary: list[tuple[bytes, int]], k: int = NEIGHBOURS):
+        """rows: id, label and term counts of each example; totals: training rows of each label; vocabulary: terms
+        and the numbers of examples that hold them."""
         rows = sorted(rows, key=lambda r: r[0])
         self.k, self.ids = k, np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float64)
@@ -68,19 +72,8 @@ class Index:
         self.rate = float(total[1] / total.sum()) if total.sum() else 0.0
         self.weights = (total / have)[self.labels.astype(int)] if len(rows) else np.zeros(0)
         self.weights = self.weights / max(1e-12, self.weights.mean()) if len(rows) else self.weights
-        seen = [Counter(), Counter()]
-        for _, y, found in rows:
-            seen[y].update(found.keys())
-        n0, n1 = have
-        ranked = []
-        for t in seen[0].keys() | seen[1].keys():
-            a, b = seen[1][t], seen[0][t]
-            if a + b >= 5 and (g := _likelihood_ratio(a, n1, b, n0)) >= least:
-                ranked.append((-g, t))
-        self.vocabulary = {t: i for i, (_, t) in enumerate(sorted(ranked)[:vocabulary])}
-        frequency = np.zeros(len(self.vocabulary))
-        for t, i in self.vocabulary.items():
-            frequency[i] = seen[0][t] + seen[1][t]
+        self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
+        frequency = np.array([n for _, n in vocabulary], np.float64)
         self.idf = np.log((1 + len(rows)) / (1 + frequency)) + 1
         vectors = np.zeros((len(rows), len(self.vocabulary)), np.float32)
         for j, (_, _, found) in enumerate(rows):
@@ -184,8 +177,15 @@ def _count_terms():
     return count
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, examples: int = EXAMPLES, **options) -> Index:
-    """The index of a bounded sample of training rows: 2 * examples documents at most reach the driver."""
+def choose_vocabulary(seen: list[tuple[bytes, int, int]], n1: int, n0: int, size: int = VOCABULARY, least: float = LEAST) -> list[tuple[bytes, int]]:
+    """The terms (term, toxic examples, other examples) that tell the classes apart most, and their frequencies."""
+    ranked = [(-g, t, a + b) for t, a, b in seen if (g := _likelihood_ratio(a, n1, b, n0)) >= least]
+    return [(t, n) for _, t, n in sorted(ranked)[:size]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS) -> Index:
+    """The index of a bounded sample of training rows: of 2 * examples documents at most, the terms of the vocabulary
+    reach the driver. Terms are counted on the executors."""
     known = (
         labels.where(F.col(name(label)).isin(0, 1) & (bucket(F.col(name(doc_id)), folds) != 0))
         .groupBy(F.col(name(doc_id)).cast("long").alias("doc_id"))
@@ -203,12 +203,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
     )
-    counted = annotate(sample, "text", _count_terms, [structs("terms", T.StructField("term", T.BinaryType()), long("n"))], keep=["doc_id", "label"])
-    rows = [
-        (r["row"]["doc_id"], r["row"]["label"], Counter({bytes(t["term"]): t["n"] for t in r["terms"]}))
-        for r in counted.collect()
-    ]
-    return Index(rows, totals, **options)
+    counted = cut_lineage(annotate(sample, "text", _count_terms, [structs("terms", T.StructField("term", T.BinaryType()), long("n"))], keep=["doc_id", "label"]))
+    have = {r["label"]: r["count"] for r in counted.groupBy(F.col("row.label").alias("label")).count().collect()}
+    each = counted.select("row.label", F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n >= 5")
+    seen = [(bytes(r["term"]), r["a"], r["n"] - r["a"]) for r in each.collect()]
+    words = choose_vocabulary(seen, max(1, have.get(1, 0)), max(1, have.get(0, 0)), vocabulary)
+    made: dict[int, tuple[int, int, Counter]] = {
+        r["doc_id"]: (r["doc_id"], r["label"], Counter()) for r in counted.select("row.doc_id", "row.label").collect()
+    }
+    if words:
+        wanted = docs.sparkSession.createDataFrame([(bytearray(w),) for w, _ in words], "term binary")
+        held = counted.select("row.doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*").join(F.broadcast(wanted), "term")
+        for r in held.collect():
+            made[r["doc_id"]][2][bytes(r["term"])] = r["n"]
+    return Index(list(made.values()), totals, words, k)
 
 
 def _scorer(shared):
