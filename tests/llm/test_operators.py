@@ -1,0 +1,405 @@
+"""Operators on small awkward tables, against brute force."""
+
+import base64
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chronoweave.llm import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, suffix, toxicity
+
+LONG = " ".join(f"word{i % 977} of{i % 13}" for i in range(20_000))
+BASE = [
+    (1, "The quick brown fox jumps over the lazy dog again and again until it is very tired indeed."),
+    (2, None), (3, ""), (4, "   \n\t "), (5, "ÉCOLE Straße naïve é ß 日本語 テキスト"),
+    (1, "The quick brown fox jumps over the lazy dog again and again until it is very tired indeed."),
+    (None, "no id here but some words to look at"), (7, LONG), (8, LONG + " tail"),
+    (9, "token = \"abcdef0123456789abcdef0123456789\" mail me at a.b@example.com or +1 (667) 555-4827 now 21.178.43.154"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", "clash", 3.5) for i, t in BASE]
+    return spark.createDataFrame(rows, "doc_id long, text string, row string, n_words string, spans double").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def words_of(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+# decontamination
+
+
+def brute_hits(text, items, width=10):
+    w, hit, ids = words_of(text), set(), set()
+    for item, body in items:
+        b = words_of(body)
+        if item is None or not b:
+            continue
+        for win in {tuple(b[i : i + width]) for i in range(max(1, len(b) - width + 1))}:
+            for i in range(len(w) - len(win) + 1):
+                if tuple(w[i : i + len(win)]) == win:
+                    hit |= set(range(i, i + len(win)))
+                    ids.add(str(item))
+    return len(w), len(hit), sorted(ids)
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_benchmark_windows(spark, docs, block):
+    items = [
+        (1, "brown fox jumps over the lazy dog again and again until it"), (2, "very tired"), (2, "Straße naïve"), (10, "word5 of5 word6 of6 word7 of7 word8 of8 word9 of9 word10"),
+        (None, "quick brown"), (4, ""), (5, None), (6, "not there at all"), (7, "it is very tired indeed"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_benchmark(docs, bench, block_windows=block).select("row.text", "n_words", decontaminate.n_hit().alias("hit"), "items").collect()
+    assert len(found) == len(BASE)
+    for r in found:
+        assert (r["n_words"], r["hit"], r["items"]) == brute_hits(r["text"], items)
+
+
+def test_benchmark_empty_tables(spark, docs, nothing):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, bench).count() == len(BASE)
+    assert decontaminate.decontaminate(nothing, bench).columns == docs.columns
+
+
+def test_wu_manber_random():
+    rng = np.random.default_rng(3)
+    alphabet = [b"a", b"b", b"c", b"d"]
+    for _ in range(60):
+        pats = {tuple(rng.choice(4, rng.integers(1, 6))) for _ in range(rng.integers(1, 9))}
+        windows = [(b" ".join(alphabet[c] for c in p), [str(i)]) for i, p in enumerate(sorted(pats))]
+        texts = [b" ".join(alphabet[c] for c in rng.choice(4, rng.integers(0, 700))) for _ in range(3)]
+        size, spans, items = decontaminate.Searcher(windows)(texts)
+        for t, n, s, ids in zip(texts, size, spans, items, strict=True):
+            w, hit, seen = t.split(), set(), set()
+            for win, (i,) in windows:
+                p = win.split()
+                for k in range(len(w) - len(p) + 1):
+                    if w[k : k + len(p)] == p:
+                        hit |= set(range(k, k + len(p)))
+                        seen.add(i)
+            assert n == len(w) and sorted(seen) == ids and {k for x in s for k in range(x["start"], x["end"])} == hit
+
+
+# SimHash
+
+
+def test_fingerprints_and_components(spark, docs, nothing):
+    import xxhash
+
+    def brute(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+    for t in [x for _, x in BASE] + ["one", "one two", "a b c d"]:
+        assert simhash.fingerprint(None if t is None else t.encode()) == brute(t)
+    # the tests' hash is Spark's
+    assert spark.sql("select xxhash64('a b c')").first()[0] == np.array([xxhash.xxh64_intdigest(b"a b c", 42)], np.uint64).view(np.int64)[0]
+    rows = simhash.near_components(docs).collect()
+    by = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in rows}
+    assert len(rows) == len(BASE)
+    blank = {r["component_id"] for r in rows if r["fingerprint"] == 0}
+    assert blank == {2}
+    assert [v for (i, _), v in by.items() if i in (7, 8)] == [7, 7]
+    assert simhash.near_components(nothing).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 5, 7, 9]
+
+
+@pytest.mark.parametrize("tile", [4, 64, 4096])
+def test_links_are_complete(spark, tile):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False))) for b in base for _ in range(4)]
+    chain = [np.uint64((1 << k) - 1) for k in range(0, 40, 3)]
+    fps = np.unique(np.array([*base, *near, *chain], np.uint64))
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps.view(np.int64))], "doc_id long, fingerprint long")
+    got = dict(simhash._roots(df, 3, tile).collect())
+    adj = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = np.arange(len(fps))
+    while True:
+        new = np.array([label[adj[i]].min() for i in range(len(fps))])
+        if (new == label).all():
+            break
+        label = new
+    assert [got[int(x)] for x in fps.view(np.int64)] == label.tolist()
+
+
+# suffix sorting
+
+
+def brute_removed(texts, length):
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append((sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_column_sort_is_the_suffix_order():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        strings = [rng.integers(0, 3, rng.integers(0, 14)).astype(np.uint16) for _ in range(rng.integers(1, 7))]
+        who, place, prefix = suffix.column_sort(strings)
+        suffixes = sorted((tuple(int(x) + 1000 for x in s[p:]) + (i,), i, p) for i, s in enumerate(strings) for p in range(len(s) + 1))
+        assert [(i, p) for _, i, p in suffixes] == list(zip(who.tolist(), place.tolist(), strict=True))
+        for k in range(1, len(suffixes)):
+            a, b = suffixes[k - 1][0], suffixes[k][0]
+            assert prefix[k] == next(n for n in range(len(a) + 1) if n == min(len(a), len(b)) - 1 or a[n] != b[n])
+
+
+@pytest.mark.parametrize("largest", [20_000, 1])
+def test_suffix_dedup(spark, docs, nothing, largest):
+    rng = np.random.default_rng(2)
+    passage = "".join(rng.choice(list("abcdé "), 450))
+    extra = ["x" + passage + "y", "z" + passage[20:] + "w" * 500, passage[:230] + "!" + passage[231:], "ab" * 300, "q" * 199, "q" * 201]
+    rows = [(100 + i, t, "x", "c", 1.0) for i, t in enumerate(extra)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = suffix.remove_repeats(both, largest=largest).select("row.text", "removed", "kept_sha256", "kept").collect()
+    texts = [(r["text"] or "").encode() for r in got]
+    assert len(texts) == len(BASE) + len(extra)
+    for r, (n, digest) in zip(got, brute_removed(texts, 200), strict=True):
+        assert sum(x["end"] - x["start"] for x in r["removed"]) == n
+        assert r["kept_sha256"] == digest == hashlib.sha256(bytes(r["kept"])).hexdigest()
+    assert suffix.remove_repeats(nothing).count() == 0
+
+
+# line hashing
+
+
+def test_line_dedup(spark, docs, nothing):
+    line = "one two three four five six seven eight nine"
+    rows = [(3, f"{line}\nkeep\n{line.upper()}\nshort line"), (1, f"a\n{line}"), (2, f"  {line}  \nb"), (None, f"{line}\nx"), (1, f"a\n{line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("clash"))
+    got = sorted(((r["row"]["doc_id"] or 99, r["kept"]) for r in substring.remove_repeats(df).collect()))
+    assert got == [(1, f"a\n{line}"), (1, f"a\n{line}"), (2, "b"), (3, "keep\nshort line"), (99, "x")]
+    assert substring.remove_repeats(nothing).count() == 0
+    assert substring.remove_repeats(docs).count() == len(BASE)
+
+
+# tokens
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_joins(encoding):
+    import public_tokenizers as P
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(4)
+    texts = ["", " ", "\n\n  a", "x" * 3000, " " * 5000 + "y", "don't " * 900, "日本" * 400 + "1234567 " * 90, LONG[:9000]]
+    texts += ["".join(rng.choice(list("ab '\n\t1!é  s"), 700)) for _ in range(40)] + ["".join(rng.choice(list("aehlort"), 400)) for _ in range(20)]
+    for leaf in (7, 64, 8192):
+        t = bpe.Tokenizer(ranks, P.PATTERN, leaf)
+        for x in texts:
+            ids = np.frombuffer(t.encode(x), "<u4").tolist()
+            assert ids == encoding.encode_ordinary(x)
+            assert t.decode(t.encode(x)) == x.encode()
+
+
+def test_bpe_on_spark(docs, nothing, encoding):
+    rows = bpe.round_trip(docs).select("row.text", "ids", "decoded").collect()
+    assert len(rows) == len(BASE)
+    for r in rows:
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == encoding.encode_ordinary(r["text"] or "")
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    assert bpe.encode(nothing).count() == 0
+    back = bpe.decode(bpe.encode(docs)).select("row.row.text", "decoded").collect()
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
+
+
+# licences
+
+
+def test_licences(spark, docs, nothing):
+    texts = [
+        "This file is under the MIT License; see cc-by and the Apache License 2.0", "gnu General PUBLIC license license mit license mit license",
+        "released under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: BSD-3-Clause", "cc by nc sa", "nothing here", None, "MIT",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "labels long, text string")
+    got = {r["row"]["labels"]: r for r in license_scan.scan(df).collect()}
+    assert [p["word"] for p in got[1]["base_places"]] == [0, 5, 7] and got[1]["base_labels"] == ["gpl", "mit"]
+    assert got[0]["base_labels"] == ["apache", "cc-by", "mit"] and got[0]["score"] == 1.0
+    assert got[2]["labels"] == ["lgpl"] and got[2]["score"] == 0.95
+    assert got[4]["base_labels"] == ["cc-by"] and "cc-by-nc-sa" in got[4]["labels"]
+    assert got[5]["labels"] == [] and got[6]["n_words"] == 0 and got[7]["score"] == 0
+    for r in license_scan.scan(docs).select("row.text", "n_words").collect():
+        assert r["n_words"] == len(words_of(r["text"]))
+    assert license_scan.scan(nothing).count() == 0
+    assert len(license_scan.rules()) > 200
+
+
+# media
+
+
+def test_media(docs, nothing):
+    for n in (0, 1, 63, 64, 65, 1024, 1025, 64 * 31, 100_003):
+        data = bytes(i * 7 % 251 for i in range(n))
+        made = media.pack(media.pad(data))
+        about = media.describe(made)
+        assert media.read_back(made, about) == media.pad(data) and len(media.pad(data)) % 64 == 0
+        assert about["codec"] == "raw " and about["duration"] == len(media.pad(data)) // 64
+        a, b = about["keys"][-1].tolist()
+        assert made[a:b] == media.pad(data)[(len(about["keys"]) - 1) * 30 * 64 :][:64]
+    assert [p[-1] for p, _, _ in media.walk(made)][:3] == [b"ftyp", b"moov", b"mvhd"]
+    assert media.describe(b"")["keys"].shape == (0, 2) and media.describe(made[:300])["codec"] in ("raw ", "")
+    rows = media.store(docs).collect()
+    assert len(rows) == len(BASE) and all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > 0 for r in rows)
+    assert media.store(nothing).count() == 0
+
+
+# personal data and secrets
+
+
+def spans_by_regex(text, patterns, good):
+    kinds = list(patterns)
+    found = [(m.start(), kinds.index(k), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if good(k, m)]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def test_personal_data_base():
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(k, m):
+        digits = re.sub("[^0-9]", "", m[0])
+        return {"email": True, "ip": k != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits.encode()), "phone": 9 <= len(digits) <= 15}[k]
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("0123456789..@@ab- +()"), rng.integers(0, 60))) for _ in range(3000)]
+    texts += ["4111 1111-1111 1111", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "999.1.1.1", "é+1 (667) 555-4827", "00000000000001.1.1.1", "4" * 16, "x@y"]
+    for t in texts:
+        data = t.encode()
+        assert pii.characters(data, pii.base_spans(data)) == spans_by_regex(t, patterns, good), t
+
+
+def test_personal_data(spark, docs, nothing):
+    rows = [(i, f"call me on tel {200 + i % 700}-555-{1000 + i} today or +1 (667) 555-{4000 + i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal(df, pii.fit(df)).select("spans").collect()
+    assert all(any(s["base"] for s in r["spans"]) for r in found)
+    assert sum(len(r["spans"]) == 2 for r in found) > 150  # the numbers without a plus are learnt from their votes
+    got = pii.find_personal(docs, pii.fit(docs)).select("row.doc_id", "spans").collect()
+    assert len(got) == len(BASE)
+    assert [s["kind"] for s in next(r for r in got if r["doc_id"] == 9)["spans"] if s["base"]] == ["email", "phone", "ip"]
+    assert pii.find_personal(nothing, pii.fit(nothing)).count() == 0
+
+
+def test_secret_base():
+    patterns = {
+        "assign": r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
+    }
+    good = lambda k, m: len(m[2] if k == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[k]
+    rng = np.random.default_rng(7)
+    bits = ["token", "PASSWORD", "api_key", "apikey", "=", ": ", '"', " ", "abcdef", "0123456789abcdef01234567", "AKIA", "ABCDEFGH12345678", "é", "x"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits, rng.integers(0, 9)))
+        data = t.encode()
+        assert [s[:3] for s in secret.characters(data, secret.base_spans(data))] == spans_by_regex(t, patterns, good), t
+
+
+def test_secrets(spark, docs, nothing):
+    rng = np.random.default_rng(8)
+    key = lambda: "sk_" + "".join(rng.choice(list("0123456789ABCDEFGHJKLMNPQRSTUV"), 28))
+    rows = [(i, f"secret = {key()} end") for i in range(120)] + [(1000 + i, f"seen {key()} alone") for i in range(20)] + [(2000 + i, f"plain-text-of-chapter-{i}-and-more words") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret.find_secrets(df, secret.fit(df)).select("row.doc_id", "spans").collect()}
+    assert all(got[i] == ["assign"] for i in range(120))
+    assert sum(got[1000 + i] == ["format"] for i in range(20)) >= 15
+    assert sum(bool(got[2000 + i]) for i in range(80)) == 0
+    assert secret.find_secrets(nothing, secret.fit(nothing)).count() == 0
+    clean = secret.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(BASE)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[9].startswith("[secret]\" mail me")
+    assert clean.where("text is null").count() == 1
+
+
+def test_automaton():
+    a = secret.Automaton([s for k in range(1, 9) for s in ["ab" * k] * 2 ** (9 - k)])
+    assert a.log_likelihood("ababab") > a.log_likelihood("abbbab") + 3
+    assert len(a.next) <= 6  # the tree has 17 states
+
+
+# toxicity
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    rng = np.random.default_rng(9)
+    plain, bad = [f"plain{i}" for i in range(300)], [f"nasty{i}" for i in range(6)]
+    rows = []
+    for i in range(900):
+        words = list(rng.choice(plain, rng.integers(5, 40)))
+        toxic = int(i % 4 == 0)
+        if toxic:
+            words += list(rng.choice(bad, 2))
+        rows.append((i, " ".join(words), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return df.drop("toxic"), df.select("doc_id", "toxic")
+
+
+def test_toxicity_held_out(judged):
+    docs, labels = judged
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).select("row.doc_id", "score", "evidence").join(labels, "doc_id")
+    held = scored.where(toxicity.bucket(F.col("doc_id"), 5) == 0).collect()
+    assert len(held) > 100
+    assert sum((r["score"] >= 0.5) == r["toxic"] for r in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in held)
+    ids = {e["doc_id"] for r in held for e in r["evidence"]}
+    assert not ids & {r["doc_id"] for r in held}  # held-out documents are no evidence
+
+
+def test_block_max_is_exact(judged):
+    docs, labels = judged
+    index = toxicity.fit(docs, labels, examples=200)
+    dense = np.zeros((len(index.ids), len(index.vocabulary)), np.float32)
+    for block, postings in zip(index.blocks, index.postings, strict=True):
+        dense[block] = postings.T
+    for r in docs.limit(60).collect():
+        ids, values = index.vector(toxicity.terms(r["text"].encode()))
+        if not len(ids):
+            continue
+        scores = dense[:, ids] @ values
+        want = sorted(range(len(scores)), key=lambda j: (-round(float(scores[j]), 6), index.ids[j]))[: index.k]
+        want = [j for j in want if scores[j] > 0]
+        assert [j for _, j in index.nearest(ids, values)] == want
+
+
+def test_toxicity_awkward(spark, docs, nothing, judged):
+    labels = judged[1]
+    index = toxicity.fit(*judged)
+    assert toxicity.score(docs, index).count() == len(BASE)
+    assert toxicity.score(nothing, index).count() == 0
+    none = toxicity.fit(docs, labels.limit(0))
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
+    kept = toxicity.reject_toxic(*judged)
+    assert kept.columns == ["doc_id", "text"] and 600 < kept.count() < 760
