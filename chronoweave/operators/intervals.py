@@ -97,14 +97,14 @@ def minus(keep: DataFrame, cut: DataFrame, keys: Sequence[str], t0: str = "t0",
     """
     def edges(df: DataFrame, kept: int) -> DataFrame:
         merged = union(df, keys, t0, t1, touch)
-        up = merged.select(*keys, F.col("t0").alias("at"), F.lit(kept).alias("k"), F.lit(1 - kept).alias("c"))
-        return up.unionAll(merged.select(*keys, F.col("t1").alias("at"), F.lit(-kept).alias("k"), F.lit(kept - 1).alias("c")))
+        up = merged.select(*keys, F.col("t0").alias("at"), F.lit(kept).alias("_k"), F.lit(1 - kept).alias("_c"))
+        return up.unionAll(merged.select(*keys, F.col("t1").alias("at"), F.lit(-kept).alias("_k"), F.lit(kept - 1).alias("_c")))
 
-    points = edges(keep, 1).unionAll(edges(cut, 0)).groupBy(*keys, "at").agg(F.sum("k").alias("k"), F.sum("c").alias("c"))
+    points = edges(keep, 1).unionAll(edges(cut, 0)).groupBy(*keys, "at").agg(F.sum("_k").alias("_k"), F.sum("_c").alias("_c"))
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = points.select(*keys, F.col("at").alias("t0"), F.lead("at").over(w).alias("t1"), F.sum("k").over(run).alias("k"), F.sum("c").over(run).alias("c"))
-    return _merge(swept.where("k > 0 and c = 0 and t1 > t0").select(*keys, "t0", "t1"), keys, 0)
+    swept = points.select(*keys, F.col("at").alias("t0"), F.lead("at").over(w).alias("t1"), F.sum("_k").over(run).alias("_k"), F.sum("_c").over(run).alias("_c"))
+    return _merge(swept.where("_k > 0 and _c = 0 and t1 > t0").select(*keys, "t0", "t1"), keys, 0)
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: Sequence[str], width, t0: str = "t0", t1: str = "t1", least=0) -> DataFrame:

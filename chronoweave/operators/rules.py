@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .textops import base_clip, whole_word
 
 EDGE = 0.1
-NONE = F.lit(None)
 
 
 def picks_in_scope(rules: DataFrame, picks: DataFrame, beats: DataFrame) -> DataFrame:

@@ -19,9 +19,17 @@ def read(spark: SparkSession, folder: str, schema: str = SCHEMA, pattern: str |
     return reader.parquet(folder)
 
 
+def marked(df: DataFrame, at: str, late: str | None) -> DataFrame:
+    """df with a watermark, for which wall-clock times are taken in the session's zone; as it is without `late`."""
+    if not late:
+        return df
+    timed = df.withColumn(at, F.col(at).cast("timestamp")) if dict(df.dtypes)[at] == "timestamp_ntz" else df
+    return timed.withWatermark(at, late)
+
+
 def tumbling(df: DataFrame, at: str, size: str, late: str | None = None, keys: Sequence[str] = ("event_type",), slide: str | None = None) -> DataFrame:
     """Counts and sums of `value` in windows of a size (every `slide`); `late` is how late a row may come."""
-    rows = df.withWatermark(at, late) if late else df
+    rows = marked(df, at, late)
     window = F.window(at, size, slide) if slide else F.window(at, size)
     out = rows.groupBy(*keys, window.alias("_w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(*keys, F.col("_w.start").alias("t0"), F.col("_w.end").alias("t1"), "n", "total")
@@ -29,14 +37,14 @@ def tumbling(df: DataFrame, at: str, size: str, late: str | None = None, keys: S
 
 def sessions(df: DataFrame, at: str, gap: str, late: str | None = None, keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """Runs of events with less than `gap` between neighbours; a session ends a gap after its last event."""
-    rows = df.withWatermark(at, late) if late else df
+    rows = marked(df, at, late)
     out = rows.groupBy(*keys, F.session_window(at, gap).alias("_w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(*keys, F.col("_w.start").alias("t0"), F.col("_w.end").alias("t1"), "n", "total")
 
 
 def first_seen(df: DataFrame, at: str, keys: Sequence[str], late: str) -> DataFrame:
     """One row for each key within the watermark: work that was done is not done again."""
-    return df.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
+    return marked(df, at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
