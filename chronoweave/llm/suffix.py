@@ -43,7 +43,7 @@ LENGTH = 200
 GRAM, SYMBOL = 32, 8
 #: Bytes of units in a group, and different units of a family, beyond which windows are counted one by one.
 GROUP_BYTES = 400_000
-LARGEST = 1000
+LARGEST = 20_000
 #: Bytes of a file of the growing table that stay in memory.
 SPOOL = 8 << 20
 #: Texts are cut to pieces of so many starts, each with all bytes of its windows, so that places fit 23 bits.
