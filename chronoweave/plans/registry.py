@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import choices, records, timelines
+from chronoweave.plans import choices, ledger, records, timelines
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
-for part in (timelines, records, choices):
+for part in (timelines, records, choices, ledger):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
