@@ -3,7 +3,7 @@
 Examples are a bounded sample of the labelled training rows: `examples` of each class, those whose ids have the
 smallest hashes. Class rates come from all training rows and weigh the votes, so the sample's balance does not
 show in the scores. Terms are whole words and word beginnings of 4 and 6 bytes; the vocabulary is the terms
-whose document frequencies differ between the classes (log-likelihood ratio above `least`). Within it, cosines
+that are several times as frequent in toxic examples as in others (ODDS, and log-likelihood ratio above `least`). Within it, cosines
 of TF-IDF vectors are exact: the inverted index holds the examples in blocks and the largest weight of every
 term in every block; blocks are scored in the order of their bounds, until the bound of the next one is below
 the similarity of the k-th best example. Scores are calibrated by a logistic curve fitted to the examples' own
@@ -35,7 +35,9 @@ EXAMPLES = 1500
 VOCABULARY = 1024
 NEIGHBOURS = 15
 FOLDS = 5
-LEAST = 15.0
+LEAST = 25.0
+#: How many times as frequent a term of the vocabulary is in toxic examples as in others.
+ODDS = 4
 PREFIXES = (4, 6)
 BLOCK = 64
 #: Weight of the prior in a vote, and of the cosine's exponent.
@@ -178,8 +180,11 @@ def _count_terms():
 
 
 def choose_vocabulary(seen: list[tuple[bytes, int, int]], n1: int, n0: int, size: int = VOCABULARY, least: float = LEAST) -> list[tuple[bytes, int]]:
-    """The terms (term, toxic examples, other examples) that tell the classes apart most, and their frequencies."""
-    ranked = [(-g, t, a + b) for t, a, b in seen if (g := _likelihood_ratio(a, n1, b, n0)) >= least]
+    """Of terms (term, toxic examples, other examples), those that point to toxic ones most, and their frequencies."""
+    ranked = [
+        (-g, t, a + b) for t, a, b in seen
+        if a * n0 >= ODDS * (b + 0.5) * n1 and (g := _likelihood_ratio(a, n1, b, n0)) >= least
+    ]
     return [(t, n) for _, t, n in sorted(ranked)[:size]]
 
 
