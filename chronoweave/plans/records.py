@@ -65,11 +65,10 @@ def top5_mean_over_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.mean_over_views(e, ["user_id"], "event_id").withColumn("mean", F.round("mean", 6))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round_even(least(30, -24 + l_quantity, -1.5 - l_discount * 100), 1) AS gain, CASE WHEN l_quantity - 54 > 0.05 THEN round_even(least(6, l_quantity - 54), 1) ELSE 0.0 END AS leveler FROM lineitem WHERE l_linenumber = 1""".replace("-24 + l_quantity", "CAST(-24 + l_quantity AS DOUBLE)"))
+@query("""SELECT l_orderkey, l_linenumber, round_even(least(30, -24 + l_quantity, -1.5 - l_discount * 100), 1) AS gain, CASE WHEN l_quantity - 54 > 0.05 THEN round_even(least(6, l_quantity - 54), 1) ELSE 0.0 END AS leveler FROM lineitem""".replace("-24 + l_quantity", "CAST(-24 + l_quantity AS DOUBLE)"))
 def gain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = -F.col("l_quantity")
-    one = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return one.select("l_orderkey", "l_linenumber", verdicts.gain_for(loud, F.col("l_discount") * 100).alias("gain"), verdicts.leveler_for(loud).alias("leveler"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", verdicts.gain_for(loud, F.col("l_discount") * 100).alias("gain"), verdicts.leveler_for(loud).alias("leveler"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'unchecked' WHEN abs(o_totalprice - 250000) <= 50000 AND o_custkey % 10 <= 6.1 THEN 'honoured' ELSE 'broken' END AS verdict FROM orders""")
@@ -215,11 +214,11 @@ def enum_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.unknown_values(table(spark, sf_dir, "events"), "event_type", ["view", "click", "purchase"])
 
 
-@query("""SELECT p_partkey, p_name, coalesce(CASE WHEN q > 0 THEN p_retailprice + q END, p_retailprice) AS p_retailprice FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_partkey = p_partkey""")
+@query("""SELECT p_partkey, p_name, coalesce(CASE WHEN q > 700 THEN p_retailprice + q END, p_retailprice) AS p_retailprice FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
 def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    sums = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("q"))
-    new = sums.join(part, "p_partkey").select("p_partkey", F.when(F.col("q") > 0, F.col("p_retailprice") + F.col("q")).alias("p_retailprice"))
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("q"))
+    new = sums.join(part, "p_partkey").select("p_partkey", F.when(F.col("q") > 700, F.col("p_retailprice") + F.col("q")).alias("p_retailprice"))
     return reconcile.update_keyed(part, new, ["p_partkey"])
 
 
