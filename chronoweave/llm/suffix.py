@@ -320,7 +320,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, largest: int = LARGES
     found = annotate(texts, "text", partial(_units, length), [structs("units", *[long(c) for c in ("minimizer", "unit", "start", "end", "place")])], keep=["h1", "h2", "n"])
     occurrences = found.select("row.h1", "row.h2", "row.n", F.explode("units").alias("u")).select("h1", "h2", "n", "u.*")
     values = annotate(texts, "text", partial(_minimizers, length), [T.StructField("minimizers", T.ArrayType(T.LongType()))], keep=["n"])
-    families = (
+    # written, so that the join with all occurrences is between two plain shuffles, whose hot parts Spark can split
+    families = written(
         values.select("row.n", F.explode("minimizers").alias("minimizer"))
         .groupBy("minimizer").agg(F.sum("n").alias("total")).where("total > 1").select("minimizer")
     )
