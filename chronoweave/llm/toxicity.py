@@ -40,6 +40,8 @@ LEAST = 25.0
 ODDS = 4
 PREFIXES = (4, 6)
 BLOCK = 64
+#: Vectors whose vote a task remembers.
+MEMO = 4000
 #: Weight of the prior in a vote, and of the cosine's exponent.
 PRIOR = 0.2
 
@@ -135,7 +137,7 @@ class Index:
         ids, values = self.vector(terms(text))
         key = (ids.tobytes(), values.tobytes())
         if key not in self.memo:
-            if len(self.memo) > 50_000:
+            if len(self.memo) >= MEMO:
                 self.memo.clear()
             raw, near = self._vote(ids, values) if len(ids) else (self.blank, [])
             a, b = self.curve
