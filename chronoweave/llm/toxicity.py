@@ -3,10 +3,11 @@
 Examples are a bounded sample of the labelled training rows: `examples` of each class, those whose ids have the
 smallest hashes. Class rates come from all training rows and weigh the votes, so the sample's balance does not
 show in the scores. Terms are whole words and word beginnings of 4 and 6 bytes; the vocabulary is the terms
-that are several times as frequent in toxic examples as in others (ODDS, and log-likelihood ratio above `least`). Within it, cosines
-of TF-IDF vectors are exact: the inverted index holds the examples in blocks and the largest weight of every
-term in every block; blocks are scored in the order of their bounds, until the bound of the next one is below
-the similarity of the k-th best example. Scores are calibrated by a logistic curve fitted to the examples' own
+that tell the classes apart (log-likelihood ratio above `least`), the strongest of those that point to toxic examples
+and as many of those that point to others, and the COVER strongest terms of every example that has none of them, so
+that no example with words is left out. Within it, cosines of TF-IDF vectors are exact: the inverted index holds the
+examples in blocks and the largest weight of every term in every block; the blocks of the highest bounds are scored
+first, then those whose bounds reach the similarity of the k-th best example; the others are skipped. Scores are calibrated by a logistic curve fitted to the examples' own
 scores with each example left out.
 
 Training rows are those whose crc32 of the id, as text, is not 0 modulo `folds`; the others are held out. Labels,
@@ -36,10 +37,14 @@ VOCABULARY = 1024
 NEIGHBOURS = 15
 FOLDS = 5
 LEAST = 25.0
-#: How many times as frequent a term of the vocabulary is in toxic examples as in others.
-ODDS = 4
+#: Terms that an example without any other term of the vocabulary adds to it.
+COVER = 8
 PREFIXES = (4, 6)
 BLOCK = 64
+#: Blocks that are scored before bounds are compared.
+FIRST = 4
+#: Cosines nearer to each other than this may be equal after rounding.
+MARGIN = 2e-6
 #: Vectors whose vote a task remembers.
 MEMO = 4000
 #: Weight of the prior in a vote, and of the cosine's exponent.
@@ -88,7 +93,11 @@ class Index:
         order = some[np.lexsort((self.ids[some], vectors[some].argmax(axis=1) if len(some) else some))]
         self.order = order
         self.blocks = [order[i : i + BLOCK] for i in range(0, len(order), BLOCK)]
-        self.postings = [np.ascontiguousarray(vectors[b].T) for b in self.blocks]
+        self.places = np.full((len(self.blocks), BLOCK), -1, np.int64)
+        self.weight = np.zeros((len(self.blocks), len(self.vocabulary), BLOCK), np.float32)
+        for i, b in enumerate(self.blocks):
+            self.places[i, : len(b)], self.weight[i, :, : len(b)] = b, vectors[b].T
+        self.postings = [w[:, : len(b)] for w, b in zip(self.weight, self.blocks, strict=True)]
         self.bounds = np.stack([p.max(axis=1) for p in self.postings], axis=1) if self.blocks else np.zeros((len(self.vocabulary), 0), np.float32)
         self.curve = (0.0, 1.0)
         empty = np.setdiff1d(np.arange(len(rows)), some)
@@ -112,15 +121,27 @@ class Index:
     def nearest(self, ids: np.ndarray, values: np.ndarray, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosines above 0: (cosine, example), ties by id."""
         bound = values @ self.bounds[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1][0] - 1e-6:
-                break
-            scores = values @ self.postings[b][ids]
-            near = np.flatnonzero(scores > (best[-1][0] - 1e-6 if len(best) == self.k else 0))
-            best += [(float(scores[i]), int(self.blocks[b][i])) for i in near if self.blocks[b][i] != but]
-            best = sorted(best, key=lambda x: (-round(x[0], 6), self.ids[x[1]]))[: self.k]
-        return best
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        places, scores = self._scores(order[:FIRST], ids, values, but)
+        rest = order[FIRST:]
+        if len(scores) >= self.k:
+            rest = rest[bound[rest] >= np.partition(scores, -self.k)[-self.k] - MARGIN]
+        if len(rest):
+            more = self._scores(rest, ids, values, but)
+            places, scores = np.concatenate([places, more[0]]), np.concatenate([scores, more[1]])
+        if len(scores) > self.k:
+            near = scores >= np.partition(scores, -self.k)[-self.k] - MARGIN
+            places, scores = places[near], scores[near]
+        best = zip(scores.tolist(), places.tolist(), strict=True)
+        return sorted(best, key=lambda x: (-round(x[0], 6), self.ids[x[1]]))[: self.k]
+
+    def _scores(self, blocks: np.ndarray, ids: np.ndarray, values: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks and their cosines, where above 0."""
+        scores = np.matmul(values, self.weight[blocks[:, None], ids[None, :]]).ravel()
+        places = self.places[blocks].ravel()
+        some = (scores > 0) & (places != but)
+        return places[some], scores[some]
 
     def _vote(self, ids: np.ndarray, values: np.ndarray, but: int = -1) -> tuple[float, list]:
         near = self.nearest(ids, values, but)
@@ -182,12 +203,20 @@ def _count_terms():
 
 
 def choose_vocabulary(seen: list[tuple[bytes, int, int]], n1: int, n0: int, size: int = VOCABULARY, least: float = LEAST) -> list[tuple[bytes, int]]:
-    """Of terms (term, toxic examples, other examples), those that point to toxic ones most, and their frequencies."""
-    ranked = [
-        (-g, t, a + b) for t, a, b in seen
-        if a * n0 >= ODDS * (b + 0.5) * n1 and (g := _likelihood_ratio(a, n1, b, n0)) >= least
-    ]
-    return [(t, n) for _, t, n in sorted(ranked)[:size]]
+    """Of terms (term, toxic examples, other examples), the `size` that point to toxic ones most and the `size` that
+    point to others most, and their frequencies."""
+    sides: tuple[list, list] = ([], [])
+    for t, a, b in seen:
+        if (g := _likelihood_ratio(a, n1, b, n0)) >= least:
+            sides[a * n0 > b * n1].append((-g, t, a + b))
+    return [(t, n) for side in sides for _, t, n in sorted(side)[:size]]
+
+
+def cover(bare: list[list[bytes]], seen: dict[bytes, tuple[int, int]], n1: int, n0: int) -> list[tuple[bytes, int]]:
+    """The COVER terms of each of the bare examples that tell the classes apart most, and their frequencies."""
+    strength = {t: _likelihood_ratio(seen[t][0], n1, seen[t][1], n0) for found in bare for t in found}
+    chosen = {t for found in bare for t in sorted(found, key=lambda t: (-strength[t], t))[:COVER]}
+    return [(t, sum(seen[t])) for t in sorted(chosen)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS) -> Index:
@@ -212,20 +241,35 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     counted = cut_lineage(annotate(sample, "text", _count_terms, [structs("terms", T.StructField("term", T.BinaryType()), long("n"))], keep=["doc_id", "label"]))
     have = {r["label"]: r["count"] for r in counted.groupBy(F.col("row.label").alias("label")).count().collect()}
-    each = counted.select("row.label", F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n >= 5")
-    seen = [(bytes(r["term"]), r["a"], r["n"] - r["a"]) for r in each.collect()]
-    words = choose_vocabulary(seen, max(1, have.get(1, 0)), max(1, have.get(0, 0)), vocabulary)
+    each = counted.select("row.label", F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
+    seen = {t: (a, n - a) for t, a, n in zip(*each.toArrow().to_pydict().values(), strict=True)}
+    n1, n0 = max(1, have.get(1, 0)), max(1, have.get(0, 0))
+    words = choose_vocabulary([(t, a, b) for t, (a, b) in seen.items()], n1, n0, vocabulary)
     made: dict[int, tuple[int, int, Counter]] = {
         r["doc_id"]: (r["doc_id"], r["label"], Counter()) for r in counted.select("row.doc_id", "row.label").collect()
     }
-    if words:
-        wanted = docs.sparkSession.createDataFrame([(bytearray(w),) for w, _ in words], "term binary")
-        held = counted.select("row.doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*").join(F.broadcast(wanted), "term")
-        for r in held.collect():
-            made[r["doc_id"]][2][bytes(r["term"])] = r["n"]
+    _hold(counted, [t for t, _ in words], made)
+    # the examples that hold none of these terms; few, as the terms point both ways
+    bare = [i for i, (_, _, held) in made.items() if not held]
+    if bare:
+        those = docs.sparkSession.createDataFrame([(i,) for i in bare], "doc_id long")
+        found = counted.select("row.doc_id", F.col("terms.term").alias("found")).join(F.broadcast(those), "doc_id")
+        more = cover([[bytes(t) for t in r["found"]] for r in found.collect()], seen, n1, n0)
+        _hold(counted, [t for t, _ in more], made)
+        words += more
     return Index(list(made.values()), totals, words, k)
 
 
+def _hold(counted: DataFrame, words: list[bytes], made: dict[int, tuple[int, int, Counter]]) -> None:
+    """Add the counts of these words to the examples that hold them."""
+    if not words:
+        return
+    wanted = counted.sparkSession.createDataFrame([(bytearray(w),) for w in words], "term binary")
+    held = counted.select("row.doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*").join(F.broadcast(wanted), "term")
+    for i, t, n in zip(*held.select("doc_id", "term", "n").toArrow().to_pydict().values(), strict=True):
+        made[i][2][t] = n
+
+
 def _scorer(shared):
     index = shared.value
 

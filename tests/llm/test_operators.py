@@ -403,3 +403,14 @@ def test_toxicity_awkward(spark, docs, nothing, judged):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     kept = toxicity.reject_toxic(*judged)
     assert kept.columns == ["doc_id", "text"] and 600 < kept.count() < 760
+
+
+def test_toxicity_leaves_no_example_empty(judged, spark):
+    docs, labels = judged
+    odd = spark.createDataFrame([(9000 + i, f"lone{i}") for i in range(9)], docs.schema)
+    calm = spark.createDataFrame([(9000 + i, 0) for i in range(9)], "doc_id long, toxic int")
+    index = toxicity.fit(docs.unionByName(odd), labels.unionByName(calm))
+    assert sorted(index.order) == list(range(len(index.ids))) and (index.ids >= 9000).any()
+    assert {0, 1} == {int(index.labels[j]) for j in index.order}
+    empty = toxicity.score(docs, index).where("size(evidence) = 0").count()
+    assert empty == 0  # clean texts have neighbours as well
