@@ -5,7 +5,8 @@ smallest hashes. Class rates come from all training rows and weigh the votes, so
 show in the scores. Terms are whole words and word beginnings of 4 and 6 bytes; the vocabulary is the terms
 that tell the classes apart (log-likelihood ratio above `least`), the strongest of those that point to toxic examples
 and as many of those that point to others, and the COVER strongest terms of every example that has none of them, so
-that no example with words is left out. Within it, cosines of TF-IDF vectors are exact: the inverted index holds the
+that no example with words is left out. The ratios come from all training rows and the inverse document frequencies from
+all documents; only the examples are a sample. Within it, cosines of TF-IDF vectors are exact: the inverted index holds the
 examples in blocks and the largest weight of every term in every block; the blocks of the highest bounds are scored
 first, then those whose bounds reach the similarity of the k-th best example; the others are skipped. Scores are calibrated by a logistic curve fitted to the examples' own
 scores with each example left out.
@@ -70,9 +71,9 @@ def bucket(doc_id: F.Column, folds: int) -> F.Column:
 class Index:
     """Block-max inverted index over TF-IDF vectors of labelled examples, and the calibrated vote."""
 
-    def __init__(self, rows: list[tuple[int, int, Counter]], totals: dict[int, int], vocabulary: list[tuple[bytes, int]], k: int = NEIGHBOURS):
+    def __init__(self, rows: list[tuple[int, int, Counter]], totals: dict[int, int], vocabulary: list[tuple[bytes, int]], documents: int, k: int = NEIGHBOURS):
         """rows: id, label and term counts of each example; totals: training rows of each label; vocabulary: terms
-        and the numbers of examples that hold them."""
+        and the numbers of documents that hold them, of `documents` in all."""
         rows = sorted(rows, key=lambda r: r[0])
         self.k, self.ids = k, np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float64)
@@ -83,7 +84,7 @@ class Index:
         self.weights = self.weights / max(1e-12, self.weights.mean()) if len(rows) else self.weights
         self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
         frequency = np.array([n for _, n in vocabulary], np.float64)
-        self.idf = np.log((1 + len(rows)) / (1 + frequency)) + 1
+        self.idf = np.log((1 + documents) / (1 + frequency)) + 1
         vectors = np.zeros((len(rows), len(self.vocabulary)), np.float32)
         for j, (_, _, found) in enumerate(rows):
             ids, values = self.vector(found)
@@ -202,26 +203,66 @@ def _count_terms():
     return count
 
 
-def choose_vocabulary(seen: list[tuple[bytes, int, int]], n1: int, n0: int, size: int = VOCABULARY, least: float = LEAST) -> list[tuple[bytes, int]]:
-    """Of terms (term, toxic examples, other examples), the `size` that point to toxic ones most and the `size` that
-    point to others most, and their frequencies."""
+def choose_vocabulary(seen: dict[bytes, tuple[int, int]], n1: int, n0: int, size: int = VOCABULARY, least: float = LEAST) -> list[bytes]:
+    """Of terms and the numbers of toxic and other training rows that hold them, the `size` that point to toxic ones
+    most and the `size` that point to others most."""
     sides: tuple[list, list] = ([], [])
-    for t, a, b in seen:
+    for t, (a, b) in seen.items():
         if (g := _likelihood_ratio(a, n1, b, n0)) >= least:
-            sides[a * n0 > b * n1].append((-g, t, a + b))
-    return [(t, n) for side in sides for _, t, n in sorted(side)[:size]]
+            sides[a * n0 > b * n1].append((-g, t))
+    return [t for side in sides for _, t in sorted(side)[:size]]
 
 
-def cover(bare: list[list[bytes]], seen: dict[bytes, tuple[int, int]], n1: int, n0: int) -> list[tuple[bytes, int]]:
-    """The COVER terms of each of the bare examples that tell the classes apart most, and their frequencies."""
+def cover(bare: list[list[bytes]], seen: dict[bytes, tuple[int, int]], n1: int, n0: int) -> list[bytes]:
+    """The COVER terms of each of the bare examples that tell the classes apart most."""
     strength = {t: _likelihood_ratio(seen[t][0], n1, seen[t][1], n0) for found in bare for t in found}
-    chosen = {t for found in bare for t in sorted(found, key=lambda t: (-strength[t], t))[:COVER]}
-    return [(t, sum(seen[t])) for t in sorted(chosen)]
+    return sorted({t for found in bare for t in sorted(found, key=lambda t: (-strength[t], t))[:COVER]})
+
+
+def _counter(shared):
+    """Documents, toxic and other training rows that hold each of the shared terms; a task's rows are summed here."""
+    place = {t: i for i, t in enumerate(shared.value.split(b" "))} if shared.value else {}
+
+    def count(batches):
+        import pyarrow as pa
+
+        sums = np.zeros((3, len(place) + 1), np.int64)
+        for batch in batches:
+            for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = [i for t in terms(text) if (i := place.get(t)) is not None]
+                held.append(len(place))  # the document itself
+                sums[label, held] += 1
+        some = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *sums[:, some])], names=["place", "other", "toxic", "docs"])
+
+    return count
+
+
+def frequencies(docs: DataFrame, known: DataFrame, words: list[bytes]) -> tuple[dict[bytes, tuple[int, int]], dict[bytes, int], int, int, int]:
+    """Of each word the toxic and other rows of docs that hold it, by their label in known (doc_id, label), and all
+    rows that do; then the numbers of toxic, other and all rows. Each task sends one row for each word at most."""
+    # words hold no spaces
+    shared = docs.sparkSession.sparkContext.broadcast(b" ".join(words))
+    trained = docs.join(known, "doc_id").select("text", "label")
+    each = docs.select("text", F.lit(2).alias("label")).unionAll(trained)
+
+    def run(batches):
+        return _counter(shared)(batches)
+
+    counted = each.mapInArrow(run, "place long, other long, toxic long, docs long").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("other", "toxic", "docs")])
+    found = counted.toArrow().to_pydict()
+    seen, all_rows, n = {}, {}, (0, 0, 0)
+    for i, b, a, d in zip(found["place"], found["other"], found["toxic"], found["docs"], strict=True):
+        if i == len(words):
+            n = (a, b, d)
+        else:
+            seen[words[i]], all_rows[words[i]] = (a, b), d
+    return seen, all_rows, *n
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS) -> Index:
     """The index of a bounded sample of training rows: of 2 * examples documents at most, the terms of the vocabulary
-    reach the driver. Terms are counted on the executors."""
+    reach the driver. Terms are counted on the executors, over all documents and all training rows."""
     known = (
         labels.where(F.col(name(label)).isin(0, 1) & (bucket(F.col(name(doc_id)), folds) != 0))
         .groupBy(F.col(name(doc_id)).cast("long").alias("doc_id"))
@@ -232,32 +273,28 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for c in (0, 1):
         part = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = part if chosen is None else chosen.union(part)
+    plain = docs.select(F.col(name(doc_id)).cast("long").alias("doc_id"), F.col(name(text)).cast("string").alias("text"))
     # the sample is bounded by its parameter, so it can be broadcast
-    sample = (
-        docs.select(F.col(name(doc_id)).cast("long").alias("doc_id"), F.col(name(text)).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .groupBy("doc_id", "label")
-        .agg(F.min("text").alias("text"))
-    )
+    sample = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     counted = cut_lineage(annotate(sample, "text", _count_terms, [structs("terms", T.StructField("term", T.BinaryType()), long("n"))], keep=["doc_id", "label"]))
-    have = {r["label"]: r["count"] for r in counted.groupBy(F.col("row.label").alias("label")).count().collect()}
-    each = counted.select("row.label", F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    seen = {t: (a, n - a) for t, a, n in zip(*each.toArrow().to_pydict().values(), strict=True)}
-    n1, n0 = max(1, have.get(1, 0)), max(1, have.get(0, 0))
-    words = choose_vocabulary([(t, a, b) for t, (a, b) in seen.items()], n1, n0, vocabulary)
+    # no other term can be part of a cosine with an example
+    held = counted.select(F.explode("terms.term").alias("term")).distinct().toArrow().column(0).to_pylist()
+    seen, everywhere, n1, n0, n = frequencies(plain, known, sorted(held)) if held else ({}, {}, 0, 0, 0)
+    n1, n0 = max(1, n1), max(1, n0)
+    words = choose_vocabulary(seen, n1, n0, vocabulary)
     made: dict[int, tuple[int, int, Counter]] = {
         r["doc_id"]: (r["doc_id"], r["label"], Counter()) for r in counted.select("row.doc_id", "row.label").collect()
     }
-    _hold(counted, [t for t, _ in words], made)
+    _hold(counted, words, made)
     # the examples that hold none of these terms; few, as the terms point both ways
     bare = [i for i, (_, _, held) in made.items() if not held]
     if bare:
         those = docs.sparkSession.createDataFrame([(i,) for i in bare], "doc_id long")
         found = counted.select("row.doc_id", F.col("terms.term").alias("found")).join(F.broadcast(those), "doc_id")
         more = cover([[bytes(t) for t in r["found"]] for r in found.collect()], seen, n1, n0)
-        _hold(counted, [t for t, _ in more], made)
+        _hold(counted, more, made)
         words += more
-    return Index(list(made.values()), totals, words, k)
+    return Index(list(made.values()), totals, [(t, everywhere[t]) for t in words], n, k)
 
 
 def _hold(counted: DataFrame, words: list[bytes], made: dict[int, tuple[int, int, Counter]]) -> None:

@@ -414,3 +414,20 @@ def test_toxicity_leaves_no_example_empty(judged, spark):
     assert {0, 1} == {int(index.labels[j]) for j in index.order}
     empty = toxicity.score(docs, index).where("size(evidence) = 0").count()
     assert empty == 0  # clean texts have neighbours as well
+
+
+def test_toxicity_counts_all_rows(judged):
+    docs, labels = judged
+    train = docs.join(labels, "doc_id").where(toxicity.bucket(F.col("doc_id"), 5) != 0).collect()
+    held = {r["doc_id"]: set(toxicity.terms(r["text"].encode())) for r in docs.collect()}
+    some = [b"nast*", b"nasty3", b"plain7", b"absent"]
+    known = labels.where(toxicity.bucket(F.col("doc_id"), 5) != 0).withColumnRenamed("toxic", "label")
+    seen, everywhere, n1, n0, n = toxicity.frequencies(docs, known, some)
+    assert (n1, n0, n) == (sum(r["toxic"] for r in train), sum(not r["toxic"] for r in train), len(held))
+    for t in some[:3]:
+        assert seen[t] == tuple(sum(t in held[r["doc_id"]] for r in train if r["toxic"] == c) for c in (1, 0))
+        assert everywhere[t] == sum(t in x for x in held.values())
+    # with few stored examples the frequencies are still those of all documents
+    index = toxicity.fit(docs, labels, examples=20)
+    at = index.vocabulary[b"nast*"]
+    assert index.idf[at] == pytest.approx(np.log((1 + n) / (1 + everywhere[b"nast*"])) + 1)
