@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.session import cut_lineage
+
 UP_TO = (Window.unboundedPreceding, 0)
 
 
@@ -121,11 +123,41 @@ def levels(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def upper_median(value: str) -> Column:
-    """The element n div 2 of the sorted values, counted from 0: the larger middle one of an even number."""
+    """The element n div 2 of the sorted values, counted from 0: the larger middle one of an even number. For groups
+    that fit an array; `upper_medians` takes any."""
     ranked = F.sort_array(F.collect_list(value))
     return F.get(ranked, F.floor(F.size(ranked) / 2).cast("int"))
 
 
+def upper_medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", buckets: int = 64) -> DataFrame:
+    """keys and the upper median of each group, null where it has no value. No group is held as a whole.
+
+    Equal values are counted and the counts written. Approximate percentiles cut a group's values into buckets,
+    whose running counts tell the one that holds the median; only its values are sorted.
+    """
+    each = cut_lineage(df.groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_n")))
+    cuts = each.groupBy(*keys).agg(
+        F.percentile_approx("_x", [i / buckets for i in range(1, buckets)]).alias("_cuts"),
+        F.floor(F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_n"))), F.lit(0)) / 2).alias("_at"),
+    )
+    placed = match(each.where("_x is not null"), cuts, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_here"), F.first("_at").alias("_at"))
+    before = F.sum("_here").over(_ordered(keys, ["_bucket"]).rowsBetween(*UP_TO)) - F.col("_here")
+    hit = sums.withColumn("_left", F.col("_at") - before).where("_left >= 0 and _left < _here").select(*keys, "_bucket", "_left")
+    inside = match(placed, hit, [*keys, "_bucket"]).withColumn("_up", F.sum("_n").over(_ordered(keys, ["_x"]).rowsBetween(*UP_TO)))
+    found = inside.where("_up > _left and _up - _n <= _left").select(*keys, F.col("_x").alias(out))
+    return match(cuts.select(*keys), found, keys, "left")
+
+
+def match(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Columns of a and the others of b, joined where all keys agree; null agrees with null."""
+    right = b.select(*[F.col(c).alias(f"_right_{c}" if c in keys else c) for c in b.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return a.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def median_of_enough(value: str, least: int) -> Column:
     """Median of values that are numbers, or null where fewer than `least` are."""
     number = F.nullif(F.col(value), F.lit(float("nan")))

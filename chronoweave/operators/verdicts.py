@@ -226,9 +226,9 @@ def coverage(df: DataFrame, keys: Sequence[str], status: str = "status", seconds
 
 def loudness_summary(df: DataFrame, context: str, loudness: str, peak: str, left: str, right: str, target: float = -24.0) -> DataFrame:
     """Upper median of each recording context, and how many rows are quiet (3 under it), hot or on one channel."""
-    from .series import upper_median
+    from .series import upper_medians
 
-    middle = df.groupBy(context).agg(upper_median(loudness).alias("median"))
+    middle = upper_medians(df, [context], loudness)
     each = df.join(middle, context)
     return each.groupBy(context).agg(
         F.first("median").alias("median"), F.count_if(F.col(loudness) < F.col("median") - 3).alias("quiet"),

@@ -90,12 +90,14 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, list_sort(list(value) OVER (PARTITION BY event_type))[count(*) OVER (PARTITION BY event_type) // 2 + 1] AS m FROM events) GROUP BY 1, 2 LIMIT 0""".replace(" LIMIT 0", ""))
 def loudness_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    middle = e.groupBy("event_type").agg(series.upper_median("value").alias("m"))
+    middle = series.upper_medians(e, ["event_type"], "value", "m")
     v = F.col("value")
-    return e.join(middle, "event_type").groupBy("user_id", "event_type").agg(
-        F.round(series.upper_median("value"), 6).alias("median"), F.count_if(v < F.col("m") - 3).alias("quiet"), F.count_if(v / 100 - 2 > -1).alias("hot"),
+    counts = e.join(middle, "event_type").groupBy("user_id", "event_type").agg(
+        F.count_if(v < F.col("m") - 3).alias("quiet"), F.count_if(v / 100 - 2 > -1).alias("hot"),
         F.count_if(verdicts.channels(v, F.lit(50.0)) == "one channel").alias("one_channel"),
     )
+    each = series.match(counts, series.upper_medians(e, ["user_id", "event_type"], "value"), ["user_id", "event_type"])
+    return each.select("user_id", "event_type", F.round("median", 6).alias("median"), "quiet", "hot", "one_channel")
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber AS n, l_quantity > 25 AS big, lag(l_quantity > 25) OVER w AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),

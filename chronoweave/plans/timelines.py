@@ -362,7 +362,7 @@ def noise_floor_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, o_orderstatus, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS median FROM orders GROUP BY 1, 2")
 def upper_median_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(series.upper_median("o_totalprice").alias("median"))
+    return series.upper_medians(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice")
 
 
 @query(f"""WITH {SQL_EVENTS}, f AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS BIGINT) AS i, value > 100 AS loud FROM e),

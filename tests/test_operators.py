@@ -1,6 +1,7 @@
 """Operators on small cases whose answers are worked out by hand or by a plain loop."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -413,3 +414,23 @@ def test_legacy_layout(spark):
     beats = spark.createDataFrame([(1, 5.5), (2, 4.0)], "beat int, room double")
     got = [(x["beat"], x["type"], x["clip"], x["t0"], x["t1"]) for x in cuts.legacy_layout(r, beats, ["beat"]).orderBy("beat", "t0").collect()]
     assert got == [(1, "video", "a", 0.0, 3.0), (1, "bare", None, 3.0, 5.0), (1, "bare", None, 5.0, 5.5), (2, "bare", None, 0.0, 4.0)]
+
+
+def test_upper_medians_hold_no_group(spark):
+    r = random.Random(4)
+    groups = {("a", 1): [r.choice([1.0, 2.0, 2.5, 9.0]) for _ in range(500)], ("b", None): [r.gauss(0, 1) ** 3 for _ in range(777)], (None, 2): [4.0, None, 3.0], ("n", 3): [1.0, math.nan, math.nan], ("e", 4): [None]}
+    df = spark.createDataFrame([(*k, x) for k, v in groups.items() for x in v], "k string, j int, x double")
+    found = {(q["k"], q["j"]): q["median"] for q in series.upper_medians(df, ["k", "j"], "x", buckets=8).collect()}
+    assert found.keys() == groups.keys() and found["e", 4] is None and math.isnan(found["n", 3])
+    for k in [("a", 1), ("b", None), (None, 2)]:
+        have = sorted(x for x in groups[k] if x is not None)
+        assert found[k] == have[len(have) // 2]
+
+
+@pytest.mark.parametrize("name", ["upper_median_by_context", "loudness_by_user"])
+def test_median_queries_collect_no_group(spark, name):
+    from chronoweave.plans import registry
+    from tests.conftest import SMALL
+
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
