@@ -431,3 +431,9 @@ def test_toxicity_counts_all_rows(judged):
     index = toxicity.fit(docs, labels, examples=20)
     at = index.vocabulary[b"nast*"]
     assert index.idf[at] == pytest.approx(np.log((1 + n) / (1 + everywhere[b"nast*"])) + 1)
+
+
+def test_paragraph_dedup_without_floor(spark):
+    df = spark.createDataFrame([(1, "menu\n\none\ntwo\n\n日本語\n\nend"), (2, "MENU\n\none  two\n\n\n\n日本語\n\nnew"), (3, "x\n\nend")], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["kept"] for r in substring.remove_repeats(df, least_words=1, separator="\n\n").collect()}
+    assert got == {1: "menu\n\none\ntwo\n\n日本語\n\nend", 2: "\n\nnew", 3: "x\n\n"}
