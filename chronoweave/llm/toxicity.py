@@ -25,13 +25,14 @@ from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.session import cut_lineage
 
-from .rows import annotate, double, long, name, plain_words, structs
+from .rows import annotate, double, long, name, plain_words, string, structs
 
 EXAMPLES = 1500
 VOCABULARY = 1024
@@ -71,11 +72,11 @@ def bucket(doc_id: F.Column, folds: int) -> F.Column:
 class Index:
     """Block-max inverted index over TF-IDF vectors of labelled examples, and the calibrated vote."""
 
-    def __init__(self, rows: list[tuple[int, int, Counter]], totals: dict[int, int], vocabulary: list[tuple[bytes, int]], documents: int, k: int = NEIGHBOURS):
+    def __init__(self, rows: list[tuple[str, int, Counter]], totals: dict[int, int], vocabulary: list[tuple[bytes, int]], documents: int, k: int = NEIGHBOURS):
         """rows: id, label and term counts of each example; totals: training rows of each label; vocabulary: terms
         and the numbers of documents that hold them, of `documents` in all."""
         rows = sorted(rows, key=lambda r: r[0])
-        self.k, self.ids = k, np.array([r[0] for r in rows], np.int64)
+        self.k, self.ids = k, np.array([r[0] for r in rows], object)
         self.labels = np.array([r[1] for r in rows], np.float64)
         have = np.array([max(1, (self.labels == c).sum()) for c in (0, 1)])
         total = np.array([totals.get(0, 0), totals.get(1, 0)], np.float64)
@@ -85,33 +86,43 @@ class Index:
         self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
         frequency = np.array([n for _, n in vocabulary], np.float64)
         self.idf = np.log((1 + documents) / (1 + frequency)) + 1
-        vectors = np.zeros((len(rows), len(self.vocabulary)), np.float32)
-        for j, (_, _, found) in enumerate(rows):
-            ids, values = self.vector(found)
-            vectors[j, ids] = values
-        some = np.flatnonzero(vectors.any(axis=1))
+        vectors = [self.vector(found) for _, _, found in rows]
+        some = np.array([j for j, (ids, _) in enumerate(vectors) if len(ids)], np.int64)
         # examples that share their heaviest term stand together, so that bounds are tight
-        order = some[np.lexsort((self.ids[some], vectors[some].argmax(axis=1) if len(some) else some))]
-        self.order = order
-        self.blocks = [order[i : i + BLOCK] for i in range(0, len(order), BLOCK)]
-        self.places = np.full((len(self.blocks), BLOCK), -1, np.int64)
-        self.weight = np.zeros((len(self.blocks), len(self.vocabulary), BLOCK), np.float32)
-        for i, b in enumerate(self.blocks):
-            self.places[i, : len(b)], self.weight[i, :, : len(b)] = b, vectors[b].T
-        self.postings = [w[:, : len(b)] for w, b in zip(self.weight, self.blocks, strict=True)]
-        self.bounds = np.stack([p.max(axis=1) for p in self.postings], axis=1) if self.blocks else np.zeros((len(self.vocabulary), 0), np.float32)
+        heaviest = np.array([vectors[j][0][vectors[j][1].argmax()] for j in some], np.int64)
+        self.order = some[np.lexsort((self.ids[some], heaviest))]
+        self.blocks = -(-len(self.order) // BLOCK)
+        self._lay_postings(vectors)
         self.curve = (0.0, 1.0)
         empty = np.setdiff1d(np.arange(len(rows)), some)
         w = self.weights
         self.blank = (w[empty] @ self.labels[empty] + PRIOR * self.rate) / (w[empty].sum() + PRIOR) if len(rows) else 0.0
         raw = np.full(len(rows), self.blank)
-        for j in order:
-            ids = np.flatnonzero(vectors[j])
-            raw[j] = self._vote(ids, vectors[j, ids], but=j)[0]
+        for place, j in enumerate(self.order):
+            raw[j] = self._vote(*vectors[j], but=place)[0]
         if len(rows):
             self.curve = _logistic(_logit(raw), self.labels, w)
         self.memo: dict = {}
 
+    def _lay_postings(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Postings (place of the example in `order`, weight) by term and then block, where each term's part of each
+        block begins and ends, and the largest weight in it."""
+        terms_, places, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for place, j in enumerate(self.order):
+            ids, values = vectors[j]
+            terms_.append(ids)
+            places.append(np.full(len(ids), place, np.int64))
+            weights.append(values)
+        term, place, weight = np.concatenate(terms_), np.concatenate(places), np.concatenate(weights)
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by], weight[by]
+        part = term * self.blocks + self.place // BLOCK
+        cells = len(self.vocabulary) * self.blocks
+        self.starts = np.searchsorted(part, np.arange(cells + 1))
+        bounds = np.zeros(cells, np.float32)
+        np.maximum.at(bounds, part, self.weight)
+        self.bounds = bounds.reshape(len(self.vocabulary), self.blocks)
+
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         get = self.vocabulary.get
         pairs = sorted((i, n) for t, n in found.items() if (i := get(t)) is not None)
@@ -120,7 +131,7 @@ class Index:
         return ids, (values / np.sqrt((values**2).sum()) if pairs else values).astype(np.float32)
 
     def nearest(self, ids: np.ndarray, values: np.ndarray, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosines above 0: (cosine, example), ties by id."""
+        """The k examples of the largest cosines above 0: (cosine, example), ties by id. but: a place to leave out."""
         bound = values @ self.bounds[ids]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -134,15 +145,22 @@ class Index:
         if len(scores) > self.k:
             near = scores >= np.partition(scores, -self.k)[-self.k] - MARGIN
             places, scores = places[near], scores[near]
-        best = zip(scores.tolist(), places.tolist(), strict=True)
+        best = zip(scores.tolist(), self.order[places].tolist(), strict=True)
         return sorted(best, key=lambda x: (-round(x[0], 6), self.ids[x[1]]))[: self.k]
 
     def _scores(self, blocks: np.ndarray, ids: np.ndarray, values: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks and their cosines, where above 0."""
-        scores = np.matmul(values, self.weight[blocks[:, None], ids[None, :]]).ravel()
-        places = self.places[blocks].ravel()
-        some = (scores > 0) & (places != but)
-        return places[some], scores[some]
+        """Places of the blocks' examples and their cosines, where above 0, from the postings of the terms."""
+        cells = (ids[:, None] * self.blocks + blocks[None, :]).ravel()
+        starts = self.starts[cells]
+        sizes = self.starts[cells + 1] - starts
+        total = int(sizes.sum())
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        found = self.place[at]
+        sums = np.bincount(found, self.weight[at] * np.repeat(np.repeat(values, len(blocks)), sizes))
+        if 0 <= but < len(sums):
+            sums[but] = 0
+        places = np.flatnonzero(sums > 0)
+        return places, sums[places]
 
     def _vote(self, ids: np.ndarray, values: np.ndarray, but: int = -1) -> tuple[float, list]:
         near = self.nearest(ids, values, but)
@@ -163,7 +181,7 @@ class Index:
                 self.memo.clear()
             raw, near = self._vote(ids, values) if len(ids) else (self.blank, [])
             a, b = self.curve
-            evidence = [{"doc_id": int(self.ids[j]), "similarity": round(s, 6), "toxic": int(self.labels[j])} for s, j in near]
+            evidence = [{"doc_id": self.ids[j], "similarity": round(s, 6), "toxic": int(self.labels[j])} for s, j in near]
             self.memo[key] = (float(1 / (1 + np.exp(-(a + b * _logit(raw))))), evidence)
         return self.memo[key]
 
@@ -219,41 +237,85 @@ def cover(bare: list[list[bytes]], seen: dict[bytes, tuple[int, int]], n1: int,
     return sorted({t for found in bare for t in sorted(found, key=lambda t: (-strength[t], t))[:COVER]})
 
 
-def _counter(shared):
-    """Documents, toxic and other training rows that hold each of the shared terms; a task's rows are summed here."""
+def pack(lists: list[np.ndarray]) -> pa.Array:
+    """Ascending numbers below 2 ** 28 as differences of 7 bits a byte, one binary value for each list."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *lists])
+    gaps = np.diff(flat, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    gaps[first] = flat[first]
+    wide = np.stack([(gaps >> s) & 127 for s in (0, 7, 14, 21)], axis=1)
+    used = np.stack([np.ones(len(gaps), bool), gaps >= 1 << 7, gaps >= 1 << 14, gaps >= 1 << 21], axis=1)
+    wide[:, :3] |= used[:, 1:] * 128
+    ends = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(wide[used].astype(np.uint8).tobytes())])
+
+
+def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all lists, and how many each list holds."""
+    data = np.frombuffer(b"".join(packed), np.uint8).astype(np.int64)
+    last = np.flatnonzero(data < 128)
+    if not len(last):
+        return np.zeros(0, np.int64), np.zeros(len(packed), np.int64)
+    start = np.concatenate([[0], last[:-1] + 1])
+    gaps = np.add.reduceat((data & 127) << 7 * (np.arange(len(data)) - np.repeat(start, last - start + 1)), start)
+    ends = np.searchsorted(last, np.cumsum([len(x) for x in packed]))
+    sizes = np.diff(ends, prepend=0)
+    sums = np.concatenate([[0], np.cumsum(gaps)])
+    return sums[1:] - np.repeat(sums[ends - sizes], sizes), sizes
+
+
+def _packer(shared):
     place = {t: i for i, t in enumerate(shared.value.split(b" "))} if shared.value else {}
 
-    def count(batches):
-        import pyarrow as pa
+    def run(batches):
+        for batch in batches:
+            lists = [
+                np.array(sorted(i for t in terms(text) if (i := place.get(t)) is not None), np.int64)
+                for text in batch.column(1).cast(pa.binary()).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pack(lists)], names=["doc_id", "held"])
 
-        sums = np.zeros((3, len(place) + 1), np.int64)
+    return run
+
+
+def _counter(size: int):
+    """Documents, toxic and other training rows that hold each of the terms; a task's rows are summed here."""
+
+    def count(batches):
+        sums = np.zeros((3, size + 1), np.int64)
         for batch in batches:
-            for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = [i for t in terms(text) if (i := place.get(t)) is not None]
-                held.append(len(place))  # the document itself
-                sums[label, held] += 1
+            numbers, sizes = unpack(batch.column(0).to_pylist())
+            labels = batch.column(1).to_numpy()
+            of = np.repeat(labels, sizes)
+            for label in range(3):
+                sums[label, :size] += np.bincount(numbers[of == label], minlength=size)
+                sums[label, size] += (labels == label).sum()  # the documents themselves
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *sums[:, some])], names=["place", "other", "toxic", "docs"])
 
     return count
 
 
-def frequencies(docs: DataFrame, known: DataFrame, words: list[bytes]) -> tuple[dict[bytes, tuple[int, int]], dict[bytes, int], int, int, int]:
+def frequencies(docs: DataFrame, known: DataFrame, words: list[bytes], folds: int = FOLDS) -> tuple[dict[bytes, tuple[int, int]], dict[bytes, int], int, int, int]:
     """Of each word the toxic and other rows of docs that hold it, by their label in known (doc_id, label), and all
-    rows that do; then the numbers of toxic, other and all rows. Each task sends one row for each word at most."""
+    rows that do; then the numbers of toxic, other and all rows. Texts are read once and not shuffled: each becomes the
+    packed numbers of the words it holds, and these meet the labels. Each task sends one row for each word at most."""
     # words hold no spaces
     shared = docs.sparkSession.sparkContext.broadcast(b" ".join(words))
-    trained = docs.join(known, "doc_id").select("text", "label")
-    each = docs.select("text", F.lit(2).alias("label")).unionAll(trained)
 
     def run(batches):
-        return _counter(shared)(batches)
+        return _packer(shared)(batches)
 
-    counted = each.mapInArrow(run, "place long, other long, toxic long, docs long").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("other", "toxic", "docs")])
+    held = cut_lineage(docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id string, held binary"))
+    trained = held.where(bucket(F.col("doc_id"), folds) != 0).join(known, "doc_id").select("held", "label")
+    each = held.select("held", F.lit(2).alias("label")).unionAll(trained)
+    size = len(words)
+    counted = each.mapInArrow(lambda batches: _counter(size)(batches), "place long, other long, toxic long, docs long").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("other", "toxic", "docs")])
     found = counted.toArrow().to_pydict()
     seen, all_rows, n = {}, {}, (0, 0, 0)
     for i, b, a, d in zip(found["place"], found["other"], found["toxic"], found["docs"], strict=True):
-        if i == len(words):
+        if i == size:
             n = (a, b, d)
         else:
             seen[words[i]], all_rows[words[i]] = (a, b), d
@@ -265,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     reach the driver. Terms are counted on the executors, over all documents and all training rows."""
     known = (
         labels.where(F.col(name(label)).isin(0, 1) & (bucket(F.col(name(doc_id)), folds) != 0))
-        .groupBy(F.col(name(doc_id)).cast("long").alias("doc_id"))
+        .groupBy(F.col(name(doc_id)).cast("string").alias("doc_id"))
         .agg(F.max(F.col(name(label)).cast("int")).alias("label"))
     )
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -273,23 +335,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for c in (0, 1):
         part = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = part if chosen is None else chosen.union(part)
-    plain = docs.select(F.col(name(doc_id)).cast("long").alias("doc_id"), F.col(name(text)).cast("string").alias("text"))
+    plain = docs.select(F.col(name(doc_id)).cast("string").alias("doc_id"), F.col(name(text)).cast("string").alias("text"))
     # the sample is bounded by its parameter, so it can be broadcast
     sample = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     counted = cut_lineage(annotate(sample, "text", _count_terms, [structs("terms", T.StructField("term", T.BinaryType()), long("n"))], keep=["doc_id", "label"]))
     # no other term can be part of a cosine with an example
     held = counted.select(F.explode("terms.term").alias("term")).distinct().toArrow().column(0).to_pylist()
-    seen, everywhere, n1, n0, n = frequencies(plain, known, sorted(held)) if held else ({}, {}, 0, 0, 0)
+    seen, everywhere, n1, n0, n = frequencies(plain, known, sorted(held), folds) if held else ({}, {}, 0, 0, 0)
     n1, n0 = max(1, n1), max(1, n0)
     words = choose_vocabulary(seen, n1, n0, vocabulary)
-    made: dict[int, tuple[int, int, Counter]] = {
+    made: dict[str, tuple[str, int, Counter]] = {
         r["doc_id"]: (r["doc_id"], r["label"], Counter()) for r in counted.select("row.doc_id", "row.label").collect()
     }
     _hold(counted, words, made)
     # the examples that hold none of these terms; few, as the terms point both ways
     bare = [i for i, (_, _, held) in made.items() if not held]
     if bare:
-        those = docs.sparkSession.createDataFrame([(i,) for i in bare], "doc_id long")
+        those = docs.sparkSession.createDataFrame([(i,) for i in bare], "doc_id string")
         found = counted.select("row.doc_id", F.col("terms.term").alias("found")).join(F.broadcast(those), "doc_id")
         more = cover([[bytes(t) for t in r["found"]] for r in found.collect()], seen, n1, n0)
         _hold(counted, more, made)
@@ -297,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Index(list(made.values()), totals, [(t, everywhere[t]) for t in words], n, k)
 
 
-def _hold(counted: DataFrame, words: list[bytes], made: dict[int, tuple[int, int, Counter]]) -> None:
+def _hold(counted: DataFrame, words: list[bytes], made: dict[str, tuple[str, int, Counter]]) -> None:
     """Add the counts of these words to the examples that hold them."""
     if not words:
         return
@@ -320,7 +382,7 @@ def _scorer(shared):
 def score(docs: DataFrame, index: Index, text: str = "text", keep=None) -> DataFrame:
     """row, score (0 to 1) and evidence (the examples that voted) for each row of docs. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    fields = [double("score"), structs("evidence", long("doc_id"), double("similarity"), long("toxic"))]
+    fields = [double("score"), structs("evidence", string("doc_id"), double("similarity"), long("toxic"))]
     return annotate(docs, text, partial(_scorer, shared), fields, keep)
 
 

@@ -375,15 +375,18 @@ def test_toxicity_held_out(judged):
     assert sum((r["score"] >= 0.5) == r["toxic"] for r in held) / len(held) > 0.95
     assert all(0 <= r["score"] <= 1 for r in held)
     ids = {e["doc_id"] for r in held for e in r["evidence"]}
-    assert not ids & {r["doc_id"] for r in held}  # held-out documents are no evidence
+    assert ids and not ids & {str(r["doc_id"]) for r in held}  # held-out documents are no evidence
 
 
 def test_block_max_is_exact(judged):
     docs, labels = judged
     index = toxicity.fit(docs, labels, examples=200)
+    assert index.blocks > toxicity.FIRST
+    text_of = {str(r["doc_id"]): r["text"].encode() for r in docs.collect()}
     dense = np.zeros((len(index.ids), len(index.vocabulary)), np.float32)
-    for block, postings in zip(index.blocks, index.postings, strict=True):
-        dense[block] = postings.T
+    for j, i in enumerate(index.ids):
+        ids, values = index.vector(toxicity.terms(text_of[i]))
+        dense[j, ids] = values
     for r in docs.limit(60).collect():
         ids, values = index.vector(toxicity.terms(r["text"].encode()))
         if not len(ids):
@@ -405,12 +408,45 @@ def test_toxicity_awkward(spark, docs, nothing, judged):
     assert kept.columns == ["doc_id", "text"] and 600 < kept.count() < 760
 
 
+def test_whole_scores_by_brute_force(judged):
+    docs, labels = judged
+    index = toxicity.fit(docs, labels, examples=100)
+    rows = {str(r["doc_id"]): toxicity.terms(r["text"].encode()) for r in docs.collect()}
+    vectors = [index.vector(rows[i]) for i in index.ids]
+    a, b = index.curve
+    for r in toxicity.score(docs, index).select("row.doc_id", "score").limit(50).collect():
+        ids, values = index.vector(rows[str(r["doc_id"])])
+        mine = dict(zip(ids.tolist(), values.tolist(), strict=True))
+        near = [(sum(mine.get(i, 0.0) * v for i, v in zip(x.tolist(), y.tolist(), strict=True)), j) for j, (x, y) in enumerate(vectors)]
+        near = [x for x in sorted(near, key=lambda x: (-round(x[0], 6), index.ids[x[1]]))[: index.k] if x[0] > 0]
+        raw = index.blank
+        if near:
+            w = [index.weights[j] * s for s, j in near]
+            raw = (sum(x * index.labels[j] for x, (_, j) in zip(w, near, strict=True)) + toxicity.PRIOR * index.rate) / (sum(w) + toxicity.PRIOR)
+        raw = min(max(raw, 1e-4), 1 - 1e-4)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(a + b * np.log(raw / (1 - raw))))), abs=1e-4)
+
+
+def test_packed_numbers():
+    lists = [[], [0], [127, 128, 5000, 2_000_000, 200_000_000], [], [3, 4], []]
+    flat, sizes = toxicity.unpack(toxicity.pack([np.array(x, np.int64) for x in lists]).to_pylist())
+    assert flat.tolist() == [i for x in lists for i in x] and sizes.tolist() == [len(x) for x in lists]
+    assert toxicity.unpack([])[0].tolist() == [] and toxicity.unpack([b""])[1].tolist() == [0]
+
+
+def test_toxicity_text_ids(judged, spark):
+    docs, labels = (d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for d in judged)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, examples=50)).select("row.doc_id", "score")
+    good = scored.join(labels, "doc_id").where((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count()
+    assert good > 850
+
+
 def test_toxicity_leaves_no_example_empty(judged, spark):
     docs, labels = judged
     odd = spark.createDataFrame([(9000 + i, f"lone{i}") for i in range(9)], docs.schema)
     calm = spark.createDataFrame([(9000 + i, 0) for i in range(9)], "doc_id long, toxic int")
     index = toxicity.fit(docs.unionByName(odd), labels.unionByName(calm))
-    assert sorted(index.order) == list(range(len(index.ids))) and (index.ids >= 9000).any()
+    assert sorted(index.order) == list(range(len(index.ids))) and any(int(i) >= 9000 for i in index.ids)
     assert {0, 1} == {int(index.labels[j]) for j in index.order}
     empty = toxicity.score(docs, index).where("size(evidence) = 0").count()
     assert empty == 0  # clean texts have neighbours as well
