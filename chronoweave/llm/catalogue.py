@@ -151,7 +151,7 @@ units AS (
   SELECT *, trim(regexp_replace({SQL_LOWER.replace('text', 'line')}, '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS unit FROM lines
 ),
 ranked AS (
-  SELECT *, length(unit) > 0 AND len(string_split(unit, ' ')) >= 8 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) > 1 AS gone
+  SELECT *, length(unit) > 0 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) > 1 AS gone
   FROM units
 )
 SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,

@@ -1,13 +1,13 @@
 """Exact substring dedup by hashing lines.
 
-A unit is a line (or whatever `separator`, a fixed string, separates: two line breaks for paragraphs). It is normalised (ASCII lower case, white space runs to one
-space, ends trimmed) and hashed; digests of all documents are grouped, the occurrence of the lowest rank (id,
-then offset) stays, and every other occurrence is removed from its text. Units of fewer than `least_words` words
-are never removed; with 1 every unit that is not blank counts. What is removed is reported with its code point offsets in the text as it was, separator
+A unit is a line (or whatever `separator`, a fixed string, separates: two line breaks for paragraphs). It is
+normalised (ASCII lower case, white space runs to one space, ends trimmed) and hashed; digests of all documents are grouped, the occurrence of the lowest rank (id,
+then offset) stays, and every other occurrence is removed from its text. Every unit that is not blank counts;
+`least_words` can leave shorter ones alone. What is removed is reported with its code point offsets in the text as it was, separator
 included, so that the original can be cut again.
 
 Digests are 128 bits. Occurrences are counted before they are shuffled, only digests that occur again are joined
-back, and that join has one row for each digest on its right, so Spark can split a hot one. Each row of the
+back, and that join has one row for each digest on its right, written before, so Spark can split a hot one. Each row of the
 input is told from its repeats by the hash of its id and text: rows that repeat both are one document, kept once
 whole under the same rules (their units count once), so repeats of a row get equal results.
 
@@ -24,7 +24,7 @@ from chronoweave.session import cut_lineage
 
 from .rows import annotate, long, name, string, structs
 
-LEAST_WORDS = 8
+LEAST_WORDS = 1
 
 
 def _unit_maker(least_words: int, separator: str):
@@ -67,7 +67,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_w
     """doc_id, key1, key2, spans (start, end) of the units to remove from each document that has any."""
     each = cut_lineage(units(docs, doc_id, text, least_words, separator))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key1", "key2", "start")
-    first = each.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last")
+    # written, so that the join is between two plain shuffles, whose hot parts Spark can split
+    first = cut_lineage(each.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").drop("last"))
     later = each.join(first, ["high", "low"]).where(rank != F.col("first"))
     return later.groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
