@@ -33,18 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def _shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which every executor shares.
 
-    A folder of our own is taken only where that setting is empty, as in tests on one machine.
+    Where that setting is empty, a folder of our own is taken on a local master, as in tests; on a cluster there is
+    no place that all executors share, so that is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    shared, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if shared:
+        return shared.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
         import tempfile
 
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own[context.applicationId]
 
 
 def shared_folder(spark: SparkSession) -> str:

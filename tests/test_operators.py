@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,7 +215,40 @@ def test_tokens(spark):
 def test_edits(spark, said, heard, flag, risks):
     df = spark.createDataFrame([(said, heard)], "e string, h string")
     e = textops.token_edits(df, "e", "h").first()["edits"]
-    assert (e["flag"], [tuple(r) for r in e["risks"]]) == (flag, risks)
+    assert (e["flag"], [tuple(r)[:3] for r in e["risks"]]) == (flag, risks)
+
+
+def test_edits_in_full(spark):
+    rows = [
+        ("Ana grows five olive trees in the valley", "and Anna grows six olive in the valley over there now", "and then", "now we"),
+        ("two hundred metres of silk", "two hundred meters of silk", None, None),
+        ("they said nothing about the long road to the sea", "they set no thing a bout allowed along wrote to the sea", "", ""),
+        ("we walk", "", "", ""), ("", "um ah", "um", ""), ("let's go they're x'll've", "let us go they are x'll have", "", ""),
+    ]
+    df = spark.createDataFrame(rows, "e string, h string, b string, a string").coalesce(1)
+    got = [r["edits"].asDict(True) for r in textops.token_edits(df, "e", "h", "b", "a", names=["Ana"], spellings={"Ana": ["anna"]}).collect()]
+    one = got[0]
+    assert (one["omissions"], one["leak_head"], one["leak_tail"], one["substitutions"]) == (["trees"], [], ["over", "there"], ["five -> six"])
+    assert one["risks"] == [{"cls": "quantity", "kind": "substituted", "token": "five", "heard": "six", "expected": "five", "at": 2}] and one["flag"]
+    assert got[1]["coverage"] == 1.0 and not got[1]["flag"]
+    assert {r["cls"] for r in got[2]["risks"]} == {"polarity"} and got[2]["coverage"] < 0.8
+    assert got[3]["coverage"] == 0.0 and got[3]["omissions"] == ["we", "walk"] and [r["kind"] for r in got[3]["risks"]] == ["dropped"]
+    assert got[4]["coverage"] == 1.0 and got[4]["leak_head"] == ["ah"] and got[4]["leak_tail"] == [] and not got[4]["flag"]
+    assert got[5]["coverage"] == 1.0 and got[5]["expected"] == 7
+    said = textops.token_edits(df, "e", "h", "b", "a").select(F.explode(textops.edit_reasons(F.col("edits")))).first()[0]
+    assert said.startswith("coverage") or said.startswith("quantity substituted: 'five' -> 'six'") or "leaked" in said
+
+
+def test_steps_rebuild_both_sides(spark):
+    rng = np.random.default_rng(4)
+    words = ["not", "go", "there", "five", "boats", "we", "garden", "gardens", "only"]
+    rows = [(" ".join(rng.choice(words, rng.integers(0, 9))), " ".join(rng.choice(words, rng.integers(0, 9)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "e string, h string").select(textops.tokens(F.col("e")).alias("e"), textops.tokens(F.col("h")).alias("h"))
+    for r in textops.edit_steps(df, "e", "h").collect():
+        assert [t for s in r["steps"] for t in s["said"]] == r["e"]
+        assert [s["at"] for s in r["steps"]] == [sum(len(x["said"]) for x in r["steps"][:i]) for i in range(len(r["steps"]))]
+        got = [t for s in r["steps"] for t in s["got"]]
+        assert len(got) == len(r["h"]) and all(a == b or {a, b} == {"garden", "gardens"} for a, b in zip(got, r["h"], strict=True))
 
 
 def test_names_of_units(spark):
