@@ -7,7 +7,7 @@ that tell the classes apart (log-likelihood ratio above `least`), the strongest
 and as many of those that point to others, and the COVER strongest terms of every example that has none of them, so
 that no example with words is left out. The ratios come from all training rows and the inverse document frequencies from
 all documents; only the examples are a sample. Within it, cosines of TF-IDF vectors are exact: the inverted index holds the
-examples in blocks and the largest weight of every term in every block; the blocks of the highest bounds are scored
+examples in blocks, of every term the blocks that hold it, and the largest weight in each; the blocks of the highest bounds are scored
 first, then those whose bounds reach the similarity of the k-th best example; the others are skipped. Scores are calibrated by a logistic curve fitted to the examples' own
 scores with each example left out.
 
@@ -42,13 +42,13 @@ LEAST = 25.0
 #: Terms that an example without any other term of the vocabulary adds to it.
 COVER = 8
 PREFIXES = (4, 6)
-BLOCK = 64
+BLOCK = 16
 #: Blocks that are scored before bounds are compared.
-FIRST = 4
+FIRST = 8
 #: Cosines nearer to each other than this may be equal after rounding.
 MARGIN = 2e-6
-#: Vectors whose vote a task remembers.
-MEMO = 4000
+#: Vectors whose vote a task remembers, and words whose terms it does.
+MEMO, WORDS = 4000, 100_000
 #: Weight of the prior in a vote, and of the cosine's exponent.
 PRIOR = 0.2
 
@@ -64,6 +64,28 @@ def terms(text: bytes | None) -> Counter:
     return out
 
 
+class TermNumbers(dict):
+    """Of each word the numbers of its terms in `place`; what was asked for is remembered."""
+
+    def __init__(self, place: dict[bytes, int]):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= WORDS:
+            self.clear()
+        each = [word, *[word[:p] + b"*" for p in PREFIXES if len(word) > p]]
+        self[word] = found = tuple(i for t in each if (i := self.place.get(t)) is not None)
+        return found
+
+    def counts(self, text: bytes | None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for word, n in Counter(plain_words(text)).items():
+            for i in self[word]:
+                out[i] = out.get(i, 0) + n
+        return out
+
+
 def bucket(doc_id: F.Column, folds: int) -> F.Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -86,7 +108,8 @@ class Index:
         self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
         frequency = np.array([n for _, n in vocabulary], np.float64)
         self.idf = np.log((1 + documents) / (1 + frequency)) + 1
-        vectors = [self.vector(found) for _, _, found in rows]
+        self.numbers = TermNumbers(self.vocabulary)
+        vectors = [self.vector({self.vocabulary[t]: n for t, n in found.items()}) for _, _, found in rows]
         some = np.array([j for j, (ids, _) in enumerate(vectors) if len(ids)], np.int64)
         # examples that share their heaviest term stand together, so that bounds are tight
         heaviest = np.array([vectors[j][0][vectors[j][1].argmax()] for j in some], np.int64)
@@ -105,30 +128,28 @@ class Index:
         self.memo: dict = {}
 
     def _lay_postings(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings (place of the example in `order`, weight) by term and then block, where each term's part of each
-        block begins and ends, and the largest weight in it."""
-        terms_, places, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        """The inverted lists: of each term the blocks that hold it, each with its largest weight (`bounds`) and the
+        row of a strip with the weights of the block's examples; row 0 is of blocks that don't."""
+        found: dict[tuple[int, int], np.ndarray] = {}
         for place, j in enumerate(self.order):
-            ids, values = vectors[j]
-            terms_.append(ids)
-            places.append(np.full(len(ids), place, np.int64))
-            weights.append(values)
-        term, place, weight = np.concatenate(terms_), np.concatenate(places), np.concatenate(weights)
-        by = np.lexsort((place, term))
-        term, self.place, self.weight = term[by], place[by], weight[by]
-        part = term * self.blocks + self.place // BLOCK
-        cells = len(self.vocabulary) * self.blocks
-        self.starts = np.searchsorted(part, np.arange(cells + 1))
-        bounds = np.zeros(cells, np.float32)
-        np.maximum.at(bounds, part, self.weight)
-        self.bounds = bounds.reshape(len(self.vocabulary), self.blocks)
-
-    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        get = self.vocabulary.get
-        pairs = sorted((i, n) for t, n in found.items() if (i := get(t)) is not None)
-        ids = np.array([i for i, _ in pairs], np.int64)
-        values = (1 + np.log(np.array([n for _, n in pairs], np.float64))) * self.idf[ids] if pairs else np.zeros(0)
-        return ids, (values / np.sqrt((values**2).sum()) if pairs else values).astype(np.float32)
+            for i, value in zip(*(x.tolist() for x in vectors[j]), strict=True):
+                found.setdefault((i, place // BLOCK), np.zeros(BLOCK, np.float32))[place % BLOCK] = value
+        self.rows = np.zeros((len(self.vocabulary), self.blocks), np.int32)
+        self.strips = np.stack([np.zeros(BLOCK, np.float32), *found.values()])
+        for row, key in enumerate(found, 1):
+            self.rows[key] = row
+        self.bounds = self.strips.max(axis=1)[self.rows]
+
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms and their weights, from the counts of terms of the vocabulary."""
+        if not counts:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        pairs = np.array(sorted(counts.items()), np.int64)
+        values = (1 + np.log(pairs[:, 1])) * self.idf[pairs[:, 0]]
+        return pairs[:, 0], (values / np.sqrt((values**2).sum())).astype(np.float32)
+
+    def vector_of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.vector(self.numbers.counts(text))
 
     def nearest(self, ids: np.ndarray, values: np.ndarray, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosines above 0: (cosine, example), ties by id. but: a place to leave out."""
@@ -149,18 +170,12 @@ class Index:
         return sorted(best, key=lambda x: (-round(x[0], 6), self.ids[x[1]]))[: self.k]
 
     def _scores(self, blocks: np.ndarray, ids: np.ndarray, values: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the blocks' examples and their cosines, where above 0, from the postings of the terms."""
-        cells = (ids[:, None] * self.blocks + blocks[None, :]).ravel()
-        starts = self.starts[cells]
-        sizes = self.starts[cells + 1] - starts
-        total = int(sizes.sum())
-        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        found = self.place[at]
-        sums = np.bincount(found, self.weight[at] * np.repeat(np.repeat(values, len(blocks)), sizes))
-        if 0 <= but < len(sums):
-            sums[but] = 0
-        places = np.flatnonzero(sums > 0)
-        return places, sums[places]
+        """Places of the blocks' examples and their cosines, where above 0, from the strips of the terms."""
+        strips = self.strips[self.rows[ids[:, None], blocks[None, :]]]
+        sums = values @ strips.reshape(len(ids), len(blocks) * BLOCK)
+        places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        some = (sums > 0) & (places != but)
+        return places[some], sums[some]
 
     def _vote(self, ids: np.ndarray, values: np.ndarray, but: int = -1) -> tuple[float, list]:
         near = self.nearest(ids, values, but)
@@ -174,7 +189,7 @@ class Index:
         """Calibrated score and the neighbours that voted."""
         if not len(self.ids):
             return 0.0, []
-        ids, values = self.vector(terms(text))
+        ids, values = self.vector_of(text)
         key = (ids.tobytes(), values.tobytes())
         if key not in self.memo:
             if len(self.memo) >= MEMO:
@@ -266,14 +281,12 @@ def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packer(shared):
-    place = {t: i for i, t in enumerate(shared.value.split(b" "))} if shared.value else {}
+    numbers = TermNumbers({t: i for i, t in enumerate(shared.value.split(b" "))} if shared.value else {})
 
     def run(batches):
         for batch in batches:
-            lists = [
-                np.array(sorted(i for t in terms(text) if (i := place.get(t)) is not None), np.int64)
-                for text in batch.column(1).cast(pa.binary()).to_pylist()
-            ]
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            lists = [np.array(sorted({i for w in set(plain_words(t)) for i in numbers[w]}), np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pack(lists)], names=["doc_id", "held"])
 
     return run

@@ -385,10 +385,10 @@ def test_block_max_is_exact(judged):
     text_of = {str(r["doc_id"]): r["text"].encode() for r in docs.collect()}
     dense = np.zeros((len(index.ids), len(index.vocabulary)), np.float32)
     for j, i in enumerate(index.ids):
-        ids, values = index.vector(toxicity.terms(text_of[i]))
+        ids, values = index.vector_of(text_of[i])
         dense[j, ids] = values
     for r in docs.limit(60).collect():
-        ids, values = index.vector(toxicity.terms(r["text"].encode()))
+        ids, values = index.vector_of(r["text"].encode())
         if not len(ids):
             continue
         scores = dense[:, ids] @ values
@@ -411,7 +411,7 @@ def test_toxicity_awkward(spark, docs, nothing, judged):
 def test_whole_scores_by_brute_force(judged):
     docs, labels = judged
     index = toxicity.fit(docs, labels, examples=100)
-    rows = {str(r["doc_id"]): toxicity.terms(r["text"].encode()) for r in docs.collect()}
+    rows = {str(r["doc_id"]): {index.vocabulary[t]: n for t, n in toxicity.terms(r["text"].encode()).items() if t in index.vocabulary} for r in docs.collect()}
     vectors = [index.vector(rows[i]) for i in index.ids]
     a, b = index.curve
     for r in toxicity.score(docs, index).select("row.doc_id", "score").limit(50).collect():
