@@ -171,7 +171,7 @@ class Index:
 
     def _scores(self, blocks: np.ndarray, ids: np.ndarray, values: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the blocks' examples and their cosines, where above 0, from the strips of the terms."""
-        strips = self.strips[self.rows[ids[:, None], blocks[None, :]]]
+        strips = self.strips.take(self.rows[ids][:, blocks].ravel(), axis=0)
         sums = values @ strips.reshape(len(ids), len(blocks) * BLOCK)
         places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         some = (sums > 0) & (places != but)
