@@ -8,7 +8,7 @@ A text is halved until a part is short; parts are encoded alone and neighbours a
   the two scans agree for ever. If the window ends first, it grows to both sides.
 * Tokens of a piece. Two token lists are right together if every neighbouring pair is, that is, if the pair's
   bytes encode to that very pair. A join encodes a window around the seam again and widens it until the pairs at
-  both of its ends hold.
+  both of its ends hold. A piece in which a window would grow beyond WINDOW bytes is merged at once instead, by a heap.
 
 Decoding maps ids to bytes and concatenates up the same tree.
 
@@ -19,6 +19,7 @@ long texts and very long pieces cost time in proportion to their length. Columns
 from __future__ import annotations
 
 import base64
+import heapq
 from functools import partial
 
 import numpy as np
@@ -29,11 +30,19 @@ from pyspark.sql import types as T
 
 from .rows import annotate
 
-#: Characters of a part that is encoded alone, and entries of a task's memo of pieces.
-LEAF = 8192
-MEMO = 300_000
+#: Characters of a part that is scanned alone.
+LEAF = 512
+#: Pieces that each of the two generations of a task's memo holds: when the newer one is full, it becomes the older.
+MEMO = 150_000
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
 SHORT = 32
+#: Bytes of a window around a seam beyond which the whole piece is encoded at once: in runs of one character and the
+#: like the tokens never settle, and each level of the tree would encode everything again.
+WINDOW = 2048
+
+
+class Unsettled(Exception):
+    """The window around a seam grew too long."""
 
 
 class Tokenizer:
@@ -44,12 +53,13 @@ class Tokenizer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.packed = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     # tokens of one piece, as lists of byte strings
 
     def merge(self, parts: list[bytes]) -> list[bytes]:
-        """Join the neighbours of lowest rank, the leftmost first, until none has a rank."""
+        """Join the neighbours of lowest rank, the leftmost first, until none has a rank. For short lists."""
         ranks, none = self.ranks, 1 << 60
         parts = list(parts)
         costs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -65,8 +75,27 @@ class Tokenizer:
                 costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return parts
 
+    def merge_long(self, parts: list[bytes]) -> list[bytes]:
+        """The same by a heap of pairs (rank, place), which takes little more than linear time."""
+        ranks, n = self.ranks, len(parts)
+        parts, after, before = [*parts, b""], list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            # a pair that is no longer there: its left part is gone, or one of them has grown
+            if not parts[i] or (j := after[i]) == n or ranks.get(both := parts[i] + parts[j]) != rank:
+                continue
+            parts[i], parts[j], after[i] = both, b"", after[j]
+            before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [p for p in parts if p]
+
     def whole(self, data: bytes) -> list[bytes]:
-        return self.merge([data[i : i + 1] for i in range(len(data))])
+        parts = [data[i : i + 1] for i in range(len(data))]
+        return self.merge(parts) if len(parts) <= 2 * SHORT else self.merge_long(parts)
 
     def fits(self, a: bytes, b: bytes) -> bool:
         """Whether these two tokens, side by side, are what their bytes encode to."""
@@ -82,7 +111,10 @@ class Tokenizer:
             return left + right
         while True:
             i, j, step = max(0, i - step), min(len(right), j + step), step * 2
-            middle = self.whole(b"".join([*left[i:], *right[:j]]))
+            window = b"".join([*left[i:], *right[:j]])
+            if len(window) > WINDOW:
+                raise Unsettled
+            middle = self.whole(window)
             if not middle:
                 return left + right
             if (not i or self.fits(left[i - 1], middle[0])) and (j == len(right) or self.fits(middle[-1], right[j])):
@@ -96,17 +128,27 @@ class Tokenizer:
 
     def piece(self, piece: str) -> bytes:
         """Packed ids of one piece."""
+        if (known := self.older.get(piece)) is not None:
+            self.remember(piece, known)
+            return known
         data = piece.encode("utf-8", "surrogatepass")
         if (one := self.packed.get(data)) is not None:
             ids = one
         else:
-            ids = b"".join([self.packed[t] for t in self.tokens(data)])
+            try:
+                found = self.tokens(data)
+            except Unsettled:
+                found = self.whole(data)
+            ids = b"".join([self.packed[t] for t in found])
         if len(piece) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = ids
+            self.remember(piece, ids)
         return ids
 
+    def remember(self, piece: str, ids: bytes) -> None:
+        if len(self.memo) >= MEMO:
+            self.memo, self.older = {}, self.memo
+        self.memo[piece] = ids
+
     # pieces of a text
 
     def join_pieces(self, text: str, left: list[str], right: list[str], lo: int, seam: int, hi: int) -> list[str]:
@@ -149,9 +191,9 @@ class Tokenizer:
         """Token ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        get, out = self.memo.get, []
+        out = []
         for p in self.pieces(text):
-            ids = get(p)
+            ids = self.memo.get(p)
             out.append(self.piece(p) if ids is None else ids)
         return b"".join(out)
 
