@@ -14,8 +14,10 @@ Every byte that lies in a string of `length` bytes which also starts anywhere el
    extends the common prefixes of neighbours by minima over the rows between. Transform, prefixes and origins are
    files that each round reads and writes once from front to end; a round's working set is its new rows and
    one file. Rows that share 24 symbols, and the up to 8 bytes around these that complete a window, are equal.
-4. A family of more than `largest` different units is not built in one group: its windows are counted by 128-bit
-   digests instead, combined before they are shuffled. No case is dropped.
+4. A family of more than `largest` different units is divided before it is built: windows are told apart by how many
+   bytes they hold before the minimizer, in two halves, and each half by the bytes that all its windows then hold
+   (equal windows agree in both). What is still too large is divided again; after at most 8 times a part is one
+   window. So one construction serves families of every size.
 
 Defined cases: null texts are empty; texts shorter than `length` keep everything; repeated rows repeat each
 other whole; overlapping repeats count, and strings are judged on the input. Extra columns are not read.
@@ -41,11 +43,11 @@ from .rows import annotate, long, name, string, structs
 
 LENGTH = 200
 GRAM, SYMBOL = 32, 8
-#: Bytes of units in a group, and different units of a family, beyond which windows are counted one by one.
-GROUP_BYTES = 400_000
-LARGEST = 20_000
+#: Bytes of units in a group, and different units of a family beyond which it is divided.
+GROUP_BYTES = 2_000_000
+LARGEST = 5_000
 #: Bytes of a file of the growing table that stay in memory.
-SPOOL = 8 << 20
+SPOOL = 64 << 10
 #: Texts are cut to pieces of so many starts, each with all bytes of its windows, so that places fit 23 bits.
 PIECE = 1 << 22
 
@@ -300,7 +302,9 @@ def _bucketed(df: DataFrame) -> DataFrame:
     table = f"texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", "zstd").option("path", shared_folder(spark)).bucketBy(parts, "h1", "h2").saveAsTable(table)
-    return spark.table(table)
+    kept = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: files at a path of their own stay, and `kept` knows their buckets
+    return kept
 
 
 def text_hashes(text: str) -> list[F.Column]:
@@ -334,18 +338,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, largest: int = LARGES
     by_text = wanted.groupBy("h1", "h2").agg(F.collect_list("w").alias("wanted"))
     data = written(_extract(by_text.join(texts.select("h1", "h2", "text"), ["h1", "h2"])))
     sizes = data.groupBy("minimizer").agg(F.count("*").alias("members"))
-    crowded = sizes.where(F.col("members") > largest).select("minimizer")
-    total = data.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    calm = data.join(crowded, "minimizer", "left_anti").withColumn("part", F.expr(f"pmod(xxhash64(minimizer), {groups})"))
-    schema = T.StructType([long("minimizer"), long("unit"), T.StructField("runs", RUNS)])
-
-    def build(table: pa.Table) -> pa.Table:
-        return _sort_group(length, table)
-
-    built = calm.groupBy("part").applyInArrow(build, schema)
-    counted = _count_windows(data.join(crowded, "minimizer", "left_semi"), length)
-    runs = kept.select("minimizer", "unit", "h1", "h2", "start").join(built.unionByName(counted), ["minimizer", "unit"])
+    crowded = written(sizes.where(F.col("members") > largest).select("minimizer"))
+    built = _build(data.join(crowded, "minimizer", "left_anti"), length)
+    if not crowded.isEmpty():
+        for part in divide(data.join(crowded, "minimizer", "left_semi"), length, largest):
+            built = built.unionByName(_build_part(part, length))
+    runs = kept.select("minimizer", "unit", "h1", "h2", "start").join(built, ["minimizer", "unit"])
     each = runs.select("h1", "h2", F.explode(F.transform("runs", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), (r["end"] + F.col("start")).alias("end")))).alias("s"))
     return each.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("s")).alias("spans"))
 
@@ -365,28 +363,56 @@ def _extract(joined: DataFrame) -> DataFrame:
     return joined.select("wanted", "text").mapInArrow(run, T.StructType(fields))
 
 
-def _count_windows(data: DataFrame, length: int) -> DataFrame:
-    """minimizer, unit and runs of repeated starts, by counting the digests of single windows."""
+def divide(data: DataFrame, length: int, largest: int) -> list[DataFrame]:
+    """Units of families that are too large, in parts of which each can be built: minimizer, unit, start (of the part in
+    the unit), n, family, part, offset (of the minimizer in the part) and bytes.
 
-    def cut(batches):
-        names = ["minimizer", "unit", "n", "start", "high", "low"]
-        for batch in batches:
-            rows = batch.to_pydict()
-            for v, u, n, d in zip(rows["minimizer"], rows["unit"], rows["n"], rows["data"], strict=True):
-                digests = [xxhash.xxh3_128_intdigest(d[i : i + length]) for i in range(len(d) - length + 1)]
-                k = len(digests)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * k, pa.int64()) for x in (v, u, n)]
-                    + [pa.array(range(k), pa.int64())]
-                    + [pa.array([part - (1 << 63) for part in parts], pa.int64()) for parts in ([x >> 64 for x in digests], [x & ((1 << 64) - 1) for x in digests])],
-                    names=names,
-                )
-
-    windows = data.select("minimizer", "unit", "n", "data").mapInArrow(cut, T.StructType([long(c) for c in ("minimizer", "unit", "n", "start", "high", "low")]))
-    again = windows.groupBy("high", "low").agg(F.sum("n").alias("total")).where("total > 1").select("high", "low")
-    starts = windows.join(again, ["high", "low"])
-    one = F.struct("start", (F.col("start") + 1).alias("end"))
-    return starts.groupBy("minimizer", "unit").agg(F.array_sort(F.collect_list(one)).alias("runs"))
+    low to high is the range of bytes that a window holds before its minimizer. Its lower half and its upper half are
+    parts of their own, and each part is a family with those that agree in all bytes that every window of the range
+    holds. Families of `largest` different parts at most are done; all rows of the others are halved again.
+    """
+    rows, done = data.withColumns({"family": F.col("minimizer"), "low": F.lit(0), "high": F.lit(length - GRAM)}), []
+    while True:
+        half = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct("low", half.alias("high")), F.struct((half + 1).alias("low"), "high"))
+        each = rows.select("minimizer", "unit", "n", "place", "data", "family", F.explode(F.filter(halves, lambda h: h["low"] <= h["high"])).alias("half"))
+        each = each.select("minimizer", "unit", "n", "place", "data", "family", "half.*")
+        first, last = F.greatest(F.lit(0), F.col("place") - F.col("high")), F.least(F.octet_length("data") - length, F.col("place") - F.col("low"))
+        held = F.substring("data", (F.col("place") - F.col("low") + 1).cast("int"), F.lit(length) - F.col("high") + F.col("low"))
+        taken = F.substring("data", (F.col("start") + 1).cast("int"), (F.col("last") - F.col("start") + length).cast("int"))
+        cut = each.withColumns({"start": first.cast("long"), "last": last.cast("long")}).where("start <= last").withColumns({"held": held, "bytes": taken})
+        parts = written(
+            cut.withColumns({"family": F.xxhash64("family", "low", "high", "held"), "part": F.xxhash64("bytes"), "offset": F.col("place") - F.col("start")}).drop("held", "last")
+        )
+        members = parts.groupBy("family").agg(F.count_distinct("part").alias("members"))
+        crowded = written(members.where(F.col("members") > largest).select("family"))
+        done.append(parts.join(crowded, "family", "left_anti"))
+        if crowded.isEmpty():
+            return done
+        rows = parts.join(crowded, "family", "left_semi").select("minimizer", "unit", "n", "place", "data", "family", "low", "high")
+
+
+def _build(units: DataFrame, length: int) -> DataFrame:
+    """minimizer, unit and runs of repeated starts, from groups of whole families."""
+    total = units.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    groups = max(1, -(-total // GROUP_BYTES))
+    schema = T.StructType([long("minimizer"), long("unit"), T.StructField("runs", RUNS)])
+
+    def build(table: pa.Table) -> pa.Table:
+        return _sort_group(length, table)
+
+    dealt = units.withColumn("deal", F.expr(f"pmod(xxhash64(minimizer), {groups})"))
+    return dealt.groupBy("deal").applyInArrow(build, schema)
+
+
+def _build_part(parts: DataFrame, length: int) -> DataFrame:
+    """The same for parts of units, whose runs are moved to the places that they have in the units."""
+    same = parts.groupBy("family", "part").agg(F.sum("n").alias("n"), F.min(F.struct("offset", "bytes")).alias("x"))
+    laid = same.select(F.col("family").alias("minimizer"), F.col("part").alias("unit"), "n", F.col("x.offset").alias("place"), F.col("x.bytes").alias("data"))
+    # written, so that the join with all parts is between two plain shuffles
+    built = written(_build(laid, length).select(F.col("minimizer").alias("family"), F.col("unit").alias("part"), "runs"))
+    moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), (r["end"] + F.col("start")).alias("end")))
+    return parts.select("family", "part", "minimizer", "unit", "start").join(built, ["family", "part"]).select("minimizer", "unit", moved.alias("runs"))
 
 
 def cover(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -182,6 +182,19 @@ def test_suffix_dedup(spark, docs, nothing, largest):
     assert suffix.remove_repeats(nothing).count() == 0
 
 
+def test_suffix_family_over_any_limit(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    hot, near = word(60), word(90)
+    texts = [word(150) + hot + word(150) for _ in range(120)] + [word(40) + near + hot + near + word(150) for _ in range(60)]
+    texts += [t[30:300] for t in texts[:20]] + [texts[5], "z" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = suffix.remove_repeats(df, largest=16).select("row.doc_id", "removed", "kept_sha256").collect()
+    want = brute_removed([t.encode() for t in texts], 200)
+    for r in got:
+        assert (sum(x["end"] - x["start"] for x in r["removed"]), r["kept_sha256"]) == want[r["doc_id"]]
+
+
 # line hashing
 
 
@@ -214,6 +227,7 @@ def test_bpe_joins(encoding):
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(4)
     texts = ["", " ", "\n\n  a", "x" * 3000, " " * 5000 + "y", "don't " * 900, "日本" * 400 + "1234567 " * 90, LONG[:9000]]
+    texts += ["ab" * 4000, "x" * 30_000, "".join(rng.choice(list("ab"), 6000)), "=" * 5000 + "-" * 3000 + "the" * 2000]
     texts += ["".join(rng.choice(list("ab '\n\t1!é  s"), 700)) for _ in range(40)] + ["".join(rng.choice(list("aehlort"), 400)) for _ in range(20)]
     for leaf in (7, 64, 8192):
         t = bpe.Tokenizer(ranks, P.PATTERN, leaf)
