@@ -321,7 +321,8 @@ def frequencies(docs: DataFrame, known: DataFrame, words: list[bytes], folds: in
         return _packer(shared)(batches)
 
     held = cut_lineage(docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id string, held binary"))
-    trained = held.where(bucket(F.col("doc_id"), folds) != 0).join(known, "doc_id").select("held", "label")
+    # labels grow with the documents: both sides are dealt by id at every size
+    trained = held.where(bucket(F.col("doc_id"), folds) != 0).join(known.hint("merge"), "doc_id").select("held", "label")
     each = held.select("held", F.lit(2).alias("label")).unionAll(trained)
     size = len(words)
     counted = each.mapInArrow(lambda batches: _counter(size)(batches), "place long, other long, toxic long, docs long").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("other", "toxic", "docs")])
