@@ -114,7 +114,8 @@ def span_digest(spans: str, kinds: tuple[str, ...]) -> list[F.Column]:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(spark, sf_dir)
     found = secret.find_secrets(docs, secret.fit(docs), keep=["doc_id"])
-    return found.select("row.doc_id", *span_digest("spans", secret.KINDS))
+    scores = F.array_join(F.transform("spans", lambda x: F.format_string("%.3f", x["score"])), ",").alias("scores")
+    return found.select("row.doc_id", *span_digest("spans", secret.KINDS), scores)
 
 
 @query

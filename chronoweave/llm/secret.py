@@ -3,13 +3,16 @@
 Values that the base formats find are labelled credentials. A bounded sample of them (`examples` of each kind,
 those of the smallest hashes) builds a frequency prefix tree for each kind; states whose outgoing and ending
 frequencies are compatible by Hoeffding's bound, down all their common paths, are merged (red and blue states).
-The result is a deterministic probabilistic automaton. Every candidate of every text, a run of key characters
-with letters and digits, is then scored by the log-likelihood of its format against a background model of
-candidates that no base format found; those above the level that nearly all labelled values of the kind reach
-are added as spans of kind `format`. Base spans always stay.
+The result is a deterministic probabilistic automaton. Candidates are all runs of the characters that a labelled value
+may hold, of its least length; words are candidates as well. Every candidate of every text is scored: by the
+log-likelihood of its format against the symbols of all candidates that no base format found, which are counted over
+all texts. A candidate becomes a span of kind `format` where this ratio, as a whole and for each symbol, reaches the
+levels of a kind, which 95 % of the labelled values kept out of the automaton reach. Base spans always stay, and carry their value's score too.
+
+A chunk of texts is one array: runs are found and scored column by column for all of them at once.
 
 Defined cases: null and empty texts have no spans; without labelled values nothing is added; repeated rows get
-equal results; offsets are code points, end exclusive.
+equal results; offsets are code points, end exclusive; a kind of fewer than LEAST_VALUES values has no automaton.
 """
 
 from __future__ import annotations
@@ -17,24 +20,38 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import annotate, long, string, structs
+from chronoweave.session import cut_lineage
+
+from .rows import annotate, double, long, name, string, structs
 
 KINDS = ("assign", "access", "hex")
 EXAMPLES = 400
+LEAST_VALUES = 8
 ALPHA = 0.05
+#: Bytes of texts that are looked at together, and the longest candidate that is scored column by column.
+CHUNK, COLUMNS = 4 << 20, 512
+#: Labelled values that a task holds in order not to send them again.
+REMEMBERED = 100_000
 
 #: Fixed patterns of the base formats, over UTF-8 bytes; their classes are ASCII, so bytes and characters agree.
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-LETTER, DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
+#: Fixed: characters of a candidate, those that do not end it, and its least length, as in labelled values.
+CANDIDATE = np.array([chr(c).isalnum() and c < 128 or chr(c) in "+/_.=-" for c in range(256)])
+OPEN_END, SHORTEST = ord("."), 6
+#: Symbols behind the first FULL characters: a for a-f, z for g-z, A for A-Z, 0 for digits, others as they are.
+FULL = 4
+SYMBOL = np.array([97 if 97 <= c <= 102 else 122 if 103 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
 
 
 def characters(text: bytes, spans: list[tuple]) -> list[tuple]:
@@ -59,41 +76,60 @@ def base_spans(text: bytes) -> list[tuple[str, int, int, bytes]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: bytes, base: list[tuple]) -> list[tuple[int, int, bytes]]:
-    """Runs of key characters with a letter and a digit that touch no base span."""
-    taken, out, i = [(s[1], s[2]) for s in base], [], 0
-    reach = [max(e for _, e in taken[: n + 1]) for n in range(len(taken))] if len(taken) < 50 else _reach(taken)
-    for m in CANDIDATE.finditer(text):
-        if not (DIGIT.search(m[0]) and LETTER.search(m[0])):
-            continue
-        while i < len(taken) and taken[i][0] < m.end():
-            i += 1
-        if not i or reach[i - 1] <= m.start():
-            out.append((m.start(), m.end(), m[0]))
-    return out
-
-
-def _reach(taken: list[tuple[int, int]]) -> list[int]:
-    out, top = [], 0
-    for _, e in taken:
-        top = max(top, e)
-        out.append(top)
-    return out
-
-
-def symbols(value: bytes) -> str:
-    """The first four characters as they are; then a for a-f, z for g-z, A for A-Z, 0 for digits, others as they are."""
-    text = value.decode("latin-1")
-    kinds = ["0" if c.isdigit() else "a" if c in "abcdef" else "z" if c.islower() else "A" if c.isupper() else c for c in text[4:]]
-    return text[:4] + "".join(kinds)
+def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of CHUNK bytes together, about; a longer text is one range."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or b"")
+        if held >= CHUNK or i + 1 == len(texts):
+            yield first, i + 1
+            first, held = i + 1, 0
+
+
+class Chunk:
+    """Texts as one array, their base spans and their candidates beside these."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.texts = [t or b"" for t in texts]
+        self.data = np.frombuffer(b"\0".join(self.texts), np.uint8)  # no candidate holds the byte between
+        size = np.array([len(t) + 1 for t in self.texts], np.int64)
+        self.first = np.cumsum(size) - size
+        self.base = [base_spans(t) for t in self.texts]
+        edges = np.diff(np.concatenate([[False], CANDIDATE[self.data], [False]]).astype(np.int8))
+        start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        solid = np.where(self.data == OPEN_END, -1, np.arange(len(self.data)))
+        if len(end):
+            end = np.maximum(np.maximum.accumulate(solid)[end - 1] + 1, start)
+        free = end - start >= SHORTEST
+        for first, spans in zip(self.first.tolist(), self.base, strict=True):
+            for _, a, b, _ in spans:  # runs are in order and apart
+                free[np.searchsorted(end, first + a, "right") : np.searchsorted(start, first + b, "left")] = False
+        self.start, self.end = start[free], end[free]
+        self.of = np.searchsorted(self.first, self.start, "right") - 1
+
+    def symbols(self) -> np.ndarray:
+        """How often each symbol stands in the candidates."""
+        sizes = self.end - self.start
+        at = np.repeat(self.start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        early = at - np.repeat(self.start, sizes) < FULL
+        return np.bincount(np.where(early, self.data[at], SYMBOL[self.data[at]]), minlength=256)
+
+    def value(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
+
+
+def symbols(value: bytes) -> bytes:
+    """The symbols of a value."""
+    data = np.frombuffer(value, np.uint8)
+    return data[:FULL].tobytes() + SYMBOL[data[FULL:]].tobytes()
 
 
 class Automaton:
     """A deterministic probabilistic automaton inferred from strings."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list, alpha: float = ALPHA):
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self.next: list[dict[str, int]] = [{}]
+        self.next: list[dict] = [{}]
         self.flow: list[Counter] = [Counter()]
         self.ends: list[int] = [0]
         for s in sorted(strings):
@@ -162,7 +198,7 @@ class Automaton:
         self.next = [{c: place[t] for c, t in self.next[s].items()} for s in red]
         self.flow, self.ends = [self.flow[s] for s in red], [self.ends[s] for s in red]
 
-    def log_likelihood(self, s: str) -> float:
+    def log_likelihood(self, s) -> float:
         """Natural log of the probability; what no training string did counts as one half of an occurrence."""
         state, out = 0, 0.0
         for c in s:
@@ -173,82 +209,149 @@ class Automaton:
             state = self.next[state].get(c)
         return out if state is None else out + math.log((self.ends[state] + 0.25) / (self._total(state) + 0.5))
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For strings of bytes: next state, natural log of each step and of an end; the last state is off the paths."""
+        n = len(self.next)
+        turn, step, end = np.full((n + 1, 256), n, np.int32), np.full((n + 1, 256), -math.log(self.alphabet)), np.zeros(n + 1)
+        for i in range(n):
+            step[i] = math.log(0.5 / self.alphabet / (self._total(i) + 0.5))
+            for c, m in self.flow[i].items():
+                step[i, c] = math.log((m + 0.5 / self.alphabet) / (self._total(i) + 0.5))
+            for c, t in self.next[i].items():
+                turn[i, c] = t
+            end[i] = math.log((self.ends[i] + 0.25) / (self._total(i) + 0.5))
+        return turn, step, end
+
 
 class Scorer:
     """Automata of labelled credentials and a background of single symbols."""
 
-    def __init__(self, labelled: dict[str, list[bytes]], background: list[bytes]):
-        counts = Counter(c for v in background for c in symbols(v))
-        self.total, self.counts = counts.total() + 64, counts
-        self.models: dict[str, tuple[Automaton, float]] = {}
+    def __init__(self, labelled: dict[str, list[bytes]], background: np.ndarray):
+        """background: how often each symbol stands in all candidates."""
+        self.back = np.log((background + 1) / (background.sum() + 256))
+        self.models: dict[str, tuple[Automaton, float, float]] = {}
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for kind in KINDS:
             values = sorted(labelled.get(kind, []))
-            if len(values) < 8:
+            if len(values) < LEAST_VALUES:
                 continue
             test, train = values[::4], [v for i, v in enumerate(values) if i % 4]
             model = Automaton([symbols(v) for v in train])
-            levels = sorted(self._ratio(model, symbols(v)) for v in test)
-            self.models[kind] = (model, max(0.5, levels[len(levels) // 20]))
-
-    def _ratio(self, model: Automaton, s: str) -> float:
-        """Log-likelihood ratio for each symbol."""
-        back = sum(math.log((self.counts[c] + 1) / self.total) for c in s)
-        return (model.log_likelihood(s) - back) / max(1, len(s))
-
-    def secret(self, value: bytes) -> bool:
-        s = symbols(value)
-        return any(self._ratio(model, s) >= level for model, level in self.models.values())
+            reached = [(self._ratio(model, s), len(s)) for s in map(symbols, test)]
+            each, whole = sorted(r / n for r, n in reached), sorted(r for r, _ in reached)
+            self.models[kind] = (model, max(0.5, each[len(each) // 20]), whole[len(whole) // 20])
+            self.tables.append(model.tables())
 
+    def _ratio(self, model: Automaton, s: bytes) -> float:
+        """Log-likelihood ratio of a string of symbols."""
+        return model.log_likelihood(s) - float(self.back[list(s)].sum())
 
-def _labelled():
-    def find(texts):
-        out = []
-        for t in texts:
-            t = t or b""
-            base = base_spans(t)
-            found = {(k, v) for k, _, _, v in base} | {("other", v) for _, _, v in candidates(t, base)}
-            out.append([{"kind": k, "value": v.decode("latin-1")} for k, v in sorted(found)])
-        return (out,)
+    def score(self, value: bytes) -> float:
+        """By how much, for each symbol, the best kind's ratio exceeds its levels; below 0 for no secret. -99 without
+        automata."""
+        s, n = symbols(value), len(value)
+        return max((min(r / n - each, (r - whole) / n) for r, each, whole in ((self._ratio(m, s), a, b) for m, a, b in self.models.values())), default=-99.0)
 
-    return find
+    def secret(self, value: bytes) -> bool:
+        return self.score(value) >= 0
+
+    def scores(self, chunk: Chunk) -> np.ndarray:
+        """The score of each candidate of a chunk."""
+        best = np.full(len(chunk.start), -99.0)
+        if not self.models:
+            return best
+        size = chunk.end - chunk.start
+        for i in np.flatnonzero(size > COLUMNS).tolist():
+            best[i] = self.score(chunk.value(i))
+        short = np.flatnonzero(size <= COLUMNS)
+        short = short[np.argsort(-size[short], kind="stable")]
+        start, size = chunk.start[short], size[short]
+        back, total = np.zeros(len(short)), np.zeros((len(self.tables), len(short)))
+        state = np.zeros((len(self.tables), len(short)), np.int32)
+        reach = np.searchsorted(-size, -np.arange(int(size.max()) if len(size) else 0), "left")  # candidates longer than k
+        for k, n in enumerate(reach.tolist()):
+            c = chunk.data[start[:n] + k]
+            c = c if k < FULL else SYMBOL[c]
+            back[:n] += self.back[c]
+            for j, (turn, step, _) in enumerate(self.tables):
+                total[j, :n] += step[state[j, :n], c]
+                state[j, :n] = turn[state[j, :n], c]
+        for j, (_, each, whole) in enumerate(self.models.values()):
+            ratio = total[j] + self.tables[j][2][state[j]] - back
+            best[short] = np.maximum(best[short], np.minimum(ratio / size - each, (ratio - whole) / size))
+        return best
+
+
+def _values():
+    """Distinct labelled values and counts of the candidates' symbols of a task."""
+
+    def run(batches):
+        seen, counts = set(), np.zeros(256, np.int64)
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for a, b in chunks(texts):
+                chunk = Chunk(texts[a:b])
+                counts += chunk.symbols()
+                fresh = {(k, v) for spans in chunk.base for k, _, _, v in spans} - seen
+                seen |= fresh
+                if fresh:
+                    yield _rows([(k, v, 0) for k, v in sorted(fresh)])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+        yield _rows([("symbol", bytes([c]), n) for c, n in enumerate(counts.tolist()) if n])
+
+    return run
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    kinds = (pa.string(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "value", "n"])
 
 
 def fit(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> Scorer:
-    """Automata from at most `examples` distinct labelled values of each kind; every text is searched for them."""
-    each = annotate(docs, text, _labelled, [structs("found", string("kind"), string("value"))], keep=[])
-    values = each.select(F.explode("found").alias("x")).select("x.kind", "x.value").distinct()
+    """Automata from at most `examples` distinct labelled values of each kind; every text is searched for them, once."""
+    made = docs.select(F.col(name(text)).cast("string")).mapInArrow(lambda batches: _values()(batches), "kind string, value binary, n long")
+    values = cut_lineage(made.groupBy("kind", "value").agg(F.sum("n").alias("n")))
     sample: dict[str, list[bytes]] = {}
-    least = values.groupBy("kind").agg(F.min_by("value", F.xxhash64("value")).alias("value"))  # kinds present
-    kinds = sorted(r["kind"] for r in least.collect())
-    chosen = None
-    for kind in kinds:
-        part = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples)
-        chosen = part if chosen is None else chosen.union(part)
-    for r in chosen.collect() if chosen is not None else []:
-        sample.setdefault(r["kind"], []).append(r["value"].encode("latin-1"))
-    return Scorer(sample, sample.get("other", []))
+    for kind in KINDS:
+        least = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples)
+        sample[kind] = [bytes(r["value"]) for r in least.collect()]
+    counts = np.zeros(256, np.int64)
+    for r in values.where("kind = 'symbol'").collect():  # 256 rows at most
+        counts[r["value"][0]] = r["n"]
+    return Scorer(sample, counts)
+
+
+def all_spans(texts: list[bytes | None], scorer: Scorer) -> list[list[tuple[str, int, int, float]]]:
+    """(kind, start, end, score) of the secrets of each text, in bytes, by start and then kind as listed."""
+    out: list[list[tuple]] = []
+    for a, b in chunks(texts):
+        chunk = Chunk(texts[a:b])
+        found = [[(k, x, y, scorer.score(v)) for k, x, y, v in spans] for spans in chunk.base]
+        scores = scorer.scores(chunk)
+        for i in np.flatnonzero(scores >= 0).tolist():
+            at = int(chunk.first[chunk.of[i]])
+            found[chunk.of[i]].append(("format", int(chunk.start[i]) - at, int(chunk.end[i]) - at, float(scores[i])))
+        out += [sorted(spans, key=lambda s: (s[1], (*KINDS, "format").index(s[0]))) for spans in found]
+    return out
 
 
 def _finder(shared):
     scorer = shared.value
 
     def find(texts):
-        out = []
-        for t in texts:
-            t = t or b""
-            base = base_spans(t)
-            more = [("format", a, b) for a, b, v in candidates(t, base) if scorer.secret(v)]
-            spans = characters(t, sorted([s[:3] for s in base] + more, key=lambda s: (s[1], (*KINDS, "format").index(s[0]))))
-            out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-        return (out,)
+        marked = (characters(t or b"", spans) for t, spans in zip(texts, all_spans(texts, scorer), strict=True))
+        return ([[{"kind": k, "start": a, "end": b, "score": x} for k, a, b, x in spans] for spans in marked],)
 
     return find
 
 
 def find_secrets(docs: DataFrame, scorer: Scorer, text: str = "text", keep=None) -> DataFrame:
-    """row and spans (kind, start, end) for each row of docs. No shuffle."""
+    """row and spans (kind, start, end, score) for each row of docs. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    return annotate(docs, text, partial(_finder, shared), [structs("spans", string("kind"), long("start"), long("end"))], keep)
+    fields = [structs("spans", string("kind"), long("start"), long("end"), double("score"))]
+    return annotate(docs, text, partial(_finder, shared), fields, keep)
 
 
 def _redactor(shared, mark):
@@ -256,12 +359,9 @@ def _redactor(shared, mark):
 
     def clean(texts):
         out, numbers = [], []
-        for t in texts:
-            body = t or b""
-            base = base_spans(body)
-            spans = [s[1:3] for s in base] + [(a, b) for a, b, v in candidates(body, base) if scorer.secret(v)]
-            parts, at = [], 0
-            for a, b in sorted(spans):
+        for t, spans in zip(texts, all_spans(texts, scorer), strict=True):
+            body, parts, at = t or b"", [], 0
+            for _, a, b, _ in spans:
                 if a >= at:
                     parts += [body[at:a], mark]
                 at = max(at, b)

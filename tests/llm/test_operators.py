@@ -348,7 +348,7 @@ def test_secrets(spark, docs, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret.find_secrets(df, secret.fit(df)).select("row.doc_id", "spans").collect()}
     assert all(got[i] == ["assign"] for i in range(120))
-    assert sum(got[1000 + i] == ["format"] for i in range(20)) >= 15
+    assert sum(got[1000 + i] == ["format"] for i in range(20)) >= 15  # labelled values hidden among the candidates
     assert sum(bool(got[2000 + i]) for i in range(80)) == 0
     assert secret.find_secrets(nothing, secret.fit(nothing)).count() == 0
     clean = secret.redact(docs)
@@ -357,6 +357,25 @@ def test_secrets(spark, docs, nothing):
     assert clean.where("text is null").count() == 1
 
 
+def test_chunk_scores_are_those_of_values():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcXYZ019.=- é\n"), rng.integers(0, 90))).encode() for _ in range(200)] + [None, b"", b"token=" + b"ab1" * 400, b"x" * 3000, b"." * 40]
+    chunk = secret.Chunk(texts)
+    want = []
+    for t in texts:
+        base = secret.base_spans(t or b"")
+        for m in re.finditer(rb"[A-Za-z0-9+/_.=-]+", t or b""):
+            end = m.start() + max(len(m[0].rstrip(b".")), 0)
+            if end - m.start() >= 6 and not any(a < end and b > m.start() for _, a, b, _ in base):
+                want.append((t or b"")[m.start() : end])
+    assert [chunk.value(i) for i in range(len(chunk.start))] == want
+    counts = Counter(c for v in want for c in secret.symbols(v))
+    assert {c: n for c, n in enumerate(chunk.symbols().tolist()) if n} == dict(counts)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 20)).encode() for _ in range(60)]
+    scorer = secret.Scorer({"assign": keys}, chunk.symbols())
+    assert scorer.scores(chunk) == pytest.approx([scorer.score(v) for v in want])
+
+
 def test_automaton():
     a = secret.Automaton([s for k in range(1, 9) for s in ["ab" * k] * 2 ** (9 - k)])
     assert a.log_likelihood("ababab") > a.log_likelihood("abbbab") + 3
