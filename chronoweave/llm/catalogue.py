@@ -189,4 +189,5 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(docs, pii.fit(docs), keep=["doc_id"])
     base = found.withColumn("base", F.filter("spans", lambda x: x["base"] == 1))
     count = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return base.select("row.doc_id", *count, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+    sure = F.array_join(F.transform("spans", lambda x: F.format_string("%.3f:%.3f", x["votes"], x["shape"])), ",").alias("probabilities")
+    return base.select("row.doc_id", *count, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"), sure)

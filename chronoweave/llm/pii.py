@@ -1,15 +1,16 @@
 """Personal data by weak supervision.
 
 Candidates are the base matches and looser shapes (spelt-out e-mail addresses, number groups that could be
-telephone or card numbers). Labelers vote on each: a strict regular expression, a gazetteer (top-level domains,
-number prefixes, first octets) and the words in front. Votes are 1, -1 or 0 for no opinion. Expectation-
-maximisation estimates from the counts of vote patterns of all candidates of all texts how reliable each labeler
-is for each kind, and with that how likely each pattern is a true span. These likelihoods are the soft labels
-from which the span classifier, a logistic model over the shape of a span, is trained. Candidates that are no
-base matches become spans when vote pattern and classifier both reach `sure`. Base spans always stay.
+telephone or card numbers, long numbers and dotted quads that fail the base rules). Labelers vote on each: a strict
+regular expression, a gazetteer (top-level domains, number prefixes, first octets) and the words in front. Votes are
+1, -1 or 0 for no opinion. Expectation-maximisation estimates from the counts of vote patterns of all candidates of
+all texts how reliable each labeler is for each kind, and with that how likely each pattern is a true span. These
+likelihoods are the soft labels from which the span classifier, a logistic model over the shape of a span, is trained.
+Candidates that are no base matches become spans when vote pattern and classifier both reach `sure`. Base spans always
+stay, and every span carries both probabilities.
 
-Both fits use counts by pattern, which Spark sums over all data; the numbers of patterns are bounded by the
-features' value sets, not by the data.
+The reliabilities come from counts of the vote patterns of all data, of which there are 27 for each kind. The classifier
+is trained on `shapes` different pairs of shape and pattern at most, those of the smallest hashes, with their counts.
 
 Defined cases: null and empty texts have no spans; without candidates nothing is added; repeated rows get equal
 results; offsets are code points, end exclusive.
@@ -24,12 +25,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import annotate, long, string, structs
+from chronoweave.session import cut_lineage
+
+from .rows import annotate, double, long, string, structs
 from .secret import characters
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context")
 SURE = 0.9
+#: Different pairs of shape and vote pattern that train the classifier.
+SHAPES = 20_000
 
 #: Fixed patterns of the base kinds over UTF-8 bytes. A match never starts inside a run of digits that failed as a
 #: whole, and possessive repeats give nothing back, so each finds what the plain pattern finds, in linear time.
@@ -41,6 +46,8 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 #: Looser shapes.
 SPELT = re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[]at[)\]]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[(\[]dot[)\]]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+)+")
 GROUPS = re.compile(rb"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?(?:[\x20.-]{1,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9A-Za-z])")
+LOCAL_NUMBER = re.compile(rb"(?<![0-9A-Za-z+().-])(?<![0-9)][\x20])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])")
+LONG_NUMBER = re.compile(rb"(?<![0-9A-Za-z.])[0-9]{12,19}+(?![0-9A-Za-z]|\.[0-9])")
 NOT_DIGIT = re.compile(rb"[^0-9]")
 #: Fixed word lists of the gazetteer and context labelers.
 DOMAINS = set(b"com org net edu gov int info biz io co uk de fr es it nl eu us ca au ch at be se no dk fi pl pt jp cn in br mx ru".split())
@@ -103,6 +110,9 @@ def loose_spans(text: bytes, base: list[tuple]) -> list[tuple[str, int, int]]:
         n = len(NOT_DIGIT.sub(b"", m[0]))
         if 9 <= n <= 19:
             out.append(("phone" if n <= 11 else "card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in LOCAL_NUMBER.finditer(text)]
+    out += [("card", m.start(), m.end()) for m in LONG_NUMBER.finditer(text)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text)]
     taken, free, i = sorted((a, b) for _, a, b in base), [], 0
     reach = 0
     for kind, a, b in sorted(out, key=lambda x: x[1]):
@@ -124,7 +134,9 @@ def votes(text: bytes, kind: str, start: int, end: int) -> tuple[int, int, int]:
         listed = 1 if re.split(rb"[.\x20)\]]+", span.strip(b")]"))[-1].lower() in DOMAINS else -1
     elif kind == "ip":
         strict = 1 if all(len(p) == 1 or p[:1] != b"0" for p in span.split(b".")) else -1
-        listed = 1 if 1 <= int(span.split(b".")[0]) <= 223 else -1
+        first = span.split(b".")[0].lstrip(b"0")
+        strict = strict if all(len(p) <= 3 and int(p) <= 255 for p in span.split(b".")) else -1
+        listed = 1 if 1 <= len(first) <= 3 and int(first) <= 223 else -1
     elif kind == "card":
         strict = 1 if 12 <= len(digits) <= 19 and luhn(digits) else -1
         listed = 1 if digits[:1] in (b"4", b"5") or digits[:2] in (b"34", b"37", b"35", b"60", b"62", b"65") else -1
@@ -138,11 +150,12 @@ def votes(text: bytes, kind: str, start: int, end: int) -> tuple[int, int, int]:
 def shape(text: bytes, kind: str, start: int, end: int) -> str:
     """The features of a span that the classifier reads, each with few values."""
     span = text[start:end]
-    digits = sum(48 <= c <= 57 for c in span)
+    number = NOT_DIGIT.sub(b"", span)
+    digits, check = len(number), luhn(number) if kind == "card" else ""
     marks = "".join(chr(c) for c in b" .-()+@" if c in span)
     side = chr(text[start - 1]) if start and text[start - 1] in b" \n(:,\"'" else "" if not start else "x"
     groups = min(6, len(re.findall(rb"[0-9]+", span)))
-    return "\t".join([f"k:{kind}", f"d:{kind}{min(digits, 20)}", f"m:{kind}{marks}", f"s:{side!r}", f"g:{kind}{groups}", f"l:{min(len(span) // 6, 8)}"])
+    return "\t".join([f"k:{kind}", f"d:{kind}{min(digits, 20)}", f"m:{kind}{marks}", f"s:{side!r}", f"g:{kind}{groups}", f"f:{kind}{number[:1].decode()}{check}", f"l:{min(len(span) // 6, 8)}"])
 
 
 def _patterns():
@@ -231,46 +244,44 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Labels, Classifier]:
-    """Both models, from pattern counts over all texts."""
+def fit(docs: DataFrame, text: str = "text", shapes: int = SHAPES) -> tuple[Labels, Classifier]:
+    """Both models, from the candidates of all texts."""
     fields = [structs("found", string("kind"), long("base"), string("votes"), string("shape"))]
-    each = annotate(docs, text, _patterns, fields, keep=[]).select(F.explode("found").alias("x")).select("x.*")
-    counted = each.groupBy("kind", "votes", "shape").count().collect()  # bounded by the features' values
-    patterns: dict = {}
-    for r in counted:
-        key = (r["kind"], tuple(map(int, r["votes"].split(","))))
-        patterns[key] = patterns.get(key, 0) + r["count"]
-    labels = Labels(patterns)
+    each = annotate(docs, text, _patterns, fields, keep=[]).select(F.explode("found").alias("x")).select("x.kind", "x.votes", "x.shape")
+    counted = cut_lineage(each.groupBy("kind", "votes", "shape").count())
+    pattern = lambda r: (r["kind"], tuple(map(int, r["votes"].split(","))))
+    labels = Labels({pattern(r): r["n"] for r in counted.groupBy("kind", "votes").agg(F.sum("count").alias("n")).collect()})
     rows: dict = {}
-    for r in counted:
+    for r in counted.orderBy(F.xxhash64("kind", "votes", "shape"), "kind", "votes", "shape").limit(shapes).collect():
         p, n = rows.get(r["shape"], (0.0, 0.0))
-        rows[r["shape"]] = (p + r["count"] * labels.true(r["kind"], tuple(map(int, r["votes"].split(",")))), n + r["count"])
+        rows[r["shape"]] = (p + r["count"] * labels.true(*pattern(r)), n + r["count"])
     return labels, Classifier([(s, p / n, n) for s, (p, n) in sorted(rows.items())])
 
 
 def _finder(shared, sure):
     labels, classifier = shared.value
 
+    def rate(text, kind, a, b):
+        return labels.true(kind, votes(text, kind, a, b)), classifier.true(shape(text, kind, a, b))
+
     def find(texts):
         out = []
         for t in texts:
             t = t or b""
             base = base_spans(t)
-            more = [
-                (k, a, b) for k, a, b in loose_spans(t, base)
-                if labels.true(k, votes(t, k, a, b)) >= sure and classifier.true(shape(t, k, a, b)) >= sure
-            ]
-            known = {s: 1 for s in base}
-            spans = sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0])))
-            marked = characters(t, [(*s, s in known) for s in spans])
-            out.append([{"kind": k, "start": a, "end": b, "base": int(base)} for k, a, b, base in marked])
+            spans = [(k, a, b, 1, *rate(t, k, a, b)) for k, a, b in base]
+            loose = [(k, a, b, 0, *rate(t, k, a, b)) for k, a, b in loose_spans(t, base)]
+            spans += [s for s in loose if min(s[4:]) >= sure]
+            spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+            out.append([dict(zip(("kind", "start", "end", "base", "votes", "shape"), s, strict=True)) for s in characters(t, spans)])
         return (out,)
 
     return find
 
 
 def find_personal(docs: DataFrame, models: tuple[Labels, Classifier], text: str = "text", sure: float = SURE, keep=None) -> DataFrame:
-    """row and spans (kind, start, end, base) for each row of docs. No shuffle."""
+    """row and spans (kind, start, end, base, and the probabilities by its votes and by its shape) for each row of
+    docs. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    fields = [structs("spans", string("kind"), long("start"), long("end"), long("base"))]
+    fields = [structs("spans", string("kind"), long("start"), long("end"), long("base"), double("votes"), double("shape"))]
     return annotate(docs, text, partial(_finder, shared, sure), fields, keep)
