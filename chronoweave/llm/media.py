@@ -1,12 +1,13 @@
 """ISO base media containers: text payloads stored as samples, and a walk over boxes that never decodes them.
 
 `pack` lays a payload out as ftyp, moov and mdat with one track of 64-byte samples; `walk` and `describe` read
-any such file: nested boxes by their sizes (32-bit, 64-bit, or to the end), the sample description's codec, the
-movie header's duration, and the sample tables (stsz, stsc, stco or co64, stss) for the byte ranges of key
-frames. Sample bytes are located, not interpreted.
+any such file: nested boxes by their sizes (32-bit, 64-bit, or to the end), of each track the sample description's
+codec and the sample tables (stsz, stsc, stco or co64, stss) for the byte ranges of key frames, the movie header's
+duration, and the runs of movie fragments (moof, traf, trun). Sample bytes are located, not interpreted.
 
 Defined cases: null and empty texts are 64 zero bytes; equal texts give equal files; a file cut short or with a
-box that is smaller than its header ends the walk there, and tables that are missing read as empty.
+box that is smaller than its header ends the walk there. Tables and headers that are missing or too short read as
+empty; counts are bounded by the bytes that are there, and ranges by the file.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SAMPLE = 64
 CHUNK, KEY, RATE = 16, 30, 25
 CODEC = b"raw "
 #: Fixed names of boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -86,10 +87,13 @@ def pack(payload: bytes) -> bytes:
     return head(before) + data
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, body start, body end) of every box, parents before children."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+    todo = [(at, len(data) if end is None else end, ())]
+    while todo:
+        at, end, path = todo.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1 and at + 16 <= end:
@@ -97,55 +101,148 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
         elif size == 0:
             size = end - at
         if size < body - at or at + size > end:
-            return
+            continue
         yield (*path, kind), body, at + size
-        if kind in CONTAINERS:
-            yield from walk(data, body, at + size, (*path, kind))
-        at += size
+        todo.append((at + size, end, path))
+        # containers in containers as deep as any real file has them
+        if kind in CONTAINERS and len(path) < 16:
+            todo.append((body, at + size, (*path, kind)))
+
+
+Places = dict[bytes, tuple[int, int]]
+
+
+def _places(data: bytes, start: int, end: int) -> Places:
+    """The first box of each kind in a part of a file."""
+    out: Places = {}
+    for path, a, b in walk(data, start, end):
+        out.setdefault(path[-1], (a, b))
+    return out
+
+
+def _fields(data: bytes, place: tuple[int, int] | None, form: str, at: int) -> tuple[int, ...]:
+    """Values at a place of a box's body; zeros where the body is too short or missing."""
+    if place is None or place[0] + at + struct.calcsize(form) > place[1]:
+        return (0,) * len(form.lstrip(">"))
+    return struct.unpack_from(form, data, place[0] + at)
+
+
+def _table(data: bytes, place: tuple[int, int] | None, form: str, skip: int = 8, columns: int = 1) -> np.ndarray:
+    """A counted table's entries; `skip` bytes of version, flags and counts stand before them."""
+    if place is None or place[1] - place[0] < skip:
+        return np.zeros((0, columns), np.int64)
+    a, b = place
+    n = min(struct.unpack_from(">I", data, a + skip - 4)[0], (b - a - skip) // (np.dtype(form).itemsize * columns))
+    values = np.frombuffer(data, form, n * columns, a + skip)
+    return np.minimum(values.astype(np.uint64), np.uint64(1 << 62)).astype(np.int64).reshape(-1, columns)
+
+
+def _sample_ranges(data: bytes, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and numbers of key frames of the samples of a track, by its tables."""
+    each, n = _fields(data, places.get(b"stsz"), ">II", 4)
+    sizes = np.full(min(n, len(data) // each), each, np.int64) if each else _table(data, places.get(b"stsz"), ">u4", 12)[:, 0]
+    offsets = _table(data, places.get(b"co64"), ">u8")[:, 0] if b"co64" in places else _table(data, places.get(b"stco"), ">u4")[:, 0]
+    runs = _table(data, places.get(b"stsc"), ">u4", columns=3)
+    if not len(runs) or not len(offsets) or not len(sizes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = np.searchsorted(runs[:, 0], np.arange(1, len(offsets) + 1), "right") - 1
+    in_chunk = np.where(run >= 0, np.minimum(runs[run, 1], len(sizes)), 0)
+    used = int(np.searchsorted(np.cumsum(in_chunk), len(sizes))) + 1  # chunks until all samples are placed
+    of = np.repeat(np.arange(len(in_chunk[:used])), in_chunk[:used])[: len(sizes)]
+    sizes = sizes[: len(of)]
+    before = np.cumsum(sizes) - sizes
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    starts = offsets[of] + before - before[first][np.searchsorted(first, np.arange(len(of)), "right") - 1]
+    keys = _table(data, places.get(b"stss"), ">u4")[:, 0] - 1 if b"stss" in places else np.arange(len(starts))
+    return starts, sizes, keys[(keys >= 0) & (keys < len(starts))]
+
+
+#: Fixed flags of fragments' headers and of a sample that is no key frame.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS = 1, 2, 8, 16, 32
+RUN_OFFSET, RUN_FIRST, RUN_COLUMNS = 1, 4, (0x100, 0x200, 0x400, 0x800)
+NO_KEY = 0x10000
+
+
+def _fragment(data: bytes, moof: int, start: int, end: int, extends: dict[int, tuple[int, ...]]) -> tuple[int, list[tuple[int, int, bool]]]:
+    """Track and samples (start, size, key frame) of a traf box; moof is where its fragment begins."""
+    header = _places(data, start, end).get(b"tfhd")
+    flags, track = _fields(data, header, ">II", 0)
+    at, given = 8, {}
+    for flag, form in ((BASE_OFFSET, ">Q"), (DESCRIPTION, ">I"), (DURATION, ">I"), (SIZE, ">I"), (FLAGS, ">I")):
+        if flags & flag:
+            given[flag] = _fields(data, header, form, at)[0]
+            at += struct.calcsize(form)
+    usual = extends.get(track, (0, 0))
+    size, kind, place = given.get(SIZE, usual[0]), given.get(FLAGS, usual[1]), given.get(BASE_OFFSET, moof)
+    out = []
+    for path, a, b in walk(data, start, end):
+        if path != (b"trun",):
+            continue
+        flags, n = _fields(data, (a, b), ">II", 0)
+        at, base = a + 8, given.get(BASE_OFFSET, moof)
+        if flags & RUN_OFFSET:
+            place = base + _fields(data, (a, b), ">i", at - a)[0]
+            at += 4
+        first = None
+        if flags & RUN_FIRST:
+            first = _fields(data, (a, b), ">I", at - a)[0]
+            at += 4
+        columns = [c for c in RUN_COLUMNS if flags & c]
+        n = min(n, (b - at) // (4 * len(columns)) if columns and b > at else len(data) // max(1, size) if not columns else 0)
+        rows = np.frombuffer(data, ">u4", n * len(columns), at).reshape(n, len(columns)).tolist() if columns else [()] * n
+        for i, row in enumerate(rows):
+            own = dict(zip(columns, row, strict=True))
+            each = own.get(RUN_COLUMNS[1], size)
+            mark = own.get(RUN_COLUMNS[2], first if i == 0 and first is not None else kind)
+            out.append((max(0, place), each, not mark & NO_KEY))
+            place += each
+    return track, out
+
+
+def describe_tracks(data: bytes) -> list[dict]:
+    """codec, time scale, duration, sample ranges and key frame ranges of every track, in the file's order."""
+    movie: Places = {}
+    tracks, fragments, extends, moof = [], [], {}, 0
+    for path, a, b in walk(data):
+        if path == (b"moov", b"mvhd"):
+            movie.setdefault(b"mvhd", (a, b))
+        elif path == (b"moov", b"trak"):
+            tracks.append(_places(data, a, b))
+        elif path == (b"moov", b"mvex", b"trex"):
+            track, _, _, size, flags = _fields(data, (a, b), ">IIIII", 4)
+            extends[track] = size, flags
+        elif path == (b"moof",):
+            moof = a - 8
+        elif path == (b"moof", b"traf"):
+            fragments.append(_fragment(data, moof, a, b, extends))
+    head = movie.get(b"mvhd")
+    long_form = bool(head and head[1] > head[0] and data[head[0]] == 1)
+    scale, duration = _fields(data, head, ">IQ" if long_form else ">II", 20 if long_form else 12)
+    out = []
+    for places in tracks:
+        starts, sizes, keys = _sample_ranges(data, places)
+        head = places.get(b"tkhd")
+        number = _fields(data, head, ">I", 20 if head and head[1] > head[0] and data[head[0]] == 1 else 12)[0]
+        more = [x for track, samples in fragments if track == number for x in samples]
+        if more:
+            keys = np.concatenate([keys, len(starts) + np.flatnonzero([k for _, _, k in more])])
+            starts, sizes = np.concatenate([starts, [x[0] for x in more]]), np.concatenate([sizes, [x[1] for x in more]])
+        codec = places.get(b"stsd")
+        begin, stop = np.minimum(starts, len(data)), np.minimum(starts + sizes, len(data))
+        out.append(
+            {
+                "codec": data[codec[0] + 12 : min(codec[0] + 16, codec[1])].decode("latin-1") if codec else "",
+                "scale": int(scale), "duration": int(duration), "starts": begin, "sizes": stop - begin, "keys": np.stack([begin[keys], stop[keys]], axis=1),
+            }
+        )
+    return out
 
 
 def describe(data: bytes) -> dict:
-    """codec, time scale, duration, sample ranges and key frame ranges of a file's first track."""
-    places: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data):
-        places.setdefault(path[-1], (a, b))
-
-    def table(kind: bytes, form: str, skip: int = 8, columns: int = 1) -> np.ndarray:
-        """A counted table's entries; `skip` bytes of version, flags and counts stand before them."""
-        if kind not in places or places[kind][1] - places[kind][0] < skip:
-            return np.zeros((0, columns), np.int64)
-        a, b = places[kind]
-        n = struct.unpack_from(">I", data, a + skip - 4)[0] * columns
-        n = min(n, (b - a - skip) // np.dtype(form).itemsize)
-        return np.frombuffer(data, form, n, a + skip).astype(np.int64).reshape(-1, columns)
-
-    scale = duration = 0
-    if b"mvhd" in places:
-        a = places[b"mvhd"][0]
-        scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-    codec = data[places[b"stsd"][0] + 12 : places[b"stsd"][0] + 16].decode("latin-1") if b"stsd" in places else ""
-    sizes = np.zeros(0, np.int64)
-    if b"stsz" in places:
-        each, n = struct.unpack_from(">II", data, places[b"stsz"][0] + 4)
-        sizes = np.full(n, each, np.int64) if each else table(b"stsz", ">u4", 12)[:, 0]
-    offsets = table(b"co64", ">u8")[:, 0] if b"co64" in places else table(b"stco", ">u4")[:, 0]
-    runs = table(b"stsc", ">u4", columns=3)
-    if len(runs) and len(offsets):
-        chunk = np.arange(1, len(offsets) + 1)
-        in_chunk = runs[np.searchsorted(runs[:, 0], chunk, "right") - 1, 1]
-        of = np.repeat(np.arange(len(offsets)), in_chunk)[: len(sizes)]
-        sizes = sizes[: len(of)]
-        before = np.cumsum(sizes) - sizes
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        starts = offsets[of] + before - before[first][np.searchsorted(first, np.arange(len(of)), "right") - 1]
-    else:
-        starts = sizes = np.zeros(0, np.int64)
-    keys = table(b"stss", ">u4")[:, 0] - 1 if b"stss" in places else np.arange(len(starts))
-    keys = keys[keys < len(starts)]
-    return {
-        "codec": codec, "scale": int(scale), "duration": int(duration), "starts": starts, "sizes": sizes,
-        "keys": np.stack([starts[keys], starts[keys] + sizes[keys]], axis=1),
-    }
+    """The description of a file's first track; an empty one where there is none."""
+    none = np.zeros(0, np.int64)
+    empty = {"codec": "", "scale": 0, "duration": 0, "starts": none, "sizes": none, "keys": np.zeros((0, 2), np.int64)}
+    return next(iter(describe_tracks(data)), empty)
 
 
 def read_back(data: bytes, about: dict) -> bytes:
