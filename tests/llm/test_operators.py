@@ -267,6 +267,25 @@ def test_licences(spark, docs, nothing):
         assert r["n_words"] == len(words_of(r["text"]))
     assert license_scan.scan(nothing).count() == 0
     assert len(license_scan.rules()) > 200
+    bodies = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the ...",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "PERMISSION TO USE, COPY, MODIFY, AND/OR DISTRIBUTE THIS SOFTWARE FOR ANY PURPOSE WITH OR WITHOUT FEE IS HEREBY GRANTED",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "this program is free software: by all means",
+        "see <https://creativecommons.org/licenses/by-nc/4.0>", "Dual: MIT licence or the GPL version 3",
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i long, text string")
+    labels = {r["row"]["i"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert labels == {0: ["mit"], 1: ["bsd-2-clause"], 2: ["isc"], 3: ["mpl"], 4: [], 5: ["cc-by-nc"], 6: ["gpl", "mit"]}
+
+
+def test_every_signature_and_name(spark):
+    rules = {**license_scan.names(), **license_scan.signatures()}
+    df = spark.createDataFrame([(p, "before it, " + p.replace("#", "").upper().replace(" ", "-") + "; after it") for p in rules], "p string, text string")
+    got = {r["row"]["p"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert len(got) == len(rules)
+    missed = {p: (got[p], label) for p, label in rules.items() if label not in got[p] and not got[p]}
+    assert not missed
 
 
 # media
@@ -288,6 +307,54 @@ def test_media(docs, nothing):
     assert media.store(nothing).count() == 0
 
 
+def track(number, sizes, offsets, in_chunk, keys=None, wide=False, codec=b"avc1"):
+    import struct
+
+    whole = lambda kind, *parts: media.full(kind, *[struct.pack(">I", p) if isinstance(p, int) else p for p in parts])
+    many = lambda values, form=">I": b"".join(struct.pack(form, v) for v in values)
+    boxes = [whole(b"stsd", 1, media.box(codec, bytes(8))), whole(b"stsz", 0, len(sizes), many(sizes)), whole(b"stsc", 1, many([1, in_chunk, 1]))]
+    boxes += [whole(b"co64", len(offsets), many(offsets, ">Q")) if wide else whole(b"stco", len(offsets), many(offsets))]
+    boxes += [whole(b"stss", len(keys), many(keys))] if keys else []
+    return media.box(b"trak", whole(b"tkhd", 0, 0, number, 0), media.box(b"mdia", media.box(b"minf", media.box(b"stbl", *boxes))))
+
+
+def test_media_tracks_and_fragments():
+    import struct
+
+    two = media.box(b"moov", track(1, [10, 20, 30, 40], [1000, 2000], 2), track(2, [5, 6, 7], [3000], 3, keys=[2], wide=True, codec=b"mp4a"))
+    data = two + bytes(4000)
+    one, other = media.describe_tracks(data)
+    assert one["codec"] == "avc1" and one["keys"].tolist() == [[1000, 1010], [1010, 1030], [2000, 2030], [2030, 2070]]
+    assert other["codec"] == "mp4a" and other["keys"].tolist() == [[3005, 3011]] and other["starts"].tolist() == [3000, 3005, 3011]
+    run = media.full(b"trun", struct.pack(">IiI", 2, 100, 0), struct.pack(">II", 50, 60), flags=0x205)
+    moof = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">II", 1, media.NO_KEY), flags=0x20), run))
+    first = media.describe(two + moof + bytes(4000))
+    at = len(two)
+    assert first["starts"].tolist()[4:] == [at + 100, at + 150] and first["keys"].tolist()[4:] == [[at + 100, at + 150]]
+
+
+def test_damaged_media():
+    import struct
+
+    good = media.box(b"moov", track(1, [10, 20, 30, 40], [1000, 2000], 2, keys=[1]), media.full(b"mvhd")) + bytes(300)
+    made = media.pack(media.pad(b"some text" * 40))
+    rng = np.random.default_rng(11)
+    for data in (good, made):
+        for cut in range(0, min(len(data), 900), 7):
+            media.read_back(data[:cut], media.describe(data[:cut]))
+        for _ in range(300):
+            bad = bytearray(data)
+            for i in rng.integers(0, min(len(data), 900), 6):
+                bad[i] = rng.integers(0, 256)
+            media.read_back(bytes(bad), media.describe(bytes(bad)))
+    short = media.box(b"moov", media.box(b"mvhd", b"\1"), media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", media.box(b"stsz", b"\0"))))))
+    assert media.describe(short)["duration"] == 0 and len(media.describe(short)["starts"]) == 0
+    huge = media.box(b"moov", media.box(b"trak", media.box(b"stbl", media.full(b"stsz", struct.pack(">II", 1, 2**32 - 1)), media.full(b"stsc", struct.pack(">IIII", 1, 1, 2**32 - 1, 1)), media.full(b"stco", struct.pack(">II", 1, 0)))))
+    assert len(media.describe(huge)["starts"]) <= len(huge)
+    deep = b"".join(struct.pack(">I4s", 0, b"moov") for _ in range(5000))
+    assert media.describe(deep)["codec"] == ""
+
+
 # personal data and secrets
 
 
@@ -327,6 +394,31 @@ def test_personal_data(spark, docs, nothing):
     assert pii.find_personal(nothing, pii.fit(nothing)).count() == 0
 
 
+def test_card_numbers_are_told_from_others(spark):
+    rng = np.random.default_rng(12)
+
+    def number(first, good):
+        while True:
+            digits = first + "".join(map(str, rng.integers(0, 10, 15)))
+            if pii.luhn(digits.encode()) == good:
+                return digits
+
+    rows, truth = [], {}
+    for i in range(400):
+        real = i % 2 == 0
+        # a third of the real ones follow another number, so that the base pattern sees one long number
+        value = number(str(rng.choice(["4", "5"])) if real else str(rng.choice(["1", "7", "9"])), real)
+        text = f"paid with card {value} today" if not real or i % 3 else f"from {number('9', False)} {value} today"
+        rows.append((i, text))
+        truth[i] = (text.index(value), text.index(value) + 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal(df, pii.fit(df)).select("row.doc_id", "spans").collect()}
+    hit = sum(any((s["start"], s["end"]) == truth[i] for s in found[i]) == (i % 2 == 0) for i in range(400))
+    assert hit / 400 > 0.95
+    assert any(not s["base"] for i in found for s in found[i])
+    assert all(0 <= s["votes"] <= 1 and 0 <= s["shape"] <= 1 for i in found for s in found[i])
+
+
 def test_secret_base():
     patterns = {
         "assign": r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",

@@ -1,5 +1,9 @@
 """The registered queries on the smallest tables, and the pipeline's stages against brute force."""
 
+import hashlib
+import re
+import zlib
+
 import duckdb
 import pytest
 
@@ -9,8 +13,8 @@ CONTRACT = {
     "op1_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op2_simhash": ["doc_id", "fingerprint", "component_id"],
     "op3_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-    "op4_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-    "op5_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op4_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "probabilities"],
+    "op5_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"],
     "op6_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op7_line_dedup": ["doc_id", "n_removed", "removed", "kept_sha256"],
     "op8_media": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
@@ -36,6 +40,78 @@ def test_query(spark, name):
         assert (a == b).all().all()
 
 
+def sha(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text, patterns, good):
+    found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, text) if good(k, m)]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+def personal(k, m):
+    digits = re.sub("[^0-9]", "", m[0])
+    return {"email": True, "ip": k != "ip" or max(map(int, m[0].split("."))) <= 255, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[k]
+
+
+PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+SECRET = {"assign": r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+
+
+def secret_good(k, m):
+    return len(m[2] if k == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[k]
+
+
+@pytest.mark.parametrize("name,patterns,good", [("op4_personal_data", PERSONAL, personal), ("op5_secrets", SECRET, secret_good)])
+def test_base_spans_of_queries(spark, name, patterns, good):
+    from chronoweave.llm import catalogue
+
+    folder = SMALL.replace("sf0.001", "sf0.01")  # the smallest tables hold no secrets
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = catalogue.QUERIES[name](spark, folder).collect()
+    assert len(rows) == len(texts) and sum(bool(r["spans"]) for r in rows) > 3
+    for r in rows:
+        want = base_spans(texts[r["doc_id"]], patterns, good)
+        assert [r[f"n_{k}"] for k in patterns] == [sum(w.startswith(k + ":") for w in want) for k in patterns]
+        assert r["base_sha256"] == sha(",".join(want)) and not set(want) - set(r["spans"].split(","))
+
+
+def test_media_query(spark):
+    from chronoweave.llm import catalogue
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in catalogue.QUERIES["op8_media"](spark, SMALL).collect():
+        data = texts[r["doc_id"]]
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert r["media_bytes"] > len(payload) and f"samples={len(payload) // 64};" in r["feature"]
+
+
+def test_licence_query(spark):
+    from chronoweave.llm import catalogue
+
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    some = 0
+    for r in catalogue.QUERIES["op9_license_scan"](spark, SMALL).collect():
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r["doc_id"]])
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = sorted((i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + p.count(" ") + 1] == p.split())
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places))
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and not {x for _, x in places} - set(r["labels"].split(","))
+        assert 0 <= r["score"] <= 1 and r["labels"] == ",".join(sorted(set(r["labels"].split(","))))
+        some += bool(places)
+    assert some
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
