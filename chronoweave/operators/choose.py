@@ -67,19 +67,19 @@ def rank_candidates(df: DataFrame, keys: Sequence[str], t0: str = "t0", t1: str
 PLACEHOLDER_SCORE = 2.5
 
 
-def choose(picks: DataFrame, candidates: DataFrame, film: Sequence[str] = ()) -> DataFrame:
+def choose(picks: DataFrame, candidates: DataFrame, film: Sequence[str]) -> DataFrame:
     """A shot for each pick: `shot`, `status` (ok or unchecked), `note`.
 
     picks: film, ord, pick, bare (needs none). candidates: film, pick, i, shot, score (null: not judged), accepted,
     barred, placeholder. A shot's score is lessened by 0.75 for each use beyond the first by picks before it, so a
     film's picks are walked in order; films are groups.
     """
-    keys = [*film, "_one"] if not film else list(film)
-    p = picks.withColumn("_one", F.lit(1)) if not film else picks
+    if not film:
+        raise ValueError("picks of a film are walked in order: name the columns of the film")
     per = candidates.groupBy(*film, "pick").agg(
         F.array_sort(F.collect_list(F.struct("i", "shot", "score", "accepted", "barred", "placeholder"))).alias("options")
     )
-    ready = p.join(per, [*film, "pick"], "left")
+    ready = picks.join(per, [*film, "pick"], "left")
     schema = T.StructType(
         [*[picks.schema[c] for c in film], picks.schema["pick"]] + [T.StructField(c, T.StringType()) for c in ("shot", "status", "note")]
     )
@@ -116,7 +116,7 @@ def choose(picks: DataFrame, candidates: DataFrame, film: Sequence[str] = ()) ->
         columns = list(zip(*out, strict=True)) if out else [[] for _ in types]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], names=types.names)
 
-    return ready.groupBy(*keys).applyInArrow(walk, schema)
+    return ready.groupBy(*film).applyInArrow(walk, schema)
 
 
 TECHNICAL = ["motion blur", "shaky", "soft focus", "dead frame"]

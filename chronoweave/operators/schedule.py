@@ -6,33 +6,45 @@ come as tables; joins leave it to Spark whether they are small enough to send to
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_END = 1440
 #: Fixed names of the stages of an item, in order.
 STATUSES = ("planned", "footage", "selects", "cut", "review", "graded", "mixed", "delivered")
 
 
-def first_match(rows: DataFrame, rules: DataFrame, condition: Column, row_id: Sequence[str], order: str = "ord") -> DataFrame:
+def first_match(rows: DataFrame, rules: DataFrame, condition: Callable[[dict[str, Column]], Column], order: str = "ord", most: int = 1000) -> DataFrame:
     """rows beside the first rule, in listed order, whose condition holds; nulls where none does.
 
-    The least rule of each row is found by aggregation, combined before the shuffle.
+    condition makes a column from a rule's values by name. A list of rules has `most` entries at most (more is an
+    error) and becomes one conditional expression, so rows are neither joined nor shuffled.
     """
-    extra = [c for c in rules.columns if c != order]
-    met = rows.join(rules, condition)
-    best = met.groupBy(*row_id).agg(F.min_by(F.struct(*extra), order).alias("_rule"))
-    return rows.join(best, list(row_id), "left").select(*rows.columns, *[F.col("_rule")[c].alias(c) for c in extra])
+    listed = rules.orderBy(order).limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"over {most} rules")
+    extra = [f for f in rules.schema.fields if f.name != order]
+    value = lambda rule, f: F.lit(rule[f.name]).cast(f.dataType)
+    found = F.lit(None).cast(T.StructType(extra))
+    for rule in reversed(listed):
+        holds = condition({f.name: value(rule, f) for f in rules.schema.fields})
+        found = F.when(holds, F.struct(*[value(rule, f).alias(f.name) for f in extra])).otherwise(found)
+    return rows.withColumn("_rule", found).select(*rows.columns, *[F.col("_rule")[f.name].alias(f.name) for f in extra])
 
 
 def match_cameras(clips: DataFrame, cameras: DataFrame) -> DataFrame:
     """clips (id, path) with the columns of the first camera whose every condition holds; one without conditions
     never matches. cameras: ord, camera, prefix (of the id, any case), path_contains (any case), ..."""
-    has = F.col("prefix").isNotNull() | F.col("path_contains").isNotNull()
-    fits = F.coalesce(F.upper("id").startswith(F.upper("prefix")), F.lit(True)) & F.coalesce(F.lower("path").contains(F.lower("path_contains")), F.lit(True))
-    return first_match(clips, cameras, has & fits, ["id"])
+
+    def fits(rule: dict[str, Column]) -> Column:
+        has = rule["prefix"].isNotNull() | rule["path_contains"].isNotNull()
+        begins = F.coalesce(F.upper("id").startswith(F.upper(rule["prefix"])), rule["prefix"].isNull())
+        return has & begins & F.coalesce(F.lower("path").contains(F.lower(rule["path_contains"])), rule["path_contains"].isNull())
+
+    return first_match(clips, cameras, fits)
 
 
 def timecode_seconds(timecode: Column, fps: Column) -> Column:
@@ -99,15 +111,16 @@ def _parallel(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
 
-def session_windows(sessions: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+def session_windows(sessions: DataFrame) -> DataFrame:
     """sessions with start and end minute; a missing end is the next start that day of a session that could not run
     in parallel, or the day's end. Sessions without a start are left out."""
     a = sessions.where(F.col("start_min").isNotNull())
-    b = a.select(*key, F.col("day").alias("_day"), F.col("start_min").alias("_next"), F.col("cameras").alias("_cams"))
-    later = [F.col("day") == F.col("_day"), F.col("_next") > F.col("start_min"), ~F.coalesce(_parallel(F.col("cameras"), F.col("_cams")), F.lit(False))]
-    ends = a.where(F.col("end_min").isNull()).join(b, later).groupBy("id").agg(F.min("_next").alias("_end"))
-    out = a.join(ends, "id", "left")
-    return out.withColumn("end_min", F.coalesce("end_min", "_end", F.lit(DAY_END))).drop("_end")
+    # a day's sessions are a schedule's page: they go along with each session without an end
+    days = a.groupBy("day").agg(F.collect_list(F.struct(F.col("start_min").alias("s"), F.col("cameras").alias("cams"))).alias("_day"))
+    apart = lambda x: F.coalesce(_parallel(F.col("cameras"), x["cams"]), F.lit(False))
+    later = F.filter("_day", lambda x: (x["s"] > F.col("start_min")) & ~apart(x))
+    open_ = a.where("end_min is null").join(days, "day").withColumn("end_min", F.coalesce(F.array_min(F.transform(later, lambda x: x["s"])), F.lit(DAY_END)))
+    return a.where("end_min is not null").unionByName(open_.select(*a.columns))
 
 
 def session_conflicts(windows: DataFrame) -> DataFrame:
@@ -126,22 +139,22 @@ def assign(clips: DataFrame, windows: DataFrame, days: DataFrame | None = None)
     outside, ambiguous with the ids. A clip that runs on beyond its session's end `spans_boundary`; `ends_in` is the
     one other session that holds its end, if there is one.
     """
-    w = windows.select(F.col("id").alias("_sid"), F.col("day").alias("_day"), F.col("start_min").alias("_s"), F.col("end_min").alias("_e"), F.coalesce("cameras", F.array().cast("array<string>")).alias("_cams"))
-    allowed = (F.size("_cams") == 0) | F.array_contains("_cams", F.col("camera"))
-    timed = clips.where(F.col("camera").isNotNull() & F.col("minute").isNotNull())
+    any_camera = F.coalesce("cameras", F.array().cast("array<string>"))
+    # a day's sessions go along with each clip of the day: one join, and no shuffle by clip
+    per_day = windows.groupBy("day").agg(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), F.col("start_min").alias("s"), F.col("end_min").alias("e"), any_camera.alias("cams"))).alias("_windows"))
+    if days is not None:
+        per_day = days.select("day").distinct().join(per_day, "day", "left")
+    per_day = per_day.withColumn("_known", F.lit(True))
     end = F.least(F.col("minute") + F.coalesce("duration_s", F.lit(0.0)) / 60, F.lit(DAY_END - 1e-9))
-    holds = lambda at: (F.col("_s") <= at) & (at < F.col("_e"))
-    met = timed.join(w, (F.col("day") == F.col("_day")) & allowed & (holds(F.col("minute")) | holds(end)))
-    starts = F.when(holds(F.col("minute")), F.col("_sid"))
-    ends = F.when(holds(end), F.col("_sid"))
-    hits = met.groupBy("id").agg(
-        F.array_sort(F.collect_set(starts)).alias("_hits"), F.array_sort(F.collect_set(ends)).alias("_ends"),
-        F.max(F.when(holds(F.col("minute")), F.col("_e"))).alias("_until"),
-    )
-    known = (days if days is not None else windows.select("day")).select("day").distinct().withColumn("_known", F.lit(True))
-    all_ = clips.join(hits, "id", "left").join(known, "day", "left")
-    n = F.coalesce(F.size("_hits"), F.lit(0))
-    n = F.when(F.col("_hits").isNull(), 0).otherwise(n)
+    open_to = F.filter("_windows", lambda x: (F.size(x["cams"]) == 0) | F.array_contains(x["cams"], F.col("camera")))
+    holding = lambda at: F.filter("_open", lambda x: (x["s"] <= at) & (at < x["e"]))
+    ids = lambda some: F.array_sort(F.array_distinct(F.transform(some, lambda x: x["id"])))
+    all_ = (
+        clips.join(per_day, "day", "left")
+        .withColumn("_open", F.coalesce(open_to, F.expr("filter(_windows, x -> false)")))
+        .withColumns({"_hits": ids(holding(F.col("minute"))), "_ends": ids(holding(end)), "_until": F.array_max(F.transform(holding(F.col("minute")), lambda x: x["e"]))})
+    )
+    n = F.when(F.col("_hits").isNull(), 0).otherwise(F.size("_hits"))
     why = F.col("why") if "why" in clips.columns else F.lit(None).cast("string")
     reason = (
         F.when(F.col("camera").isNull(), "no camera")
@@ -261,12 +274,6 @@ def plan_bins(assigned: DataFrame, sessions: DataFrame, placed: DataFrame) -> Da
     return out.select("id", "bin", "target", action.alias("action"))
 
 
-def nearest_pause(points: DataFrame, pauses: DataFrame, keys: Sequence[str], at: str, place: str) -> DataFrame:
-    from .intervals import nearest
-
-    return nearest(points, pauses, keys, at, place)
-
-
 def validate(days: DataFrame, cameras: DataFrame, people: DataFrame, registers: DataFrame, sessions: DataFrame, types: DataFrame, items: DataFrame) -> DataFrame:
     """Every fault of a schedule as (path, message): missing and repeated ids, unknown references and values."""
     found: list[DataFrame] = []

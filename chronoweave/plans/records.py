@@ -143,9 +143,9 @@ def jaccard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.round(textops.jaccard(F.col("w"), F.col("v")), 6).alias("overlap"))
 
 
-@query("""SELECT doc_id, count(*) AS marks FROM documents d JOIN (SELECT DISTINCT string_split(text, chr(10))[1] AS mark FROM benchmark WHERE length(string_split(text, chr(10))[1]) > 20) b ON contains(d.text, mark) GROUP BY doc_id""")
+@query("""SELECT doc_id, count(*) AS marks FROM documents d JOIN (SELECT DISTINCT unnest(string_split(text, chr(10))) AS mark FROM benchmark) b ON length(mark) > 20 AND contains(d.text, mark) GROUP BY doc_id""")
 def marked_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = table(spark, sf_dir, "benchmark").select(F.split("text", "\n")[0].alias("mark")).where(F.length("mark") > 20).distinct()
+    marks = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("mark")).where(F.length("mark") > 20).distinct()
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return textops.containing(d, marks, "text", "mark").groupBy("doc_id").agg(F.count("*").alias("marks"))
 
@@ -156,10 +156,11 @@ def dedup_keep_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.keep_longest(d, ["lang", "source"], "text", ["doc_id"], ["doc_id", "n"])
 
 
-@query("""SELECT doc_id, left(sha256(lang || chr(10) || chr(0) || chr(10) || text), 16) AS hash FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+@query("""SELECT doc_id, left(sha256(coalesce(lang, '') || chr(10) || chr(0) || chr(10) || coalesce(text, '')), 16) AS hash FROM documents""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
-    return d.select("doc_id", textops.content_hash(F.col("lang"), F.col("text")).alias("hash"))
+    """Of every document; a null part is hashed as an empty one."""
+    d, empty = table(spark, sf_dir, "documents"), F.lit("")
+    return d.select("doc_id", textops.content_hash(F.coalesce("lang", empty), F.coalesce("text", empty)).alias("hash"))
 
 
 @query("""SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1""")
@@ -172,15 +173,15 @@ def json_extract_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_match_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(1, "small", None, "cover"), (2, None, "promo", "sync"), (3, "red", None, "scenic")], "ord int, prefix string, part string, role string")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    fits = F.coalesce(F.col("p_name").startswith(F.col("prefix")), F.lit(True)) & F.coalesce(F.lower("p_type").contains(F.col("part")), F.lit(True))
-    return schedule.first_match(p, rules, fits, ["p_partkey"]).select("p_partkey", "role")
+    fits = lambda r: F.coalesce(F.col("p_name").startswith(r["prefix"]), F.lit(True)) & F.coalesce(F.lower("p_type").contains(r["part"]), F.lit(True))
+    return schedule.first_match(p, rules, fits).select("p_partkey", "role")
 
 
 @query("""SELECT page_id, coalesce(CASE WHEN url LIKE 'http://m.%' THEN 'mobile' WHEN url LIKE 'https://m.%' THEN 'mobile' WHEN url LIKE 'https://%' THEN 'secure' END, 'default') AS role FROM pages""")
 def prefix_role_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = spark.createDataFrame([(1, "http://m.", "mobile"), (2, "https://m.", "mobile"), (3, "https://", "secure")], "ord int, prefix string, role string")
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return schedule.first_match(p, roles, F.col("url").startswith(F.col("prefix")), ["page_id"]).select("page_id", F.coalesce("role", F.lit("default")).alias("role"))
+    return schedule.first_match(p, roles, lambda r: F.col("url").startswith(r["prefix"])).select("page_id", F.coalesce("role", F.lit("default")).alias("role"))
 
 
 @query("""SELECT event_id, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS clock, CAST(CAST(floor(value) AS BIGINT) // 60 AS INT) || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS length FROM events""")
@@ -228,10 +229,10 @@ def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, vec_id, CAST(r AS INT) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS r FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) WHERE r <= 3""")
 def cosine_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query set is every twentieth vector; it is searched against all rows."""
-    from chronoweave.functions.vectors import cosine, top_by_query
+    from chronoweave.functions.vectors import top_cosines
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    found = top_by_query(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q")), e, "query", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 9), 3)
+    found = top_cosines(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q")), e, ("query", "q"), ("vec_id", "v"), 3)
     return found.select("query", "vec_id", "rank")
 
 

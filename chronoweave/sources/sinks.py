@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,12 @@ def write_with_manifest(df: DataFrame, path: str, inputs: dict[str, DataFrame],
 def unchanged(spark: SparkSession, path: str, inputs: dict[str, DataFrame], tool: str) -> bool:
     """Whether a table was made by this tool from these inputs, so that it need not be made again."""
     try:
-        old = json.loads(spark.read.json(f"{path}.manifest").first()["manifest"])
-    except Exception:  # there is none
-        return False
+        beside = spark.read.json(f"{path}.manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False  # there is none
+    old = json.loads(beside.first()["manifest"])
     return old["tool"] == tool and old["inputs"] == {k: fingerprint(v) for k, v in sorted(inputs.items())}
 
 

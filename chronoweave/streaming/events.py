@@ -67,18 +67,71 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(add, out, STATE, "update", "NoTimeout")
 
 
-def upsert(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
-    """Write a stream as a keyed table: each batch replaces the rows of its keys. A batch is written under its own
-    number before the table's pointer file moves on, so a batch that runs twice leaves one result."""
+#: Parts of a keyed table, by the hash of its keys.
+PARTS = 64
+
+
+def upsert(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, parts: int = PARTS):
+    """Write a stream as a keyed table: each batch replaces the rows of its keys. `latest` reads it.
+
+    The table is cut into parts by the hash of the keys, and a batch writes only the parts that it touches, under its own
+    number; then an index of the parts' newest numbers is written under that number too. What a batch reads are the parts
+    that the index before it names, so one that runs twice leaves one result, and one that cannot read them fails.
+    """
     join = merge or (lambda old, new: old.join(new.select(*keys), list(keys), "left_anti").unionByName(new))
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{folder}/{number - 1}"
-        try:
-            old = spark.read.parquet(before)
-        except Exception:  # the first batch has nothing before it
-            old = batch.limit(0)
-        join(old, batch).write.mode("overwrite").parquet(f"{folder}/{number}")
+        part = F.expr(f"cast(pmod(xxhash64({', '.join(f'`{k}`' for k in keys)}), {parts}) as int)")
+        batch = batch.persist()
+        touched = {r[0] for r in batch.select(part).distinct().collect()}  # `parts` at most
+        before = _index(spark, folder, number - 1) if number else {}
+        old = _read_parts(spark, folder, {p: before[p] for p in touched & before.keys()}, batch)
+        join(old, batch).withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/parts/{number}")
+        # a part whose rows are all gone has no folder
+        rows = [(p, n) for p, n in (before | dict.fromkeys(touched, number)).items()]
+        spark.createDataFrame(rows, "part int, number long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index/{number}")
+        batch.unpersist()
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def _index(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    return {r["part"]: r["number"] for r in spark.read.parquet(f"{folder}/index/{number}").collect()}
+
+
+def _read_parts(spark: SparkSession, folder: str, numbers: dict[int, int], like: DataFrame) -> DataFrame:
+    """The rows of these parts, each as its batch left it."""
+    out, schema = like.limit(0), T.StructType([*like.schema.fields, T.StructField("_part", T.IntegerType())])
+    for number in sorted(set(numbers.values())):
+        wanted = [p for p, n in numbers.items() if n == number]
+        rows = spark.read.schema(schema).parquet(f"{folder}/parts/{number}").where(F.col("_part").isin(wanted))
+        out = out.unionByName(rows.drop("_part"))
+    return out
+
+
+def latest(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The keyed table that upsert wrote into a folder, with the columns of like."""
+    number = F.regexp_extract(F.input_file_name(), r"/index/(\d+)/", 1).cast("long")
+    newest = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/index").select(number.alias("n")).agg(F.max("n")).first()[0]
+    return _read_parts(spark, folder, _index(spark, folder, newest), like)
+
+
+def keep_late(stream: DataFrame, at: str, late: str, folder: str, checkpoint: str):
+    """Write a stream's rows below folder/rows and those that come too late below folder/late, by batch.
+
+    A row is too late if its time lies more than `late` (an interval) before the latest time of the batches before; a
+    watermark would drop it in silence. Rows without a time are not late.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.parquet(f"{folder}/seen/{number - 1}").first()[0] if number else None
+        over = F.coalesce(F.col(at) < F.lit(seen) - F.expr(f"interval {late}"), F.lit(False)) if seen is not None else F.lit(False)
+        batch = batch.persist()
+        batch.where(over).write.mode("overwrite").parquet(f"{folder}/late/{number}")
+        batch.where(~over).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        batch.agg(F.max(at).alias("seen")).select(F.greatest("seen", F.lit(seen).cast(batch.schema[at].dataType)).alias("seen")).write.mode("overwrite").parquet(f"{folder}/seen/{number}")
+        batch.unpersist()
+
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
