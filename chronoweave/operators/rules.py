@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .textops import base_clip, whole_word
 
 EDGE = 0.1
+#: Pieces of evidence that a finding shows.
+SHOWN = 5
 
 
 def picks_in_scope(rules: DataFrame, picks: DataFrame, beats: DataFrame) -> DataFrame:
@@ -44,8 +46,13 @@ def _finding(df: DataFrame, status: Column, evidence: Column) -> DataFrame:
 
 
 def _verdict(rules: DataFrame, broken: DataFrame, untested: DataFrame | None = None) -> DataFrame:
-    """One finding for each rule: broken with its first evidence in order, not_testable, or honoured."""
-    b = broken.groupBy("rule").agg(F.array_join(F.slice(F.array_sort(F.collect_set("evidence")), 1, 5), "; ").alias("_e"))
+    """One finding for each rule: broken with its first evidence in order, not_testable, or honoured.
+
+    Evidence is made distinct and cut to SHOWN by rank, within tasks first, before it is gathered.
+    """
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("evidence"))
+    first = broken.select("rule", "evidence").distinct().withColumn("_r", place).where(F.col("_r") <= SHOWN)
+    b = first.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("evidence")), "; ").alias("_e"))
     out = rules.select(F.col("id").alias("rule")).join(b, "rule", "left")
     if untested is not None:
         out = out.join(untested.select("rule").distinct().withColumn("_u", F.lit(True)), "rule", "left")

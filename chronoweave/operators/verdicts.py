@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -293,6 +293,28 @@ def rhythm(stretches: DataFrame, keys: Sequence[str], kind: str = "kind", second
     )
 
 
+def jump_cuts(picks: DataFrame, stretches: DataFrame, keys: Sequence[str], order: str, slack: float = 0.05) -> DataFrame:
+    """Joints (`at`) of neighbouring picks from one source while there is no picture: a cut that can be seen.
+
+    picks: order, clip, t0, t1. stretches: kind, t0, t1. keys name a beat, whose stretches are few; a joint counts once.
+    """
+    from .textops import window_source
+
+    w = Window.partitionBy(*keys).orderBy(order)
+    source = window_source(F.col("clip"))
+    joints = picks.select(*keys, order, F.col("t1").alias("at"), (source == F.lead(source).over(w)).alias("_same")).where("_same").drop("_same")
+    bare = stretches.where("kind = 'bare'").select(*keys, (F.col("t0") - slack).alias("_from"), (F.col("t1") + slack).alias("_to"))
+    met = joints.join(bare, list(keys)).where((F.col("_from") <= F.col("at")) & (F.col("at") <= F.col("_to")))
+    return met.select(*keys, order, "at").distinct()
+
+
+def rhythm_total(beats: DataFrame, jumps: DataFrame) -> DataFrame:
+    """The rows of rhythm summed up: seconds, bare seconds and their part, and the number of jump cuts."""
+    whole = beats.agg(F.sum("seconds").alias("seconds"), F.sum("bare").alias("bare"))
+    cuts = jumps.agg(F.count("*").alias("jump_cuts"))
+    return whole.join(cuts).select("seconds", "bare", F.try_divide(F.col("bare") * 100, "seconds").alias("bare_pct"), "jump_cuts")
+
+
 def narrow_catalogue(units: DataFrame, reasons: Sequence[DataFrame]) -> DataFrame:
     """units with `why` they cannot serve; of several tables (id, why), the last that names a unit is heard."""
     out, names = units, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import choose, reconcile, textops
+from chronoweave.operators import choose, reconcile, talk, textops, verdicts
 from chronoweave.session import table
 
 from .common import SQL_EVENTS, collector, events
@@ -19,18 +19,64 @@ def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose.top(d, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 12)
 
 
-@query("""SELECT doc_id, CASE WHEN lang NOT IN ('en', 'fr', 'de') OR n_chars IS NULL THEN 'invalid' WHEN n_chars < lo OR n_chars > hi THEN 'excluded' ELSE 'ok' END AS status
-FROM (SELECT *, CASE lang WHEN 'en' THEN 300 WHEN 'fr' THEN 600 ELSE 300 END AS lo, CASE lang WHEN 'en' THEN 1200 WHEN 'fr' THEN 3000 ELSE 1500 END AS hi FROM documents)""")
+#: Events as sentences of three seconds and more; each proposes itself and the next one, some of them badly.
+SQL_CANDIDATES = """s AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+c AS (SELECT *, lead(event_type) OVER w AS type2, lead(value) OVER w AS value2 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+k AS (SELECT *, ['hook', 'bite', 'closer', 'aside'][1 + event_id % 4] AS kind, round((n + 1) * 3.0 + value2 / 20 - n * 3.0, 2) AS d FROM c),
+r AS (SELECT *, list_filter([CASE WHEN kind = 'aside' THEN 'unknown kind aside' END, CASE WHEN type2 IS NULL THEN 'unknown sentence id' END, CASE WHEN event_id % 7 = 0 THEN 'no cover brief' END], lambda x: x IS NOT NULL) AS bad,
+  list_filter([CASE WHEN 'error' IN (event_type, type2) THEN 'contains an off-mic sentence' END, CASE WHEN d < CASE kind WHEN 'bite' THEN 6 ELSE 3 END THEN 'too short' END, CASE WHEN d > CASE kind WHEN 'hook' THEN 12 WHEN 'bite' THEN 30 ELSE 15 END THEN 'too long' END], lambda x: x IS NOT NULL) AS out_,
+  list_filter([CASE WHEN event_id % 5 = 0 THEN 'dangling_start:and' END, CASE WHEN event_id % 6 = 0 THEN 'room_unmeasured' END, CASE WHEN event_id % 6 <> 0 AND value / 1000 < 0.15 THEN 'tight_in' END, CASE WHEN value2 / 1000 < 0.15 THEN 'tight_out' END], lambda x: x IS NOT NULL) AS flags FROM k)"""
+
+
+@query(f"""WITH {SQL_CANDIDATES} SELECT event_id, CASE WHEN len(bad) > 0 THEN 'invalid' WHEN len(out_) > 0 THEN 'excluded' ELSE 'ok' END AS status,
+  array_to_string(CASE WHEN len(bad) > 0 THEN bad ELSE out_ END, ';') AS reasons, CASE WHEN len(bad) > 0 THEN '' ELSE array_to_string(flags, ';') END AS flags FROM r""")
 def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    bounds = spark.createDataFrame([("en", 300, 1200), ("fr", 600, 3000), ("de", 300, 1500)], "lang string, lo int, hi int")
-    joined = d.join(F.broadcast(bounds), "lang", "left")
-    inside = F.col("n_chars").between(F.col("lo"), F.col("hi"))
-    return joined.select("doc_id", F.when(F.col("lo").isNull() | F.col("n_chars").isNull(), "invalid").when(inside, "ok").otherwise("excluded").alias("status"))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = events(spark, sf_dir).withColumn("n", F.row_number().over(w))
+    i, n = F.col("event_id"), F.col("n")
+    sentences = e.select(
+        "user_id", i.cast("string").alias("id"), "n", (n * 3.0).alias("t0"), (n * 3.0 + F.col("value") / 20).alias("t1"),
+        F.concat(F.when(i % 5 == 0, "And ").otherwise(""), "event_type").alias("text"),
+        F.when(i % 6 != 0, F.col("value") / 1000).alias("head_room"), (F.col("value") / 1000).alias("tail_room"), (F.col("event_type") == "error").alias("off_mic"),
+    )
+    kinds = F.array(*[F.lit(k) for k in ("hook", "bite", "closer", "aside")])
+    proposed = e.select(
+        "user_id", "event_id", F.get(kinds, (i % 4).cast("int")).alias("kind"), i.cast("string").alias("first"),
+        F.coalesce(F.lead("event_id").over(w).cast("string"), F.lit("none")).alias("last"), F.lit(None).cast("string").alias("register"),
+        F.when(i % 7 == 0, "").otherwise("a street").alias("cover_brief"), F.lit(1).alias("beat"),
+    )
+    beats = e.groupBy("user_id").agg(F.lit(1).alias("beat"), F.lit(1).alias("lo"), F.max("n").alias("hi"))
+    found = talk.gate(proposed, sentences, beats, ["user_id"])
+    return found.select("event_id", "status", F.array_join("reasons", ";").alias("reasons"), F.array_join("flags", ";").alias("flags"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS film, o_orderkey AS pick, o_orderkey % 9 = 0 AS bare, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+c AS (SELECT l_orderkey AS pick, list(struct_pack(i := i, shot := CAST(l_suppkey % 3 AS VARCHAR), score := CASE WHEN l_partkey % 50 = 0 THEN 2.5::DOUBLE WHEN l_returnflag <> 'R' THEN l_quantity / 20.0::DOUBLE END) ORDER BY i) AS options FROM n WHERE l_partkey % 11 <> 0 GROUP BY 1),
+p AS (SELECT film, o.pick, r, bare, coalesce(options, []) AS options FROM o LEFT JOIN c ON c.pick = o.pick),
+f AS (
+  SELECT film, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS pick, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS shot, '' AS status, '' AS note FROM (SELECT DISTINCT film FROM p)
+  UNION ALL
+  SELECT film, r, pick, CASE WHEN note = '' THEN list_append(used, shot) ELSE used END, CASE WHEN note = '' THEN shot END, CASE WHEN note = 'no verdict accepted' THEN 'unchecked' ELSE 'ok' END, note FROM (
+    SELECT film, r, pick, used, best[3] AS shot, CASE WHEN bare THEN 'bare by choice' WHEN len(options) = 0 THEN 'no candidate' WHEN best IS NULL THEN 'no verdict accepted' WHEN best[1] < 1 THEN 'best is under 1' ELSE '' END AS note FROM (
+      SELECT p.film, p.r, p.pick, p.bare, p.options, f.used, list_sort(list_transform(list_filter(p.options, lambda x: x.score IS NOT NULL), lambda x: row(x.score - 0.75 * greatest(0, len(list_filter(f.used, lambda u: u = x.shot)) - 1), -x.i, x.shot)))[-1] AS best
+      FROM f JOIN p ON p.film = f.film AND p.r = f.r + 1)))
+SELECT pick, shot, status, note FROM f WHERE r > 0""")
+def shot_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as picks of a film, their lines as candidates; three shots are used again and again."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    picks = o.select(F.col("o_custkey").alias("film"), at.alias("ord"), F.col("o_orderkey").alias("pick"), (F.col("o_orderkey") % 9 == 0).alias("bare"))
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = l.select(
+        F.col("l_orderkey").alias("pick"), i.alias("i"), (F.col("l_suppkey") % 3).cast("string").alias("shot"), (F.col("l_quantity") / F.lit(20.0)).alias("score"),
+        (F.col("l_returnflag") != "R").alias("accepted"), (F.col("l_partkey") % 11 == 0).alias("barred"), (F.col("l_partkey") % 50 == 0).alias("placeholder"),
+    )
+    return choose.choose(picks, lines.join(picks.select("film", "pick"), "pick"), ["film"]).select("pick", "shot", "status", "note")
 
 
-@query("""WITH RECURSIVE s AS (SELECT l_partkey AS part, l_suppkey AS supp, count(*) AS n, sum(CAST(round(l_quantity) AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
-SELECT part, supp, CAST(q - 5 * greatest(0, n - 1) AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY part ORDER BY q - 5 * greatest(0, n - 1) DESC, supp) = 1""".replace("RECURSIVE ", ""))
+@query("""WITH s AS (SELECT l_partkey AS part, l_suppkey AS supp, count(*) AS n, sum(CAST(round(l_quantity) AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
+SELECT part, supp, CAST(q - 5 * greatest(0, n - 1) AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY part ORDER BY q - 5 * greatest(0, n - 1) DESC, supp) = 1""")
 def choose_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     s = l.groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).agg(F.count("*").alias("n"), F.sum(F.round("l_quantity").cast("long")).alias("q"))
@@ -113,8 +159,27 @@ def token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("conv_id", "turn", "edits.coverage", "edits.matched", "edits.expected", "edits.flag", F.size("edits.risks").alias("risks"), F.array_join(textops.edit_reasons(F.col("edits")), "; ").alias("reasons"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) SELECT conv_id, count(*) AS jumps FROM t WHERE role = after GROUP BY conv_id""")
+#: Turns as picks of 1 to 7 seconds, two from each clip; every third turn has no picture.
+SQL_TURNS = """t AS (SELECT conv_id, turn, turn // 2 AS role, 1 + length(coalesce(text, '')) % 7 AS d, turn % 3 = 0 AS bare FROM conversations)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = 1 + F.length(F.coalesce("text", F.lit(""))) % 7
+    end = F.sum("d").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    each = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("string").alias("clip"), F.when(F.col("turn") % 3 == 0, "bare").otherwise("video").alias("kind"), d.cast("double").alias("d"))
+    return each.select("*", (end - F.col("d")).alias("t0"), end.alias("t1"))
+
+
+@query(f"""WITH {SQL_TURNS}, w AS (SELECT *, lead(role) OVER o AS after, lead(bare) OVER o AS bare2, sum(d) OVER (o ROWS UNBOUNDED PRECEDING) AS t1 FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CAST(t1 AS DOUBLE) AS at FROM w WHERE role = after AND (bare OR bare2)""")
 def jump_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.withColumn("after", after).where("role = after").groupBy("conv_id").agg(F.count("*").alias("jumps"))
+    t = turns(spark, sf_dir)
+    return verdicts.jump_cuts(t, t, ["conv_id"], "turn")
+
+
+@query(f"""WITH {SQL_TURNS}, w AS (SELECT *, lead(role) OVER o AS after, lead(bare) OVER o AS bare2 FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT CAST(sum(d) AS DOUBLE) AS seconds, CAST(sum(CASE WHEN bare THEN d ELSE 0 END) AS DOUBLE) AS bare, round(100.0 * sum(CASE WHEN bare THEN d ELSE 0 END) / sum(d), 6) AS bare_pct, count(*) FILTER (WHERE role = after AND (bare OR bare2)) AS jump_cuts FROM w""")
+def rhythm_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    found = verdicts.rhythm_total(verdicts.rhythm(t, ["conv_id"], seconds="d"), verdicts.jump_cuts(t, t, ["conv_id"], "turn"))
+    return found.select("seconds", "bare", F.round("bare_pct", 6).alias("bare_pct"), "jump_cuts")

@@ -75,19 +75,77 @@ def word_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = e.where("event_type = 'error'").select("user_id", F.col("event_id").cast("string").alias("pick"), "event_id", (F.col("t") - 1).alias("in_s"), (F.col("t") + 1).alias("out_s"))
     words = e.select("user_id", F.col("t").alias("s"), F.col("t").alias("e"))
     found = cuts.word_room(picks, words, ["user_id"])
-    head = F.when(F.col("max_head_s") == F.col("in_s"), F.col("max_head_s") + 1).otherwise(F.col("max_head_s") + 1)
-    return found.select("user_id", "event_id", F.round(head, 4).alias("head"), F.round("max_tail_s", 4).alias("tail"))
+    return found.select("user_id", "event_id", F.round(F.col("max_head_s") + 1, 4).alias("head"), F.round("max_tail_s", 4).alias("tail"))
+
+
+#: Conversations as a cut: a turn is a pick of ten seconds from the clip of its role, with a picture under it or none.
+SQL_CUT = """t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'AROLL_w01' ELSE 'BROLL_w02' END AS clip, lower(coalesce(text, '')) AS said, turn * 10.0 AS a, turn * 10.0 + 10 AS b, 'p' || lpad(CAST(conv_id AS VARCHAR), 9, '0') || '-' || lpad(CAST(turn AS VARCHAR), 5, '0') AS pick FROM conversations),
+r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'bare' WHEN 1 THEN 'placeholder' ELSE 'video' END AS type, CASE WHEN turn % 4 IN (2, 3) THEN 'SHOT' || turn % 4 || '_w01' END AS row_clip, a, b FROM t)"""
+
+
+def cut_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    kind = F.col("turn") % 4
+    t0 = F.col("turn") * 10.0
+    pick = F.concat(F.lit("p"), F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 5, "0"))
+    clip = F.when(F.col("role") == "user", "AROLL_w01").otherwise("BROLL_w02")
+    picks = c.select(pick.alias("pick"), F.col("conv_id").alias("beat"), clip.alias("clip"), F.coalesce("text", F.lit("")).alias("text"), t0.alias("t0"), (t0 + 10).alias("t1"), t0.alias("in_s"), (t0 + 10).alias("out_s"))
+    beats = c.select(F.col("conv_id").alias("beat")).distinct().select("beat", F.concat(F.lit("talk "), (F.col("beat") % 10).cast("string")).alias("title"), F.lit("").alias("notes"))
+    shown = F.when(kind == 0, "bare").when(kind == 1, "placeholder").otherwise("video")
+    rows = c.select(F.col("conv_id").alias("beat"), F.when(kind >= 2, F.concat(F.lit("SHOT"), kind.cast("string"), F.lit("_w01"))).alias("clip"), shown.alias("type"), t0.alias("dest_in_s"), (t0 + 10).alias("dest_out_s"), t0.alias("in_s"), (t0 + 10).alias("out_s"))
+    fields = "id string, kind string, decision string, terms array<string>, clips array<string>, clip string, span_in double, span_out double, prefix string, scope_clip string, scope_text string, scope_title string, scope_notes string, scope_last boolean"
+    rule = lambda id_, kind, **values: tuple([id_, kind, *[values.get(f.split(" ")[0]) for f in fields.split(", ")[2:]]])
+    decided = [
+        rule("words", "words_forbidden", terms=["ha", "thand", "no such word"]), rule("history", "words_allowed_history", terms=["the"]), rule("span", "clip_span_excluded", clip="SHOT2", span_in=20.0, span_out=25.0),
+        rule("there", "must_be_present", clips=["AROLL", "SHOT3", "SHOT9"]), rule("gone", "clips_excluded", clips=["SHOT2", "SHOT8"]), rule("bare", "no_cover", scope_title="talk 3"),
+        rule("last", "no_cover_pick", scope_title="talk 4", scope_last=True), rule("detail", "cover_only_named_detail", clips=["SHOT2"], scope_title="talk 5"),
+        rule("covered", "cover_required", scope_title="talk 6"), rule("held", "placeholder_required", scope_clip="AROLL"), rule("later", "open", decision="to be decided"),
+    ]
+    return rules.check_cut(spark.createDataFrame(decided, fields), picks, beats, rows)
+
+
+def _sql_verdict(rule: str, broken: str) -> str:
+    """Broken with the first five pieces of evidence, or honoured; broken: a query of `e`."""
+    return f"SELECT '{rule}' AS rule, CASE WHEN count(e) > 0 THEN 'broken' ELSE 'honoured' END AS status, coalesce(array_to_string(list_sort(list(DISTINCT e))[1:5], '; '), '') AS evidence FROM ({broken}) AS q(e)"
+
+
+SQL_FINDINGS = f"""WITH {SQL_CUT}, s AS (SELECT *, conv_id % 10 AS k FROM t), c AS (SELECT s.*, type, row_clip FROM s JOIN r ON r.conv_id = s.conv_id AND r.turn = s.turn),
+used AS (SELECT DISTINCT split_part(clip, '_w', 1) AS u FROM t UNION SELECT DISTINCT split_part(row_clip, '_w', 1) FROM r WHERE row_clip IS NOT NULL),
+findings AS (
+""" + "\nUNION ALL ".join([
+    _sql_verdict("words", "SELECT term FROM t, (VALUES ('ha'), ('thand'), ('no such word')) AS v(term) WHERE regexp_matches(said, '\\b' || term || '\\b')"),
+    "SELECT 'history', 'honoured', count(*) || ' uses' FROM t WHERE regexp_matches(said, '\\bthe\\b')",
+    _sql_verdict("span", "SELECT format('{} {:.1f}-{:.1f}', row_clip, a, b) FROM r WHERE row_clip = 'SHOT2_w01' AND b > 20.1 AND a < 24.9"),
+    _sql_verdict("there", "SELECT x FROM (VALUES ('AROLL'), ('SHOT3'), ('SHOT9')) AS v(x) WHERE x NOT IN (SELECT u FROM used)"),
+    _sql_verdict("gone", "SELECT x FROM (VALUES ('SHOT2'), ('SHOT8')) AS v(x) WHERE x IN (SELECT u FROM used)"),
+    _sql_verdict("bare", "SELECT concat_ws(' ', pick, row_clip) FROM c WHERE k = 3 AND type <> 'bare'"),
+    _sql_verdict("last", "SELECT concat_ws(' ', pick, row_clip) FROM (SELECT * FROM c WHERE k = 4 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY a DESC) = 1) WHERE type <> 'bare'"),
+    _sql_verdict("detail", "SELECT concat_ws(' ', pick, row_clip) FROM c WHERE k = 5 AND row_clip = 'SHOT3_w01'"),
+    _sql_verdict("covered", "SELECT pick FROM c WHERE k = 6 AND type = 'bare'"),
+    _sql_verdict("held", "SELECT pick FROM c WHERE clip = 'AROLL_w01' AND type <> 'placeholder'"),
+    "SELECT 'later', 'open', 'to be decided'",
+]) + ")\n"
+
+
+@query(SQL_FINDINGS + "SELECT rule, status, evidence FROM findings")
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_findings(spark, sf_dir)
+
+
+@query(SQL_FINDINGS + "SELECT status, count(*) AS n FROM findings GROUP BY 1")
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.summary(cut_findings(spark, sf_dir))
 
 
-@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN value > 200 THEN 'broken' WHEN value > 100 THEN 'open' ELSE 'honoured' END AS status FROM events) GROUP BY 1""")
-def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    e = table(spark, sf_dir, "events").select(F.when(v > 200, "broken").when(v > 100, "open").otherwise("honoured").alias("status"))
-    return rules.summary(e)
+@query("""SELECT event_type, median, count(*) FILTER (WHERE value < median - 3) AS quiet, count(*) FILTER (WHERE value / 100 - 2 > -1) AS hot, count(*) FILTER (WHERE abs(value - 50) > 3) AS one_channel
+FROM events JOIN (SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2""")
+def loudness_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", "value", (F.col("value") / 100 - 2).alias("peak"), F.lit(50.0).alias("other"))
+    return verdicts.loudness_summary(e, "event_type", "value", "peak", "value", "other")
 
 
 @query("""SELECT user_id, event_type, round(list_sort(list(value))[count(*) // 2 + 1], 6) AS median, count(*) FILTER (WHERE value < m - 3) AS quiet, count(*) FILTER (WHERE value / 100 - 2 > -1) AS hot, count(*) FILTER (WHERE abs(value - 50) > 3) AS one_channel
-FROM (SELECT *, list_sort(list(value) OVER (PARTITION BY event_type))[count(*) OVER (PARTITION BY event_type) // 2 + 1] AS m FROM events) GROUP BY 1, 2 LIMIT 0""".replace(" LIMIT 0", ""))
+FROM (SELECT *, list_sort(list(value) OVER (PARTITION BY event_type))[count(*) OVER (PARTITION BY event_type) // 2 + 1] AS m FROM events) GROUP BY 1, 2""")
 def loudness_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     middle = series.upper_medians(e, ["event_type"], "value", "m")

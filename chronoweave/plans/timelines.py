@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import intervals, schedule, series
 from chronoweave.session import table
+from chronoweave.sources import tables
 
 from .common import HOUR, SQL_EVENTS, collector, events
 
@@ -99,8 +100,8 @@ def unassigned_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.unassigned_reasons(assigned(spark, sf_dir))
 
 
-@query(SQL_ASSIGNED + """SELECT strftime(day, '%Y-%m-%d') || ' ' || s.id AS id, count(x.id) AS clips, round(coalesce(sum(x.d), 0) / 60, 6) AS minutes
-  FROM (SELECT DISTINCT day FROM c) CROSS JOIN s LEFT JOIN assigned x ON x.session = strftime(c.day, '%Y-%m-%d') || ' ' || s.id GROUP BY 1""".replace("c.day", "day_").replace("(SELECT DISTINCT day FROM c)", "(SELECT DISTINCT day AS day_ FROM c)").replace("strftime(day, '%Y-%m-%d') || ' ' || s.id AS id", "strftime(day_, '%Y-%m-%d') || ' ' || s.id AS id"))
+@query(SQL_ASSIGNED + """SELECT strftime(day_, '%Y-%m-%d') || ' ' || s.id AS id, count(x.id) AS clips, round(coalesce(sum(x.d), 0) / 60, 6) AS minutes
+  FROM (SELECT DISTINCT day AS day_ FROM c) CROSS JOIN s LEFT JOIN assigned x ON x.session = strftime(day_, '%Y-%m-%d') || ' ' || s.id GROUP BY 1""")
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = schedule.session_counts(daily_windows(spark, sf_dir), assigned(spark, sf_dir))
     return found.select("id", "clips", F.round("minutes", 6).alias("minutes"))
@@ -376,7 +377,8 @@ def edge_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("room_before").cast("long").alias("room_before"), F.col("room_after").cast("long").alias("room_after"))
 
 
-@query(f"""WITH {SQL_EVENTS} SELECT user_id, event_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM e QUALIFY gap > {6 * HOUR}""")
+@query(f"""WITH {SQL_EVENTS} SELECT user_id, event_id, round((us - lag(us + CAST(round(value * 1000000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY us)) / 1e6, 6) AS gap_s FROM e QUALIFY abs(gap_s) > {6 * 3600}""")
 def contiguity_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("us")
-    return events(spark, sf_dir).select("user_id", "event_id", (F.col("us") - F.lag("us").over(w)).alias("gap")).where(F.col("gap") > 6 * HOUR)
+    """Events as recordings of `value` seconds."""
+    chunks = events(spark, sf_dir).select("user_id", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("start"), F.col("value").alias("duration_s"))
+    return tables.contiguous(chunks, ["user_id"], 6 * 3600).select("user_id", "event_id", F.round("gap_s", 6).alias("gap_s"))
