@@ -41,9 +41,11 @@ class Group:
         self.length = m = patterns.shape[1]
         self.block = b = min(BLOCK, m)
         self.mask = (1 << max(10, int(np.ceil(np.log2(8 * patterns.size + 1))))) - 1
-        self.shift = np.full(self.mask + 1, m - b + 1, np.int64)
+        # a shift is at most a window's length, so one byte holds it: 16 MB for 200,000 windows of 10 words
+        kind = np.int8 if m < 128 else np.int32
+        self.shift = np.full(self.mask + 1, m - b + 1, kind)
         for end in range(b - 1, m):
-            np.minimum.at(self.shift, self._block(patterns, end), m - 1 - end)
+            np.minimum.at(self.shift, self._block(patterns, end), kind(m - 1 - end))
         keys = self._keys(patterns)
         order = np.argsort(keys, kind="stable")
         self.keys, self.patterns, self.ids = keys[order], patterns[order], ids[order]

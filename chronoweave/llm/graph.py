@@ -11,14 +11,14 @@ from chronoweave.session import cut_lineage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the smallest of it and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them. Edges run from larger u to smaller v."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
     tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -26,8 +26,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of edges(u, v), loops and repeats allowed.
 
-    Sums are combined before each shuffle, and a hub's edges meet in joins whose large partitions Spark splits.
-    Each round is written to the shared folder, so a lost executor costs that round at most.
+    Sums are combined before each shuffle and written, so that a hub's edges meet in joins between two plain shuffles,
+    whose large partitions Spark splits. Each round is written to the shared folder, so a lost executor costs that round at most.
     """
     now = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None

@@ -194,18 +194,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """
     key = [F.xxhash64(F.col(name(doc_id)), F.col(name(text))).alias("key1"), F.xxhash64(F.lit(1), F.col(name(text)), F.col(name(doc_id))).alias("key2")]
     keyed = docs.select(F.struct(*[F.col(name(c)) for c in docs.columns]).alias("row"), *key)
-    made = fingerprints(docs.select(doc_id, text), text, width)
-    prints = cut_lineage(
-        made.select(
-            F.col("row")[doc_id].alias("doc_id"), "fingerprint",
-            F.xxhash64(F.col("row")[doc_id], F.col("row")[text]).alias("key1"),
-            F.xxhash64(F.lit(1), F.col("row")[text], F.col("row")[doc_id]).alias("key2"),
-        )
-    )
+    plain = docs.select(F.col(name(doc_id)).alias("doc_id"), F.col(name(text)).alias("text"), *key)
+    made = fingerprints(plain, "text", width, keep=["doc_id", "key1", "key2"])
+    prints = cut_lineage(made.select("row.doc_id", "fingerprint", "row.key1", "row.key2"))
     # among rows of the smallest id with differing texts, the smallest key stays; one row of a key
     chosen = (
         prints.join(_roots(prints, radius, tile), "fingerprint")
-        .withColumn("place", F.struct(F.coalesce(F.col("component_id"), F.lit(-(1 << 63))), F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(0)))
+        .withColumn("place", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("fingerprint")))
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("place")
         .agg(F.min(F.struct("key1", "key2")).alias("k"))

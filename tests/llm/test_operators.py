@@ -139,6 +139,34 @@ def test_links_are_complete(spark, tile):
     assert [got[int(x)] for x in fps.view(np.int64)] == label.tolist()
 
 
+def test_components(spark):
+    from chronoweave.llm import graph
+
+    rng = np.random.default_rng(13)
+    for nodes, edges in ((60, 40), (60, 90), (5, 0), (300, 280)):
+        pairs = rng.integers(0, nodes, (edges, 2)).tolist() + ([[7, 7], [3, 2], [3, 2]] if edges else [])
+        if nodes == 300:
+            pairs += [[200, i] for i in range(50)] + [[i, i + 1] for i in range(100, 160)]  # a hub and a chain
+        root = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        got = dict(map(tuple, graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()))
+        assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_keep_one_on_odd_columns(spark):
+    df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "something else entirely here"), (None, "x y z")], "`doc.id` string, `the text` string")
+    kept = simhash.keep_one(df, "doc.id", "the text")
+    assert kept.columns == df.columns and {r[0] for r in kept.collect()} == {"a", "c", None}
+
+
 # suffix sorting
 
 

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 
@@ -131,3 +132,31 @@ def test_pipeline(spark, tmp_path):
         docs = after
     assert sorted(r[0] for r in corpus_pipeline.run(spark, SMALL).select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
     assert docs.count() < first.count()
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    key = "aB3" * 9
+    odd = [
+        (9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, "   ", None, "s", 3), (9004, "a quiet walk by the old river wall today", "en", None, 40),
+        (9004, "a quiet walk by the old river wall today", "en", None, 40), (None, "no id but some seven words of text", "en", "s", 34), (9005, f"password = {key} was left in a note", "en", "s", 60),
+        (9006, "word " * 60_000, "en", "s", 300_000),
+    ]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int").selectExpr(*[f"cast({c} as {t}) as {c}" for c, t in docs.dtypes])
+    for n, some in enumerate((docs.unionByName(more), docs.limit(0))):
+        some = some.withColumn("row", F.lit("clash")).withColumn("score", F.lit(1.5)).withColumn("a.b", F.lit("dotted"))
+        columns = some.columns
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            made = stage(spark, some, SMALL)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert made.columns == columns
+            made.write.parquet(str(tmp_path / f"{n}{name}"))
+            some = spark.read.parquet(str(tmp_path / f"{n}{name}"))
+        rows = some.collect()
+        assert all(r["round_trip"] for r in rows) and (n == 0) == bool(rows)
+        if n == 0:
+            ids = [r["doc_id"] for r in rows]
+            assert ids.count(9004) == 1 and ids.count(None) == 1 and {9001, 9002, 9003} & set(ids) and 9006 in ids
+            assert next(r["n_tokens"] for r in rows if r["doc_id"] == 9005) < 15
