@@ -1,4 +1,12 @@
-"""A pipeline over documents: each stage is written as Parquet and read again as the next one's documents."""
+"""A pipeline over documents: each stage is written as Parquet and read again as the next one's documents.
+
+Defined cases: null and empty texts are documents like others (they have no words, windows, secrets or tokens; of
+several, whose fingerprints are all zero, the near-duplicate stage keeps one); rows of one id and text are one
+document; ties between copies go to the smallest id; null ids rank behind all others and are never dropped for having
+none; an empty table runs through to an empty result; further columns are carried along, whatever their names, up to
+the last stage, which returns columns of its own. What a run wrote to the shared folder can be deleted once its result
+has been written.
+"""
 
 from __future__ import annotations
 
