@@ -574,7 +574,7 @@ def test_whole_scores_by_brute_force(judged):
         near = [x for x in sorted(near, key=lambda x: (-round(x[0], 6), index.ids[x[1]]))[: index.k] if x[0] > 0]
         raw = index.blank
         if near:
-            w = [index.weights[j] * s for s, j in near]
+            w = [index.weights[j] * s**toxicity.CLOSENESS for s, j in near]
             raw = (sum(x * index.labels[j] for x, (_, j) in zip(w, near, strict=True)) + toxicity.PRIOR * index.rate) / (sum(w) + toxicity.PRIOR)
         raw = min(max(raw, 1e-4), 1 - 1e-4)
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-(a + b * np.log(raw / (1 - raw))))), abs=1e-4)
