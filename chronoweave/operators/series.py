@@ -213,6 +213,16 @@ def shake_stats(path: DataFrame, keys: Sequence[str], at: str, dx: str, dy: str,
     )
 
 
+def steady_runs(path: DataFrame, runs: DataFrame, keys: Sequence[str], at: str, dx: str, dy: str, inliers: str, limit: float = 2.0) -> DataFrame:
+    """Runs (t0, t1) that hold when they are measured again as a whole: their own pairs' shake is known and not over
+    the limit. A run joined from steady windows can be worse than each of them."""
+    from .intervals import contains_join
+
+    own = contains_join(path, runs.select(*keys, "t0", "t1"), keys, at, ("t0", "t1"), 60.0)
+    again = shake_stats(own, [*keys, "t0", "t1"], at, dx, dy, inliers)
+    return again.where((F.col("status") == "ok") & (F.col("shake") <= limit)).select(*keys, "t0", "t1", "shake")
+
+
 def usable_runs(shake: Column, limit: float, runs: Column, length: Column, least: float) -> Column:
     """Null where the whole source is steady enough, else its steady runs; an empty list means not usable."""
     return F.when((shake <= limit) | (length < least), F.lit(None)).otherwise(

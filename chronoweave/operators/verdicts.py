@@ -53,6 +53,12 @@ def peak_gain(native: Column, resampled: Column, target_db: float = -1.0) -> Col
     return F.when(_all(native, resampled), F.lit(target_db) - decibels(F.greatest(native, resampled)))
 
 
+def peak_gain_reason(native: Column, resampled: Column) -> Column:
+    """Which peak decides the gain; null where one of them, or any sound, is missing."""
+    heard = _all(native, resampled) & (F.greatest(native, resampled) > 0)
+    return F.when(heard, F.when(native >= resampled, "talk sample peak").otherwise("resampled peak (inter-sample overshoot) above the sample peak"))
+
+
 def exposure_flags(average: Column, high: Column, low: Column, saturation: Column) -> Column:
     """Labels of a frame's luma and saturation; null where they were not measured."""
     flags = _labels(
@@ -124,6 +130,14 @@ def thinned(n: Column, k: int = 4) -> Column:
     return F.when(n > 0, some).otherwise(F.array().cast("array<int>"))
 
 
+def steady_picks(times: Column, runs: Column, k: int = 4) -> Column:
+    """Indices of at most k of the times, evenly spread over those that lie in a steady run (t0, t1); without runs
+    (null) all times count."""
+    inside = lambda t: runs.isNull() | F.coalesce(F.exists(runs, lambda r: (r["t0"] <= t) & (t < r["t1"])), F.lit(False))
+    open_ = F.filter(F.transform(times, lambda t, i: F.when(inside(t), i)), lambda i: i.isNotNull())
+    return F.transform(thinned(F.size(open_), k), lambda i: F.get(open_, i))
+
+
 # verdicts
 
 def judgement(score: Column, relation: Column, ids: Column, known: Column, relations: Sequence[str]) -> Column:
@@ -275,6 +289,29 @@ def talking_cover(rows: DataFrame, exempt: DataFrame | None = None, least: float
     return out.withColumn("status", status).select(*rows.columns, "status")
 
 
+def cover_rules(rows: DataFrame, row_id: str, exempt: DataFrame | None = None, limit: float = 2.0) -> DataFrame:
+    """Every finding on pictures laid over speech, one row each: talking, talking_unknown, shaky, sync_shaky,
+    shake_unmeasured, drone_unclean, drone_unmeasured.
+
+    rows: row_id, and what talking_cover reads; people (who is in view), shake_status, shake_whole, shake_worst, drone
+    (whether it is drone picture), pieces, t0, t1. A picture in sync with its pick may talk, and its shake is told apart;
+    one that shows nobody cannot talk. What was not measured is a finding of its own.
+    """
+    from .textops import nobody, source_of
+
+    sync = F.coalesce(in_sync(source_of(F.col("clip")), F.col("offset"), source_of(F.col("pick_clip")), F.col("pick_offset")), F.lit(False))
+    empty = F.coalesce(nobody(F.col("people")), F.lit(False))
+    known = F.coalesce(F.col("shake_status") == "ok", F.lit(False))
+    moved = F.when(known, shaky(F.col("shake_whole"), F.col("shake_worst"), limit)).otherwise(False)
+    flown = F.when(F.coalesce("drone", F.lit(False)) & ~sync, clean_share(F.col("pieces"), F.col("t0"), F.col("t1")))
+    findings = _labels(
+        (~empty & (F.col("status") == "talking"), "talking"), (~empty & (F.col("status") == "unknown"), "talking_unknown"),
+        (moved & ~sync, "shaky"), (moved & sync, "sync_shaky"), (~known, "shake_unmeasured"),
+        (flown == "unclean", "drone_unclean"), (flown == "unmeasured", "drone_unmeasured"),
+    )
+    return talking_cover(rows, exempt).select(row_id, F.explode(findings).alias("finding"))
+
+
 def clean_share(pieces: Column, start: Column, stop: Column, inset: float = 0.25, least: float = 0.9) -> Column:
     """Drone picture: `clean` if its longest clean piece fills nine tenths of the span, less a quarter second at
     each end; `unmeasured` without pieces. pieces: array of (t0, t1)."""
