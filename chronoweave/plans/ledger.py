@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import cuts, evidence, rules, series, talk, verdicts
+from chronoweave.operators import cuts, evidence, intervals, rules, series, talk, verdicts
 from chronoweave.session import table
 
 from .common import SQL_EVENTS, collector, events
@@ -166,3 +166,70 @@ def marked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("i"), F.when(F.col("l_quantity") > 25, "big").alias("marker"), F.lit("x").alias("text"))
     runs = talk.marked_runs(rows, ["l_orderkey"], "i", "marker", "text").groupBy("l_orderkey").agg(F.count("*").alias("runs"))
     return rows.select("l_orderkey").distinct().join(runs, "l_orderkey", "left").na.fill(0, ["runs"])
+
+
+#: Turns as timed words: 0.3 seconds each, every seventh after a pause.
+SQL_WORDS = """t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS ws FROM conversations), w AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+m AS (SELECT conv_id, turn, i, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k FROM w),
+x AS (SELECT *, k * 0.4 + (k // 7) * 1.0 AS s, k * 0.4 + (k // 7) * 1.0 + 0.3 AS e FROM m)"""
+
+
+@query(rf"""WITH {SQL_WORDS}, g AS (SELECT *, lag(regexp_matches(w, '[.!?…]["''”’)\]]*$')) OVER o OR s - lag(e) OVER o >= 0.6 AS begins FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+p AS (SELECT *, sum(CASE WHEN coalesce(begins, true) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT conv_id, CAST(n AS INT) AS n, round(min(s), 3) AS t0, round(max(e), 3) AS t1, count(*) AS words, md5(string_agg(w, ' ' ORDER BY k)) AS digest FROM p GROUP BY conv_id, n""")
+def talk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    w = c.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("i", "w"))
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i"))
+    start = F.col("k") * F.lit(0.4) + F.floor(F.col("k") / 7) * F.lit(1.0)
+    timed = w.withColumn("k", k).select("conv_id", "w", start.alias("s"), (start + F.lit(0.3)).alias("e"))
+    found = talk.sentences(timed, ["conv_id"], longest=1e6)
+    return found.select("conv_id", "n", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"), "words", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations),
+b AS (SELECT conv_id, turn AS n, n AS a, CASE WHEN turn % 10 = 8 THEN NULL ELSE n + CASE WHEN turn % 6 = 4 THEN -2 WHEN turn % 6 = 2 THEN 0 ELSE 1 END END AS z0, turn % 8 = 6 AS untitled, c FROM s WHERE n % 2 = 1),
+r AS (SELECT *, CASE WHEN z0 BETWEEN 1 AND c THEN z0 END AS z FROM b), q AS (SELECT *, coalesce(lag(z) OVER o, 0) AS before, lead(n) OVER o AS next FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY n))
+SELECT conv_id, n, unnest(list_filter([CASE WHEN z IS NULL THEN 'unknown sentence id' END, CASE WHEN untitled THEN 'no title' END, CASE WHEN a > before + 1 THEN 'gap before' END, CASE WHEN a <= before THEN 'overlap' END,
+  CASE WHEN z < a THEN 'ends before it starts' END, CASE WHEN next IS NULL AND z < c THEN 'sentences left over' END], lambda x: x IS NOT NULL)) AS fault FROM q""")
+def beat_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sentences, two to a beat; some beats end too soon, too early or nowhere, or have no title."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", place.alias("n"))
+    name = lambda n: F.format_string("S%04d", n)
+    turn = F.col("turn")
+    end = F.col("n") + F.when(turn % 6 == 4, -2).when(turn % 6 == 2, 0).otherwise(1)
+    beats = s.where("n % 2 = 1").select(
+        "conv_id", turn.alias("n"), F.when(turn % 8 == 6, " ").otherwise("a title").alias("title"), name(F.col("n")).alias("first"),
+        F.when(turn % 10 == 8, "none").otherwise(name(end)).alias("last"),
+    )
+    return talk.beat_faults(beats, s.select("conv_id", name(F.col("n")).alias("id"), "n"), ["conv_id"]).select("conv_id", "n", "fault")
+
+
+@query(f"""WITH {SQL_EVENTS}, p AS (SELECT event_id, (us % 86400000000) / 1e6 AS a, (us % 86400000000) / 1e6 + value * 60 AS b FROM e),
+r AS (SELECT *, least(21600.0, b) - greatest(0.0, a) AS r1, least(72000.0, b) - greatest(28800.0, a) AS r2 FROM p),
+c AS (SELECT event_id, CASE WHEN b <= 21600 OR a >= 28800 AND b <= 72000 THEN [a, b] WHEN r1 >= r2 AND r1 >= 600 THEN [greatest(0.0, a), least(21600.0, b)] WHEN r2 > r1 AND r2 >= 600 THEN [greatest(28800.0, a), least(72000.0, b)] END AS c FROM r)
+SELECT event_id, round(c[1], 7) AS t0, round(c[2], 7) AS t1 FROM c""")
+def span_clamping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events held to two open stretches of the day."""
+    e = events(spark, sf_dir)
+    a = F.col("us") % 86_400_000_000 / 1e6
+    runs = F.expr("array(named_struct('t0', 0.0D, 't1', 21600.0D), named_struct('t0', 28800.0D, 't1', 72000.0D))")
+    held = intervals.clamp_to_runs(a, a + F.col("value") * 60, runs, F.lit(600.0))
+    return e.select("event_id", held.alias("x")).select("event_id", F.round("x.t0", 7).alias("t0"), F.round("x.t1", 7).alias("t1"))
+
+
+@query("""WITH r AS (SELECT event_id AS i, value AS v, event_id % 5 = 0 AND event_id % 3 < 2 AS sync, event_id % 7 = 0 AS empty, event_id % 13 = 0 AS unmeasured FROM events),
+f AS (SELECT *, NOT unmeasured AND (v / 60 > 2 OR v / 40 > 2) AS rough, CASE WHEN i % 4 <> 0 OR sync THEN NULL WHEN i % 8 = 0 THEN 'drone_unmeasured' WHEN (least(v / 20, 9.75) - 0.25) / 9.5 < 0.9 THEN 'drone_unclean' END AS flown FROM r)
+SELECT i AS event_id, unnest(list_filter([CASE WHEN NOT empty AND NOT sync AND i % 11 <> 0 AND v / 50 >= 1 THEN 'talking' END, CASE WHEN NOT empty AND NOT sync AND i % 11 = 0 THEN 'talking_unknown' END,
+  CASE WHEN rough AND NOT sync THEN 'shaky' END, CASE WHEN rough AND sync THEN 'sync_shaky' END, CASE WHEN unmeasured THEN 'shake_unmeasured' END, flown], lambda x: x IS NOT NULL)) AS finding FROM f""")
+def cover_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pictures over speech, by turns silent, in sync, without people, unmeasured or flown."""
+    i, v = F.col("event_id"), F.col("value")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.lit("B1_w01").alias("clip"), F.when(i % 11 != 0, v / 50).alias("spoken_s"), F.when(i % 5 == 0, "B1").otherwise("A1").alias("pick_clip"),
+        F.lit(0.0).alias("offset"), (i % 3 * F.lit(0.3)).alias("pick_offset"), F.when(i % 7 == 0, "No people").otherwise("a crowd").alias("people"),
+        F.when(i % 13 == 0, "unchecked").otherwise("ok").alias("shake_status"), (v / 60).alias("shake_whole"), (v / 40).alias("shake_worst"), (i % 4 == 0).alias("drone"),
+        F.when(i % 8 != 0, F.array(F.struct(F.lit(0.0).alias("t0"), (v / 20).alias("t1")))).alias("pieces"), F.lit(0.0).alias("t0"), F.lit(10.0).alias("t1"),
+    )
+    return verdicts.cover_rules(rows, "event_id")
