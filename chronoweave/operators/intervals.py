@@ -90,13 +90,13 @@ def _merge(spans: DataFrame, keys: Sequence[str], touch) -> DataFrame:
     return numbered.groupBy(*keys, "_island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("_island")
 
 
-def minus(keep: DataFrame, cut: DataFrame, keys: Sequence[str], t0: str = "t0", t1: str = "t1", touch=0) -> DataFrame:
+def minus(keep: DataFrame, cut: DataFrame, keys: Sequence[str], t0: str = "t0", t1: str = "t1", touch=0, width=None) -> DataFrame:
     """What is covered by keep and not by cut, as maximal intervals, for each key.
 
-    A sweep over the bounds of both: running sums say how many of each are open.
+    A sweep over the bounds of both: running sums say how many of each are open. width: as for `union`.
     """
     def edges(df: DataFrame, kept: int) -> DataFrame:
-        merged = union(df, keys, t0, t1, touch)
+        merged = union(df, keys, t0, t1, touch, width)
         up = merged.select(*keys, F.col("t0").alias("at"), F.lit(kept).alias("_k"), F.lit(1 - kept).alias("_c"))
         return up.unionAll(merged.select(*keys, F.col("t1").alias("at"), F.lit(-kept).alias("_k"), F.lit(kept - 1).alias("_c")))
 
@@ -116,13 +116,13 @@ def intersect(left: DataFrame, right: DataFrame, keys: Sequence[str], width, t0:
     return parts.where(F.col("t1") - F.col("t0") >= least)
 
 
-def stable_runs(windows: DataFrame, keys: Sequence[str], level: str, limit, least, t0: str = "t0", t1: str = "t1", touch=0) -> DataFrame:
+def stable_runs(windows: DataFrame, keys: Sequence[str], level: str, limit, least, t0: str = "t0", t1: str = "t1", touch=0, width=None) -> DataFrame:
     """Runs of at least `least` under windows of a level up to the limit and under none above it.
 
     Windows without a level are neither. The caller measures a run again as a whole where that matters.
     """
     calm = windows.where(F.col(level) <= limit)
-    return minus(calm, windows.where(F.col(level) > limit), keys, t0, t1, touch).where(F.col("t1") - F.col("t0") >= least)
+    return minus(calm, windows.where(F.col(level) > limit), keys, t0, t1, touch, width).where(F.col("t1") - F.col("t0") >= least)
 
 
 def prefix_layout(df: DataFrame, group: Sequence[str], order: Sequence[str], duration: str, gap: str | None = None) -> DataFrame:
@@ -198,23 +198,34 @@ def clamp_to_runs(start: Column, stop: Column, runs: Column, least: Column) -> C
     return F.when(runs.isNull() | whole.isNotNull(), span).otherwise(most)
 
 
-def as_of(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, t0: str = "t0") -> DataFrame:
+def as_of(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, t0: str = "t0", width=None) -> DataFrame:
     """Each point with the columns of the last span of its keys that begins at or before it.
 
     One pass: both sides are put in one order, and the last span seen is carried on. Points before all spans get
-    the first one, as lookups past the last one get the last.
+    the first one, as lookups past the last one get the last. width: rows are ordered within buckets of so much time,
+    and only each bucket's last span is carried from bucket to bucket, which spreads a long key over tasks.
     """
     extra = [c for c in spans.columns if c not in keys]
     own = [c for c in points.columns if c not in keys]
     a = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*own).alias("_p"), F.lit(None).cast(spans.select(F.struct(*extra)).schema[0].dataType).alias("_s"))
     b = spans.select(*keys, F.col(t0).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(points.select(F.struct(*own)).schema[0].dataType).alias("_p"), F.struct(*extra).alias("_s"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind")
-    carried = F.coalesce(
-        F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    )
-    found = a.unionByName(b).withColumn("_found", carried).where("_kind = 1")
-    return found.select(*keys, "_p.*", *[F.col("_found")[c].alias(c) for c in extra])
+    both, by = a.unionByName(b), list(keys)
+    if width is not None:
+        both, by = both.withColumn("_bucket", _bucket(F.col("_at"), width)), [*keys, "_bucket"]
+    seen = F.last("_s", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    if width is None:
+        following = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+        found = both.withColumn("_found", F.coalesce(seen, F.first("_s", ignorenulls=True).over(following))).where("_kind = 1")
+        return found.select(*keys, "_p.*", *[F.col("_found")[c].alias(c) for c in extra])
+    # one row a bucket: its last span, and of all the buckets before it
+    tails = both.groupBy(*by).agg(F.max_by(F.when(F.col("_kind") == 0, F.col("_s")), F.when(F.col("_kind") == 0, F.col("_at"))).alias("_tail"))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    before = F.last("_tail", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")
+    first = spans.groupBy(*keys).agg(F.min_by(F.struct(*extra), t0).alias("_first"))
+    inside = both.withColumn("_seen", seen).where("_kind = 1")
+    found = inside.join(tails.select(*by, before), by).join(first, list(keys), "left")
+    use = F.coalesce("_seen", "_before", "_first")
+    return found.withColumn("_found", use).select(*keys, "_p.*", *[F.col("_found")[c].alias(c) for c in extra])
 
 
 def nearest(points: DataFrame, candidates: DataFrame, keys: Sequence[str], at: str, place: str) -> DataFrame:

@@ -202,7 +202,7 @@ SELECT user_id, p0 AS t0, p1 AS t1 FROM pieces WHERE p1 > p0""")
 def interval_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = busy(spark, sf_dir)
     cover = F.col("event_type").isin("view", "click")
-    return intervals.minus(b.where(cover), b.where(~cover), ["user_id"])
+    return intervals.minus(b.where(cover), b.where(~cover), ["user_id"], width=24 * HOUR)
 
 
 @query(SQL_TWO + """SELECT a.user_id, greatest(a.t0, b.t0) AS t0, least(a.t1, b.t1) AS t1 FROM u a JOIN u b ON a.user_id = b.user_id AND a.kind = 1 AND b.kind = 0
@@ -210,7 +210,7 @@ WHERE a.t0 < b.t1 AND b.t0 < a.t1 AND least(a.t1, b.t1) - greatest(a.t0, b.t0) >
 def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = busy(spark, sf_dir)
     cover = F.col("event_type").isin("view", "click")
-    a, c = (intervals.union(x, ["user_id"]) for x in (b.where(cover), b.where(~cover)))
+    a, c = (intervals.union(x, ["user_id"], width=24 * HOUR) for x in (b.where(cover), b.where(~cover)))
     return intervals.intersect(a, c, ["user_id"], 6 * HOUR, least=60_000_000)
 
 
@@ -284,7 +284,7 @@ def asof_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     points = e.where("event_type = 'click'").select("user_id", "event_id", "us")
     chunks = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("chunk"), F.col("us").alias("c0"))
-    return intervals.as_of(points, chunks, ["user_id"], "us", "c0").select("user_id", "event_id", "chunk")
+    return intervals.as_of(points, chunks, ["user_id"], "us", "c0", width=24 * HOUR).select("user_id", "event_id", "chunk")
 
 
 # series
@@ -334,7 +334,7 @@ h AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY user_i
 SELECT user_id, t0, t1 FROM (SELECT user_id, min(t0) AS t0, max(t1) AS t1 FROM h GROUP BY user_id, i) WHERE t1 - t0 >= {3 * DAY}""")
 def stable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = series.sliding_profile(events(spark, sf_dir), ["user_id"], "us", "value", 4 * DAY, DAY, 6)
-    return intervals.stable_runs(found, ["user_id"], "mean", 60, 3 * DAY)
+    return intervals.stable_runs(found, ["user_id"], "mean", 60, 3 * DAY, width=7 * DAY)
 
 
 @query(f"""WITH {SQL_EVENTS}, p AS (SELECT user_id, us, event_id, sum(value - 50) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS x, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS i, count(*) OVER (PARTITION BY user_id) - 1 AS l FROM e),

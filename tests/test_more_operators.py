@@ -157,3 +157,14 @@ def test_jump_cuts_between_bare_neighbours(spark):
     picks = spark.createDataFrame([(1, 1, "A_w01", 0.0, 2.0), (1, 2, "A_w02", 2.0, 5.0), (1, 3, "A_w01", 5.0, 6.0), (1, 4, "B", 6.0, 8.0), (2, 1, "A_w01", 0.0, 2.0)], "beat int, o int, clip string, t0 double, t1 double")
     shown = spark.createDataFrame([(1, "bare", 0.0, 1.96), (1, "video", 1.96, 5.5), (1, "bare", 5.5, 8.0)], "beat int, kind string, t0 double, t1 double")
     assert rows(verdicts.jump_cuts(picks, shown, ["beat"], "o")) == [(1, 1, 2.0)]
+
+
+def test_as_of_in_buckets_is_the_same(spark):
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(int(k), i, float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 300), rng.random(300) * 100, strict=True))], "k int, i int, at double")
+    spans = spark.createDataFrame([(int(k), f"s{i}", float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 40), 20 + rng.random(40) * 60, strict=True))], "k int, s string, t0 double")
+    plain, dealt = (rows(intervals.as_of(points, spans, ["k"], "at", width=w), "i", "s") for w in (None, 7.0))
+    assert plain == dealt and len(plain) == 300
+    cut = points.select("k", F.col("at").alias("t0"), (F.col("at") + 1.5).alias("t1"))
+    keep = spans.select("k", "t0", (F.col("t0") + 9.0).alias("t1"))
+    assert rows(intervals.minus(keep, cut, ["k"])) == rows(intervals.minus(keep, cut, ["k"], width=5.0))
