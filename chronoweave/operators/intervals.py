@@ -181,6 +181,14 @@ def spoken_seconds(spans: DataFrame, words: DataFrame, keys: Sequence[str], span
     return out.withColumn("spoken_s", F.when(F.col("_known"), F.coalesce("heard_s", F.lit(0.0)))).drop("heard_s", "_known")
 
 
+def word_bounds(words: DataFrame, keys: Sequence[str], word: str = "w", s: str = "s", e: str = "e") -> DataFrame:
+    """Of each group the first word and its start, the last word and its end, and how many there are."""
+    return words.groupBy(*keys).agg(
+        F.min_by(word, F.struct(s, e, word)).alias("first_word"), F.min(s).alias("first_s"),
+        F.max_by(word, F.struct(e, s, word)).alias("last_word"), F.max(e).alias("last_e"), F.count("*").alias("words"),
+    )
+
+
 def clamp_to_runs(start: Column, stop: Column, runs: Column, least: Column) -> Column:
     """Where [start, stop) may stand: in the first run that holds it whole, else in the largest common part with a
     run if that is at least `least`, else null. runs: array of structs (t0, t1), in order; null means anywhere."""

@@ -155,6 +155,31 @@ def judgement(score: Column, relation: Column, ids: Column, known: Column, relat
     return F.struct(F.when(good, "ok").otherwise("invalid").alias("status"), F.when(good, whole).alias("score"), problems.alias("problems"))
 
 
+def cover_verdict(score: Column, usable: Column, frames_sent: Column) -> Column:
+    """A verdict on cover as (status, score, usable, why): a whole score from 0 to 3 and numbers of frames that were
+    sent, from 1; those beyond are dropped, and if none is left of any that were named, the verdict is invalid."""
+    whole, named = score.try_cast("int"), F.coalesce(usable, F.array().cast("array<int>"))
+    kept = F.array_sort(F.array_distinct(F.filter(named, lambda k: k.between(1, frames_sent))))
+    problems = _labels(
+        (whole.isNull(), "score missing or not an integer"), (~whole.between(0, 3), F.format_string("score %d out of range 0-3", whole)),
+        ((F.size(named) > 0) & (F.size(kept) == 0) & (frames_sent > 0), F.format_string("usable names no frame in 1-%d", frames_sent)),
+    )
+    return F.struct(
+        F.when(F.size(problems) == 0, "ok").otherwise("invalid").alias("status"), F.when(whole.between(0, 3), whole).alias("score"),
+        kept.alias("usable"), F.array_join(problems, "; ").alias("why"),
+    )
+
+
+def candidate_verdict(standalone: Column, strength: Column, reason: Column) -> Column:
+    """A verdict on a candidate as (status, why): two whole scores from 0 to 3 and a reason; the first fault is told."""
+    bad = lambda x: ~F.coalesce((x == F.floor(x)) & x.between(0, 3), F.lit(False))
+    why = (
+        F.when(bad(standalone), "standalone is not an integer 0-3").when(bad(strength), "strength is not an integer 0-3")
+        .when(F.trim(F.coalesce(reason, F.lit(""))) == "", "no reason")
+    )
+    return F.struct(F.when(why.isNull(), "ok").otherwise("invalid").alias("status"), why.alias("why"))
+
+
 def strict_score(score: Column) -> Column:
     """A score only if it is written as a whole number from 0 to 3."""
     return F.when(score.rlike("^[0-3]$"), score.cast("int"))
@@ -238,6 +263,17 @@ def coverage(df: DataFrame, keys: Sequence[str], status: str = "status", seconds
     )
 
 
+def reason_counts(df: DataFrame, keys: Sequence[str], reason: str, status: str = "status") -> DataFrame:
+    """Rows without an ok by their reason; a missing reason counts as `no reason given`."""
+    rows = df.where(~F.coalesce(F.col(status) == "ok", F.lit(False)))
+    return rows.groupBy(*keys, F.coalesce(F.nullif(F.trim(reason), F.lit("")), F.lit("no reason given")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def seconds_by(df: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
+    """Rows and seconds of each category."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(seconds), F.lit(0)).alias("seconds"))
+
+
 def loudness_summary(df: DataFrame, context: str, loudness: str, peak: str, left: str, right: str, target: float = -24.0) -> DataFrame:
     """Upper median of each recording context, and how many rows are quiet (3 under it), hot or on one channel."""
     from .series import upper_medians

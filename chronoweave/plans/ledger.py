@@ -233,3 +233,42 @@ def cover_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 8 != 0, F.array(F.struct(F.lit(0.0).alias("t0"), (v / 20).alias("t1")))).alias("pieces"), F.lit(0.0).alias("t0"), F.lit(10.0).alias("t1"),
     )
     return verdicts.cover_rules(rows, "event_id")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value / 40) AS INT) END AS s, list_filter([event_id % 9, event_id % 5], lambda x: x <> 4) AS u FROM events),
+k AS (SELECT *, list_sort(list_distinct(list_filter(u, lambda x: x BETWEEN 1 AND 3))) AS kept FROM e),
+p AS (SELECT *, list_filter([CASE WHEN s IS NULL THEN 'score missing or not an integer' END, CASE WHEN s > 3 THEN 'score ' || s || ' out of range 0-3' END, CASE WHEN len(u) > 0 AND len(kept) = 0 THEN 'usable names no frame in 1-3' END], lambda x: x IS NOT NULL) AS bad FROM k)
+SELECT event_id, CASE WHEN len(bad) > 0 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN s <= 3 THEN CAST(s AS VARCHAR) END AS score, array_to_string(kept, ',') AS usable, array_to_string(bad, '; ') AS why FROM p""")
+def cover_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    score = F.when(i % 17 != 0, F.floor(F.col("value") / 40).cast("string"))
+    usable = F.filter(F.array((i % 9).cast("int"), (i % 5).cast("int")), lambda x: x != 4)
+    e = table(spark, sf_dir, "events").select("event_id", verdicts.cover_verdict(score, usable, F.lit(3)).alias("v"))
+    return e.select("event_id", "v.status", F.col("v.score").cast("string").alias("score"), F.array_join(F.col("v.usable").cast("array<string>"), ",").alias("usable"), "v.why")
+
+
+@query("""SELECT conv_id, ws[1] AS first_word, ws[-1] AS last_word, CAST(len(ws) AS BIGINT) AS words FROM (SELECT conv_id, string_split(string_agg(coalesce(text, ''), ' ' ORDER BY turn), ' ') AS ws FROM conversations GROUP BY 1)""")
+def word_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last word of each conversation."""
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("i", "w"))
+    timed = w.select("conv_id", "w", F.struct("turn", "i").alias("s"), F.struct("turn", "i").alias("e"))
+    return intervals.word_bounds(timed, ["conv_id"]).select("conv_id", "first_word", "last_word", "words")
+
+
+@query("""SELECT event_type, reason, count(*) AS n FROM (SELECT event_type, CASE WHEN value > 100 THEN 'too loud' WHEN value < 5 THEN 'no reason given' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY ALL""")
+def unchecked_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    e = table(spark, sf_dir, "events").select("event_type", F.when((v > 100) | (v < 5), "unchecked").otherwise("ok").alias("status"), F.when(v > 100, "too loud").otherwise(" ").alias("reason"))
+    return verdicts.reason_counts(e, ["event_type"], "reason")
+
+
+@query("""SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS seconds FROM documents GROUP BY 1, 2""")
+def seconds_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.seconds_by(table(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
+
+
+@query("""SELECT event_id, lpad(CAST(CAST(floor(value * 60) AS BIGINT) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value * 60) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM events""")
+def long_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.operators import textops
+
+    return table(spark, sf_dir, "events").select("event_id", textops.long_clock(F.col("value") * 60).alias("clock"))

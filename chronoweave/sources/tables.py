@@ -119,10 +119,10 @@ def contiguous(chunks: DataFrame, keys: Sequence[str], most: float = 2.0) -> Dat
 
 
 def envelope(samples: DataFrame, keys: Sequence[str], index: str, value: str, hop: int) -> DataFrame:
-    """Root mean square of every `hop` samples, and its log1p."""
+    """Root mean square of every `hop` samples, its log1p, and dB of full scale (null for silence)."""
     frame = F.floor(F.col(index) / hop).cast("long")
     rms = F.sqrt(F.avg(F.col(value) * F.col(value)))
-    return samples.groupBy(*keys, frame.alias("i")).agg(rms.alias("rms"), F.log1p(rms).alias("level"))
+    return samples.groupBy(*keys, frame.alias("i")).agg(rms.alias("rms"), F.log1p(rms).alias("level"), F.when(rms > 0, 20 * F.log10(rms)).alias("db"))
 
 
 WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -168,3 +168,16 @@ def test_as_of_in_buckets_is_the_same(spark):
     cut = points.select("k", F.col("at").alias("t0"), (F.col("at") + 1.5).alias("t1"))
     keep = spans.select("k", "t0", (F.col("t0") + 9.0).alias("t1"))
     assert rows(intervals.minus(keep, cut, ["k"])) == rows(intervals.minus(keep, cut, ["k"], width=5.0))
+
+
+def test_texts_maps_and_verdicts(spark):
+    from chronoweave.operators import textops
+
+    runs = F.expr("array(named_struct('t0', 5.04D, 't1', 61.5D), named_struct('t0', 125.0D, 't1', 600.0D))")
+    assert one(spark, textops.runs_text(runs), textops.long_clock(F.lit(3725.9)), textops.long_clock(F.lit(59.0))) == ("0:05.0-1:01.5, 2:05.0-10:00.0", "01:02:05", "00:00:59")
+    a, b = F.expr("map('x', '1', 'y', '2')"), F.expr("map('y', '3', 'z', '4')")
+    assert one(spark, textops.overridden(a, b), textops.overridden(F.expr("cast(null as map<string,string>)"), b)) == ({"x": "1", "y": "3", "z": "4"}, {"y": "3", "z": "4"})
+    n = F.lit(None).cast("double")
+    got = one(spark, *[verdicts.candidate_verdict(F.lit(x) if x is not None else n, F.lit(y), F.lit(r)) for x, y, r in ((3.0, 0.0, "good"), (2.5, 1.0, "good"), (None, 1.0, "good"), (1.0, 4.0, "good"), (1.0, 1.0, "  "))])
+    assert [g["why"] for g in got] == [None, "standalone is not an integer 0-3", "standalone is not an integer 0-3", "strength is not an integer 0-3", "no reason"]
+    assert [g["status"] for g in got] == ["ok", "invalid", "invalid", "invalid", "invalid"]
