@@ -49,6 +49,8 @@ FIRST = 8
 MARGIN = 2e-6
 #: Vectors whose vote a task remembers, and words whose terms it does.
 MEMO, WORDS = 4000, 100_000
+#: Rows whose terms are packed and counted together.
+ROWS = 500
 #: Weight of the prior in a vote, and the power of the cosine that weighs a neighbour's: of 1 and 2, that of the lower log
 #: loss over the examples with each left out.
 PRIOR, CLOSENESS = 0.2, 2
@@ -281,14 +283,21 @@ def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return sums[1:] - np.repeat(sums[ends - sizes], sizes), sizes
 
 
+def parts_of(batches):
+    """Arrow batches in parts of ROWS rows, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _packer(shared):
     numbers = TermNumbers({t: i for i, t in enumerate(shared.value.split(b" "))} if shared.value else {})
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+        for part in parts_of(batches):
+            texts = part.column(1).cast(pa.binary()).to_pylist()
             lists = [np.array(sorted({i for w in set(plain_words(t)) for i in numbers[w]}), np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pack(lists)], names=["doc_id", "held"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pack(lists)], names=["doc_id", "held"])
 
     return run
 
@@ -298,9 +307,9 @@ def _counter(size: int):
 
     def count(batches):
         sums = np.zeros((3, size + 1), np.int64)
-        for batch in batches:
-            numbers, sizes = unpack(batch.column(0).to_pylist())
-            labels = batch.column(1).to_numpy()
+        for part in parts_of(batches):
+            numbers, sizes = unpack(part.column(0).to_pylist())
+            labels = part.column(1).to_numpy()
             of = np.repeat(labels, sizes)
             for label in range(3):
                 sums[label, :size] += np.bincount(numbers[of == label], minlength=size)
