@@ -114,12 +114,17 @@ def merge_short(df: DataFrame, keys: Sequence[str], t0: str, t1: str, least) ->
 
 
 def levels(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """floor (tenth percentile) and speech (ninetieth), with linear interpolation, and the mean power's root."""
-    return df.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.10)).alias("floor"),
-        F.percentile(value, F.lit(0.90)).alias("speech"),
-        F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"),
-    )
+    """floor (tenth percentile) and speech (ninetieth), with linear interpolation, and the mean power's root. No group
+    is held as a whole."""
+    shares = {"floor": 0.10, "speech": 0.90}
+    n = F.count(value)
+    power = df.groupBy(*keys).agg(n.alias("_n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+    at = lambda p: (F.col("_n") - 1) * F.lit(p)
+    places = {f"_{k}{end}": f(at(p)).cast("long") for k, p in shares.items() for end, f in (("0", F.floor), ("1", F.ceil))}
+    out = match(power, values_at(df, keys, value, places), keys, "left")
+    part = lambda k: at(shares[k]) - F.floor(at(shares[k]))
+    between = [(F.col(f"_{k}0") * (1 - part(k)) + F.col(f"_{k}1") * part(k)).alias(k) for k in shares]
+    return out.select(*keys, *between, "rms")
 
 
 def upper_median(value: str) -> Column:
@@ -130,23 +135,33 @@ def upper_median(value: str) -> Column:
 
 
 def upper_medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", buckets: int = 64) -> DataFrame:
-    """keys and the upper median of each group, null where it has no value. No group is held as a whole.
+    """keys and the upper median of each group, null where it has no value. No group is held as a whole."""
+    return values_at(df, keys, value, {out: F.floor(F.col("_n") / 2).cast("long")}, buckets)
+
+
+def values_at(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Column], buckets: int = 64) -> DataFrame:
+    """keys and the values at places of each group's sorted values, counted from 0; null where there is none. A place
+    is a column made from `_n`, the number of the group's values.
 
     Equal values are counted and the counts written. Approximate percentiles cut a group's values into buckets,
-    whose running counts tell the one that holds the median; only its values are sorted.
+    whose running counts tell the one that holds a place; only the values of such buckets are sorted.
     """
-    each = cut_lineage(df.groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_n")))
+    each = cut_lineage(df.groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c")))
     cuts = each.groupBy(*keys).agg(
         F.percentile_approx("_x", [i / buckets for i in range(1, buckets)]).alias("_cuts"),
-        F.floor(F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_n"))), F.lit(0)) / 2).alias("_at"),
+        F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"),
     )
-    placed = match(each.where("_x is not null"), cuts, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
-    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_here"), F.first("_at").alias("_at"))
-    before = F.sum("_here").over(_ordered(keys, ["_bucket"]).rowsBetween(*UP_TO)) - F.col("_here")
-    hit = sums.withColumn("_left", F.col("_at") - before).where("_left >= 0 and _left < _here").select(*keys, "_bucket", "_left")
-    inside = match(placed, hit, [*keys, "_bucket"]).withColumn("_up", F.sum("_n").over(_ordered(keys, ["_x"]).rowsBetween(*UP_TO)))
-    found = inside.where("_up > _left and _up - _n <= _left").select(*keys, F.col("_x").alias(out))
-    return match(cuts.select(*keys), found, keys, "left")
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.alias("at")) for name, place in places.items()]))
+    wanted = cuts.select(*keys, asked.alias("_w")).select(*keys, F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at"))
+    placed = match(each.where("_x is not null"), cuts.drop("_n"), keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_here"))
+    sums = sums.withColumn("_before", F.sum("_here").over(_ordered(keys, ["_bucket"]).rowsBetween(*UP_TO)) - F.col("_here"))
+    hit = match(wanted, sums, keys).where("_at >= _before and _at < _before + _here").select(*keys, "_bucket", "_name", (F.col("_at") - F.col("_before")).alias("_left"))
+    inside = match(placed, hit.select(*keys, "_bucket").distinct(), [*keys, "_bucket"])
+    inside = inside.withColumn("_up", F.sum("_c").over(_ordered([*keys, "_bucket"], ["_x"]).rowsBetween(*UP_TO)))
+    found = match(inside, hit, [*keys, "_bucket"]).where("_up > _left and _up - _c <= _left")
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in places])
+    return match(cuts.select(*keys), wide, keys, "left")
 
 
 def match(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
