@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import table
 
-from . import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, suffix, toxicity
+from . import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, suffix, token_files, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -191,3 +191,9 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     sure = F.array_join(F.transform("spans", lambda x: F.format_string("%.3f:%.3f", x["votes"], x["shape"])), ",").alias("probabilities")
     return base.select("row.doc_id", *count, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"), sure)
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.store(id_and_text(spark, sf_dir))
+    return token_files.read(spark, folder).withColumnRenamed("key", "doc_id")
