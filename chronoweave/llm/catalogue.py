@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.session import table
+from chronoweave.session import cut_lineage, table
 
-from . import bpe, decontaminate, license_scan, media, pii, secret, simhash, substring, suffix, token_files, toxicity
+from . import bpe, decontaminate, dialogue, license_scan, media, pii, secret, simhash, spelling, substring, suffix, token_files, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,37 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.store(id_and_text(spark, sf_dir))
     return token_files.read(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+def _damaged(run: F.Column) -> F.Column:
+    """The contract's fault: where 199 divides the checksum of document and run, one letter goes."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = cut_lineage(spelling.count_words(id_and_text(spark, sf_dir), edit=_damaged))
+    return spelling.group(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def damage(conversations: DataFrame) -> DataFrame:
+    """The contract's faults: nulls become a space, then by checksum a row goes, is emptied, loses its stops, is repeated or is the user's."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("h"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.where("h != 0").select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "h")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("h") == 3, 2).otherwise(1)))).drop("h", "copy")
+
+
+@query
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, messages = dialogue.repair(damage(conversations))
+    every = conversations.select("conv_id").distinct().withColumn("talk", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(summary, "talk", "left").join(dialogue.digest(messages), "talk", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
