@@ -122,9 +122,11 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.memo) > MEMO:
             self.forget()
-        if new := [p for p in distinct if p not in self.memo]:
-            self.learn(new)
-        known = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
+        get = self.memo.get
+        known = np.array([get(p, -1) for p in distinct], np.int64)
+        if len(new := np.flatnonzero(known < 0)):
+            known[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+            self.learn([distinct[i] for i in new.tolist()])
         at = known[coded.indices.to_numpy(zero_copy_only=False)]
         return self.place[at], self.length[at]
 
@@ -133,7 +135,7 @@ class Encoder:
     def _split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each). data: bytes of all texts, ends: where each ends, from 0."""
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        widths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        widths = 1 + (codes >= 0x80).astype(np.uint8) + (codes >= 0x800) + (codes >= 0x10000)
         at = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(widths, out=at[1:])
         starts = np.concatenate([[0], ends[:-1]])

@@ -43,8 +43,8 @@ MAGIC = b"TOKENS1\n"
 #: Ids of a block and of a file, at most (a longer document takes as many blocks as it needs).
 BLOCK = 1 << 20
 FILE = 1 << 24
-#: Tasks that read, at most.
-TASKS = 1 << 15
+#: Ids that one task reads, about, and tasks that read, at most.
+READ, TASKS = 1 << 22, 1 << 15
 
 TOKENS = T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())])
 MANIFEST = "path string, first_seq long, n_docs long, n_ids long, n_bytes long"
@@ -63,6 +63,17 @@ def _under(uri: str) -> str:
     return uri if "://" in uri else uri.replace("file:/", "file:///", 1)
 
 
+_last: dict[bytes, rans.Table] = {}
+
+
+def _unpacked(packed: bytes) -> rans.Table:
+    """The shares that this process used last are kept."""
+    if packed not in _last:
+        _last.clear()
+        _last[packed] = rans.Table.unpack(packed)
+    return _last[packed]
+
+
 # ids
 
 
@@ -172,7 +183,7 @@ def write(tokens: DataFrame, table: rans.Table, folder: str, kind: str = "<u2")
     sent = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now, due, done = rans.Table.unpack(sent.value), None, None, []
+        own, now, due, done = _unpacked(sent.value), None, None, []
         for batch in batches:
             seq, key = batch.column(0).to_numpy(), batch.column(1)
             nulls = key.is_null().to_numpy(zero_copy_only=False)
@@ -258,7 +269,7 @@ def parts_of(manifest: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(spark.createDataFrame([], PARTS).schema)
     # a part's row is small and its work is not, so the number of tasks follows the ids
-    return listed.mapInArrow(run, PARTS).repartition(max(1, min(base // BLOCK, TASKS)))
+    return listed.mapInArrow(run, PARTS).repartition(max(1, min(base // READ, TASKS)))
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -273,7 +284,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         system, path = _files(f"{folder}/shares")
         with system.open_input_file(path) as file:
             packed = file.read()
-        table, crc = rans.Table.unpack(packed), zlib.crc32(packed)
+        table, crc = _unpacked(packed), zlib.crc32(packed)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["shares"] != crc:
