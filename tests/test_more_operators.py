@@ -181,3 +181,23 @@ def test_texts_maps_and_verdicts(spark):
     got = one(spark, *[verdicts.candidate_verdict(F.lit(x) if x is not None else n, F.lit(y), F.lit(r)) for x, y, r in ((3.0, 0.0, "good"), (2.5, 1.0, "good"), (None, 1.0, "good"), (1.0, 4.0, "good"), (1.0, 1.0, "  "))])
     assert [g["why"] for g in got] == [None, "standalone is not an integer 0-3", "standalone is not an integer 0-3", "strength is not an integer 0-3", "no reason"]
     assert [g["status"] for g in got] == ["ok", "invalid", "invalid", "invalid", "invalid"]
+
+
+def test_containing_by_grams(spark):
+    import random
+
+    from chronoweave.operators import textops
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab", k=rng.choice([0, 1, 2, 5, 40, 200]))) for _ in range(60)] + [None, "é\U0001f600\n" * 20, "xx" * 40]
+    marks = sorted({t[i : i + k] for t in texts if t for i, k in [(rng.randrange(len(t)), rng.choice([1, 2, 3, 7, 15, 31, 60]))]} | {"\U0001f600\né", "absent" * 8, "x" * 33, ""})
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
+    m = spark.createDataFrame([(i, w, "x") for i, w in enumerate(marks)] + [(999, None, None)], "no int, mark string, colour string")
+    both = lambda t, w: t and w and (w in t or t in w)
+    for way, holds in ((False, lambda t, w: t and w and w in t), (True, both)):
+        found = textops.containing(d, m, "text", "mark", way)
+        assert found.columns == ["id", "text", "no", "mark", "colour"]
+        got = sorted((r["id"], r["no"]) for r in found.collect())
+        assert got == sorted((i, j) for i, t in enumerate(texts) for j, w in enumerate(marks) if holds(t, w))
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert textops.containing(d, m.limit(0), "text", "mark").count() == 0 and textops.containing(d.limit(0), m, "text", "mark", True).count() == 0
