@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import choose, cuts, intervals, reconcile, rules, schedule, series, talk, textops, verdicts
+from chronoweave.operators import choose, correlate, cuts, intervals, moves, reconcile, rules, schedule, series, talk, textops, verdicts
 
 
 def rows(df, *order):
@@ -177,7 +177,7 @@ def test_series(spark):
 def test_moves(spark):
     v = [0.0] * 20 + [5.0] * 60 + [0.0] * 20
     df = spark.createDataFrame([("a", i / 12, x, 0.0) for i, x in enumerate(v)], "k string, t double, vx double, vy double")
-    found = series.move_segments(df, "k", "t", "vx", "vy").orderBy("segment").collect()
+    found = moves.move_segments(df, "k", "t", "vx", "vy").orderBy("segment").collect()
     assert [f["moving"] for f in found] == [False, True, False] and found[1]["direction"] == pytest.approx(1)
     why = spark.range(1).select(series.clean_reasons(F.lit(0.95), F.lit(0.1), F.lit(1.0), F.lit(0.0), F.lit(2.0)), series.clean_reasons(F.lit(None).cast("double"), F.lit(0.1), F.lit(1.0), F.lit(0.0), F.lit(4.0))).first()
     assert why[0] == ["2.0 s long"] and why[1] == ["direction"]
@@ -187,7 +187,7 @@ def test_waveform_and_lag(spark):
     r = random.Random(2)
     x = [r.gauss(0, 1) for _ in range(800)]
     df = spark.createDataFrame([(1, x, x), (2, x, [r.gauss(0, 1) for _ in range(800)]), (3, None, x)], "id int, a array<double>, b array<double>")
-    got = {q["id"]: (q["windows"], q["lost"]) for q in series.waveform_match(df, "a", "b", rate=400).collect()}
+    got = {q["id"]: (q["windows"], q["lost"]) for q in correlate.waveform_match(df, "a", "b", rate=400).collect()}
     assert got == {1: (8, 0), 2: (8, 8), 3: (0, 0)}
     shifted = spark.createDataFrame([(1, x[:50], [0.0, 0.0, 0.0] + x[:47])], "id int, a array<double>, b array<double>")
     best = series.best_match(series.correlate(shifted, ["id"], "a", "b", range(-5, 6)), ["id"], "r", "lag", 1).first()
