@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 from chronoweave.functions.schemas import record
 
-from .verdicts import frames
-
 
 def cut_points(start: Column, stop: Column, pauses: Column, target: float = 45.0, longest: float = 90.0, shortest: float = 12.0) -> Column:
     """Inner cut points of a long take: even parts, each moved to the nearest pause within half a target that leaves
@@ -151,45 +149,6 @@ def word_room(picks: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFr
     return out.withColumns({"max_head_s": F.greatest(F.lit(0.0), head), "max_tail_s": F.greatest(F.lit(0.0), tail)}).drop("_last", "_next")
 
 
-FADES = record("pick string, rec long, dur long, head long, tail long, fade_in long, fade_out long, hole long")
-
-
-def lay_audio(picks: DataFrame, film: str, handle: int = 6) -> DataFrame:
-    """Spoken picks in frames with handles and crossfades.
-
-    picks: film, ord, pick, t0, t1 (seconds), max_head, max_tail (frames). Both ends are rounded and subtracted. A tail
-    reaches over the gap to the next head; what its own room cannot give, the next head gives, up to its room; an
-    overlap becomes the fades of both (two frames at least), and what nothing covers is a hole. A head may grow
-    before its own turn, so a film is walked in order.
-    """
-    ready = picks.select(film, "ord", F.col("pick").cast("string").alias("pick"), frames(F.col("t0")).alias("a"), frames(F.col("t1")).alias("b"), "max_head", "max_tail")
-    schema = T.StructType([picks.schema[film], *FADES.fields])
-
-    def walk(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("ord").to_pylist()
-        heads = [0 if i == 0 else min(handle, r["max_head"]) for i, r in enumerate(rows)]
-        tails, ins, outs, holes = [0] * len(rows), [2] * len(rows), [2] * len(rows), [0] * len(rows)
-        for i, (r, after) in enumerate(zip(rows, rows[1:], strict=False)):
-            gap = after["a"] - r["b"]
-            want = max(0, gap + 2 * handle - heads[i + 1])
-            tails[i] = min(want, r["max_tail"])
-            heads[i + 1] = min(after["max_head"], heads[i + 1] + want - tails[i])
-            overlap = tails[i] + heads[i + 1] - gap
-            outs[i] = ins[i + 1] = max(2, overlap)
-            holes[i] = max(0, -overlap)
-        out = [
-            (r[film], r["pick"], r["a"] - heads[i], r["b"] - r["a"] + heads[i] + tails[i], heads[i], tails[i], ins[i], outs[i], holes[i])
-            for i, r in enumerate(rows)
-        ]
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = to_arrow_schema(schema)
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in types]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], names=types.names)
-
-    return ready.groupBy(film).applyInArrow(walk, schema)
-
-
 def alternate_tracks(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows on tracks 1 and 2 in turn."""
     i = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

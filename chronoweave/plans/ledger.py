@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import cuts, evidence, intervals, rules, series, talk, verdicts
+from chronoweave.operators import cuts, evidence, intervals, lay, rules, series, talk, verdicts
 from chronoweave.session import table
 
 from .common import SQL_EVENTS, collector, events
@@ -272,3 +272,60 @@ def long_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.operators import textops
 
     return table(spark, sf_dir, "events").select("event_id", textops.long_clock(F.col("value") * 60).alias("clock"))
+
+
+#: Orders as films: every line is a spoken pick and a beat of its own, with a picture row over it.
+SQL_LAY = """l AS (SELECT l_orderkey AS film, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS INT) AS ord, CAST(l_quantity AS DOUBLE) / 7 AS d, CAST(l_tax AS DOUBLE) * 10 AS gap,
+    CAST(round(l_discount * 100) AS BIGINT) AS max_head, CAST(round(l_tax * 100) AS BIGINT) AS max_tail, l_returnflag = 'R' AS hard_in,
+    CAST(l_extendedprice AS DOUBLE) % 100 AS in_s, CASE WHEN l_suppkey % 3 = 0 THEN 29.97 ELSE 24.0 END AS fps, l_partkey % 5 = 0 AS card, l_linestatus = 'F' AS half FROM lineitem),
+  p AS (SELECT *, coalesce(sum(d + gap) OVER (PARTITION BY film ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0 FROM l),
+  a AS (SELECT *, CAST(round_even(t0 * 24, 0) AS BIGINT) AS rec, CAST(round_even(d * 24, 0) AS BIGINT) AS dur,
+    CASE WHEN row_number() OVER w = 1 THEN 0 ELSE least(6, max_head) END AS head0, lead(ord) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY film ORDER BY ord)),
+  b AS (SELECT *, lead(rec) OVER w - rec - dur AS gapf, lead(head0) OVER w AS next0 FROM a WINDOW w AS (PARTITION BY film ORDER BY ord)),
+  c AS (SELECT *, CASE WHEN last THEN 12 ELSE gapf + 12 - next0 END AS want, least(CASE WHEN last THEN 12 ELSE gapf + 12 - next0 END, max_tail) AS tail FROM b),
+  g AS (SELECT *, greatest(0, coalesce(lag(want - tail) OVER w, 0)) AS asked FROM c WINDOW w AS (PARTITION BY film ORDER BY ord)),
+  h AS (SELECT *, CASE WHEN asked > 0 THEN least(max_head, head0 + asked) ELSE head0 END AS head FROM g),
+  o AS (SELECT *, tail + lead(head) OVER w - gapf AS over FROM h WINDOW w AS (PARTITION BY film ORDER BY ord)),
+  audio AS (SELECT *, CASE WHEN lag(ord) OVER w IS NULL THEN 12 WHEN hard_in THEN 2 ELSE greatest(2, lag(over) OVER w) END AS fade_in,
+    CASE WHEN last THEN 12 ELSE greatest(2, over) END AS fade_out, coalesce(greatest(0, -over), 0) AS hole FROM o WINDOW w AS (PARTITION BY film ORDER BY ord)),
+  v AS (SELECT film, ord, card, t0, d, gap, fps, in_s, rec, CAST(round_even((t0 + CASE WHEN half THEN d / 2 ELSE d END) * 24, 0) AS BIGINT) - rec AS vd,
+    CAST(round_even(in_s * fps, 0) AS BIGINT) AS sf FROM a WHERE CASE WHEN half THEN d / 2 ELSE d END >= 1),
+  x AS (SELECT *, CASE WHEN gap > 0 AND rec + vd >= round_even((t0 + d) * 24, 0) - 1 AND NOT card THEN CAST(round_even((t0 + d + gap) * 24, 0) AS BIGINT) - rec - vd ELSE 0 END AS more FROM v),
+  video AS (SELECT film, ord, rec, vd + more AS dur, sf, sf + CAST(round_even(vd * fps / 24, 0) AS BIGINT) + CAST(round_even(more * fps / 24, 0) AS BIGINT) AS ef FROM x)"""
+
+
+def lay_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sound and picture of all orders, laid."""
+    l = table(spark, sf_dir, "lineitem")
+    d, gap = F.col("l_quantity").cast("double") / 7, F.col("l_tax").cast("double") * 10
+    before = Window.partitionBy("film").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    # several lines of an order can have one number
+    ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    l = l.withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ties)))
+    p = l.select(
+        F.col("l_orderkey").alias("film"), "ord", F.col("ord").alias("beat"), F.col("ord").alias("pick"), d.alias("duration_s"), gap.alias("gap_after_s"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("max_head"), F.round(F.col("l_tax") * 100).cast("long").alias("max_tail"), (F.col("l_returnflag") == "R").alias("hard_in"),
+        (F.col("l_extendedprice").cast("double") % 100).alias("in_s"), F.when(F.col("l_suppkey") % 3 == 0, 29.97).otherwise(24.0).alias("fps"),
+        (F.col("l_partkey") % 5 == 0).alias("card"), (F.col("l_linestatus") == "F").alias("half"),
+    )
+    p = p.withColumn("t0", F.coalesce(F.sum(F.col("duration_s") + F.col("gap_after_s")).over(before), F.lit(0.0)))
+    p = p.withColumns({"out_s": F.col("in_s") + F.col("duration_s"), "end_s": F.col("t0") + F.col("duration_s")})
+    shown = F.when(F.col("half"), F.col("duration_s") / 2).otherwise(F.col("duration_s"))
+    rows = p.where(shown >= 1).select("film", "beat", F.lit(0).alias("k"), F.lit("video").alias("type"), "in_s", "fps", "card", F.col("t0").alias("dest_in_s"), (F.col("t0") + shown).alias("dest_out_s"))
+    return lay.lay_audio(p, "film"), lay.lay_video(rows, p.select("film", "beat", "end_s", "gap_after_s"), "film", least=0.0)
+
+
+@query(f"""WITH {SQL_LAY} SELECT film, ord, rec, dur, head, tail, fade_in, fade_out, hole, CAST(1 + (row_number() OVER (PARTITION BY film ORDER BY ord) - 1) % 2 AS INT) AS track FROM audio""")
+def lay_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lay_parts(spark, sf_dir)[0].select("film", "ord", "rec", "dur", "head", "tail", "fade_in", "fade_out", "hole", "track")
+
+
+@query(f"""WITH {SQL_LAY} SELECT film, ord AS beat, rec, dur, sf, ef FROM video""")
+def lay_picture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lay_parts(spark, sf_dir)[1].select("film", "beat", "rec", "dur", "sf", "ef")
+
+
+@query(f"""WITH {SQL_LAY}, u AS (SELECT film, ord AS pick, rec + dur + tail AS rec, hole AS dur FROM audio WHERE hole > 0)
+SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM video v WHERE v.film = u.film AND v.rec <= u.rec AND v.rec + v.dur >= u.rec + u.dur)""")
+def lay_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lay.holes(*lay_parts(spark, sf_dir), "film").select("film", "pick", "rec", "dur")

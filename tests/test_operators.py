@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import choose, correlate, cuts, intervals, moves, reconcile, rules, schedule, series, talk, textops, verdicts
+from chronoweave.operators import choose, correlate, cuts, intervals, lay, moves, reconcile, rules, schedule, series, talk, textops, verdicts
 
 
 def rows(df, *order):
@@ -431,9 +431,31 @@ def test_rows_fill_every_pick(spark):
 
 
 def test_crossfades(spark):
-    picks = spark.createDataFrame([("f", 1, "a", 0.0, 2.0, 50, 3), ("f", 2, "b", 2.25, 4.0, 8, 50), ("f", 3, "c", 9.0, 10.0, 0, 0)], "film string, ord int, pick string, t0 double, t1 double, max_head int, max_tail int")
-    got = [tuple(r)[1:] for r in cuts.lay_audio(picks, "film").orderBy("rec").collect()]
-    assert got[0] == ("a", 0, 51, 0, 3, 2, 5, 0) and got[1][:2] == ("b", 46) and got[2][:5] == ("c", 216, 24, 0, 0)
+    rows = [("f", 1, "a", 0.0, 2.0, 10.0, 50, 3, False), ("f", 2, "b", 2.25, 1.75, 20.0, 8, 50, None), ("f", 3, "c", 9.0, 1.0, 30.0, 0, 0, True), ("f", 4, "d", 10.0, 1.0, 40.0, 20, 1, True), ("g", 1, "e", 5.0, 1.0, 0.0, 9, 40, False)]
+    picks = spark.createDataFrame([(*r[:6], r[5] + r[4], *r[6:]) for r in rows], "film string, ord int, pick string, t0 double, duration_s double, in_s double, out_s double, max_head int, max_tail int, hard_in boolean")
+    audio = lay.lay_audio(picks, "film")
+    assert "FlatMapGroups" not in audio._jdf.queryExecution().toString()
+    columns = ["pick", "rec", "dur", "head", "tail", "fade_in", "fade_out", "hole", "track"]
+    got = [tuple(r) for r in audio.orderBy("film", "ord").select(*columns).collect()]
+    assert got == [
+        ("a", 0, 48, 0, 3, 12, 5, 0, 1), ("b", 54, 42, 8, 50, 5, 2, 70, 2), ("c", 216, 24, 0, 0, 2, 12, 0, 1), ("d", 240, 24, 12, 1, 2, 12, 0, 2), ("e", 120, 24, 0, 12, 12, 12, 0, 1),
+    ]
+    v = [("f", 1, 0, "video", 3.0, 30.0, False, 0.0, 2.0), ("f", 1, 1, "bare", 0.0, 24.0, False, 2.0, 2.01), ("f", 2, 0, "video", 1.0, 24.0, False, 2.25, 3.0), ("f", 2, 1, "placeholder", 9.0, 30.0, True, 3.0, 4.0), ("f", 3, 0, "video", 0.0, 25.0, False, 9.0, 9.4)]
+    rows = spark.createDataFrame(v, "film string, beat int, k int, type string, in_s double, fps double, card boolean, dest_in_s double, dest_out_s double")
+    beats = spark.createDataFrame([("f", 1, 2.0, 0.26), ("f", 2, 4.0, 5.0), ("f", 3, 10.0, 0.0)], "film string, beat int, end_s double, gap_after_s double")
+    video = lay.lay_video(rows, beats, "film")
+    got = [tuple(r) for r in video.orderBy("rec").select("beat", "rec", "dur", "sf", "ef", "covers_gap").collect()]
+    # the first row covers its gap to the next beat's frame at 30 frames a second; a card never does, short rows are not laid
+    assert got == [(1, 0, 54, 90, 158, True), (2, 72, 24, 0, 24, False)]
+    assert [tuple(r) for r in lay.holes(audio, video, "film").collect()] == [("f", "b", 146, 70, 572, 642)]
+    spanned = video.union(video.limit(1).withColumns({"rec": F.lit(140).cast("long"), "dur": F.lit(100).cast("long")}))
+    assert lay.holes(audio, spanned, "film").count() == 0
+    assert {tuple(r) for r in lay.end_frame(audio, video, "film").collect()} == {("f", 265), ("g", 156)}
+    limits = spark.createDataFrame([(-60.0, -40.0), (-30.0, -3.0), (-20.0, -9.0), (None, -1.0), (-30.0, None)], "l double, p double")
+    got = [r[0] and tuple(r[0]) for r in limits.select(lay.gain_limit(F.col("l"), F.col("p"), verdicts.gain_for(F.col("l"), F.col("p")))).collect()]
+    assert got == [("capped", 36.0), ("peak", 4.5), None, ("unmeasured", None), None]
+    made = lay.markers(spark.createDataFrame([("f", 1, 0.5, "one", None)], "film string, beat int, start_s double, title string, notes string"), rows.withColumn("text", F.lit("card")), "film")
+    assert {tuple(r) for r in made.collect()} == {("f", 12, "B01 one", ""), ("f", 73, "PLACEHOLDER", "card")}
 
 
 def test_word_room(spark):
