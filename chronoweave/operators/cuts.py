@@ -1,20 +1,14 @@
 """Cuts and lay plans: where to cut, what picture goes under which words, and in which frames.
 
-Folds whose next step hangs on the last one are walked in order: inside an expression where the state is small, or
-over one film as a group where choices are shared by all of its picks.
+Folds whose next step hangs on the last one are walked in order, inside an expression.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from chronoweave.functions.schemas import record
 
 
 def cut_points(start: Column, stop: Column, pauses: Column, target: float = 45.0, longest: float = 90.0, shortest: float = 12.0) -> Column:
@@ -74,60 +68,6 @@ def stretches(picks: DataFrame, rows: DataFrame, cut: Sequence[str], least: floa
     return out.withColumns({"src_in": F.col("in_s") + F.col("into"), "dur": F.col("t1") - F.col("t0")})
 
 
-ROW = record("pick string, k int, type string, clip string, in_s double, out_s double, dest_in_s double, dest_out_s double, note string")
-
-
-def build_rows(picks: DataFrame, shots: DataFrame, film: str, most: float = 12.0, placeholder_most: float = 8.0) -> DataFrame:
-    """Picture rows for every pick of a film, which add up to its length.
-
-    picks: film, ord, beat, pick, duration_s, shot (null: none), status, placeholder, protected. shots: film, shot, in_s,
-    out_s. In order: protected and unchecked picks stay bare, so do picks under a second; a placeholder runs for a
-    bounded time; a shot that was used goes on from where it stopped if it has room; what it cannot fill is bare.
-    Picks of a film share what has been used, so a film is a group.
-    """
-    ready = picks.join(shots.select(film, "shot", F.col("in_s").alias("_in"), F.col("out_s").alias("_out")), [film, "shot"], "left")
-    schema = T.StructType([picks.schema[film], picks.schema["beat"], *ROW.fields])
-
-    def walk(table: pa.Table) -> pa.Table:
-        used: dict[str, float] = {}
-        at: dict = {}
-        out = []
-        for r in table.sort_by("ord").to_pylist():
-            left, begin = r["duration_s"], at.get(r["beat"], 0.0)
-            rows: list[tuple] = []
-            note = "protected" if r["protected"] else "unchecked" if r["status"] == "unchecked" else "under a second" if left < 1 else ""
-            if r["placeholder"] and not note:
-                take = min(left, placeholder_most)
-                rows.append(("placeholder", r["shot"], 0.0, take, ""))
-                left -= take
-            elif r["shot"] and r["_in"] is not None and not note:
-                start = used.get(r["shot"], r["_in"])
-                room = max(0.0, r["_out"] - start)
-                if room < 1:
-                    start, room = r["_in"], r["_out"] - r["_in"]
-                take = min(left, room, most * math.ceil(left / most))
-                if take >= 1:
-                    pieces = math.ceil(take / most)
-                    for i in range(pieces):
-                        rows.append(("video", r["shot"], start + take * i / pieces, start + take * (i + 1) / pieces, ""))
-                    used[r["shot"]] = start + take
-                    left -= take
-            if left > 1e-9:
-                rows.append(("bare", None, None, left, note or ("no shot" if not rows else "no room")))
-            for k, (kind, clip, a, b, why) in enumerate(rows):
-                long = b if a is None else b - a
-                out.append((r[film], r["beat"], r["pick"], k, kind, clip, a, None if a is None else b, begin, begin + long, why))
-                begin += long
-            at[r["beat"]] = begin
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = to_arrow_schema(schema)
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in types]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], names=types.names)
-
-    return ready.groupBy(film).applyInArrow(walk, schema)
-
-
 def word_room(picks: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Seconds free of words before and after each pick in its source: to the last word that ends by in + 0.02, and
     to the first that starts from out - 0.02, less 0.05, never under 0; `in_s` and 3 seconds where there is none.

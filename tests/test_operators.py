@@ -417,19 +417,6 @@ def test_cut_points(spark):
     assert [r[0] for r in df.select(cuts.cut_points(F.col("a"), F.col("b"), F.col("p"))).collect()] == [[40.0, 70.0], [pytest.approx(100 / 3), pytest.approx(200 / 3)], []]
 
 
-def test_rows_fill_every_pick(spark):
-    picks = spark.createDataFrame([("f", i, 1 + i // 3, f"p{i}", d, s, "ok", False, i == 4) for i, (d, s) in enumerate([(5.0, "x"), (30.0, "x"), (0.5, "y"), (4.0, None), (9.0, "y"), (8.0, "y")])], "film string, ord int, beat int, pick string, duration_s double, shot string, status string, placeholder boolean, protected boolean")
-    shots = spark.createDataFrame([("f", "x", 10.0, 40.0), ("f", "y", 0.0, 3.0)], "film string, shot string, in_s double, out_s double")
-    made = cuts.build_rows(picks, shots, "film")
-    total = {r["pick"]: r["s"] for r in made.groupBy("pick").agg(F.sum(F.col("dest_out_s") - F.col("dest_in_s")).alias("s")).collect()}
-    assert total == pytest.approx({"p0": 5, "p1": 30, "p2": 0.5, "p3": 4, "p4": 9, "p5": 8})
-    notes = {(r["pick"], r["type"], r["note"]) for r in made.collect()}
-    assert ("p2", "bare", "under a second") in notes and ("p4", "bare", "protected") in notes and ("p5", "bare", "no room") in notes
-    assert made.where("type = 'video' and dest_out_s - dest_in_s > 12.001").count() == 0
-    faults = reconcile.placement_faults(made.withColumn("duration_s", F.col("dest_out_s") - F.col("dest_in_s")).withColumn("k", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("beat").orderBy("dest_in_s"))), picks, ["film"])
-    assert faults.count() == 0
-
-
 def test_crossfades(spark):
     rows = [("f", 1, "a", 0.0, 2.0, 10.0, 50, 3, False), ("f", 2, "b", 2.25, 1.75, 20.0, 8, 50, None), ("f", 3, "c", 9.0, 1.0, 30.0, 0, 0, True), ("f", 4, "d", 10.0, 1.0, 40.0, 20, 1, True), ("g", 1, "e", 5.0, 1.0, 0.0, 9, 40, False)]
     picks = spark.createDataFrame([(*r[:6], r[5] + r[4], *r[6:]) for r in rows], "film string, ord int, pick string, t0 double, duration_s double, in_s double, out_s double, max_head int, max_tail int, hard_in boolean")
