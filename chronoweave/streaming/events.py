@@ -76,12 +76,16 @@ def upsert(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str],
 
     The table is cut into parts by the hash of the keys, and a batch writes only the parts that it touches, under its own
     number; then an index of the parts' newest numbers is written under that number too. What a batch reads are the parts
-    that the index before it names, so one that runs twice leaves one result, and one that cannot read them fails.
+    that the index before it names, so one that runs twice leaves one result, and one that cannot read them fails. A
+    folder that another checkpoint has written is refused. Parts and indexes that neither the last index nor the one
+    before it names are removed.
     """
     join = merge or (lambda old, new: old.join(new.select(*keys), list(keys), "left_anti").unionByName(new))
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if not number and (others := [n for n in _numbers(spark, f"{folder}/index") if n or _owner(spark, folder, n) != checkpoint]):
+            raise ValueError(f"{folder} holds batches {sorted(others)} of another checkpoint")
         part = F.expr(f"cast(pmod(xxhash64({', '.join(f'`{k}`' for k in keys)}), {parts}) as int)")
         batch = batch.persist()
         touched = {r[0] for r in batch.select(part).distinct().collect()}  # `parts` at most
@@ -89,13 +93,44 @@ def upsert(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str],
         old = _read_parts(spark, folder, {p: before[p] for p in touched & before.keys()}, batch)
         join(old, batch).withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/parts/{number}")
         # a part whose rows are all gone has no folder
-        rows = [(p, n) for p, n in (before | dict.fromkeys(touched, number)).items()]
-        spark.createDataFrame(rows, "part int, number long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index/{number}")
+        now = before | dict.fromkeys(touched, number)
+        rows = [(p, n, checkpoint) for p, n in now.items()]
+        spark.createDataFrame(rows, "part int, number long, checkpoint string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index/{number}")
         batch.unpersist()
+        named = set(now.items()) | set(before.items())
+        for n in _numbers(spark, f"{folder}/parts"):
+            for p in _numbers(spark, f"{folder}/parts/{n}", "_part="):
+                if n < number and (p, n) not in named:
+                    _remove(spark, f"{folder}/parts/{n}/_part={p}")
+        for n in _numbers(spark, f"{folder}/index"):
+            if n < number - 1:
+                _remove(spark, f"{folder}/index/{n}")
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
+    """Numbers of the folders below a folder, none where there is no such folder."""
+    system, at = _filesystem(spark, folder)
+    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+    return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit()]
+
+
+def _owner(spark: SparkSession, folder: str, number: int) -> str | None:
+    row = spark.read.schema("checkpoint string").parquet(f"{folder}/index/{number}").first()
+    return row and row["checkpoint"]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, at = _filesystem(spark, path)
+    system.delete(at, True)
+
+
 def _index(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
     return {r["part"]: r["number"] for r in spark.read.parquet(f"{folder}/index/{number}").collect()}
 
