@@ -5,14 +5,17 @@ those of the smallest hashes) builds a frequency prefix tree for each kind; stat
 frequencies are compatible by Hoeffding's bound, down all their common paths, are merged (red and blue states).
 The result is a deterministic probabilistic automaton. Candidates are all runs of the characters that a labelled value
 may hold, of its least length; words are candidates as well. Every candidate of every text is scored: by the
-log-likelihood of its format against the symbols of all candidates that no base format found, which are counted over
-all texts. A candidate becomes a span of kind `format` where this ratio, as a whole and for each symbol, reaches the
-levels of a kind, which 95 % of the labelled values kept out of the automaton reach. Base spans always stay, and carry their value's score too.
+log-likelihood of its format against pairs of neighbouring symbols of all candidates that no base format found, which are
+counted over all texts. A candidate becomes a span of kind `format` where two things hold for a kind: its ratio for each
+symbol is no lower than 95 % of values of its length would have it, by the mean and the deviation of the labelled values
+kept out of the automaton; and its whole ratio outweighs the odds of all candidates to labelled values. Neither hangs on
+how long labelled values are. Base spans always stay, and carry their value's score too.
 
 A chunk of texts is one array: runs are found and scored column by column for all of them at once.
 
 Defined cases: null and empty texts have no spans; without labelled values nothing is added; repeated rows get
-equal results; offsets are code points, end exclusive; a kind of fewer than LEAST_VALUES values has no automaton.
+equal results; offsets are code points, end exclusive; a kind without labelled values has no automaton, and one of a
+single value is tested by that value.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from .rows import annotate, double, long, name, string, structs
 
 KINDS = ("assign", "access", "hex")
 EXAMPLES = 400
-LEAST_VALUES = 8
 ALPHA = 0.05
 #: Bytes of texts that are looked at together, and the longest candidate that is scored column by column.
 CHUNK, COLUMNS = 4 << 20, 512
@@ -49,6 +51,8 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Fixed: characters of a candidate, those that do not end it, and its least length, as in labelled values.
 CANDIDATE = np.array([chr(c).isalnum() and c < 128 or chr(c) in "+/_.=-" for c in range(256)])
 OPEN_END, SHORTEST = ord("."), 6
+#: Pairs behind a symbol from which on they say more than how frequent the second symbol is by itself.
+PAIRS = 1000
 #: Symbols behind the first FULL characters: a for a-f, z for g-z, A for A-Z, 0 for digits, others as they are.
 FULL = 4
 SYMBOL = np.array([97 if 97 <= c <= 102 else 122 if 103 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
@@ -107,12 +111,15 @@ class Chunk:
         self.start, self.end = start[free], end[free]
         self.of = np.searchsorted(self.first, self.start, "right") - 1
 
-    def symbols(self) -> np.ndarray:
-        """How often each symbol stands in the candidates."""
+    def pairs(self) -> np.ndarray:
+        """How often each symbol (column) stands behind each other one (row; 0 before the first) in the candidates."""
         sizes = self.end - self.start
         at = np.repeat(self.start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         early = at - np.repeat(self.start, sizes) < FULL
-        return np.bincount(np.where(early, self.data[at], SYMBOL[self.data[at]]), minlength=256)
+        now = np.where(early, self.data[at], SYMBOL[self.data[at]]).astype(np.int64)
+        before = np.append(0, now)[:-1]
+        before[np.cumsum(sizes) - sizes] = 0
+        return np.bincount(before * 256 + now, minlength=256 * 256).reshape(256, 256)
 
     def value(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -226,31 +233,46 @@ class Automaton:
 class Scorer:
     """Automata of labelled credentials and a background of single symbols."""
 
-    def __init__(self, labelled: dict[str, list[bytes]], background: np.ndarray):
-        """background: how often each symbol stands in all candidates."""
-        self.back = np.log((background + 1) / (background.sum() + 256))
+    def __init__(self, labelled: dict[str, list[bytes]], background: np.ndarray, odds: float | None = None):
+        """background: how often each pair of symbols stands in all candidates; odds: log of candidates to labelled values."""
+        alone = (background.sum(axis=0) + 1) / (background.sum() + 256)
+        self.back = np.log((background + PAIRS * alone) / (background.sum(axis=1, keepdims=True) + PAIRS))
+        candidates = int(background[0].sum())
+        self.odds = math.log(max(1, candidates) / max(1, sum(map(len, labelled.values())))) if odds is None else odds
+        self.odds = max(0.0, self.odds)
         self.models: dict[str, tuple[Automaton, float, float]] = {}
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for kind in KINDS:
             values = sorted(labelled.get(kind, []))
-            if len(values) < LEAST_VALUES:
+            if not values:
                 continue
-            test, train = values[::4], [v for i, v in enumerate(values) if i % 4]
+            test, train = values[::4], [v for i, v in enumerate(values) if i % 4] or values
             model = Automaton([symbols(v) for v in train])
-            reached = [(self._ratio(model, s), len(s)) for s in map(symbols, test)]
-            each, whole = sorted(r / n for r, n in reached), sorted(r for r, _ in reached)
-            self.models[kind] = (model, max(0.5, each[len(each) // 20]), whole[len(whole) // 20])
+            reached = [(self._ratio(model, s)[0], len(s)) for s in map(symbols, test)]
+            mean = sum(r for r, _ in reached) / sum(n for _, n in reached)
+            spread = math.sqrt(sum((r / n - mean) ** 2 * n for r, n in reached) / len(reached))
+            self.models[kind] = (model, mean, spread)
             self.tables.append(model.tables())
 
-    def _ratio(self, model: Automaton, s: bytes) -> float:
-        """Log-likelihood ratio of a string of symbols."""
-        return model.log_likelihood(s) - float(self.back[list(s)].sum())
+    def _ratio(self, model: Automaton, s: bytes) -> tuple[float, float]:
+        """Log-likelihood ratio of a string of symbols, without and with its end."""
+        turn, step, end = model.tables() if not hasattr(model, "made") else model.made
+        model.made, state, total = (turn, step, end), 0, 0.0
+        for before, c in zip(b"\0" + s, s, strict=False):
+            total += float(step[state, c] - self.back[before, c])
+            state = turn[state, c]
+        return total, total + float(end[state])
+
+    def _over(self, steps, whole, n, mean: float, spread: float):
+        """By how much, for each symbol, ratios exceed a kind's levels."""
+        level = np.maximum(0.5, mean - 1.645 * spread / np.sqrt(n))
+        return np.minimum(steps / n - level, (whole - self.odds) / n)
 
     def score(self, value: bytes) -> float:
         """By how much, for each symbol, the best kind's ratio exceeds its levels; below 0 for no secret. -99 without
         automata."""
         s, n = symbols(value), len(value)
-        return max((min(r / n - each, (r - whole) / n) for r, each, whole in ((self._ratio(m, s), a, b) for m, a, b in self.models.values())), default=-99.0)
+        return max((float(self._over(*self._ratio(m, s), n, a, b)) for m, a, b in self.models.values()), default=-99.0)
 
     def secret(self, value: bytes) -> bool:
         return self.score(value) >= 0
@@ -266,39 +288,41 @@ class Scorer:
         short = np.flatnonzero(size <= COLUMNS)
         short = short[np.argsort(-size[short], kind="stable")]
         start, size = chunk.start[short], size[short]
-        back, total = np.zeros(len(short)), np.zeros((len(self.tables), len(short)))
+        back, total, before = np.zeros(len(short)), np.zeros((len(self.tables), len(short))), np.zeros(len(short), np.uint8)
         state = np.zeros((len(self.tables), len(short)), np.int32)
         reach = np.searchsorted(-size, -np.arange(int(size.max()) if len(size) else 0), "left")  # candidates longer than k
         for k, n in enumerate(reach.tolist()):
             c = chunk.data[start[:n] + k]
             c = c if k < FULL else SYMBOL[c]
-            back[:n] += self.back[c]
+            back[:n] += self.back[before[:n], c]
+            before[:n] = c
             for j, (turn, step, _) in enumerate(self.tables):
                 total[j, :n] += step[state[j, :n], c]
                 state[j, :n] = turn[state[j, :n], c]
-        for j, (_, each, whole) in enumerate(self.models.values()):
-            ratio = total[j] + self.tables[j][2][state[j]] - back
-            best[short] = np.maximum(best[short], np.minimum(ratio / size - each, (ratio - whole) / size))
+        for j, (_, mean, spread) in enumerate(self.models.values()):
+            steps = total[j] - back
+            over = self._over(steps, steps + self.tables[j][2][state[j]], size, mean, spread)
+            best[short] = np.maximum(best[short], over)
         return best
 
 
 def _values():
-    """Distinct labelled values and counts of the candidates' symbols of a task."""
+    """Distinct labelled values and counts of the candidates' pairs of symbols of a task."""
 
     def run(batches):
-        seen, counts = set(), np.zeros(256, np.int64)
+        seen, counts = set(), np.zeros((256, 256), np.int64)
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             for a, b in chunks(texts):
                 chunk = Chunk(texts[a:b])
-                counts += chunk.symbols()
+                counts += chunk.pairs()
                 fresh = {(k, v) for spans in chunk.base for k, _, _, v in spans} - seen
                 seen |= fresh
                 if fresh:
                     yield _rows([(k, v, 0) for k, v in sorted(fresh)])
             if len(seen) > REMEMBERED:
                 seen.clear()
-        yield _rows([("symbol", bytes([c]), n) for c, n in enumerate(counts.tolist()) if n])
+        yield _rows([("pair", bytes([a, b]), int(counts[a, b])) for a, b in np.argwhere(counts).tolist()])
 
     return run
 
@@ -317,10 +341,11 @@ def fit(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> Scorer
     for kind in KINDS:
         least = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples)
         sample[kind] = [bytes(r["value"]) for r in least.collect()]
-    counts = np.zeros(256, np.int64)
-    for r in values.where("kind = 'symbol'").collect():  # 256 rows at most
-        counts[r["value"][0]] = r["n"]
-    return Scorer(sample, counts)
+    counts = np.zeros((256, 256), np.int64)
+    for r in values.where("kind = 'pair'").collect():  # a row for each pair of key characters at most
+        counts[r["value"][0], r["value"][1]] = r["n"]
+    labelled = values.where("kind <> 'pair'").count()
+    return Scorer(sample, counts, math.log(max(1, int(counts[0].sum())) / max(1, labelled)))
 
 
 def all_spans(texts: list[bytes | None], scorer: Scorer) -> list[list[tuple[str, int, int, float]]]:
