@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import choices, ledger, records, signals, timelines
+from chronoweave.plans import checks, choices, ledger, records, signals, timelines
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
-for part in (timelines, records, choices, ledger, signals):
+for part in (timelines, records, choices, ledger, signals, checks):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

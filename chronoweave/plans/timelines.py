@@ -302,8 +302,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, until) AS r
 SELECT user_id, CAST(island AS BIGINT) AS island, min(us) AS t0, max(until) AS t1, count(*) AS n FROM n GROUP BY user_id, island""")
 def short_span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumnRenamed("us", "s").withColumnRenamed("until", "u")
-    joined = series.islands(e, ["user_id"], ["s", "u"], F.col("u") - F.col("s") >= 600_000_000)
-    return joined.groupBy("user_id", "island").agg(F.min("s").alias("t0"), F.max("u").alias("t1"), F.count("*").alias("n"))
+    return series.merge_short(e, ["user_id"], "s", "u", 600_000_000)
 
 
 @query(f"""WITH {SQL_EVENTS}, r AS (SELECT *, max(until) OVER (PARTITION BY user_id ORDER BY us, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e)
