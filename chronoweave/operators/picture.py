@@ -2,12 +2,14 @@
 
 What may stand over a pick is decided by expressions: the chosen shot and its alternatives become a chain of offers
 with the reasons against each, or the pick stays bare with one reason. What is left is a ledger of footage: shots are
-used up from pick to pick, so a film's chains are served in order, in one group for each film.
+used up from pick to pick, so a film's chains are served in order. They stream through a task, sorted; what is held is
+what each shot of the film has given, not the film.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -185,28 +187,36 @@ def build_rows(offered: DataFrame, film: str, most: float = 12.0, card: float =
     columns = [film, "ord", "beat", "pick", "t0", "duration_s", "shot", "status", "protected", "card_s", "bare", "chain", "cut"]
     schema = T.StructType([offered.schema[film], offered.schema["beat"], *ROW.fields, *PICKS_AND_NOTE])
 
-    def walk(table: pa.Table) -> pa.Table:
-        ledger, before, out = Ledger(), None, []
-        for r in table.sort_by([("ord", "ascending")]).to_pylist():
-            start = before.seconds if before else 0.0
-            more, rows = _serve(ledger, r, before, most, card)
-            if more:
-                before.seconds = start + more
-                before.picks.append(r["pick"])
-            at = r["t0"] + more
-            for k, row in enumerate(rows):
-                row.at, row.picks = at, [r["pick"]]
-                at += row.seconds
-                out.append((r, k, row))
-            before = rows[-1] if rows else before
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        types = to_arrow_schema(schema)
-        made = [
-            (r[film], r["beat"], r["pick"], k, w.kind, w.shot, w.start, w.start + w.seconds, w.at, w.at + w.seconds, w.picks, w.note) for r, k, w in out
-        ]
-        made = [(*m[:6], *(round(x, 2) for x in m[6:10]), *m[10:]) for m in made]
-        lists = list(zip(*made, strict=True)) if made else [[] for _ in types]
-        return pa.table([pa.array(c, f.type) for c, f in zip(lists, types, strict=True)], names=types.names)
-
-    return offered.select(*columns).groupBy(film).applyInArrow(walk, schema)
+        types, out = to_arrow_schema(schema), []
+        ledger, before, now, first = Ledger(), None, None, True
+
+        def made(rows: list) -> pa.RecordBatch:
+            found = [(r[film], r["beat"], r["pick"], k, w.kind, w.shot, *(round(x, 2) for x in (w.start, w.start + w.seconds, w.at, w.at + w.seconds)), w.picks, w.note) for r, k, w in rows]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), types, strict=True)], names=types.names)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if first or r[film] != now:
+                    ledger, before, now, first = Ledger(), None, r[film], False
+                start = before.seconds if before else 0.0
+                more, rows = _serve(ledger, r, before, most, card)
+                if more:
+                    before.seconds = start + more
+                    before.picks.append(r["pick"])
+                at = r["t0"] + more
+                for k, row in enumerate(rows):
+                    row.at, row.picks = at, [r["pick"]]
+                    at += row.seconds
+                    out.append((r, k, row))
+                before = rows[-1] if rows else before
+            if len(out) > 1:  # the last row may still run on
+                yield made(out[:-1])
+                out = out[-1:]
+        if out:
+            yield made(out)
+
+    sorted_ = offered.select(*columns).repartition(film).sortWithinPartitions(film, "ord")
+    return sorted_.mapInArrow(run, schema)
