@@ -15,7 +15,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_cosines(queries: DataFrame, rows: DataFrame, query: tuple[str, str], row: tuple[str, str], k: int, digits: int = 9, block: int = 10_000) -> DataFrame:
+def top_cosines(queries: DataFrame, rows: DataFrame, query: tuple[str, str], row: tuple[str, str], k: int, digits: int = 9, block: int = 1_000) -> DataFrame:
     """The k rows of the largest cosine for each query, itself left out; ties (after rounding) by id; and `rank`.
 
     query and row name the id (a long) and the vector. Queries are searched in blocks: about `block` of them are sent

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY_END = 1440
+#: Sessions of a day, at most; more is no schedule but an error.
+PAGE = 10_000
 #: Fixed names of the stages of an item, in order.
 STATUSES = ("planned", "footage", "selects", "cut", "review", "graded", "mixed", "delivered")
 
@@ -116,7 +118,9 @@ def session_windows(sessions: DataFrame) -> DataFrame:
     in parallel, or the day's end. Sessions without a start are left out."""
     a = sessions.where(F.col("start_min").isNotNull())
     # a day's sessions are a schedule's page: they go along with each session without an end
-    days = a.groupBy("day").agg(F.collect_list(F.struct(F.col("start_min").alias("s"), F.col("cameras").alias("cams"))).alias("_day"))
+    page = a.groupBy("day").agg(F.count("*").alias("_n"))
+    full = F.when(F.col("_n") > PAGE, F.raise_error(F.format_string("day %s has over %d sessions", F.col("day").cast("string"), F.lit(PAGE))).cast("boolean")).otherwise(True)
+    days = a.join(page.where(full), "day").groupBy("day").agg(F.collect_list(F.struct(F.col("start_min").alias("s"), F.col("cameras").alias("cams"))).alias("_day"))
     apart = lambda x: F.coalesce(_parallel(F.col("cameras"), x["cams"]), F.lit(False))
     later = F.filter("_day", lambda x: (x["s"] > F.col("start_min")) & ~apart(x))
     open_ = a.where("end_min is null").join(days, "day").withColumn("end_min", F.coalesce(F.array_min(F.transform(later, lambda x: x["s"])), F.lit(DAY_END)))

@@ -110,18 +110,19 @@ def merge_short(df: DataFrame, keys: Sequence[str], t0: str, t1: str, least) ->
     return joined.groupBy(*keys, "island").agg(F.min(t0).alias("t0"), F.max(t1).alias("t1"), F.count("*").alias("n"))
 
 
-def levels(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """floor (tenth percentile) and speech (ninetieth), with linear interpolation, and the mean power's root. No group
-    is held as a whole."""
-    shares = {"floor": 0.10, "speech": 0.90}
-    n = F.count(value)
-    power = df.groupBy(*keys).agg(n.alias("_n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and percentiles with linear interpolation, by name; null for a group without values. No group is held as a whole."""
     at = lambda p: (F.col("_n") - 1) * F.lit(p)
     places = {f"_{k}{end}": f(at(p)).cast("long") for k, p in shares.items() for end, f in (("0", F.floor), ("1", F.ceil))}
-    out = match(power, values_at(df, keys, value, places), keys, "left")
+    out = values_at(df, keys, value, places | {"_n": None})
     part = lambda k: at(shares[k]) - F.floor(at(shares[k]))
-    between = [(F.col(f"_{k}0") * (1 - part(k)) + F.col(f"_{k}1") * part(k)).alias(k) for k in shares]
-    return out.select(*keys, *between, "rms")
+    return out.select(*keys, *[(F.col(f"_{k}0") * (1 - part(k)) + F.col(f"_{k}1") * part(k)).alias(k) for k in shares])
+
+
+def levels(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """floor (tenth percentile) and speech (ninetieth), and the mean power's root."""
+    power = df.groupBy(*keys).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+    return match(power, percentiles(df, keys, value, {"floor": 0.10, "speech": 0.90}), keys, "left").select(*keys, "floor", "speech", "rms")
 
 
 def upper_median(value: str) -> Column:
@@ -138,7 +139,7 @@ def upper_medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "me
 
 def values_at(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Column], buckets: int = 64) -> DataFrame:
     """keys and the values at places of each group's sorted values, counted from 0; null where there is none. A place
-    is a column made from `_n`, the number of the group's values.
+    is a column made from `_n`, the number of the group's values; the place None is that number itself.
 
     Equal values are counted. A value's bucket is its sign and the whole part of `buckets` times its logarithm, which
     ascends with it; running counts of a group's buckets tell which one holds a place, and only the values of such
@@ -152,14 +153,16 @@ def values_at(df: DataFrame, keys: Sequence[str], value: str, places: dict[str,
     known = F.when(F.col("_sign").isNotNull(), F.col("_here")).otherwise(0)
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_sign"), "_size")
     sums = sums.withColumns({"_n": F.sum(known).over(Window.partitionBy(*keys)), "_before": F.sum(known).over(order.rowsBetween(*UP_TO)) - known})
-    asked = F.array(*[F.struct(F.lit(name).alias("name"), place.cast("long").alias("at")) for name, place in places.items()])
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), place.cast("long").alias("at")) for name, place in places.items() if place is not None])
     held = F.filter(asked, lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_here")))
     hit = sums.where("_sign is not null").select(*keys, "_sign", "_size", "_before", held.alias("_asked")).where(F.size("_asked") > 0)
     inside = match(each, hit, [*keys, "_sign", "_size"])
     inside = inside.withColumn("_up", F.col("_before") + F.sum("_c").over(_ordered([*keys, "_sign", "_size"], ["_x"]).rowsBetween(*UP_TO)))
     here = lambda name: F.exists("_asked", lambda w: (w["name"] == name) & (w["at"] < F.col("_up")) & (w["at"] >= F.col("_up") - F.col("_c")))
-    wide = inside.groupBy(*keys).agg(*[F.max(F.when(here(name), F.col("_x"))).alias(name) for name in places])
-    return match(sums.select(*keys).distinct(), wide, keys, "left")
+    wide = inside.groupBy(*keys).agg(*[F.max(F.when(here(name), F.col("_x"))).alias(name) for name in places if places[name] is not None])
+    counted = [F.max("_n").alias(name) for name in places if places[name] is None]
+    groups = sums.groupBy(*keys).agg(*counted) if counted else sums.select(*keys).distinct()
+    return match(groups, wide, keys, "left")
 
 
 def match(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

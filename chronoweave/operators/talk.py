@@ -171,15 +171,16 @@ def measure(sentences_: DataFrame, frames: DataFrame, words: DataFrame, keys: Se
     under words; a sentence's level likewise, in tenths. Off-mic: 10 dB or more under the median sentence.
     """
     from .intervals import contains_join
+    from .series import percentiles
 
     timed = frames.withColumn("_t", F.col("i") / rate)
-    floor = frames.groupBy(*keys).agg(F.percentile("db", F.lit(0.1)).alias("floor"))
+    floor = percentiles(frames, keys, "db", {"floor": 0.1})
     under = contains_join(timed, words.select(*keys, "s", "e"), keys, "_t", ("s", "e"), 10.0)
-    speech = under.select(*keys, "i", "db").distinct().groupBy(*keys).agg(F.percentile("db", F.lit(0.9)).alias("speech"))
-    level = contains_join(timed, sentences_.select(*keys, "n", "t0", "t1"), keys, "_t", ("t0", "t1"), 10.0).groupBy(*keys, "n").agg(F.round(F.percentile("db", F.lit(0.9)), 1).alias("level"))
+    speech = percentiles(under.select(*keys, "i", "db").distinct(), keys, "db", {"speech": 0.9})
+    heard = contains_join(timed, sentences_.select(*keys, "n", "t0", "t1"), keys, "_t", ("t0", "t1"), 10.0)
+    level = percentiles(heard, [*keys, "n"], "db", {"level": 0.9}).withColumn("level", F.round("level", 1))
     out = sentences_.join(level, [*keys, "n"], "left").join(floor, list(keys), "left").join(speech, list(keys), "left")
-    wearer = out.groupBy(*keys).agg(F.percentile("level", F.lit(0.5)).alias("_wearer"))
-    out = out.join(wearer, list(keys), "left")
+    out = out.join(percentiles(out, keys, "level", {"_wearer": 0.5}), list(keys), "left")
     return out.withColumns({"off_mic": F.col("level") <= F.col("_wearer") - 10, "room_known": F.col("speech") - F.col("floor") >= 12, "quiet": F.col("floor") + 6}).drop("_wearer")
 
 

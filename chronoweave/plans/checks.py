@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import choose, cuts, evidence, schedule, series, textops, verdicts
+from chronoweave.operators import choose, cuts, evidence, schedule, series, talk, textops, verdicts
 from chronoweave.session import table
 
 from .common import SQL_EVENTS, collector, events
@@ -176,3 +176,22 @@ def unit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, s, w = F.concat(F.lit("A"), text(i)), F.concat(F.lit("_s"), text(i % 7)), F.concat(F.lit("_w"), text(i % 5))
     unit = F.when(i % 4 == 0, F.concat(a, s, w)).when(i % 4 == 1, F.concat(a, w)).when(i % 4 == 2, F.concat(F.lit("DJI_"), text(i))).otherwise(F.concat(a, s))
     return table(spark, sf_dir, "pages").select("page_id", textops.base_clip(unit).alias("clip"), textops.source_of(unit).alias("source"), textops.window_source(unit).alias("take"))
+
+
+@query(f"""WITH {SQL_EVENTS}, f AS (SELECT user_id, event_id % 600 AS i, value AS db FROM e), w AS (SELECT DISTINCT user_id, event_id % 60 AS s FROM e WHERE event_id % 5 = 0),
+s AS (SELECT DISTINCT user_id, event_id % 3 AS n, event_id % 3 * 20.0 AS t0, event_id % 3 * 20.0 + 20 AS t1 FROM e),
+floor AS (SELECT user_id, quantile_cont(db, 0.1) AS floor FROM f GROUP BY 1),
+speech AS (SELECT user_id, quantile_cont(db, 0.9) AS speech FROM (SELECT DISTINCT f.user_id, i, db FROM f JOIN w ON w.user_id = f.user_id AND i / 10.0 >= w.s AND i / 10.0 < w.s + 1) GROUP BY 1),
+level AS (SELECT s.user_id, s.n, round(quantile_cont(db, 0.9), 1) AS level FROM s JOIN f ON f.user_id = s.user_id AND i / 10.0 >= t0 AND i / 10.0 < t1 GROUP BY 1, 2),
+a AS (SELECT s.user_id, s.n, level, floor, speech FROM s LEFT JOIN level USING (user_id, n) LEFT JOIN floor USING (user_id) LEFT JOIN speech USING (user_id)),
+m AS (SELECT user_id, quantile_cont(level, 0.5) AS wearer FROM a GROUP BY 1)
+SELECT a.user_id, CAST(n AS BIGINT) AS n, round(coalesce(level, -1), 4) AS level, round(coalesce(floor, -1), 4) AS floor, round(coalesce(speech, -1), 4) AS speech, coalesce(level <= wearer - 10, false) AS off_mic FROM a LEFT JOIN m USING (user_id)""")
+def talk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as levels of a user's minute, ten a second; words of a second, sentences of twenty."""
+    e, i = events(spark, sf_dir), F.col("event_id")
+    frames = e.select("user_id", (i % 600).alias("i"), F.col("value").alias("db"))
+    words = e.where(i % 5 == 0).select("user_id", (i % 60).cast("double").alias("s")).distinct().withColumn("e", F.col("s") + 1)
+    sentences = e.select("user_id", (i % 3).alias("n")).distinct().withColumns({"t0": F.col("n") * 20.0, "t1": F.col("n") * 20.0 + 20})
+    found = talk.measure(sentences, frames, words, ["user_id"], rate=10)
+    known = lambda c: F.round(F.coalesce(c, F.lit(-1.0)), 4).alias(c)
+    return found.select("user_id", "n", known("level"), known("floor"), known("speech"), F.coalesce("off_mic", F.lit(False)).alias("off_mic"))

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import zipfile
 
 import pytest
@@ -42,6 +43,43 @@ def test_files_and_json(spark, tmp_path):
     assert (kept.count(), dropped.count()) == (0, 1)
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 8 << 20])
+def test_members_are_those_of_the_whole(spark, tmp_path, chunk):
+    import json
+    import random
+
+    from chronoweave.sources import members
+
+    rng = random.Random(chunk)
+    bits = ['"', "\\", "{", "}", "[", "]", ",", ":", "é", "a", " ", "\n", "\\\\"]
+    text = lambda: "".join(rng.choices(bits, k=rng.randint(0, 12)))
+    whole = {f"{text()}{i}": {"t": text(), "n": [rng.random(), {"x": text()}]} for i in range(40)} | {"null": None}
+    (tmp_path / "a.json").write_text(json.dumps(whole, indent=2, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "b.json").write_text(" \n{ }", encoding="utf-8")
+    (tmp_path / "c.json").write_text('{"one":{"t":"\\\\\\""}}', encoding="utf-8")
+    schema = "struct<t:string>"
+    for name in ("a", "b", "c"):
+        path = str(tmp_path / f"{name}.json")
+        want, got = tables.keyed_json(spark, path, schema), members.keyed_members(spark, path, schema, chunk)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    assert members.keyed_members(spark, str(tmp_path / "*.json"), schema, chunk).count() == 42
+
+
+def test_a_large_object_is_read_in_many_tasks(spark, tmp_path):
+    from chronoweave.sources import members
+
+    path = tmp_path / "large.json"
+    with open(path, "w") as out:
+        out.write("{")
+        for i in range(40_000):
+            out.write(("," if i else "") + f'"k{i}":{{"t":"{"x{y," * 1000}","n":{i}}}')
+        out.write("}")
+    assert path.stat().st_size > 150_000_000
+    got = members.keyed_members(spark, str(path), "struct<t:string,n:long>")
+    assert got.rdd.getNumPartitions() > 15
+    assert got.agg(F.count("*"), F.sum("value.n"), F.min(F.length("value.t")), F.max(F.length("value.t"))).first() == (40_000, 40_000 * 39_999 // 2, 4000, 4000)
+
+
 def test_configuration(spark):
     assert tables.load_config('{"a": 2}', {"a": 1, "b": 3}) == {"a": 2, "b": 3} and tables.first_profile(None, {}, {"x": 1}) == {"x": 1}
     for bad in ('{"z": 1}', "[]"):
@@ -149,3 +187,26 @@ def test_rest_works_without_the_corpus_operators():
 
     code = "import sys; sys.modules['chronoweave.llm'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op')] and len(e.queries()) > 60"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_envelope_conflicts_and_manifest(spark):
+    samples = spark.createDataFrame([("a", i, x) for i, x in enumerate([3.0, 4.0, 0.0, 0.0, 1.0])], "src string, i long, x double")
+    got = {r["i"]: (r["rms"], r["db"]) for r in tables.envelope(samples, ["src"], "i", "x", 2).collect()}
+    assert got[0] == (pytest.approx(12.5**0.5), pytest.approx(20 * math.log10(12.5**0.5))) and got[1] == (0.0, None) and got[2] == (1.0, 0.0)
+    clips = spark.createDataFrame([("p", "walk"), ("p", "drone"), ("q", "walk"), ("q", "walk")], "path string, role string")
+    assert [tuple(r) for r in tables.catalogue_conflicts(clips).collect()] == [("p", ["drone", "walk"])]
+    one = sinks.manifest(spark, {"clips": clips}, "t1", {"rows": 4}).first()[0]
+    again = sinks.manifest(spark, {"clips": clips.repartition(3)}, "t1", {"rows": 4}).first()[0]
+    assert one == again != sinks.manifest(spark, {"clips": clips.limit(3)}, "t1", {"rows": 4}).first()[0]
+
+
+def test_defects_and_selects(spark):
+    from chronoweave.operators import talk, textops
+
+    kind = "struct<risks:array<string>,omissions:array<string>,insertions:array<string>>"
+    df = spark.createDataFrame([((["a", "b"], [], ["x"]), (["b", "a", "a"], [], ["x"])), ((["a"], [], []), (["a"], ["w"], []))], f"one {kind}, two {kind}")
+    assert [r[0] for r in df.select(textops.same_defect(F.col("one"), F.col("two"))).collect()] == [True, False]
+    ranked = spark.createDataFrame([("t", 1, 9.0, 25.0, 0.1, 5.0)], "talk string, id int, t0 double, t1 double, head_room double, tail_room double")
+    chunks = spark.createDataFrame([("t", "c1", 0.0, 10.0), ("t", "c2", 10.0, 25.2), ("t", "c3", 25.2, 40.0)], "talk string, source string, c0 double, c1 double")
+    got = [(r["source"], round(r["in_s"], 3), round(r["out_s"], 3), r["part"], r["parts"]) for r in talk.selects(ranked, chunks, ["talk"]).orderBy("part").collect()]
+    assert got == [("c1", 8.9, 10.0, 1, 3), ("c2", 0.0, 15.2, 2, 3), ("c3", 0.0, 0.1, 3, 3)]
