@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import choose, cuts, evidence, schedule, series, talk, textops, verdicts
 from chronoweave.session import table
+from chronoweave.sources import documents
 
 from .common import SQL_EVENTS, collector, events
 
@@ -195,3 +196,29 @@ def talk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = talk.measure(sentences, frames, words, ["user_id"], rate=10)
     known = lambda c: F.round(F.coalesce(c, F.lit(-1.0)), 4).alias(c)
     return found.select("user_id", "n", known("level"), known("floor"), known("speech"), F.coalesce("off_mic", F.lit(False)).alias("off_mic"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INT) AS i, l_partkey AS p, l_suppkey AS s FROM lineitem),
+x AS (SELECT *, 'sessions[' || i || ']' AS w FROM l)
+SELECT doc, w || '.day' AS path, chr(39) || 'd' || p % 4 || chr(39) || ' is not a known day' AS what FROM x WHERE p % 4 = 3
+UNION ALL SELECT doc, w || '.start', chr(39) || s % 30 || ':00' || chr(39) || ' is no time (HH:MM)' FROM x WHERE s % 30 >= 24
+UNION ALL SELECT doc, w || '.end', chr(39) || '12:00' || chr(39) || ' does not come after' FROM x WHERE s % 30 >= 12
+UNION ALL SELECT doc, w || '.cameras[0]', chr(39) || 'c' || p % 5 || chr(39) || ' is not a known camera name' FROM x WHERE p % 5 > 2
+UNION ALL SELECT doc, w || '.mood', 'is an unknown key' FROM x WHERE p % 17 = 0
+UNION ALL SELECT doc, w || '.id', 'is required' FROM x WHERE s % 13 = 0
+UNION ALL SELECT doc, w || '.id', chr(39) || 's' || p % 2 || chr(39) || ' is listed more than once' FROM (SELECT *, count(*) OVER (PARTITION BY doc, p % 2) AS n FROM x WHERE s % 13 <> 0) WHERE n > 1""")
+def document_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as schedule documents, lines as their sessions with faults of many kinds; every fault by its path."""
+    l = table(spark, sf_dir, "lineitem")
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    text = lambda a, c: F.concat(F.lit(a), c.cast("string"))
+    session = F.struct(
+        F.when(s % 13 != 0, text("s", p % 2)).alias("id"), text("d", p % 4).alias("day"), F.concat((s % 30).cast("string"), F.lit(":00")).alias("start"), F.lit("12:00").alias("end"),
+        F.array(text("c", p % 5)).alias("cameras"), F.when(p % 17 == 0, 1).alias("mood"),
+    )
+    rows = l.withColumn("i", i).groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("i", session.alias("s")))).alias("s"))
+    camera = lambda n: F.struct(F.lit(n).alias("name"), F.lit("X").alias("prefix"))
+    days = F.struct(*[F.lit("2026-05-01").alias(f"d{k}") for k in range(3)])
+    doc = F.struct(F.lit("p").alias("project"), days.alias("days"), F.array(*[camera(f"c{k}") for k in range(3)]).alias("cameras"), F.transform("s", lambda x: x["s"]).alias("sessions"))
+    return documents.faults(rows.select("doc", F.to_json(doc).alias("text")), documents.SCHEDULE)
