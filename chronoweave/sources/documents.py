@@ -13,9 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Deepest level that is walked; what lies deeper is a fault.
-DEPTH = 12
-
 
 @dataclass
 class Rules:
@@ -48,15 +45,20 @@ def nodes(docs: DataFrame, free: tuple[str, ...] = ()) -> DataFrame:
     """
     spark = docs.sparkSession
     root = docs.select("doc", F.lit("").alias("path"), F.lit("").alias("pattern"), F.lit(None).cast("string").alias("above"), F.lit(None).cast("string").alias("above_pattern"), F.lit(None).cast("string").alias("key"), F.try_parse_json("text").alias("value"))
-    levels, now = [root], root
-    for depth in range(DEPTH):
+    from chronoweave.session import cut_lineage
+
+    now = cut_lineage(root)
+    levels = [now]
+    while True:  # as many rounds as the deepest document has levels
         inner = spark.sql("SELECT doc, path AS above, pattern AS above_pattern, e.pos, e.key AS inner_key, e.value FROM {now}, LATERAL variant_explode(value) AS e", now=now)
         dot = lambda c: F.when(F.col(c) == "", F.lit("")).otherwise(F.lit("."))
         listed = F.col("inner_key").isNull()
         path = F.when(listed, F.concat("above", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("above", dot("above"), "inner_key"))
         name = F.when(F.col("above_pattern").isin(*free), "*").otherwise(F.col("inner_key"))
         pattern = F.when(listed, F.concat("above_pattern", F.lit("[*]"))).otherwise(F.concat("above_pattern", dot("above_pattern"), name))
-        now = inner.select("doc", path.alias("path"), pattern.alias("pattern"), "above", "above_pattern", F.col("inner_key").alias("key"), "value")
+        now = cut_lineage(inner.select("doc", path.alias("path"), pattern.alias("pattern"), "above", "above_pattern", F.col("inner_key").alias("key"), "value"))
+        if now.isEmpty():
+            break
         levels.append(now)
     every = reduce(DataFrame.union, levels)
     kind = F.when(F.col("value").isNull(), "broken").otherwise(kind_of("value"))
