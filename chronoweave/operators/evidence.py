@@ -122,13 +122,18 @@ def stretch_picks(stretches: DataFrame, picks: DataFrame) -> DataFrame:
     return keyed.unionByName(by_time.withColumn("pick", F.col("_pick")).select(*stretches.columns))
 
 
-def words_kept(words: DataFrame, picks: DataFrame, keys: Sequence[str], slack: float = 0.05, middle: bool = False) -> DataFrame:
-    """Words of each pick: those inside it, give or take `slack`; with `middle`, those whose middle is (ends included)."""
+def words_kept(words: DataFrame, picks: DataFrame, keys: Sequence[str], slack: float = 0.05, middle: bool = False, width: float = 60.0, inside: str | None = None) -> DataFrame:
+    """Words of each pick: those inside it, give or take `slack`; with `middle`, those whose middle is (ends included).
+
+    width: of the time buckets, about a pick's length. inside: a column that says whether all of the word is inside.
+    """
     w = words.select(*keys, "w", F.col("s").alias("_s"), F.col("e").alias("_e"))
-    inside = (F.col("_s") >= F.col("in_s") - slack) & (F.col("_e") <= F.col("out_s") + slack)
+    within = (F.col("_s") >= F.col("in_s") - slack) & (F.col("_e") <= F.col("out_s") + slack)
     centre = ((F.col("_s") + F.col("_e")) / 2).between(F.col("in_s") - slack, F.col("out_s") + slack)
     from .intervals import overlap_join
 
-    wide = picks.withColumns({"_a": F.col("in_s") - slack - 1e-9, "_b": F.col("out_s") + slack + 1e-9})
-    met = overlap_join(wide, w.withColumn("_stop", F.greatest("_e", F.col("_s") + 1e-9)), keys, ("_a", "_b"), ("_s", "_stop"), 60.0)
-    return met.where(centre if middle else inside).select(*picks.columns, "w", F.col("_s").alias("s"), F.col("_e").alias("e"))
+    # a microsecond more on both sides: words without length meet, also where seconds count from 1970
+    wide = picks.withColumns({"_a": F.col("in_s") - slack - 1e-6, "_b": F.col("out_s") + slack + 1e-6})
+    met = overlap_join(wide, w.withColumn("_stop", F.greatest("_e", F.col("_s") + 1e-6)), keys, ("_a", "_b"), ("_s", "_stop"), width)
+    said = met.where(centre if middle else within)
+    return said.select(*picks.columns, "w", F.col("_s").alias("s"), F.col("_e").alias("e"), *([within.alias(inside)] if inside else []))

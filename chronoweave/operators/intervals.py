@@ -30,14 +30,14 @@ def overlap_join(
     Both sides are dealt to buckets of `width` and joined on keys and bucket, so that a long series of one key is
     spread over many tasks; a pair is made only in the first bucket that both touch. Choose a width of about the
     longer side's usual interval. how="left" also keeps left rows that meet nothing. Column names beside the keys
-    must differ.
+    must differ. Spark's estimate of a side doesn't know of its buckets, so neither is broadcast.
     """
     a0, a1, b0, b1 = (F.col(c) for c in (*a, *b))
     last = lambda stop, start: F.greatest(F.ceil(stop / F.lit(width)) - 1, _bucket(start, width))
     spread = left.where(a1 > a0).withColumn("_bucket", F.explode(F.sequence(_bucket(a0, width), last(a1, a0))))
     other = right.where(b1 > b0).withColumn("_bucket", F.explode(F.sequence(_bucket(b0, width), last(b1, b0))))
     met = (
-        spread.join(other, [*keys, "_bucket"])
+        spread.hint("merge").join(other, [*keys, "_bucket"])
         .where((b1 > a0) & (b0 < a1))
         .where(F.col("_bucket") == F.greatest(_bucket(a0, width), _bucket(b0, width)))
         .drop("_bucket")

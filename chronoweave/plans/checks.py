@@ -113,9 +113,8 @@ def words_of_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     words = e.select("user_id", F.col("event_id").alias("w"), (F.col("us") / 1e6).alias("s"), (F.col("until") / 1e6).alias("e"))
     picks = e.where("event_id % 25 = 0").select("user_id", F.col("event_id").alias("pick"), (F.col("us") / 1e6).alias("in_s"), (F.col("us") / 1e6 + 21600).alias("out_s"))
-    middle = evidence.words_kept(words, picks, ["user_id"], middle=True)
-    whole = evidence.words_kept(words, picks, ["user_id"]).select("pick", "w", F.lit(True).alias("whole"))
-    return middle.join(whole, ["pick", "w"], "left").select("pick", F.col("w").alias("word"), F.col("whole").isNull().alias("by_middle_only"))
+    found = evidence.words_kept(words, picks, ["user_id"], middle=True, width=21600.0, inside="whole")
+    return found.select("pick", F.col("w").alias("word"), (~F.col("whole")).alias("by_middle_only"))
 
 
 @query(f"""WITH {SQL_EVENTS}, d AS (SELECT *, us // {DAY} AS day FROM e), s AS (SELECT DISTINCT event_type, day, event_type || '-' || day AS session, CASE WHEN event_type IN ('view', 'click') THEN 'a' ELSE 'b' END AS side FROM d),
