@@ -30,7 +30,7 @@ class Rules:
     free: tuple[str, ...] = ()  # mappings whose keys are names of their own
 
 
-def kind_of(value: str) -> Column:
+def kind_of(value: Column | str) -> Column:
     schema = F.schema_of_variant(value)
     return (
         F.when(schema.startswith("OBJECT"), "mapping").when(schema.startswith("ARRAY"), "list").when(schema == "STRING", "text").when(schema == "BOOLEAN", "boolean")
@@ -66,61 +66,143 @@ def nodes(docs: DataFrame, free: tuple[str, ...] = ()) -> DataFrame:
     return every.select("doc", "path", "pattern", "above", "above_pattern", "key", kind.alias("kind"), text.alias("text"))
 
 
-def _size(text: str) -> Column:
+def _above(at: str) -> str:
+    """The pattern that holds this one."""
+    return at[:-3] if at.endswith("[*]") else at.rpartition(".")[0]
+
+
+def _wanted(rules: Rules) -> list[list[str]]:
+    """Patterns that rules speak of, with all that hold them, by depth; deeper nodes and others cannot be at fault."""
+    every = {r[0] for r in (*rules.required, *rules.known, *rules.kinds, *rules.shapes, *rules.one_of, *rules.after, *rules.least)} | set(rules.unique)
+    every |= {x for a, b, _ in rules.refers for x in (a, f"{a}[*]", b)} | {""}
+    depth = {"": 0}
+
+    def place(at: str) -> int:
+        if at not in depth:
+            depth[at] = place(_above(at)) + 1
+        return depth[at]
+
+    deepest = max(map(place, every))
+    return [[p for p, d in depth.items() if d == level] for level in range(deepest + 1)]
+
+
+#: Kinds of scalars by their schema; what is left is a number.
+SCALARS = {"STRING": "text", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "whole"}
+
+
+def ruled_nodes(docs: DataFrame, rules: Rules) -> DataFrame:
+    """doc and `nodes`: those that rules speak of, or whose parent they do, with path, pattern, above, above_pattern,
+    key, kind, text and, of a mapping, its members.
+
+    Rules are as deep as their longest pattern, so the levels are known beforehand: each document is walked inside its
+    row, and nothing is written or shuffled.
+    """
+    wanted = _wanted(rules)
+    scalar = F.create_map(*[F.lit(x) for kv in SCALARS.items() for x in kv])
+
+    def node(path: Column, pattern: Column, above: Column, above_pattern: Column, key: Column, value: Column) -> Column:
+        read = F.struct(
+            value.isNull().alias("broken"), F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
+            F.try_variant_get(value, "$", "array<variant>").alias("items"), value.alias("value"),
+        )
+        kind = lambda r: (
+            F.when(r["broken"], "broken").when(r["members"].isNotNull(), "mapping").when(r["items"].isNotNull(), "list")
+            .otherwise(F.coalesce(F.try_element_at(scalar, F.schema_of_variant(r["value"])), F.lit("number")))
+        )
+        text = lambda r: F.when(r["members"].isNull() & r["items"].isNull(), F.try_variant_get(r["value"], "$", "string"))
+        names = {"path": path, "pattern": pattern, "above": above, "above_pattern": above_pattern, "key": key}
+        whole = lambda r: F.struct(*[c.alias(k) for k, c in names.items()], kind(r).alias("kind"), text(r).alias("text"), r["members"].alias("members"), r["items"].alias("items"))
+        return F.transform(F.array(read), whole)[0]
+
+    def inner(n: Column) -> Column:
+        dot = F.when(n["path"] == "", F.lit("")).otherwise(F.lit("."))
+        free = n["pattern"].isin(*rules.free) if rules.free else F.lit(False)
+        listed = F.transform(n["items"], lambda v, i: node(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), F.concat(n["pattern"], F.lit("[*]")), n["path"], n["pattern"], F.lit(None).cast("string"), v))
+        named = F.transform(F.map_entries(n["members"]), lambda e: node(F.concat(n["path"], dot, e["key"]), F.concat(n["pattern"], dot, F.when(free, "*").otherwise(e["key"])), n["path"], n["pattern"], e["key"], e["value"]))
+        return F.coalesce(listed, named)
+
+    no = F.lit(None).cast("string")
+    rows = docs.select("doc", F.array(node(F.lit(""), F.lit(""), no, no, no, F.try_parse_json("text"))).alias("_0"))
+    for level, patterns in enumerate(wanted):
+        held = F.filter(f"_{level}", lambda n: n["pattern"].isin(*patterns) & n["kind"].isin("mapping", "list"))  # noqa: B023
+        rows = rows.withColumn(f"_{level + 1}", F.flatten(F.transform(held, inner)))
+    told = lambda n: F.struct(*[n[c].alias(c) for c in ("path", "pattern", "above", "above_pattern", "key", "kind", "text", "members")])
+    return rows.select("doc", F.concat(*[F.transform(f"_{i}", told) for i in range(len(wanted) + 1)]).alias("nodes"))
+
+
+def _size(text: Column) -> Column:
     """A number, or the minutes of HH:MM."""
     clock = F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", 1).try_cast("double") * 60 + F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", 2).try_cast("double")
-    return F.coalesce(F.col(text).try_cast("double"), clock)
+    return F.coalesce(text.try_cast("double"), clock)
+
+
+NO_FAULTS = "cast(array() as array<struct<path:string,what:string>>)"
 
 
 def faults(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc, path and what: all faults of all documents. docs: doc, text (JSON; null or broken is a fault of its own)."""
-    from chronoweave.session import cut_lineage
+    """doc, path and what: all faults of all documents. docs: doc, text (JSON; null or broken is a fault of its own).
 
-    spark = docs.sparkSession
-    n = cut_lineage(nodes(docs, rules.free))
-    found: list[DataFrame] = []
-
-    def table(rows: list, schema: str) -> DataFrame:
-        return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
-
-    def report(rows: DataFrame, path: Column, what: Column) -> None:
-        found.append(rows.select("doc", path.alias("path"), what.alias("what")))
-
-    path, quoted = F.col("path"), F.concat(F.lit("'"), F.coalesce("text", F.lit("null")), F.lit("'"))
-    child = F.concat(path, F.when(path == "", "").otherwise("."), F.col("rule_key"))
-    report(n.where("kind = 'broken'"), path, F.lit("is no JSON"))
-    held = n.where("key is not null and kind <> 'null'").select("doc", F.col("above").alias("path"), F.col("key").alias("rule_key"))
-    wanted = n.where("kind = 'mapping'").join(table(rules.required, "pattern string, rule_key string"), "pattern")
-    report(wanted.join(held, ["doc", "path", "rule_key"], "left_anti"), child, F.lit("is required"))
-    strict = table(rules.known, "above_pattern string, key string")
-    in_strict = n.where("key is not null").join(strict.select("above_pattern").distinct(), "above_pattern")
-    report(in_strict.join(strict, ["above_pattern", "key"], "left_anti"), path, F.lit("is an unknown key"))
-    typed = n.where("kind <> 'null'").join(table(rules.kinds, "pattern string, kinds string"), "pattern")
-    allowed = F.split("kinds", " ")
-    number = F.array_contains(allowed, "number") & (F.col("kind") == "whole")
-    report(typed.where(~(F.array_contains(allowed, F.col("kind")) | number)), path, F.concat(F.lit("is no "), F.array_join(allowed, " or ")))
-    shaped = n.where("kind in ('text', 'whole', 'number', 'boolean')").join(table(rules.shapes, "pattern string, shape string, word string"), "pattern")
-    report(shaped.where(~F.rlike("text", F.col("shape"))), path, F.concat(quoted, F.lit(" is no "), "word"))
-    said = n.where("text is not null").join(table(rules.unique, "pattern string"), "pattern")
-    again = said.groupBy("doc", "pattern", "text").agg(F.collect_list("path").alias("paths")).where(F.size("paths") > 1)  # within one document
-    report(again.select("doc", "text", F.explode("paths").alias("path")), path, F.concat(quoted, F.lit(" is listed more than once")))
-    ends = F.when(F.col("pattern").endswith("[*]"), F.expr("substring(pattern, 1, length(pattern) - 3)")).otherwise(F.col("pattern"))
-    refers = table(rules.refers, "at string, to string, word string")
-    names = n.withColumn("name", F.when(F.col("pattern").endswith(".*"), F.col("key")).otherwise(F.col("text"))).select("doc", F.col("pattern").alias("to"), F.col("name").alias("text"))
-    uses = n.where("text is not null").withColumn("at", ends).join(refers, "at")
-    report(uses.join(names, ["doc", "to", "text"], "left_anti"), path, F.concat(quoted, F.lit(" is not a known "), "word"))
-    options = table(rules.one_of, "pattern string, options string")
-    any_ = n.where("kind = 'mapping'").join(options, "pattern").withColumn("rule_key", F.explode(F.split("options", " ")))
-    has = any_.join(held.withColumn("has", F.lit(True)), ["doc", "path", "rule_key"], "left").groupBy("doc", "path", "options").agg(F.bool_or(F.coalesce("has", F.lit(False))).alias("has"))
-    report(has.where("not has"), path, F.concat(F.lit("needs one of "), F.regexp_replace("options", " ", ", ")))
-    sized = n.where("key is not null").select("doc", F.col("above").alias("path"), F.col("above_pattern").alias("pattern"), "key", "text", _size("text").alias("size")).where("size is not null")
-    pairs = table(rules.after, "pattern string, a string, b string")
-    low = sized.join(pairs, "pattern").where("key = a").select("doc", "path", "b", F.col("size").alias("low"))
-    high = sized.join(pairs, "pattern").where("key = b").select("doc", "path", "b", F.col("size").alias("high"), "text")
-    report(low.join(high, ["doc", "path", "b"]).where("high <= low").withColumn("rule_key", F.col("b")), child, F.concat(quoted, F.lit(" does not come after")))
-    bound = n.where("kind in ('whole', 'number')").join(table(rules.least, "pattern string, least double"), "pattern")
-    report(bound.where(F.col("text").try_cast("double") < F.col("least")), path, F.concat(quoted, F.lit(" is too small")))
-    return reduce(DataFrame.union, found)
+    No rule looks beyond its document, so all faults are told inside a document's row: those that a node shows by
+    itself, then names that are listed twice or not known, over the names alone.
+    """
+    fault = lambda where, what: F.struct(where.alias("path"), what.alias("what"))
+    quote = lambda t: F.concat(F.lit("'"), F.coalesce(t, F.lit("null")), F.lit("'"))
+
+    def lists(rows: list[tuple]) -> Column:
+        """What the rules list at each pattern, as a map of arrays of structs."""
+        by: dict[str, list[tuple]] = {}
+        for at, *rest in rows:
+            by.setdefault(at, []).append(tuple(rest))
+        entry = lambda r: F.struct(*[F.lit(x).alias(f"_{i}") for i, x in enumerate(r)])
+        return F.create_map(*[x for at, rs in by.items() for x in (F.lit(at), F.array(*[entry(r) for r in rs]))])
+
+    def own(n: Column) -> Column:
+        path, kind, text = n["path"], n["kind"], n["text"]
+        child = lambda key: F.concat(path, F.when(path == "", "").otherwise("."), key)
+        member = lambda key: F.try_element_at(n["members"], key)
+        has = lambda key: member(key).isNotNull() & ~F.is_variant_null(member(key))
+        allowed = lambda kinds: F.array_contains(kinds, kind) | ((kind == "whole") & F.array_contains(kinds, "number"))
+        said = lambda key: F.try_variant_get(member(key), "$", "string")
+        size = lambda key: _size(said(key))
+        told = [
+            (rules.required, kind == "mapping", lambda r: F.when(~has(r["_0"]), fault(child(r["_0"]), F.lit("is required")))),
+            (rules.kinds, kind != "null", lambda r: F.when(~allowed(F.split(r["_0"], " ")), fault(path, F.concat(F.lit("is no "), F.replace(r["_0"], F.lit(" "), F.lit(" or ")))))),
+            (rules.shapes, text.isNotNull(), lambda r: F.when(~F.rlike(text, r["_0"]), fault(path, F.concat(quote(text), F.lit(" is no "), r["_1"])))),
+            (rules.one_of, kind == "mapping", lambda r: F.when(~F.exists(F.split(r["_0"], " "), has), fault(path, F.concat(F.lit("needs one of "), F.replace(r["_0"], F.lit(" "), F.lit(", ")))))),
+            (rules.after, kind == "mapping", lambda r: F.when(size(r["_1"]) <= size(r["_0"]), fault(child(r["_1"]), F.concat(quote(said(r["_1"])), F.lit(" does not come after"))))),
+            (rules.least, kind.isin("whole", "number"), lambda r: F.when(text.try_cast("double") < r["_0"], fault(path, F.concat(quote(text), F.lit(" is too small"))))),
+        ]
+        found = [F.when(kind == "broken", F.array(fault(path, F.lit("is no JSON"))))]
+        for rows, holds, of in told:
+            if rows:
+                found.append(F.when(holds & n["pattern"].isin(*{r[0] for r in rows}), F.array_compact(F.transform(F.try_element_at(lists(rows), n["pattern"]), of))))
+        if rules.known:
+            keys = F.create_map(*[x for at in {a for a, _ in rules.known} for x in (F.lit(at), F.array(*[F.lit(k) for a, k in rules.known if a == at]))])
+            strict = n["key"].isNotNull() & n["above_pattern"].isin(*{a for a, _ in rules.known})
+            found.append(F.when(strict & ~F.array_contains(F.try_element_at(keys, n["above_pattern"]), n["key"]), F.array(fault(path, F.lit("is an unknown key")))))
+        return F.concat(*[F.coalesce(f, F.expr(NO_FAULTS)) for f in found])
+
+    def named(where, name) -> Column:
+        """path and name of the nodes of some patterns."""
+        return F.filter(F.transform(F.filter("nodes", where), lambda n: F.struct(n["path"].alias("path"), name(n).alias("name"))), lambda x: x["name"].isNotNull())
+
+    def blamed(uses: Column, bad: Column, what) -> Column:
+        return F.transform(F.filter(uses, lambda x: F.array_contains(bad, x["name"])), lambda x: fault(x["path"], what(x["name"])))
+
+    text, only = lambda n: n["text"], lambda xs: F.transform(xs, lambda x: x["name"])
+    rows, found = ruled_nodes(docs, rules), [F.flatten(F.transform("nodes", own))]
+    for i, at in enumerate(rules.unique):
+        rows = rows.withColumn(f"_u{i}", named(lambda n: n["pattern"] == at, text))  # noqa: B023
+        rows = rows.withColumn(f"_s{i}", F.array_sort(only(F.col(f"_u{i}"))))
+        twice = F.array_distinct(F.filter(f"_s{i}", lambda t, k: t == F.get(f"_s{i}", k + 1)))  # noqa: B023
+        rows = rows.withColumn(f"_t{i}", twice)
+        found.append(blamed(F.col(f"_u{i}"), F.col(f"_t{i}"), lambda t: F.concat(quote(t), F.lit(" is listed more than once"))))
+    for i, (at, to, word) in enumerate(rules.refers):
+        rows = rows.withColumn(f"_r{i}", named(lambda n: n["pattern"].isin(at, f"{at}[*]"), text))  # noqa: B023
+        known = only(named(lambda n: n["pattern"] == to, lambda n: n["key"] if to.endswith(".*") else n["text"]))  # noqa: B023
+        rows = rows.withColumn(f"_x{i}", F.array_except(only(F.col(f"_r{i}")), known))
+        found.append(blamed(F.col(f"_r{i}"), F.col(f"_x{i}"), lambda t, word=word: F.concat(quote(t), F.lit(f" is not a known {word}"))))
+    return rows.select("doc", F.explode(F.concat(*found)).alias("f")).select("doc", "f.*")
 
 
 CLOCK, DATE = r"^([01]?\d|2[0-3]):[0-5]\d$", r"^\d{4}-\d{2}-\d{2}$"
