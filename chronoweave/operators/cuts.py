@@ -72,15 +72,16 @@ def word_room(picks: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFr
     """Seconds free of words before and after each pick in its source: to the last word that ends by in + 0.02, and
     to the first that starts from out - 0.02, less 0.05, never under 0; `in_s` and 3 seconds where there is none.
 
-    Both are looked up in one ordered pass over words and picks.
+    Both are looked up in one ordered pass over words and picks. Limits count in microseconds: a word that ends right on
+    one is met, also where seconds count from 1970.
     """
     p = picks.select(*keys, "pick", "in_s", "out_s")
-    ends = words.select(*keys, F.col("e").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("pick"))
-    asks = p.select(*keys, (F.col("in_s") + 0.02).alias("_at"), F.lit(1).alias("_side"), F.col("pick").cast("string").alias("pick"))
+    ends = words.select(*keys, F.round("e", 6).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("pick"))
+    asks = p.select(*keys, F.round(F.col("in_s") + 0.02, 6).alias("_at"), F.lit(1).alias("_side"), F.col("pick").cast("string").alias("pick"))
     w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     before = ends.unionByName(asks).withColumn("_last", F.max(F.when(F.col("_side") == 0, F.col("_at"))).over(w)).where("_side = 1").select(*keys, "pick", "_last")
-    starts = words.select(*keys, F.col("s").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("pick"))
-    asks = p.select(*keys, (F.col("out_s") - 0.02).alias("_at"), F.lit(0).alias("_side"), F.col("pick").cast("string").alias("pick"))
+    starts = words.select(*keys, F.round("s", 6).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("pick"))
+    asks = p.select(*keys, F.round(F.col("out_s") - 0.02, 6).alias("_at"), F.lit(0).alias("_side"), F.col("pick").cast("string").alias("pick"))
     w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
     after = starts.unionByName(asks).withColumn("_next", F.min(F.when(F.col("_side") == 1, F.col("_at"))).over(w)).where("_side = 0").select(*keys, "pick", "_next")
     out = picks.join(before, [*keys, "pick"], "left").join(after, [*keys, "pick"], "left")
