@@ -168,7 +168,8 @@ def measure(sentences_: DataFrame, frames: DataFrame, words: DataFrame, keys: Se
     """Sentences with level, floor and speech levels, off_mic, and whether room can be measured.
 
     frames: i, db, at `rate` a second. words: s, e. floor: tenth percentile of all frames; speech: ninetieth of those
-    under words; a sentence's level likewise, in tenths. Off-mic: 10 dB or more under the median sentence.
+    under words; a sentence's level likewise, in tenths. Off-mic: 10 dB or more under the median sentence. Both are
+    decided on millionths, so that no trace of interpolation moves a half or a limit.
     """
     from .intervals import contains_join
     from .series import percentiles
@@ -178,10 +179,10 @@ def measure(sentences_: DataFrame, frames: DataFrame, words: DataFrame, keys: Se
     under = contains_join(timed, words.select(*keys, "s", "e"), keys, "_t", ("s", "e"), 10.0)
     speech = percentiles(under.select(*keys, "i", "db").distinct(), keys, "db", {"speech": 0.9})
     heard = contains_join(timed, sentences_.select(*keys, "n", "t0", "t1"), keys, "_t", ("t0", "t1"), 10.0)
-    level = percentiles(heard, [*keys, "n"], "db", {"level": 0.9}).withColumn("level", F.round("level", 1))
+    level = percentiles(heard, [*keys, "n"], "db", {"level": 0.9}).withColumn("level", F.round(F.round("level", 6), 1))
     out = sentences_.join(level, [*keys, "n"], "left").join(floor, list(keys), "left").join(speech, list(keys), "left")
     out = out.join(percentiles(out, keys, "level", {"_wearer": 0.5}), list(keys), "left")
-    return out.withColumns({"off_mic": F.col("level") <= F.col("_wearer") - 10, "room_known": F.col("speech") - F.col("floor") >= 12, "quiet": F.col("floor") + 6}).drop("_wearer")
+    return out.withColumns({"off_mic": F.round(F.col("_wearer") - F.col("level"), 6) >= 10, "room_known": F.col("speech") - F.col("floor") >= 12, "quiet": F.col("floor") + 6}).drop("_wearer")
 
 
 def selects(ranked: DataFrame, chunks: DataFrame, keys: Sequence[str], handle: float = 0.3) -> DataFrame:

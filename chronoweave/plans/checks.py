@@ -182,10 +182,10 @@ def unit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT DISTINCT user_id, event_id % 3 AS n, event_id % 3 * 20.0 AS t0, event_id % 3 * 20.0 + 20 AS t1 FROM e),
 floor AS (SELECT user_id, quantile_cont(db, 0.1) AS floor FROM f GROUP BY 1),
 speech AS (SELECT user_id, quantile_cont(db, 0.9) AS speech FROM (SELECT DISTINCT f.user_id, i, db FROM f JOIN w ON w.user_id = f.user_id AND i / 10.0 >= w.s AND i / 10.0 < w.s + 1) GROUP BY 1),
-level AS (SELECT s.user_id, s.n, round(quantile_cont(db, 0.9), 1) AS level FROM s JOIN f ON f.user_id = s.user_id AND i / 10.0 >= t0 AND i / 10.0 < t1 GROUP BY 1, 2),
+level AS (SELECT s.user_id, s.n, CAST(round(CAST(quantile_cont(db, 0.9) AS DECIMAL(18, 6)), 1) AS DOUBLE) AS level FROM s JOIN f ON f.user_id = s.user_id AND i / 10.0 >= t0 AND i / 10.0 < t1 GROUP BY 1, 2),
 a AS (SELECT s.user_id, s.n, level, floor, speech FROM s LEFT JOIN level USING (user_id, n) LEFT JOIN floor USING (user_id) LEFT JOIN speech USING (user_id)),
 m AS (SELECT user_id, quantile_cont(level, 0.5) AS wearer FROM a GROUP BY 1)
-SELECT a.user_id, CAST(n AS BIGINT) AS n, round(coalesce(level, -1), 4) AS level, round(coalesce(floor, -1), 4) AS floor, round(coalesce(speech, -1), 4) AS speech, coalesce(level <= wearer - 10, false) AS off_mic FROM a LEFT JOIN m USING (user_id)""")
+SELECT a.user_id, CAST(n AS BIGINT) AS n, round(coalesce(level, -1), 4) AS level, round(coalesce(floor, -1), 4) AS floor, round(coalesce(speech, -1), 4) AS speech, coalesce(round(wearer - level, 6) >= 10, false) AS off_mic FROM a LEFT JOIN m USING (user_id)""")
 def talk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values as levels of a user's minute, ten a second; words of a second, sentences of twenty."""
     e, i = events(spark, sf_dir), F.col("event_id")
