@@ -323,7 +323,7 @@ def sliding_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_EVENTS}, f AS (SELECT user_id, min(us) AS a, max(us) AS b FROM e GROUP BY 1),
-x AS (SELECT w.user_id, t0, t1, avg(value) AS mean, count(*) AS n FROM (SELECT user_id, a + k * {DAY} AS t0, a + k * {DAY} + {4 * DAY} AS t1 FROM f, unnest(range(0, (b - a) // {DAY} + 1)) AS x(k) WHERE a + k * {DAY} + {4 * DAY} <= b) w
+x AS (SELECT w.user_id, t0, t1, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT user_id, a + k * {DAY} AS t0, a + k * {DAY} + {4 * DAY} AS t1 FROM f, unnest(range(0, (b - a) // {DAY} + 1)) AS x(k) WHERE a + k * {DAY} + {4 * DAY} <= b) w
   JOIN e ON e.user_id = w.user_id AND us >= t0 AND us < t1 GROUP BY 1, 2, 3 HAVING count(*) >= 6),
 s AS (SELECT user_id, place, sum(k) AS k, sum(c) AS c FROM (SELECT user_id, t0 AS place, CASE WHEN mean <= 60 THEN 1 ELSE 0 END AS k, CASE WHEN mean > 60 THEN 1 ELSE 0 END AS c FROM x
   UNION ALL SELECT user_id, t1, CASE WHEN mean <= 60 THEN -1 ELSE 0 END, CASE WHEN mean > 60 THEN -1 ELSE 0 END FROM x) GROUP BY user_id, place),
@@ -332,7 +332,8 @@ g AS (SELECT user_id, t0, t1, t0 - sum(t1 - t0) OVER (PARTITION BY user_id ORDER
 h AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS i FROM g)
 SELECT user_id, t0, t1 FROM (SELECT user_id, min(t0) AS t0, max(t1) AS t1 FROM h GROUP BY user_id, i) WHERE t1 - t0 >= {3 * DAY}""")
 def stable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series.sliding_profile(events(spark, sf_dir), ["user_id"], "us", "value", 4 * DAY, DAY, 6)
+    """Runs of windows whose mean, to the millionth, is at most 60: which side 60 itself is on hangs on no order of adding."""
+    found = series.sliding_profile(events(spark, sf_dir), ["user_id"], "us", "value", 4 * DAY, DAY, 6).withColumn("mean", F.round("mean", 6))
     return intervals.stable_runs(found, ["user_id"], "mean", 60, 3 * DAY, width=7 * DAY)
 
 
