@@ -116,9 +116,23 @@ SQL_PLAN = """p AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) //
 f AS (SELECT id + 1000000000 AS fid, user_id, event_type, s + id % 3 - 1 AS s, CASE WHEN id % 17 = 0 THEN dur + 9 ELSE dur END AS dur FROM p WHERE id % 13 <> 0)"""
 
 
-@query(f"""WITH {SQL_PLAN}, m AS (SELECT p.id, f.fid, p.dur AS a, f.dur AS b FROM p LEFT JOIN f ON f.fid = p.id + 1000000000)
-SELECT CAST(id AS VARCHAR) AS plan_id, CAST(fid AS VARCHAR) AS found_id, CASE WHEN fid IS NULL THEN 'missing' WHEN abs(a - b) > 2 THEN 'mismatch' ELSE 'ok' END AS status,
-  CASE WHEN abs(a - b) > 2 THEN 'dur ' || a || ' / ' || b ELSE '' END AS diffs FROM m""")
+@query(f"""WITH RECURSIVE {SQL_PLAN},
+u AS (SELECT user_id, event_type, s, 0 AS side, id FROM p UNION ALL SELECT user_id, event_type, s, 1, fid FROM f),
+g AS (SELECT *, CASE WHEN s - lag(s) OVER o > 2 THEN 1 ELSE 0 END AS opens FROM u WINDOW o AS (PARTITION BY user_id, event_type ORDER BY s, side, id)),
+h AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY s, side, id ROWS UNBOUNDED PRECEDING) AS chain FROM g),
+c AS (SELECT list(struct_pack(s := s, id := id) ORDER BY s, id) FILTER (WHERE side = 0) AS plans, list(struct_pack(s := s, id := CAST(id AS VARCHAR)) ORDER BY s, CAST(id AS VARCHAR)) FILTER (WHERE side = 1) AS free
+  FROM h GROUP BY user_id, event_type, chain HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0),
+m AS (
+  SELECT plans, free, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS fid FROM c
+  UNION ALL
+  SELECT plans[2:], CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda x: x.id <> best[3]) END, plans[1].id, best[3] FROM (
+    SELECT plans, free, list_sort(list_transform(list_filter(free, lambda x: abs(x.s - plans[1].s) <= 2), lambda x: row(abs(x.s - plans[1].s), x.s, x.id)))[1] AS best FROM m WHERE len(plans) > 0)),
+r AS (SELECT id, CAST(fid AS BIGINT) AS fid FROM m WHERE fid IS NOT NULL),
+j AS (SELECT r.id, r.fid, p.dur AS a, f.dur AS b, coalesce(abs(p.dur - f.dur) > 2, p.dur IS NOT NULL OR f.dur IS NOT NULL) AS differs FROM r JOIN p ON p.id = r.id JOIN f ON f.fid = r.fid)
+SELECT CAST(id AS VARCHAR) AS plan_id, CAST(fid AS VARCHAR) AS found_id, CASE WHEN differs THEN 'mismatch' ELSE 'ok' END AS status,
+  CASE WHEN differs THEN 'dur ' || coalesce(CAST(a AS VARCHAR), 'none') || ' / ' || coalesce(CAST(b AS VARCHAR), 'none') ELSE '' END AS diffs FROM j
+UNION ALL SELECT CAST(id AS VARCHAR), NULL, 'missing', '' FROM p WHERE id NOT IN (SELECT id FROM r)
+UNION ALL SELECT NULL, CAST(fid AS VARCHAR), 'unexpected', '' FROM f WHERE fid NOT IN (SELECT fid FROM r)""")
 def conform_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     plan = e.select(F.col("event_id").alias("plan_id"), "user_id", "event_type", F.floor(F.col("us") / 1_000_000).alias("s"), F.round("value").cast("long").alias("dur"))
