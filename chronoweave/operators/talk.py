@@ -13,32 +13,35 @@ from .textops import DANGLING, first_token
 #: Fixed kinds of candidates with the seconds that each may last, both bounds included.
 DURATIONS = {"hook": (3.0, 12.0), "bite": (6.0, 30.0), "closer": (3.0, 15.0)}
 TERMINAL = r"[.!?…][\"'”’)\]]*$"
-ROUNDS = 16
 
 
 def sentences(words: DataFrame, keys: Sequence[str], pause: float = 0.6, longest: float = 30.0) -> DataFrame:
     """Sentences of timed words (w, s, e): t0, t1, text, words and pause_before, numbered by `n` from 1.
 
     A word closes one by its punctuation, a pause does, or the end. One that lasts too long is halved at its longest
-    pause, the nearest to its middle of equals, until none is too long: each round cuts all that are left at once.
+    pause, the nearest to its middle of equals, until none is too long. Halving looks at one sentence only, so it is
+    done inside the sentence's row, each round at all parts that are left; no row is sorted again for it.
     """
     marked = words.withColumn("_closes", F.col("w").rlike(TERMINAL))
-    rows = gap_islands(marked, keys, "s", "e", pause, "_closes").withColumn("_part", F.lit(0).cast("long"))
-    for _ in range(ROUNDS):
-        group = Window.partitionBy(*keys, "island", "_part")
-        w = group.orderBy("s", "e")
-        seen = rows.withColumns({
-            "_a": F.min("s").over(group), "_b": F.max("e").over(group), "_gap": F.col("s") - F.lag("e").over(w), "_first": F.row_number().over(w),
-        })
-        long = (F.col("_b") - F.col("_a") > longest) & F.col("_gap").isNotNull()
-        near = -F.abs((F.col("s") + F.lag("e").over(w)) / 2 - (F.col("_a") + F.col("_b")) / 2)
-        ranked = seen.withColumn("_place", F.when(long, F.struct(F.col("_gap").alias("gap"), near.alias("near"), (-F.col("_first")).alias("i"))))
-        best = F.max("_place").over(group)
-        cut = F.when(best.isNotNull() & (F.col("_first") >= -best["i"]), 1).otherwise(0)
-        rows = ranked.withColumn("_part", F.col("_part") * 2 + cut).drop("_a", "_b", "_gap", "_first", "_place")
-    out = rows.groupBy(*keys, "island", "_part").agg(
-        F.min("s").alias("t0"), F.max("e").alias("t1"), F.count("*").alias("words"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "e", "w"))), lambda x: x["w"]), " ").alias("text"),
+    rows = gap_islands(marked, keys, "s", "e", pause, "_closes")
+    whole = rows.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("s", "e", "w"))).alias("_words"))
+    stop = lambda p: F.array_max(F.transform(p, lambda x: x["e"]))
+    lasts = lambda p: (stop(p) - p[0]["s"] > longest) & (F.size(p) > 1)
+
+    def halves(p: Column) -> Column:
+        middle = (p[0]["s"] + stop(p)) / 2
+        gap = lambda i: p[i]["s"] - p[i - 1]["e"]
+        places = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(gap(i).alias("gap"), (-F.abs((p[i]["s"] + p[i - 1]["e"]) / 2 - middle)).alias("near"), (-i).alias("i")))
+        cut = -F.array_max(places)["i"]
+        return F.transform(F.array(cut), lambda c: F.array(F.slice(p, F.lit(1), c), F.slice(p, c + 1, F.size(p))))[0]
+
+    # as many rounds as a sentence could need; those behind the last cut do nothing
+    once = lambda parts: F.when(F.exists(parts, lasts), F.flatten(F.transform(parts, lambda p: F.when(lasts(p), halves(p)).otherwise(F.array(p))))).otherwise(parts)
+    rounds = F.sequence(F.lit(1), F.size("_words") - 1)
+    parts = F.when(lasts(F.col("_words")), F.aggregate(rounds, F.array("_words"), lambda done, _: once(done))).otherwise(F.array("_words"))
+    out = whole.select(*keys, F.explode(parts).alias("_p")).select(
+        *keys, F.col("_p")[0]["s"].alias("t0"), stop(F.col("_p")).alias("t1"), F.size("_p").cast("long").alias("words"),
+        F.array_join(F.transform("_p", lambda x: x["w"]), " ").alias("text"),
     )
     w = Window.partitionBy(*keys).orderBy("t0", "t1")
     numbered = out.withColumns({"n": F.row_number().over(w), "pause_before": F.col("t0") - F.coalesce(F.lag("t1").over(w), F.lit(0.0))})
