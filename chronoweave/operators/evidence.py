@@ -101,16 +101,23 @@ def neighbour_words(picks: DataFrame, keys: Sequence[str], order: Sequence[str],
     return ends.select(*picks.columns, last.alias("before_words"), F.slice("_n", 1, n).alias("after_words"))
 
 
-def best_sessions(clips: DataFrame, sessions: DataFrame, scores: DataFrame) -> DataFrame:
+def best_sessions(clips: DataFrame, sessions: DataFrame, scores: DataFrame, deal: int = 32) -> DataFrame:
     """For each clip and side the session of the largest r, among those of the clip's day, or all where it has none.
 
     clips: clip, day. sessions: session, side, day. scores: clip, session, r, lag, margin, as correlation made them.
+    There are few sessions and many scores, so the scores of a session are dealt to `deal` parts, each with a copy of its
+    row. Scores are then shuffled and sorted once, by clip; what meets the clips, and is sorted again, is the best session
+    of each day and side. The best of the clip's day and the best of all stay side by side until it is known which counts.
     """
-    rows = scores.join(clips, "clip").join(sessions.withColumnRenamed("day", "_day"), "session").withColumn("_same", F.col("day").eqNullSafe(F.col("_day")))
-    any_ = rows.groupBy("clip").agg(F.bool_or("_same").alias("_has"))
-    held = rows.join(any_, "clip").where(F.col("_same") | ~F.col("_has"))
-    best = held.groupBy("clip", "side").agg(F.max_by(F.struct("session", "r", "lag", "margin"), F.struct("r", "session")).alias("b"))
-    return best.select("clip", "side", "b.*")
+    parts = sessions.select("session", "side", F.col("day").alias("_day"), F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("_part"))
+    dealt = scores.withColumn("_part", F.pmod(F.hash("clip"), F.lit(deal))).join(parts, ["session", "_part"])
+    own, order = F.struct("session", "r", "lag", "margin"), F.struct("r", "session")
+    daily = dealt.repartition("clip").groupBy("clip", "side", "_day").agg(F.max_by(own, order).alias("b"))
+    rows = daily.join(clips, "clip").withColumn("_same", F.col("day").eqNullSafe(F.col("_day")))
+    order = F.struct("b.r", "b.session")
+    best = rows.groupBy("clip", "side").agg(F.max_by("b", F.when(F.col("_same"), order)).alias("_own"), F.max_by("b", order).alias("_all"), F.bool_or("_same").alias("_same"))
+    held = best.withColumn("_has", F.bool_or("_same").over(Window.partitionBy("clip"))).where(F.col("_same") | ~F.col("_has"))
+    return held.select("clip", "side", F.when(F.col("_same"), F.col("_own")).otherwise(F.col("_all")).alias("b")).select("clip", "side", "b.*")
 
 
 def stretch_picks(stretches: DataFrame, picks: DataFrame) -> DataFrame:
