@@ -1,15 +1,18 @@
 """Sinks that commit: a table to which two writers cannot both add a key, and reports that appear whole or not at all.
 
-Tasks write files of their own into the sink's folder; nobody sees them until the commit names them, and an abort
-removes them. The folder has to be one that all executors and the driver share, with atomic links and renames.
+Tasks write files of their own into a folder of the run, below the sink's; nobody sees them until the commit names them,
+and an abort takes the folder away, with what killed tasks left and from under those that still run. The sink's folder has
+to be one that all executors and the driver share, with atomic links and renames.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,20 +34,21 @@ class Wrote(WriterCommitMessage):
 
 
 class _Staged(DataSourceArrowWriter):
-    """What both sinks share: one staged file a task, removed on abort."""
+    """What both sinks share: a folder for each run, made by the driver, and in it one staged file a task."""
 
     def __init__(self, options: dict):
-        self.folder, self.options = options["path"].removeprefix("file://"), options
-        os.makedirs(f"{self.folder}/data", exist_ok=True)
+        self.folder, self.options, self.run = options["path"].removeprefix("file://"), options, uuid.uuid4().hex
+        self.staged = f"{self.folder}/data/{self.run}"
+        os.makedirs(self.staged)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         raise NotImplementedError
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            for name in m.files if m else []:
-                if os.path.exists(f"{self.folder}/data/{name}"):
-                    os.unlink(f"{self.folder}/data/{name}")
+        """Remove all that the run wrote, reported or not. Under its new name no task finds the folder to add to it."""
+        with suppress(FileNotFoundError):  # it was removed before
+            os.rename(self.staged, f"{self.staged}.gone")
+        shutil.rmtree(f"{self.staged}.gone", ignore_errors=True)
 
 
 class _AppendWriter(_Staged):
@@ -54,23 +58,28 @@ class _AppendWriter(_Staged):
         name, out = f"{uuid.uuid4().hex}.parquet", None
         try:
             for batch in batches:
-                out = out or pq.ParquetWriter(f"{self.folder}/data/{name}", batch.schema)
+                out = out or pq.ParquetWriter(f"{self.staged}/{name}", batch.schema)
                 out.write_batch(batch)
         except BaseException:
             if out:
                 out.close()
-                os.unlink(f"{self.folder}/data/{name}")
+                with suppress(FileNotFoundError):
+                    os.unlink(f"{self.staged}/{name}")
             raise
         if out:
             out.close()
-        return Wrote(TaskContext.get().partitionId(), [name] if out else [])
+        return Wrote(TaskContext.get().partitionId(), [f"{self.run}/{name}"] if out else [])
 
     def commit(self, messages: list[Wrote]) -> None:
         """Claim the version behind the one that was read. A link to a name that exists fails, so one writer gets it."""
-        version = int(self.options["version"]) + 1
+        version, files = int(self.options["version"]) + 1, [f for m in messages for f in m.files]
+        for name in os.listdir(self.staged):  # attempts that were killed and made again
+            if f"{self.run}/{name}" not in files:
+                with suppress(FileNotFoundError):
+                    os.unlink(f"{self.staged}/{name}")
         entry = f"{self.folder}/data/{uuid.uuid4().hex}.entry"
         with open(entry, "w") as file:
-            json.dump([f for m in messages for f in m.files], file)
+            json.dump(files, file)
         try:
             os.link(entry, f"{self.folder}/{version:08d}.json")
         except FileExistsError:
@@ -78,6 +87,9 @@ class _AppendWriter(_Staged):
             raise Conflict(f"version {version} was taken by another writer") from None
         finally:
             os.unlink(entry)
+        if not files:
+            with suppress(OSError):
+                os.rmdir(self.staged)
 
 
 class KeyedAppend(DataSource):
@@ -133,20 +145,21 @@ class _ReportWriter(_Staged):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Wrote:
         from pyspark import TaskContext
 
-        name = f"{uuid.uuid4().hex}.part"
+        name = f"{self.run}/{uuid.uuid4().hex}.part"
         path = f"{self.folder}/data/{name}"
         try:
             with open(path, "w", encoding="utf-8") as out:
                 for batch in batches:
                     out.writelines(line + "\n" for line in batch.column(0).to_pylist())
         except BaseException:
-            os.unlink(path)
+            with suppress(FileNotFoundError):
+                os.unlink(path)
             raise
         return Wrote(TaskContext.get().partitionId(), [name])
 
     def commit(self, messages: list[Wrote]) -> None:
         """All parts in order into one file beside the report, which then takes its name."""
-        target, made = f"{self.folder}/{self.options['report']}", f"{self.folder}/data/{uuid.uuid4().hex}.whole"
+        target, made = f"{self.folder}/{self.options['report']}", f"{self.staged}/{uuid.uuid4().hex}.whole"
         with open(made, "wb") as out:
             for m in sorted(messages, key=lambda m: m.partition):
                 with open(f"{self.folder}/data/{m.files[0]}", "rb") as part:

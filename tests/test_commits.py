@@ -5,6 +5,7 @@ import glob
 import os
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,34 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     assert ledger.read_appended(spark, folder, like).count() == 1 and files() == before
 
 
+def test_killed_tasks_leave_nothing(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.dataSource.register(ledger.KeyedAppend)
+    # one task fails while the others are in the middle of their files; they are killed and report nothing
+    bad = spark.range(0, 40_000_000, numPartitions=4).select(F.col("id").alias("k"), F.when(F.col("id") == 31_000_000, F.raise_error(F.lit("broken row")).cast("string")).otherwise("x").alias("v"))
+    with pytest.raises(Exception, match="broken row"):
+        bad.write.format("keyed_append").mode("append").option("path", folder).option("version", 0).save()
+    assert os.listdir(f"{folder}/data") == []
+
+
+@pytest.mark.parametrize("sink", [ledger._AppendWriter, ledger._ReportWriter])
+def test_a_task_that_outlives_the_abort(tmp_path, sink):
+    folder, batch = str(tmp_path / "t"), pa.record_batch({"line": ["x"]})
+    writer = sink({"path": folder, "version": "0", "report": "cut.md"})
+
+    def late():
+        yield batch
+        writer.abort([None])
+        yield batch
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        writer.write(late())
+    assert os.listdir(f"{folder}/data") == []
+    with pytest.raises(FileNotFoundError):  # one that begins behind the abort
+        writer.write(iter([batch]))
+
+
 def test_report(spark, tmp_path):
     folder = str(tmp_path / "r")
     scores = spark.createDataFrame([("b", 2.5, None), ("a|x", 1.0, "two\nlines")], "clip string, score double, why string")
