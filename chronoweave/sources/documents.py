@@ -7,6 +7,8 @@ patterns, and checking is joining nodes with it, for any number of documents at
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -66,74 +68,214 @@ def nodes(docs: DataFrame, free: tuple[str, ...] = ()) -> DataFrame:
     return every.select("doc", "path", "pattern", "above", "above_pattern", "key", kind.alias("kind"), text.alias("text"))
 
 
+@dataclass
+class _Place:
+    """A pattern that rules speak of, what they ask of its nodes, and the places right below it."""
+
+    at: str | None
+    asks: set[str] = field(default_factory=set)  # kind, text, there, members
+    named: dict[str, _Place] = field(default_factory=dict)
+    any: _Place | None = None
+    items: _Place | None = None
+    known: list[str] = field(default_factory=list)
+
+    @property
+    def mixed(self) -> bool:
+        """No single type holds what rules ask of it."""
+        views = bool(self.named) + bool(self.any) + bool(self.items)
+        return views > 1 or (views == 1 and "text" in self.asks)
+
+    def struct(self, numbered: bool = False) -> str:
+        names = [f"_{i}" if numbered else f"`{k.replace('`', '``')}`" for i, k in enumerate(self.named)]
+        return f"struct<{', '.join(f'{n}: {p.type(numbered)}' for n, p in zip(names, self.named.values(), strict=True))}>"
+
+    def type(self, numbered: bool = False) -> str:
+        """The type it is read as: where a document has another kind there, null, or JSON for a text. Members are
+        numbered in the end, as their names may differ in case only."""
+        if self.mixed:
+            return "variant"
+        if self.items:
+            return f"array<{self.items.type(numbered)}>"
+        return f"map<string, {self.any.type(numbered)}>" if self.any else self.struct(numbered) if self.named else "string"
+
+
 def _above(at: str) -> str:
     """The pattern that holds this one."""
     return at[:-3] if at.endswith("[*]") else at.rpartition(".")[0]
 
 
-def _wanted(rules: Rules) -> list[list[str]]:
-    """Patterns that rules speak of, with all that hold them, by depth; deeper nodes and others cannot be at fault."""
-    every = {r[0] for r in (*rules.required, *rules.known, *rules.kinds, *rules.shapes, *rules.one_of, *rules.after, *rules.least)} | set(rules.unique)
-    every |= {x for a, b, _ in rules.refers for x in (a, f"{a}[*]", b)} | {""}
-    depth = {"": 0}
-
-    def place(at: str) -> int:
-        if at not in depth:
-            depth[at] = place(_above(at)) + 1
-        return depth[at]
-
-    deepest = max(map(place, every))
-    return [[p for p, d in depth.items() if d == level] for level in range(deepest + 1)]
+def _places(rules: Rules) -> _Place:
+    """The root of all places that rules speak of; deeper nodes and others cannot be at fault."""
+    places = {"": _Place("")}
+
+    def place(at: str) -> _Place:
+        if at not in places:
+            held, key = place(_above(at)), at.rpartition(".")[2]
+            places[at] = _Place(at)
+            if at.endswith("[*]"):
+                held.items = places[at]
+            elif held.at not in rules.free:
+                held.named[key] = places[at]
+            elif key == "*":  # members of a free mapping go by no other name
+                held.any = places[at]
+        return places[at]
+
+    told = {"kind": [r[0] for r in (*rules.kinds, *rules.least)], "": [r[0] for r in (*rules.required, *rules.one_of, *rules.after, *rules.known)]}
+    told["text"] = [r[0] for r in (*rules.shapes, *rules.least)] + rules.unique + [x for a, b, _ in rules.refers for x in (a, f"{a}[*]", b)]
+    for what, patterns in told.items():
+        for at in patterns:
+            place(at).asks.add(what)
+    for at, key in rules.known:
+        places[at].known.append(key)
+    asked = [(at, [key], "there") for at, key in rules.required] + [(at, keys.split(" "), "there") for at, keys in rules.one_of] + [(at, keys, "text") for at, *keys in rules.after]
+    for at, keys, what in asked:
+        for key in keys:  # no pattern need name them
+            places[at].named.setdefault(key, _Place(None)).asks.add(what)
+    return places[""]
 
 
 #: Kinds of scalars by their schema; what is left is a number.
 SCALARS = {"STRING": "text", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "whole"}
+MEMBERS, ITEMS = "map<string, variant>", "array<variant>"
+
 
+@dataclass
+class _Value:
+    """What a variant holds behind some keys."""
+
+    base: Column
+    keys: tuple[str, ...] = ()
+
+    def get(self, kind: str, numbered: str | None = None) -> Column:
+        found = F.try_variant_get(self.base, "$" + "".join(f"['{k}']" for k in self.keys), kind)
+        return found.cast(numbered) if numbered else found
+
+    def member(self, key: str) -> _Value:
+        if re.fullmatch(r"[A-Za-z0-9_ -]+", key):  # a path can be read without a copy of what it leads through
+            return _Value(self.base, (*self.keys, key))
+        return _Value(F.try_element_at(self.get(MEMBERS), F.lit(key)))
+
+    def kind(self) -> Column:
+        scalar = F.create_map(*[F.lit(x) for kv in SCALARS.items() for x in kv])
+        # an object or a list of no fields tells what a value is without a copy of what it holds
+        return (
+            F.when(self.get("struct<>").isNotNull(), "mapping").when(self.get("array<struct<>>").isNotNull(), "list")
+            .when(self.get("variant").isNotNull(), F.coalesce(F.try_element_at(scalar, F.schema_of_variant(self.get("variant"))), F.lit("number")))
+        )
 
-def ruled_nodes(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc and `nodes`: those that rules speak of, or whose parent they do, with path, pattern, above, above_pattern,
-    key, kind, text and, of a mapping, its members.
+    def text(self) -> Column:
+        """Of scalars only."""
+        return F.when(self.get("struct<>").isNull() & self.get("array<struct<>>").isNull(), self.get("string"))
 
-    Rules are as deep as their longest pattern, so the levels are known beforehand: each document is walked inside its
-    row, and nothing is written or shuffled.
-    """
-    wanted = _wanted(rules)
-    scalar = F.create_map(*[F.lit(x) for kv in SCALARS.items() for x in kv])
 
-    def node(path: Column, pattern: Column, above: Column, above_pattern: Column, key: Column, value: Column) -> Column:
-        read = F.struct(
-            value.isNull().alias("broken"), F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
-            F.try_variant_get(value, "$", "array<variant>").alias("items"), value.alias("value"),
-        )
-        kind = lambda r: (
-            F.when(r["broken"], "broken").when(r["members"].isNotNull(), "mapping").when(r["items"].isNotNull(), "list")
-            .otherwise(F.coalesce(F.try_element_at(scalar, F.schema_of_variant(r["value"])), F.lit("number")))
-        )
-        text = lambda r: F.when(r["members"].isNull() & r["items"].isNull(), F.try_variant_get(r["value"], "$", "string"))
-        names = {"path": path, "pattern": pattern, "above": above, "above_pattern": above_pattern, "key": key}
-        whole = lambda r: F.struct(*[c.alias(k) for k, c in names.items()], kind(r).alias("kind"), text(r).alias("text"), r["members"].alias("members"), r["items"].alias("items"))
-        return F.transform(F.array(read), whole)[0]
-
-    def inner(n: Column) -> Column:
-        dot = F.when(n["path"] == "", F.lit("")).otherwise(F.lit("."))
-        free = n["pattern"].isin(*rules.free) if rules.free else F.lit(False)
-        listed = F.transform(n["items"], lambda v, i: node(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), F.concat(n["pattern"], F.lit("[*]")), n["path"], n["pattern"], F.lit(None).cast("string"), v))
-        named = F.transform(F.map_entries(n["members"]), lambda e: node(F.concat(n["path"], dot, e["key"]), F.concat(n["pattern"], dot, F.when(free, "*").otherwise(e["key"])), n["path"], n["pattern"], e["key"], e["value"]))
-        return F.coalesce(listed, named)
-
-    no = F.lit(None).cast("string")
-    rows = docs.select("doc", F.array(node(F.lit(""), F.lit(""), no, no, no, F.try_parse_json("text"))).alias("_0"))
-    for level, patterns in enumerate(wanted):
-        held = F.filter(f"_{level}", lambda n: n["pattern"].isin(*patterns) & n["kind"].isin("mapping", "list"))  # noqa: B023
-        rows = rows.withColumn(f"_{level + 1}", F.flatten(F.transform(held, inner)))
-    told = lambda n: F.struct(*[n[c].alias(c) for c in ("path", "pattern", "above", "above_pattern", "key", "kind", "text", "members")])
-    return rows.select("doc", F.concat(*[F.transform(f"_{i}", told) for i in range(len(wanted) + 1)]).alias("nodes"))
+@dataclass
+class _Node:
+    """A node as it was read, and its value for what its type leaves open, which is looked at only there."""
+
+    place: _Place
+    read: Column
+    value: _Value
+
+    def _as(self, kind: str, numbered: str) -> Column:
+        return _Value(self.read).get(kind, numbered) if self.place.mixed else self.read
+
+    def members(self) -> Column:
+        return self._as(self.place.struct(), self.place.struct(True))
+
+    def member(self, key: str) -> _Node:
+        p, read = self.place.named[key], self.members()[f"_{list(self.place.named).index(key)}"]
+        return _Node(p, read, _Value(read) if p.mixed else self.value.member(key))
+
+    def each(self) -> tuple[Column, Column]:
+        """Entries of a mapping as they are read, and their values."""
+        p = self.place.any
+        entries = F.map_entries(self._as(f"map<string, {p.type()}>", f"map<string, {p.type(True)}>"))
+        return F.coalesce(entries, F.array().cast(f"array<struct<key: string, value: {p.type(True)}>>")), F.coalesce(F.map_values(self.value.get(MEMBERS)), F.array().cast(ITEMS))
+
+    def listed(self) -> tuple[Column, Column]:
+        """Items of a list as they are read, and their values."""
+        p = self.place.items
+        items = self._as(f"array<{p.type()}>", f"array<{p.type(True)}>")
+        return F.coalesce(items, F.array().cast(f"array<{p.type(True)}>")), F.coalesce(self.value.get(ITEMS), F.array().cast(ITEMS))
+
+    @property
+    def plain(self) -> bool:
+        return self.place.type() == "string"
+
+    def kind(self) -> Column:
+        """Null if it is not there, and for null where that spares a look."""
+        if self.place.mixed:
+            return self.value.kind()
+        known = F.when(self.read.isNotNull(), self.value.kind() if self.plain else F.lit("list" if self.place.items else "mapping"))
+        return known if self.plain else known.otherwise(self.value.kind())
+
+    def text(self) -> Column:
+        """Of scalars only: what is read from a mapping or a list begins with a bracket."""
+        if not self.plain:
+            return self.value.text()
+        return F.when(self.read.startswith("[") | self.read.startswith("{"), self.value.text()).otherwise(self.read)
+
+    def there(self) -> Column:
+        if self.place.mixed:
+            return self.read.isNotNull() & ~F.is_variant_null(self.read)
+        return self.read.isNotNull() if self.plain else self.read.isNotNull() | (F.coalesce(self.value.kind(), F.lit("null")) != "null")
+
+
+def _way(at: str) -> list[str]:
+    return [*_way(_above(at)), at] if at else []
+
+
+NO_TEXTS = "cast(array() as array<string>)"
+
+
+def _texts(value: Column, root: _Place, at: str, keys: bool = False) -> Column:
+    """Texts, or keys, of all nodes of a pattern."""
+
+    def below(v: Column, place: _Place, way: list[str], key: Column | None = None) -> Column:
+        if not way:
+            return F.array(F.when(v.isNotNull(), key) if keys else _Value(v).text())
+        if way[0].endswith("[*]"):
+            return F.flatten(F.array_compact(F.transform(_Value(v).get(ITEMS), lambda x: below(x, place.items, way[1:]))))
+        if place.any:
+            return F.flatten(F.array_compact(F.transform(F.map_entries(_Value(v).get(MEMBERS)), lambda e: below(e["value"], place.any, way[1:], e["key"]))))
+        last = way[0].rpartition(".")[2]
+        return below(F.try_element_at(_Value(v).get(MEMBERS), F.lit(last)), place.named[last], way[1:], F.lit(last)) if last in place.named else F.expr(NO_TEXTS)
+
+    return F.coalesce(F.array_compact(below(value, root, _way(at))), F.expr(NO_TEXTS))
+
+
+def _texts_read(read: Column, root: _Place, at: str, keys: bool = False) -> Column | None:
+    """The same of what has been read, with JSON of mappings and lists among texts; None where the types don't hold it."""
+    place, lists, way = root, False, _way(at)
+    for n, step in enumerate(way, 1):
+        flat = F.flatten(F.array_compact(read)) if lists and step.endswith("[*]") and not place.mixed else read
+        if place.mixed:
+            if not (step.endswith("[*]") and lists and place.items.type() == "string"):
+                return None
+            read, place = F.flatten(F.array_compact(read.try_cast("array<array<string>>"))), place.items
+        elif step.endswith("[*]"):
+            read, place, lists = flat, place.items, True
+        elif place.any:
+            if lists:
+                return None
+            read, place, lists = F.map_keys(read) if keys and n == len(way) else F.map_values(read), place.any, True
+        elif (last := step.rpartition(".")[2]) in place.named:
+            read, place = read[f"_{list(place.named).index(last)}"], place.named[last]
+            if keys and n == len(way):
+                return None
+        else:
+            return F.expr(NO_TEXTS)
+    if place.mixed and not keys:
+        read = read.try_cast("array<string>") if lists else _Value(read).text()
+    elif place.type() != "string" and not keys:
+        return None
+    return F.coalesce(F.array_compact(read if lists else F.array(read)), F.expr(NO_TEXTS))
 
 
 def _size(text: Column) -> Column:
-    """A number, or the minutes of HH:MM."""
-    clock = F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", 1).try_cast("double") * 60 + F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", 2).try_cast("double")
-    return F.coalesce(text.try_cast("double"), clock)
+    """A number, or the minutes of HH:MM. Clocks come first: that a text is no number is slow to tell."""
+    clock = F.substring_index(text, ":", 1).try_cast("double") * 60 + F.substring_index(text, ":", -1).try_cast("double")
+    return F.when(F.rlike(text, F.lit(r"^(\d{1,2}):(\d{2})$")), clock).otherwise(text.try_cast("double"))
 
 
 NO_FAULTS = "cast(array() as array<struct<path:string,what:string>>)"
@@ -142,67 +284,117 @@ NO_FAULTS = "cast(array() as array<struct<path:string,what:string>>)"
 def faults(docs: DataFrame, rules: Rules) -> DataFrame:
     """doc, path and what: all faults of all documents. docs: doc, text (JSON; null or broken is a fault of its own).
 
-    No rule looks beyond its document, so all faults are told inside a document's row: those that a node shows by
-    itself, then names that are listed twice or not known, over the names alone.
+    No rule looks beyond its document, so nothing is written or shuffled. Rules are as deep as their longest pattern, so
+    the places they speak of are known beforehand and a document is read into them at once. Names that are listed twice
+    or not known are found over the names alone. Then the outermost lists are laid side by side and dealt into rows, the
+    first items of all of them in the first row, so that rules are compiled expressions over a row; only lists within
+    lists are gone through as arrays. A place is where a document has it, whatever dots or brackets its keys hold.
     """
-    fault = lambda where, what: F.struct(where.alias("path"), what.alias("what"))
+    top = _places(rules)
+    fault = lambda path, what: F.struct(path.alias("path"), what.alias("what"))
+    listed = lambda bad, node: (F.size(bad) > 0) & F.array_contains(bad, node.text())
     quote = lambda t: F.concat(F.lit("'"), F.coalesce(t, F.lit("null")), F.lit("'"))
 
-    def lists(rows: list[tuple]) -> Column:
-        """What the rules list at each pattern, as a map of arrays of structs."""
-        by: dict[str, list[tuple]] = {}
-        for at, *rest in rows:
-            by.setdefault(at, []).append(tuple(rest))
-        entry = lambda r: F.struct(*[F.lit(x).alias(f"_{i}") for i, x in enumerate(r)])
-        return F.create_map(*[x for at, rs in by.items() for x in (F.lit(at), F.array(*[entry(r) for r in rs]))])
-
-    def own(n: Column) -> Column:
-        path, kind, text = n["path"], n["kind"], n["text"]
+    def own(node: _Node, path: Column, opened) -> tuple[list[Column], list[Column]]:
+        """Faults, each null where there is none, and lists of such, of a node and those below it; `opened` takes lists
+        and free mappings."""
+        place = node.place
         child = lambda key: F.concat(path, F.when(path == "", "").otherwise("."), key)
-        member = lambda key: F.try_element_at(n["members"], key)
-        has = lambda key: member(key).isNotNull() & ~F.is_variant_null(member(key))
-        allowed = lambda kinds: F.array_contains(kinds, kind) | ((kind == "whole") & F.array_contains(kinds, "number"))
-        said = lambda key: F.try_variant_get(member(key), "$", "string")
-        size = lambda key: _size(said(key))
-        told = [
-            (rules.required, kind == "mapping", lambda r: F.when(~has(r["_0"]), fault(child(r["_0"]), F.lit("is required")))),
-            (rules.kinds, kind != "null", lambda r: F.when(~allowed(F.split(r["_0"], " ")), fault(path, F.concat(F.lit("is no "), F.replace(r["_0"], F.lit(" "), F.lit(" or ")))))),
-            (rules.shapes, text.isNotNull(), lambda r: F.when(~F.rlike(text, r["_0"]), fault(path, F.concat(quote(text), F.lit(" is no "), r["_1"])))),
-            (rules.one_of, kind == "mapping", lambda r: F.when(~F.exists(F.split(r["_0"], " "), has), fault(path, F.concat(F.lit("needs one of "), F.replace(r["_0"], F.lit(" "), F.lit(", ")))))),
-            (rules.after, kind == "mapping", lambda r: F.when(size(r["_1"]) <= size(r["_0"]), fault(child(r["_1"]), F.concat(quote(said(r["_1"])), F.lit(" does not come after"))))),
-            (rules.least, kind.isin("whole", "number"), lambda r: F.when(text.try_cast("double") < r["_0"], fault(path, F.concat(quote(text), F.lit(" is too small"))))),
-        ]
-        found = [F.when(kind == "broken", F.array(fault(path, F.lit("is no JSON"))))]
-        for rows, holds, of in told:
-            if rows:
-                found.append(F.when(holds & n["pattern"].isin(*{r[0] for r in rows}), F.array_compact(F.transform(F.try_element_at(lists(rows), n["pattern"]), of))))
-        if rules.known:
-            keys = F.create_map(*[x for at in {a for a, _ in rules.known} for x in (F.lit(at), F.array(*[F.lit(k) for a, k in rules.known if a == at]))])
-            strict = n["key"].isNotNull() & n["above_pattern"].isin(*{a for a, _ in rules.known})
-            found.append(F.when(strict & ~F.array_contains(F.try_element_at(keys, n["above_pattern"]), n["key"]), F.array(fault(path, F.lit("is an unknown key")))))
-        return F.concat(*[F.coalesce(f, F.expr(NO_FAULTS)) for f in found])
-
-    def named(where, name) -> Column:
-        """path and name of the nodes of some patterns."""
-        return F.filter(F.transform(F.filter("nodes", where), lambda n: F.struct(n["path"].alias("path"), name(n).alias("name"))), lambda x: x["name"].isNotNull())
-
-    def blamed(uses: Column, bad: Column, what) -> Column:
-        return F.transform(F.filter(uses, lambda x: F.array_contains(bad, x["name"])), lambda x: fault(x["path"], what(x["name"])))
-
-    text, only = lambda n: n["text"], lambda xs: F.transform(xs, lambda x: x["name"])
-    rows, found = ruled_nodes(docs, rules), [F.flatten(F.transform("nodes", own))]
+        of = lambda rows: [r[1:] for r in rows if r[0] == place.at]
+        lacks = lambda key: node.members().isNotNull() & ~node.member(key).there()
+        said = lambda key: node.member(key).text()
+        one, many = [], []
+        for (key,) in of(rules.required):
+            one.append(F.when(lacks(key), fault(child(F.lit(key)), F.lit("is required"))))
+        for (kinds,) in of(rules.kinds):
+            allowed = kinds.split(" ")
+            one.append(F.when(~node.kind().isin("null", *allowed, *(["whole"] if "number" in allowed else [])), fault(path, F.lit(f"is no {' or '.join(allowed)}"))))
+        for shape, word in of(rules.shapes):
+            one.append(F.when(~F.rlike(node.text(), F.lit(shape)), fault(path, F.concat(quote(node.text()), F.lit(f" is no {word}")))))
+        for (keys,) in of(rules.one_of):
+            one.append(F.when(reduce(Column.__and__, map(lacks, keys.split(" "))), fault(path, F.lit(f"needs one of {', '.join(keys.split(' '))}"))))
+        for key, later in of(rules.after):
+            one.append(F.when(_size(said(later)) <= _size(said(key)), fault(child(F.lit(later)), F.concat(quote(said(later)), F.lit(" does not come after")))))
+        for (least,) in of(rules.least):
+            one.append(F.when(node.kind().isin("whole", "number") & (node.text().try_cast("double") < least), fault(path, F.concat(quote(node.text()), F.lit(" is too small")))))
+        for i, at in enumerate(rules.unique):
+            if at == place.at:
+                one.append(F.when(listed(f"_t{i}", node), fault(path, F.concat(quote(node.text()), F.lit(" is listed more than once")))))
+        for i, (at, _, word) in enumerate(rules.refers):
+            if place.at in (at, f"{at}[*]"):
+                one.append(F.when(listed(f"_x{i}", node), fault(path, F.concat(quote(node.text()), F.lit(f" is not a known {word}")))))
+        if place.known:
+            unknown = F.array_except(F.map_keys(node.value.get("map<string, struct<>>")), F.array(*[F.lit(k) for k in place.known]))
+            many.append(F.when(F.size(unknown) > 0, F.transform(unknown, lambda k: fault(child(k), F.lit("is an unknown key")))))
+        for key in place.named:
+            inner = own(node.member(key), child(F.lit(key)), opened)
+            one, many = one + inner[0], many + inner[1]
+        if place.any:
+            many += opened(place.any, *node.each(), lambda e, v, _: own(_Node(place.any, e["value"], _Value(v)), child(e["key"]), within))
+        if place.items:
+            many += opened(place.items, *node.listed(), lambda x, v, i: own(_Node(place.items, x, _Value(v)), F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), within))
+        return one, many
+
+    def within(place: _Place, read: Column, values: Column, of) -> list[Column]:
+        """The faults of a list within a list, as one list; none if no rule holds for them."""
+        flat, some = [], []
+
+        def inner(x: Column, v: Column, i: Column) -> Column:
+            one, many = of(x, v, i)
+            flat.append(len(one) == 1 and not many)
+            some.append(bool(one or many))
+            return one[0] if flat[0] else every(one, many)
+
+        both = F.struct(read.alias("read"), values.alias("values"))
+        found = F.transform(F.array(both), lambda b: F.transform(b["values"], lambda v, i: inner(F.get(b["read"], i), v, i)))[0]
+        looked = F.size(values) > 0  # this is compiled, the items are not
+        if flat[0] and place.asks == {"text"} and (bad := [f"_x{i}" for i, (at, *_) in enumerate(rules.refers) if place.at in (at, f"{at}[*]")]):
+            looked = reduce(Column.__or__, [F.size(c) > 0 for c in bad]) & looked
+        return [F.when(looked, found if flat[0] else F.flatten(found))] if some[0] else []
+
+    def every(one: list[Column], many: list[Column]) -> Column:
+        none = F.expr(NO_FAULTS)
+        return F.concat(F.array(*one) if one else none, *[F.coalesce(m, none) for m in many])
+
+    rows = docs.select("doc", F.try_parse_json("text").alias("_value"))
+    rows = rows.select("doc", "_value", _Value(F.col("_value")).get(top.type(), top.type(True)).alias("_read"))
+    value, read, names = F.col("_value"), F.col("_read"), {}
+
+    def texts(at: str, exact: bool = True, keys: bool = False) -> Column:
+        quick = _texts_read(read, top, at, keys)
+        if quick is None:
+            return _texts(value, top, at, keys)
+        joined = F.array_join(quick, "")
+        return F.when(joined.contains("[") | joined.contains("{"), _texts(value, top, at)).otherwise(quick) if exact and not keys else quick
+
     for i, at in enumerate(rules.unique):
-        rows = rows.withColumn(f"_u{i}", named(lambda n: n["pattern"] == at, text))  # noqa: B023
-        rows = rows.withColumn(f"_s{i}", F.array_sort(only(F.col(f"_u{i}"))))
-        twice = F.array_distinct(F.filter(f"_s{i}", lambda t, k: t == F.get(f"_s{i}", k + 1)))  # noqa: B023
-        rows = rows.withColumn(f"_t{i}", twice)
-        found.append(blamed(F.col(f"_u{i}"), F.col(f"_t{i}"), lambda t: F.concat(quote(t), F.lit(" is listed more than once"))))
-    for i, (at, to, word) in enumerate(rules.refers):
-        rows = rows.withColumn(f"_r{i}", named(lambda n: n["pattern"].isin(at, f"{at}[*]"), text))  # noqa: B023
-        known = only(named(lambda n: n["pattern"] == to, lambda n: n["key"] if to.endswith(".*") else n["text"]))  # noqa: B023
-        rows = rows.withColumn(f"_x{i}", F.array_except(only(F.col(f"_r{i}")), known))
-        found.append(blamed(F.col(f"_r{i}"), F.col(f"_x{i}"), lambda t, word=word: F.concat(quote(t), F.lit(f" is not a known {word}"))))
-    return rows.select("doc", F.explode(F.concat(*found)).alias("f")).select("doc", "f.*")
+        names[f"_u{i}"] = F.sort_array(texts(at))
+    for i, (at, to, _) in enumerate(rules.refers):
+        # JSON among the uses does no harm: a text like it is as little known
+        uses = F.concat(texts(at, False), texts(f"{at}[*]", False))
+        names[f"_x{i}"] = F.when(F.size(uses) > 0, F.array_except(uses, texts(to, keys=to.endswith(".*"))))
+    rows = rows.withColumns(names)
+    rows = rows.withColumns({f"_t{i}": F.array_distinct(F.filter(f"_u{i}", lambda t, k: t == F.get(f"_u{i}", k + 1))) for i in range(len(rules.unique))})  # noqa: B023
+    held = ["doc", *[c for c in rows.columns if c[:2] in ("_t", "_x")], "_own"]
+    lists, dealt = {}, []
+
+    def deal(_: _Place, read: Column, values: Column, of) -> list[Column]:
+        lists.update({f"_r{len(dealt)}": read, f"_v{len(dealt)}": values})
+        dealt.append(of)
+        return []
+
+    own_faults = every(*own(_Node(top, read, _Value(value)), F.lit(""), deal))
+    broken = ["is no JSON"] + [f"is no {kinds.replace(' ', ' or ')}" for at, kinds in rules.kinds if at == ""]
+    own_faults = F.when(value.isNull(), F.array(*[fault(F.lit(""), F.lit(what)) for what in broken])).otherwise(own_faults)
+    rows = rows.select(*held[:-1], own_faults.alias("_own"), *[c.alias(k) for k, c in lists.items()])
+    rows = rows.select(*held, F.arrays_zip(*lists).alias("_z") if lists else F.array().alias("_z"))
+    rows = rows.select(*held, F.posexplode_outer("_z").alias("_i", "_z"))
+    one, many = [], [F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_own"))]
+    for k, of in enumerate(dealt):
+        inner = of(F.col("_z")[f"_r{k}"], F.col("_z")[f"_v{k}"], F.col("_i"))
+        one, many = one + inner[0], many + inner[1]
+    found = rows.select("doc", every(one, many).alias("_f")).select("doc", F.explode_outer("_f").alias("f"))  # outer: else Spark tells all faults twice, to leave out empty lists
+    return found.where(F.col("f").isNotNull()).select("doc", "f.*")
 
 
 CLOCK, DATE = r"^([01]?\d|2[0-3]):[0-5]\d$", r"^\d{4}-\d{2}-\d{2}$"

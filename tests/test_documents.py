@@ -70,3 +70,23 @@ def test_every_fault_names_its_path(spark):
         assert want in got.get(i, ()), (want, got.get(i))
     assert 900 not in got and got[901] == got[902] == {("", "is no JSON")}
     assert documents.faults(spark.createDataFrame([], "doc int, text string"), documents.SCHEDULE).count() == 0
+
+
+def test_places_are_those_of_the_document(spark):
+    """Keys with dots or brackets, or none, are unknown members and no places of other rules; JSON in texts is text."""
+    odd = {**GOOD, "days.*": "soon", "sessions[*].start": "9 am", "": {}}
+    same = {**GOOD, "sessions": [{"id": i, "day": "d1", "start": "09:00"} for i in ('{"a":1}', {"a": 1}, "[2]", [2], "[2]")]}
+    docs = [(1, json.dumps(odd)), (2, json.dumps(same)), (3, json.dumps({**GOOD, "registers": [["odd"], "wide", "close"], "sessions": [{"id": "s", "day": "d1", "start": "09:00", "registers": ['["odd"]', "wide"]}]}))]
+    found = documents.faults(spark.createDataFrame(docs, "doc int, text string"), documents.SCHEDULE)
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "", "is an unknown key"), (1, "days.*", "is an unknown key"), (1, "sessions[*].start", "is an unknown key"),
+        (2, "sessions[2].id", "'[2]' is listed more than once"), (2, "sessions[4].id", "'[2]' is listed more than once"),
+        (3, "sessions[0].registers[0]", "'[\"odd\"]' is not a known register"),
+    ]
+
+
+def test_rules_are_told_over_rows(spark):
+    """Outermost lists are dealt into rows, a document is parsed once, and no filter tells its faults a second time."""
+    docs = spark.createDataFrame([(1, json.dumps(GOOD))], "doc int, text string")
+    plan = documents.faults(docs, documents.SCHEDULE)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and plan.count("parseJson") == 1 and "Filter (size" not in plan
